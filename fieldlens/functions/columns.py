@@ -51,7 +51,7 @@ def parabola(t: Column, y: Column, window: Window) -> dict[str, Column]:
     ``t`` should be small (relative to a nearby origin) to keep the sums precise.
     """
     n = F.count(y).over(window)
-    s1, s2, s3, s4 = (F.sum(F.pow(t, F.lit(k))).over(window) for k in (1, 2, 3, 4))
+    s1, s2, s3, s4 = (F.sum(p).over(window) for p in (t, t * t, t * t * t, t * t * t * t))
     y0, y1, y2 = F.sum(y).over(window), F.sum(t * y).over(window), F.sum(t * t * y).over(window)
     yy = F.sum(y * y).over(window)
     det = s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)

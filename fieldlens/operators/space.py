@@ -58,7 +58,7 @@ def voronoi_control(positions: DataFrame, tracks: DataFrame, step: int = 2, span
     )
     frames = positions.select(*FRAME).distinct().join(spots, FRAME, "left")
     enough = F.size("p") >= 2
-    field = {c: F.when(enough, F.transform("p", lambda s, c=c: s[c])).otherwise(F.array(F.lit(1).cast(t)))
+    field = {c: F.when(enough, F.col(f"p.{c}")).otherwise(F.array(F.lit(1).cast(t)))
              for c, t in (("x", "double"), ("y", "double"), ("team", "int"))}
     counted = frames.withColumns({"_enough": F.coalesce(enough, F.lit(False)), "_n1": team1_cells(field["x"], field["y"], field["team"])})
     share1 = F.when(F.col("_enough"), pyround(F.col("_n1") / n_cells * 100.0, 1)).otherwise(F.lit(50.0))

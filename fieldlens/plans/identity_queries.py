@@ -148,7 +148,7 @@ SELECT video_id, player_id, role, votes FROM (
           row_number() OVER (PARTITION BY video_id, batch ORDER BY med, player_id) AS up, count(*) OVER (PARTITION BY video_id, batch) AS players
         FROM (SELECT video_id, CAST(floor(frame_idx/25) AS BIGINT) AS batch, player_id, median(y2) AS med, count(*) AS n
           FROM tracks GROUP BY ALL) m) k) c WHERE role IS NOT NULL GROUP BY ALL) v) r WHERE rn = 1""")
-query("jersey_ocr_votes", lambda t: ident.jersey_ocr_votes(t.readings), ("readings",), f"""
+derive("ocr_state", ("readings",), f"""
 WITH tries AS (SELECT video_id, player_id, frame_idx, text, prob, CAST((n-1)/5 AS INT) + 1 AS attempt FROM (
     SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_idx) AS n FROM readings) r WHERE (n-1)%5 = 0 AND n <= 50),
   scores AS (SELECT a.video_id, a.player_id, a.frame_idx, a.attempt, b.text, {R('sum(b.prob)', 9)} AS score, min(b.attempt) AS fst
@@ -159,7 +159,9 @@ WITH tries AS (SELECT video_id, player_id, frame_idx, text, prob, CAST((n-1)/5 A
   state AS (SELECT t.video_id, t.player_id, t.frame_idx, t.attempt, b.text, first_value(CASE WHEN score >= 1.5 THEN b.text END IGNORE NULLS) OVER (
     PARTITION BY t.video_id, t.player_id ORDER BY t.attempt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lockd
     FROM tries t LEFT JOIN best b USING (video_id, player_id, attempt))
-SELECT video_id, player_id, frame_idx, attempt, coalesce(lockd, text) AS jersey, lockd IS NOT NULL AS locked FROM state""")
+SELECT * FROM state""")
+query("jersey_ocr_votes", lambda t: ident.jersey_ocr_votes(t.readings), ("ocr_state",), """
+SELECT video_id, player_id, frame_idx, attempt, coalesce(lockd, text) AS jersey, lockd IS NOT NULL AS locked FROM ocr_state""")
 query("team_colors", lambda t: ident.team_colors(t.samples))
 query("team_colors_projected", lambda t: ident.team_colors(t.samples, components=2))
 query("ball_select", lambda t: ident.ball_select(t.detections), ("detections",), """
