@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _registry():
-    from fieldlens.plans import court_queries, cricket_queries, delivery_queries, identity_queries  # noqa: F401
+    from fieldlens.plans import court_queries, cricket_queries, delivery_queries, identity_queries, stream_queries  # noqa: F401
     from fieldlens.plans import registry
 
     return registry
