@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,7 +41,7 @@ def fold_frames(machine, rows: pd.DataFrame):
 def _span_folder(make: Callable, keys: Sequence[str], order: Sequence[str], out_fields: list[str]):
     columns = [*keys, CHUNK, *out_fields, "_kind", "_entry", "_exit"]
 
-    def fold(group, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(group: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(order), kind="stable").astype(object).where(lambda r: r.notna(), None)
         machine = make()
         forced = rows["_forced"].iloc[0]
@@ -79,20 +80,34 @@ def chunked_fold(
     schema = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), *out_schema.fields, *_EDGE])
     folder = _span_folder(make, keys, order, out_schema.fieldNames())
 
+    at = [*keys, CHUNK]
     first = with_halo(df, axis, before=warmup, span=span).withColumn("_forced", F.lit(None).cast("string"))
-    done = durable(first.groupBy(*keys, CHUNK).applyInPandas(folder, schema))
+    parts = [durable(first.groupBy(*at).applyInPandas(folder, schema))]
+    edges = _edges(parts[0], at, 0)
     per_key = Window.partitionBy(*keys).orderBy(CHUNK)
     while True:
-        edges = done.filter("_kind = 'edge'").select(*keys, CHUNK, "_entry", "_exit")
         wrong = (
             edges.withColumn("_forced", F.lag("_exit").over(per_key))
             .filter("_forced IS NOT NULL AND _forced <> _entry")
-            .select(*keys, CHUNK, "_forced")
+            .select(*at, "_forced")
         )
         if wrong.isEmpty():
             break
+        # only the wrong spans are folded again; the edges, one row per span, are replaced
         spans = df.withColumn(CHUNK, div_floor(F.col(axis), span)).withColumn(CORE, F.lit(True))
-        again = spans.join(wrong, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(folder, schema)
-        kept = done.join(wrong.select(*keys, CHUNK), [*keys, CHUNK], "left_anti").select(*done.columns)
-        done = durable(kept.unionByName(again))
-    return done.filter("_kind = 'row'").select(*keys, *out_schema.fieldNames())
+        parts.append(durable(spans.join(wrong, at).groupBy(*at).applyInPandas(folder, schema)))
+        fresh = _edges(parts[-1], at, len(parts) - 1)
+        edges = durable(edges.join(wrong.select(*at), at, "left_anti").select(*edges.columns).unionByName(fresh))
+    rows = [p.filter("_kind = 'row'").withColumn("_round", F.lit(n)) for n, p in enumerate(parts)]
+    if len(rows) > 1:
+        current = edges.select(*at, "_round")
+        rows = [r.join(current, [*at, "_round"], "left_semi") for r in rows]
+    result = rows[0]
+    for more in rows[1:]:
+        result = result.unionByName(more)
+    return result.select(*keys, *out_schema.fieldNames())
+
+
+def _edges(part: DataFrame, at: Sequence[str], number: int) -> DataFrame:
+    """Entry and exit state of every span of one round."""
+    return part.filter("_kind = 'edge'").select(*at, "_entry", "_exit").withColumn("_round", F.lit(number))

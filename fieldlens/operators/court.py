@@ -258,6 +258,20 @@ def minimap_smoothing(positions: DataFrame, keep: float = 0.8, span: int = SPAN)
     return ema(islands, [*PLAYER, "_island"], "frame_idx", ["x", "y"], 1.0 - keep, span).drop("_island")
 
 
+def ball_ema(ball: DataFrame, frames: DataFrame, alpha: float = 0.5, max_coast: int = 30, span: int = SPAN) -> DataFrame:
+    """Smoothed ball box; up to ``max_coast`` frames without ball keep the last box at confidence .5, then it starts afresh."""
+    box = ["x1", "y1", "x2", "y2"]
+    islands = presence_islands(ball.select("video_id", "frame_idx", *box, "conf"), ["video_id"], "frame_idx", max_coast + 1, "_island", span)
+    smooth = ema(islands, ["video_id", "_island"], "frame_idx", box, alpha, span).drop("_island")
+    spine = frames.select("video_id", "frame_idx").join(smooth, ["video_id", "frame_idx"], "left")
+    seen = F.when(F.col("x1").isNotNull(), F.struct("frame_idx", *box))
+    held = running(spine, ["video_id"], "frame_idx", {"_last": ("last", seen, True)}, span=span)
+    return held.filter(F.col("frame_idx") - F.col("_last.frame_idx") <= max_coast).select(
+        "video_id", "frame_idx", *[F.col(f"_last.{c}").alias(c) for c in box], F.coalesce("conf", F.lit(0.5)).alias("conf"),
+        F.col("conf").isNull().alias("is_coasting"),
+    )
+
+
 def fill_positions(positions: DataFrame, frames: DataFrame, span: int = SPAN) -> DataFrame:
     """Every player in every frame of the video: linear between sightings, nearest sighting outside."""
     players = positions.select(*PLAYER).distinct()

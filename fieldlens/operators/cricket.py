@@ -262,7 +262,8 @@ def seam_deviation(df: DataFrame) -> DataFrame:
 
 
 def confidence_cone(df: DataFrame, distance: str = "distance_m", sigma_x: float = 0.008, sigma_z: float = 0.012) -> DataFrame:
-    growth = F.lit(1.0) + F.lit(0.035) * F.pow(F.greatest(F.lit(0.0), F.col(distance)), F.lit(1.4))
+    known = F.when(F.col(distance).isNotNull(), F.greatest(F.lit(0.0), F.col(distance)))
+    growth = F.lit(1.0) + F.lit(0.035) * F.pow(known, F.lit(1.4))
     return df.withColumns({"sigma_x": growth * sigma_x, "sigma_z": growth * sigma_z})
 
 

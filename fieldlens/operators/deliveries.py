@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,11 +137,14 @@ def role_first_hit(tracks: DataFrame, deliveries: DataFrame, role: str = "batsma
     return shown.groupBy(*DELIVERY).agg(first.alias("f")).select(*DELIVERY, "f.*")
 
 
-def last_n_points(points: DataFrame, n: int, keys: list[str] | None = None, span: int = SPAN) -> DataFrame:
-    """The last ``n`` points of each delivery, rank 1 = latest."""
+def last_n_points(points: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
+    """The last ``n`` points of each delivery, rank 1 = latest.
+
+    ``row_number <= n`` makes Spark keep only ``n`` rows per delivery in each task before the shuffle.
+    """
     keys = keys or DELIVERY
-    ranked = running(points, keys, "frame_idx", {"rank": ("sum", F.lit(1).cast("bigint"), True)}, span=span, reverse=True)
-    return ranked.filter(F.col("rank") <= n)
+    latest = Window.partitionBy(*keys).orderBy(F.col("frame_idx").desc())
+    return points.withColumn("rank", F.row_number().over(latest).cast("bigint")).filter(F.col("rank") <= n)
 
 
 # ---- bounce and impact -------------------------------------------------------------------------------
@@ -207,9 +210,9 @@ def batsman_zone_contact(delivery_points: DataFrame, batsmen: DataFrame, how: st
     return delivery_points.join(box, DELIVERY, how).withColumns({"bat_zone": near_bat, "pad_zone": near_pads}).drop("x1", "y1", "x2", "y2")
 
 
-def bowled_check(delivery_points: DataFrame, stumps: DataFrame, px: float = 40, span: int = SPAN) -> DataFrame:
+def bowled_check(delivery_points: DataFrame, stumps: DataFrame, px: float = 40) -> DataFrame:
     """Whether one of the last three ball points lies on the batsman's stumps (sx, sy)."""
-    last = last_n_points(delivery_points.select(*DELIVERY, "frame_idx", "cx", "cy"), 3, span=span)
+    last = last_n_points(delivery_points.select(*DELIVERY, "frame_idx", "cx", "cy"), 3)
     dx, dy = F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy")
     on = last.join(stumps.select(*DELIVERY, "sx", "sy"), DELIVERY).withColumn("_on", F.sqrt(dx * dx + dy * dy) < px)
     return on.groupBy(*DELIVERY).agg((F.max("_on") & (F.count("*") >= 3)).alias("bowled"))
@@ -249,7 +252,7 @@ def delivery_outcome(
         "frame_idx >= _f"
     ).groupBy(*DELIVERY).agg(F.count("*").alias("_after"))
     full = (
-        hits.join(after, DELIVERY, "left").join(bowled_check(delivery_points, stumps, span=span), DELIVERY, "left")
+        hits.join(after, DELIVERY, "left").join(bowled_check(delivery_points, stumps), DELIVERY, "left")
         .join(shots.select(*DELIVERY, "shot_label"), DELIVERY, "left")
     )
     if reviews is not None:
@@ -313,7 +316,8 @@ def reconstruct_3d(delivery_points: DataFrame, bounces: DataFrame, fps: float =
 
 def _kmh(dx: Column, dy: Column, dz: Column, frames: Column, fps: float) -> Column:
     speed = F.sqrt(dx * dx + dy * dy + dz * dz) / (frames * (1.0 / fps)) * 3.6
-    return F.greatest(F.lit(30.0), F.least(F.lit(175.0), speed))
+    # least and greatest skip NULLs, so a missing second point must be kept apart
+    return F.when(speed.isNotNull(), F.greatest(F.lit(30.0), F.least(F.lit(175.0), speed)))
 
 
 def delivery_speeds(points_3d: DataFrame, bounces: DataFrame, fps: float = 30.0, span: int = SPAN) -> DataFrame:
@@ -397,9 +401,9 @@ def project_to_stumps(impacts: DataFrame, fps: float = 30, target_y: float = PIT
     }).drop("_e")
 
 
-def project_pixels(delivery_points: DataFrame, steps: int = 8, span: int = SPAN) -> DataFrame:
+def project_pixels(delivery_points: DataFrame, steps: int = 8) -> DataFrame:
     """Next pixels of the ball from the slope of its last four points and a gravity term."""
-    last = last_n_points(delivery_points.select(*DELIVERY, "frame_idx", "cx", "cy"), 4, span=span)
+    last = last_n_points(delivery_points.select(*DELIVERY, "frame_idx", "cx", "cy"), 4)
     at = F.struct("cx", "cy")
     ends = last.groupBy(*DELIVERY).agg(
         F.count("*").alias("_n"), F.min_by(at, "frame_idx").alias("_a"), F.max_by(at, "frame_idx").alias("_b")
@@ -413,9 +417,9 @@ def project_pixels(delivery_points: DataFrame, steps: int = 8, span: int = SPAN)
     )
 
 
-def bezier_trail(delivery_points: DataFrame, max_points: int = 20, span: int = SPAN) -> DataFrame:
+def bezier_trail(delivery_points: DataFrame, max_points: int = 20) -> DataFrame:
     """Quadratic curve through the first, middle and last of the recent points; fewer than three are passed through."""
-    last = last_n_points(delivery_points.select(*DELIVERY, "frame_idx", "cx", "cy"), max_points, span=span)
+    last = last_n_points(delivery_points.select(*DELIVERY, "frame_idx", "cx", "cy"), max_points)
     counted = last.groupBy(*DELIVERY).agg(
         F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("frame_idx", "cx", "cy"))).alias("_p")
     )

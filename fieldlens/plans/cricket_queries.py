@@ -137,7 +137,7 @@ FROM (SELECT video_id, delivery_key, CAST(delivery_key*13%21 - 10 AS DOUBLE)/10
 query("confidence_cone", lambda t: six(ck.confidence_cone(t.deliveries_raw.select(
     "video_id", "delivery_key", (F.col("metric_x") - 3).alias("distance_m"))), "sigma_x", "sigma_z", digits=9), ("deliveries",), f"""
 SELECT video_id, delivery_key, distance_m, {R(f'g*{D(0.008)}', 9)} AS sigma_x, {R(f'g*{D(0.012)}', 9)} AS sigma_z FROM (
-  SELECT *, 1 + {D(0.035)}*pow(greatest(0, coalesce(distance_m, 0)), {D(1.4)}) AS g FROM (
+  SELECT *, 1 + {D(0.035)}*pow(CASE WHEN distance_m IS NOT NULL THEN greatest(0, distance_m) END, {D(1.4)}) AS g FROM (
     SELECT video_id, delivery_key, metric_x - 3 AS distance_m FROM deliveries) a) b""")
 
 query("over_notation", lambda t: ck.over_notation(t.deliveries_raw.select("video_id", "delivery_key")), ("deliveries",), """

@@ -181,7 +181,7 @@ query("reconstruct_3d", lambda t: six(flight_3d(t), "mz"), ("flight3d",), f"SELE
 
 
 def _kmh(dx, dy, dz, n):
-    return f"greatest(30, least(175, sqrt(({dx})*({dx})+({dy})*({dy})+({dz})*({dz}))/(({n})/{D(30)})*{D(3.6)}))"
+    return f"CASE WHEN ({n}) IS NOT NULL THEN greatest(30, least(175, sqrt(({dx})*({dx})+({dy})*({dy})+({dz})*({dz}))/(({n})/{D(30)})*{D(3.6)})) END"
 
 
 derive("paced", ("flight3d", "bounced"), f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.operators import court, cricket as ck, identity as ident, possession as poss, registration as rg, shots, space
-from fieldlens.scale import pyround
+from fieldlens.scale import durable, pyround
 from fieldlens.sources.sinks import label_counts
 
 
@@ -36,7 +36,7 @@ def basketball_report(
     tracks: DataFrame, ball: DataFrame, positions: DataFrame, frames: DataFrame, modes: DataFrame, fps: float = 30.0
 ) -> DataFrame:
     """One row per video: team blocks, dominance, shots and continuity."""
-    holders = poss.possession(poss.holder_candidates(tracks, ball), frames)
+    holders = durable(poss.possession(poss.holder_candidates(tracks, ball), frames))  # used three times
     shares = poss.possession_summary(holders, tracks)
     moves = poss.pass_summary(poss.passes(holders, tracks), poss.interceptions(holders, tracks))
     dominance = space.match_dominance(space.voronoi_control(positions, tracks))

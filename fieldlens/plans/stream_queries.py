@@ -13,7 +13,7 @@ from fieldlens.plans.court_queries import holders, six
 from fieldlens.plans.cricket_queries import described
 from fieldlens.plans.delivery_queries import modes
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
-from fieldlens.scale import shared_dir
+from fieldlens.scale import durable, shared_dir
 from fieldlens.sources import sinks
 from fieldlens.streaming import streams as st
 
@@ -27,8 +27,10 @@ def folder(t: Tables) -> str:
 
 def feed(df: DataFrame, path: str, axis: str = "frame_idx", slices=SLICES, key: str = "video_id", **options) -> DataFrame:
     """Write the table in slices, as it would arrive, and open it as a stream."""
+    staged = f"{path}-staged"
+    df.write.mode("overwrite").parquet(staged)
     for low, high in zip(slices, slices[1:]):
-        part = df.filter(F.col(axis) >= low)
+        part = df.sparkSession.read.parquet(staged).filter(F.col(axis) >= low)
         part = part if high is None else part.filter(F.col(axis) < high)
         part.repartition(key).write.mode("append").parquet(path)
     return st.stream_tracks(df.sparkSession, path, df.schema, at=axis, **options)
@@ -84,7 +86,8 @@ def sightings(t: Tables) -> DataFrame:
     return spine.fillna(False, ["has_ball", "has_batsman"])
 
 
-query("delivery_sessions", lambda t: run(t, sightings(t), st.delivery_sessions).select("video_id", "start_frame", "last_ball_frame", "ball_frames"))
+query("delivery_sessions", lambda t: run(t, sightings(t), st.delivery_sessions).select("video_id", "start_frame", "last_ball_frame", "ball_frames"),
+      ("segments",), "SELECT video_id, start_frame, last_ball_frame, ball_frames FROM segments WHERE NOT forced")
 derive("ball_islands", ("ball", "roles"), """
 WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ball b
     LEFT JOIN (SELECT DISTINCT video_id, frame_idx FROM roles WHERE role = 'batsman') r USING (video_id, frame_idx)),
@@ -108,7 +111,7 @@ query("possession_stream", lambda t: run(t, candidate_frames(t), st.possession_s
 
 
 def score_events(t: Tables) -> DataFrame:
-    h = holders(t)
+    h = durable(holders(t))  # used three times
     team = F.when(F.col("holder_id") != -1, F.col("team")).otherwise(F.lit(-1)).alias("team")
     at = ["video_id", "frame_idx"]
     return poss.team_of_holder(h, t.tracks, 0).select(*at, team).join(poss.passes(h, t.tracks), at).join(poss.interceptions(h, t.tracks), at)
