@@ -10,13 +10,13 @@ until none differs, so the result is always that of the serial run.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
-from typing import Any
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldlens.scale import CHUNK, CORE, SPAN, div_floor, durable, with_halo
 
@@ -27,34 +27,49 @@ _EDGE = [
 ]
 
 
-def fold_frames(machine, rows: pd.DataFrame):
-    """Feed rows to ``machine.step`` in order and collect its outputs."""
-    out = []
-    names = list(rows.columns)
-    for values in zip(*(rows[n].tolist() for n in names)):
-        result = machine.step(dict(zip(names, values)))
-        if result is not None:
-            out.extend(result)
-    return out
-
-
-def _span_folder(make: Callable, keys: Sequence[str], order: Sequence[str], out_fields: list[str]):
-    columns = [*keys, CHUNK, *out_fields, "_kind", "_entry", "_exit"]
-
-    def fold(group: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").astype(object).where(lambda r: r.notna(), None)
-        machine = make()
-        forced = rows["_forced"].iloc[0]
-        if forced is not None:
-            machine.load(json.loads(forced))
-        work = rows.drop(columns=["_forced", CHUNK, CORE, *keys])
-        core = rows[CORE].astype(bool)
-        fold_frames(machine, work[~core])
-        entry = json.dumps(machine.state())
-        outputs = fold_frames(machine, work[core])
-        table = [(*group, *o, "row", None, None) for o in outputs]
-        table.append((*group, *([None] * len(out_fields)), "edge", entry, json.dumps(machine.state())))
-        return pd.DataFrame(table, columns=columns)
+def _span_folder(make: Callable, keys: Sequence[str], inputs: Sequence[str], schema: pa.Schema, rows_per_batch: int = 1 << 14):
+    """Fold the spans of one task.
+
+    Rows come sorted by span and order, in Arrow batches of any cut, so no span is ever held in memory.
+    """
+    n_keys, n_out = len(keys), len(schema) - len(keys) - 4
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[tuple] = []
+        span, machine, entry = None, None, None
+
+        def close():
+            edge = json.dumps(machine.state())
+            ready.append((*span, *[None] * n_out, "edge", edge if entry is None else entry, edge))
+
+        def emit():
+            columns = list(zip(*ready))
+            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema)]
+            ready.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        for batch in batches:
+            cells = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            spans = zip(*(cells[k] for k in keys), cells[CHUNK])
+            values = zip(*(cells[n] for n in inputs))
+            for at, core, forced, row in zip(spans, cells[CORE], cells["_forced"], values):
+                if at != span:
+                    if span is not None:
+                        close()
+                    span, machine, entry = at, make(), None
+                    if forced is not None:
+                        machine.load(json.loads(forced))
+                if core and entry is None:
+                    entry = json.dumps(machine.state())
+                outputs = machine.step(dict(zip(inputs, row)))
+                if core:
+                    ready.extend((*span, *o, "row", None, None) for o in outputs)
+            if len(ready) >= rows_per_batch:
+                yield emit()
+        if span is not None:
+            close()
+        if ready:
+            yield emit()
 
     return fold
 
@@ -78,11 +93,17 @@ def chunked_fold(
     order = [axis, *ties]
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), *out_schema.fields, *_EDGE])
-    folder = _span_folder(make, keys, order, out_schema.fieldNames())
-
     at = [*keys, CHUNK]
+    inputs = [c for c in df.columns if c not in keys]
+    folder = _span_folder(make, keys, inputs, to_arrow_schema(schema))
+
+    def folded(rows: DataFrame) -> DataFrame:
+        """Every span in one task, in order; a task holds many spans."""
+        placed = rows.repartition(*at).sortWithinPartitions(*at, *order)
+        return durable(placed.mapInArrow(folder, schema))
+
     first = with_halo(df, axis, before=warmup, span=span).withColumn("_forced", F.lit(None).cast("string"))
-    parts = [durable(first.groupBy(*at).applyInPandas(folder, schema))]
+    parts = [folded(first)]
     edges = _edges(parts[0], at, 0)
     per_key = Window.partitionBy(*keys).orderBy(CHUNK)
     while True:
@@ -95,7 +116,7 @@ def chunked_fold(
             break
         # only the wrong spans are folded again; the edges, one row per span, are replaced
         spans = df.withColumn(CHUNK, div_floor(F.col(axis), span)).withColumn(CORE, F.lit(True))
-        parts.append(durable(spans.join(wrong, at).groupBy(*at).applyInPandas(folder, schema)))
+        parts.append(folded(spans.join(wrong, at)))
         fresh = _edges(parts[-1], at, len(parts) - 1)
         edges = durable(edges.join(wrong.select(*at), at, "left_anti").select(*edges.columns).unionByName(fresh))
     rows = [p.filter("_kind = 'row'").withColumn("_round", F.lit(n)) for n, p in enumerate(parts)]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -335,30 +338,32 @@ def heatmap_grid(
 def heatmap_density(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 20, pct: float = 0.98) -> DataFrame:
     """Gaussian smoothing of the cell counts, scaled by a high percentile, with the overlay's opacity.
 
-    The Gaussian is separable: counts are spread along x, summed, then along y; each pass is one map-side
-    pre-aggregated group-by.
+    A layer has a fixed number of cells whatever the video's length, so each one is smoothed as a matrix; the
+    Gaussian is separable: one product per axis.
     """
+    columns, lines = 2800 // cell_px, 1500 // cell_px
     sigma = sigma_px / cell_px
     radius = math.ceil(4 * sigma)
-    raw = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-radius, radius + 1)]
-    total = sum(raw)
-    weights = F.array(*[F.struct(F.lit(d - radius).cast("bigint").alias("d"), F.lit(w / total).alias("w"))
-                        for d, w in enumerate(raw)])
-    limits = {"cell_x": 2800 // cell_px, "cell_y": 1500 // cell_px}
-
-    def spread(df: DataFrame, axis: str) -> DataFrame:
-        other = "cell_y" if axis == "cell_x" else "cell_x"
-        moved = df.select("video_id", "layer", other, axis, "v", F.explode(weights).alias("k"))
-        moved = moved.select("video_id", "layer", other, (F.col(axis) + F.col("k.d")).alias(axis),
-                             (F.col("v") * F.col("k.w")).alias("v"))
-        moved = moved.filter(F.col(axis).between(0, limits[axis] - 1))
-        return moved.groupBy("video_id", "layer", "cell_x", "cell_y").agg(F.sum("v").alias("v"))
-
-    smooth = spread(spread(grid.withColumn("v", F.col("n").cast("double")), "cell_x"), "cell_y").filter("v > 0")
-    top = smooth.groupBy("video_id", "layer").agg(F.percentile("v", pct).alias("_top"), F.max("v").alias("_max"))
-    scaled = smooth.join(top, ["video_id", "layer"]).withColumn(
-        "density",
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.col("_max")))),
-    )
-    alpha = F.when(F.col("density") >= 0.05, F.least(F.lit(0.70), 0.20 + 0.50 * ((F.col("density") - 0.05) / 0.95)))
-    return scaled.select("video_id", "layer", "cell_x", "cell_y", "density", alpha.alias("alpha")).fillna({"alpha": 0.0})
+
+    def kernel(n: int) -> np.ndarray:
+        d = np.arange(-radius, radius + 1)
+        weights = np.exp(-(d * d) / (2 * sigma * sigma))
+        weights /= weights.sum()
+        apart = np.arange(n)[:, None] - np.arange(n)[None, :]
+        return np.where(np.abs(apart) <= radius, weights[np.clip(apart, -radius, radius) + radius], 0.0)
+
+    along, down = kernel(columns), kernel(lines)
+
+    def smooth(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((lines, columns))
+        counts[cells["cell_y"], cells["cell_x"]] = cells["n"]
+        heat = down @ counts @ along
+        y, x = np.nonzero(heat > 0)
+        v = heat[y, x]
+        top = np.percentile(v, pct * 100)
+        density = np.clip(v / (top if top > 0 else v.max()), 0.0, 1.0)
+        alpha = np.where(density >= 0.05, np.minimum(0.70, 0.20 + 0.50 * ((density - 0.05) / 0.95)), 0.0)
+        return pd.DataFrame({"video_id": key[0], "layer": key[1], "cell_x": x, "cell_y": y, "density": density, "alpha": alpha})
+
+    schema = "video_id bigint, layer string, cell_x bigint, cell_y bigint, density double, alpha double"
+    return grid.groupBy("video_id", "layer").applyInPandas(smooth, schema)

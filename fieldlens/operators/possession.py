@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.scale import SPAN, core_only, div_floor, positions, pyround, running, span_window, with_halo
+from fieldlens.scale import SPAN, core_only, div_floor, durable, positions, pyround, running, span_window, with_halo
 
 FRAME = ["video_id", "frame_idx"]
 
@@ -86,7 +86,8 @@ def possession(
     mode = F.greatest(*[F.struct(votes(i).alias("n"), F.lit(i).alias("age"), buffer[i].alias("who")) for i in range(window)])
     full = F.col("_pos") >= window - 1
     sure = full & (mode["who"] != -1) & (mode["n"] >= window // 2)
-    decided = buffered.select(*at, full.alias("_full"), F.when(sure, mode["who"]).alias("_sure"))
+    # narrow, and read four times below: written once rather than joined and voted again each time
+    decided = durable(buffered.select(*at, full.alias("_full"), F.when(sure, mode["who"]).alias("_sure")))
 
     spine = frames.select(*at).join(decided, at, "left")
     miss = (F.col("_full").isNull() | (F.col("_full") & F.col("_sure").isNull())).cast("bigint")

@@ -33,18 +33,19 @@ def valid_players(positions: DataFrame, tracks: DataFrame, span: int = SPAN) ->
 
 def _nearest_counts(step: int):
     """Cells of the court grid nearest to team 1, per frame; the first listed player wins a tie."""
-    gx, gy = np.meshgrid(np.arange(0, COURT_W, step), np.arange(0, COURT_H, step))
-    cells = np.column_stack([gx.ravel(), gy.ravel()]).astype(np.float64)
+    gx, gy = np.arange(0, COURT_W, step, dtype=np.float64), np.arange(0, COURT_H, step, dtype=np.float64)
 
     @F.pandas_udf(T.LongType())
     def team1_cells(xs: pd.Series, ys: pd.Series, teams: pd.Series) -> pd.Series:
         counts = []
         for x, y, team in zip(xs, ys, teams):
-            d2 = (cells[:, :1] - np.asarray(x)) ** 2 + (cells[:, 1:] - np.asarray(y)) ** 2
-            counts.append(int((np.asarray(team)[d2.argmin(axis=1)] == 1).sum()))
+            # squared distances split by axis: players x rows x columns
+            dx2, dy2 = (gx - np.asarray(x)[:, None]) ** 2, (gy - np.asarray(y)[:, None]) ** 2
+            nearest = (dx2[:, None, :] + dy2[:, :, None]).argmin(axis=0)
+            counts.append(int((np.asarray(team)[nearest] == 1).sum()))
         return pd.Series(counts, dtype="int64")
 
-    return team1_cells, len(cells)
+    return team1_cells, gx.size * gy.size
 
 
 def voronoi_control(positions: DataFrame, tracks: DataFrame, step: int = 2, span: int = SPAN) -> DataFrame:
@@ -53,7 +54,9 @@ def voronoi_control(positions: DataFrame, tracks: DataFrame, step: int = 2, span
     The players of a frame travel as one array; the grid is never joined, so no player-cell rows exist.
     """
     team1_cells, n_cells = _nearest_counts(step)
-    spots = valid_players(positions, tracks, span).groupBy(*FRAME).agg(
+    # a fixed number of partitions: the work per row is large, so few bytes must not mean few tasks
+    tasks = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots = valid_players(positions, tracks, span).repartition(tasks, *FRAME).groupBy(*FRAME).agg(
         F.array_sort(F.collect_list(F.struct("player_id", "x", "y", "team"))).alias("p")
     )
     frames = positions.select(*FRAME).distinct().join(spots, FRAME, "left")

@@ -9,6 +9,7 @@ from fieldlens.operators import cricket as ck, deliveries as dv, highlights as h
 from fieldlens.plans.court_queries import calibrations, six
 from fieldlens.plans.cricket_queries import D, lbw_sql
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
+from fieldlens.scale import pyround
 from fieldlens.sources import catalog
 
 PTS = "PARTITION BY video_id, delivery_key ORDER BY frame_idx"
@@ -17,8 +18,42 @@ PTS = "PARTITION BY video_id, delivery_key ORDER BY frame_idx"
 query("ball_candidate_filter", lambda t: dv.ball_candidate_filter(t.detections), ("detections",), f"""
 SELECT * FROM detections WHERE cls = 'ball' AND x2-x1 BETWEEN 3 AND 75 AND y2-y1 BETWEEN 3 AND 75 AND (conf >= {D(0.2)}
   OR (conf >= {D(0.14)} AND ((x2-x1)/greatest(y2-y1, {D(1e-4)}) > {D(1.3)} OR (x2-x1)/greatest(y2-y1, {D(1e-4)}) < {D(0.77)})))""")
-query("ball_gate", lambda t: dv.ball_gate(t.detections))
-query("kalman_ball", lambda t: six(dv.kalman_ball(t.ball, t.frames), "conf"))
+# the serial rules as recursions over the frames of a video
+derive("gated", ("detections",), f"""
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k FROM (
+    SELECT video_id, frame_idx, coalesce(list({{'d': det_id, 'cx': (x1+x2)/2, 'cy': (y1+y2)/2, 'conf': conf}} ORDER BY conf DESC, det_id) FILTER (
+      x2-x1 BETWEEN 3 AND 75 AND y2-y1 BETWEEN 3 AND 75 AND (conf >= {D(0.2)} OR (conf >= {D(0.14)} AND ((x2-x1)/greatest(y2-y1, {D(1e-4)}) > {D(1.3)}
+        OR (x2-x1)/greatest(y2-y1, {D(1e-4)}) < {D(0.77)})))), []) AS boxes FROM detections WHERE cls = 'ball' GROUP BY ALL) g),
+  walk AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_idx, CAST(NULL AS DOUBLE) AS ax, CAST(NULL AS DOUBLE) AS ay, 0 AS misses,
+      CAST(NULL AS STRUCT(d BIGINT, cx DOUBLE, cy DOUBLE, conf DOUBLE)) AS pick FROM (SELECT DISTINCT video_id FROM s) v
+    UNION ALL SELECT video_id, k, frame_idx, CASE WHEN p IS NOT NULL THEN p.cx WHEN misses + 1 >= 5 THEN NULL ELSE ax END, CASE WHEN p IS NOT NULL THEN p.cy WHEN misses + 1 >= 5 THEN NULL ELSE ay END,
+      CASE WHEN p IS NOT NULL THEN 0 ELSE misses + 1 END, p FROM (
+      SELECT s.video_id, s.k, s.frame_idx, w.ax, w.ay, w.misses, list_filter(s.boxes, lambda b: w.ax IS NULL OR sqrt((b.cx-w.ax)*(b.cx-w.ax)+(b.cy-w.ay)*(b.cy-w.ay)) <= 220)[1] AS p
+      FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) n)
+SELECT video_id, frame_idx, pick.d AS det_id, CAST(trunc(pick.cx) AS BIGINT) AS cx, CAST(trunc(pick.cy) AS BIGINT) AS cy, pick.conf AS conf FROM walk WHERE pick IS NOT NULL""")
+query("ball_gate", lambda t: dv.ball_gate(t.detections), ("gated",), "SELECT * FROM gated")
+_STEP = f"(1/{D(30)})"
+derive("tracked", ("ball", "frames"), f"""
+WITH RECURSIVE s AS (SELECT f.video_id, f.frame_idx, b.cx, b.cy, b.conf, b.x1, b.y1, b.x2, b.y2, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS k
+    FROM frames f LEFT JOIN ball b ON b.video_id = f.video_id AND b.frame_idx = f.frame_idx),
+  walk AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, {D(0)} AS vx, {D(0)} AS vy, {D(0)} AS a, {D(0)} AS b, {D(0)} AS c, 0 AS missed, 'none' AS mode
+      FROM (SELECT DISTINCT video_id FROM s) v
+    UNION ALL SELECT video_id, k,
+      CASE m WHEN 'predict' THEN px + vx*{_STEP} WHEN 'start' THEN cx WHEN 'update' THEN px + a/(a+3)*(cx-px) ELSE px END,
+      CASE m WHEN 'predict' THEN py + vy*{_STEP} WHEN 'start' THEN cy WHEN 'update' THEN py + a/(a+3)*(cy-py) ELSE py END,
+      CASE m WHEN 'update' THEN vx + b/(a+3)*(cx-px) ELSE vx END, CASE m WHEN 'update' THEN vy + b/(a+3)*(cy-py) ELSE vy END,
+      CASE m WHEN 'predict' THEN a + 2*{_STEP}*b + {_STEP}*{_STEP}*c + 5 WHEN 'start' THEN 10 WHEN 'update' THEN (1-a/(a+3))*a ELSE a END,
+      CASE m WHEN 'predict' THEN b + {_STEP}*c WHEN 'start' THEN 0 WHEN 'update' THEN (1-a/(a+3))*b ELSE b END,
+      CASE m WHEN 'predict' THEN c + 50 WHEN 'start' THEN 10 WHEN 'update' THEN c - b/(a+3)*b ELSE c END,
+      CASE m WHEN 'predict' THEN missed + 1 WHEN 'none' THEN missed ELSE 0 END, m FROM (
+      SELECT w.* EXCLUDE (k, mode), s.k, s.cx, s.cy, CASE WHEN s.cx IS NULL THEN CASE WHEN w.px IS NULL OR w.missed >= 10 THEN 'none' ELSE 'predict' END
+        WHEN w.px IS NULL THEN 'start' WHEN sqrt((s.cx-trunc(w.px))*(s.cx-trunc(w.px))+(s.cy-trunc(w.py))*(s.cy-trunc(w.py))) > 150 AND w.missed < 2 THEN 'predict' ELSE 'update' END AS m
+      FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) n)
+SELECT video_id, frame_idx, CAST(lx AS BIGINT) AS cx, CAST(ly AS BIGINT) AS cy, CASE WHEN mode <> 'predict' THEN conf WHEN x1 IS NOT NULL THEN {D(0.5)} ELSE {R('greatest(CAST(0.2 AS DOUBLE), CAST(0.8 AS DOUBLE) - missed*CAST(0.1 AS DOUBLE))', 6)} END AS conf,
+  mode = 'predict' AS interpolated, CASE WHEN mode <> 'predict' THEN x1 ELSE lx - coalesce((x2-x1)/2, 10) END AS x1, CASE WHEN mode <> 'predict' THEN y1 ELSE ly - coalesce((y2-y1)/2, 10) END AS y1,
+  CASE WHEN mode <> 'predict' THEN x2 ELSE lx + coalesce((x2-x1)/2, 10) END AS x2, CASE WHEN mode <> 'predict' THEN y2 ELSE ly + coalesce((y2-y1)/2, 10) END AS y2
+FROM (SELECT s.*, w.mode, w.missed, trunc(w.px) AS lx, trunc(w.py) AS ly FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k WHERE w.mode <> 'none') o""")
+query("kalman_ball", lambda t: six(dv.kalman_ball(t.ball, t.frames), "conf"), ("tracked",), "SELECT * FROM tracked")
 
 
 def segments(t: Tables):
@@ -351,7 +386,31 @@ SELECT video_id, frame_idx, n AS points, {R('a', 5)} AS a, {R('r2', 5)} AS r2, a
 query("shot_arcs", lambda t: six(shots.shot_arcs(t.ball), "a", "r2", "apex_frame", digits=5), ("parab",), f"""
 SELECT video_id, frame_idx, n AS points, {R('a', 5)} AS a, {R('r2', 5)} AS r2, true AS is_arc, {R('f0 - b/(2*a)', 5)} AS apex_frame, f0 - b/(2*a) < frame_idx AS is_falling
 FROM parab WHERE a > {D(0.1)} AND r2 > {D(0.8)}""")
-query("shot_state", lambda t: shots.shot_state(t.ball, t.frames))
+def _psum(expr):
+    return f"list_sum(list_transform(pts, lambda p: {expr}))"
+
+
+derive("shot_walk", ("ball", "frames"), f"""
+WITH RECURSIVE s AS (SELECT f.video_id, f.frame_idx, (b.x1+b.x2)/2 AS cx, (b.y1+b.y2)/2 AS cy, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS k
+    FROM frames f LEFT JOIN ball b ON b.video_id = f.video_id AND b.frame_idx = f.frame_idx),
+  walk AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_idx, CAST([] AS STRUCT(f BIGINT, x DOUBLE, y DOUBLE)[]) AS pts, false AS active, CAST(NULL AS VARCHAR) AS result, {D(0)} AS conf, CAST(NULL AS VARCHAR) AS shot
+      FROM (SELECT DISTINCT video_id FROM s) v
+    UNION ALL SELECT video_id, k, frame_idx, CASE WHEN ended THEN [] ELSE pts END, CASE WHEN ended THEN false ELSE active OR arc END,
+      CASE WHEN ended THEN NULL WHEN c = 1 THEN 'MAKE' WHEN c = 0.5 THEN 'MISS' ELSE result END, CAST(c AS DOUBLE), CASE WHEN ended THEN result END FROM (
+      SELECT *, NOT arc AND active AND len(pts) > 15 AS ended, CASE WHEN NOT arc THEN 0 WHEN NOT falling THEN 0.6
+          WHEN y BETWEEN 158 AND 345 AND (x BETWEEN 25 AND 204 OR x BETWEEN 1075 AND 1254) THEN 1 WHEN y > 345 THEN 0.5 ELSE 0.6 END AS c FROM (
+        SELECT *, coalesce(len(pts) > 15 AND a > {D(0.1)} AND sst > 0 AND 1 - ssr/sst > {D(0.8)}, false) AS arc, -b/(2*a) < pts[-1].f - pts[1].f AS falling, pts[-1].x AS x, pts[-1].y AS y FROM (
+          SELECT *, {_psum('(p.y-ym)*(p.y-ym)')} AS sst, {_psum('(p.y-(a*(p.f-f0)*(p.f-f0)+b*(p.f-f0)+c0))*(p.y-(a*(p.f-f0)*(p.f-f0)+b*(p.f-f0)+c0))')} AS ssr FROM (
+            SELECT *, (y2*(s2*n-s1*s1) - s3*(y1*n-s1*y0) + s2*(y1*s1-s2*y0))/det AS a, (s4*(y1*n-s1*y0) - y2*(s3*n-s1*s2) + s2*(s3*y0-y1*s2))/det AS b,
+              (s4*(s2*y0-y1*s1) - s3*(s3*y0-y1*s2) + y2*(s3*s1-s2*s2))/det AS c0, y0/n AS ym FROM (
+              SELECT *, s4*(s2*n-s1*s1) - s3*(s3*n-s1*s2) + s2*(s3*s1-s2*s2) AS det FROM (
+                SELECT *, len(pts) AS n, {_psum(D('p.f-f0'))} AS s1, {_psum(D('(p.f-f0)*(p.f-f0)'))} AS s2, {_psum(D('(p.f-f0)*(p.f-f0)*(p.f-f0)'))} AS s3,
+                  {_psum(D('(p.f-f0)*(p.f-f0)*(p.f-f0)*(p.f-f0)'))} AS s4, {_psum('p.y')} AS y0, {_psum('(p.f-f0)*p.y')} AS y1, {_psum('(p.f-f0)*(p.f-f0)*p.y')} AS y2 FROM (
+                  SELECT *, pts[1].f AS f0 FROM (
+                    SELECT w.video_id, s.k, s.frame_idx, w.active, w.result, CASE WHEN s.cx IS NULL THEN w.pts ELSE list_append(w.pts, {{'f': s.frame_idx, 'x': s.cx, 'y': s.cy}})[-45:] END AS pts
+                    FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) q1) q2) q3) q4) q5) q6) q7) q8)
+SELECT video_id, frame_idx, conf, shot FROM walk WHERE k > 0""")
+query("shot_state", lambda t: shots.shot_state(t.ball, t.frames), ("shot_walk",), "SELECT * FROM shot_walk")
 query("shot_frames", lambda t: shots.shot_frames(t.confidences), ("confidences",), "SELECT video_id, count(*) FILTER (conf >= 0.5) AS shot_events FROM confidences GROUP BY video_id")
 
 # ---- registration
@@ -368,7 +427,19 @@ SELECT video_id, frame_idx, kp_idx, coalesce(sx, fx, 0) AS x, coalesce(sy, fy, 0
   FROM (SELECT s.video_id, s.frame_idx, s.kp_idx, k.x, k.y, k.conf FROM (SELECT video_id, frame_idx, unnest(range(18)) AS kp_idx FROM frames) s
     LEFT JOIN keypoint_obs k ON k.video_id = s.video_id AND k.frame_idx = s.frame_idx AND k.kp_idx = s.kp_idx) j
   WINDOW w AS (PARTITION BY video_id, kp_idx ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) c""")
-query("keypoint_ratio_validation", lambda t: rg.keypoint_ratio_validation(t.keypoint_obs, rg.court_reference_table(t.spark)))
+derive("rejected", ("keypoint_obs", "court_ref"), f"""
+WITH RECURSIVE g AS (SELECT video_id, frame_idx, list({{'k': kp_idx, 'x': x, 'y': y, 'rx': ref_x, 'ry': ref_y}} ORDER BY kp_idx) AS p FROM keypoint_obs JOIN court_ref USING (kp_idx)
+    WHERE x > 0 AND y > 0 GROUP BY ALL HAVING count(*) >= 3),
+  walk AS (SELECT video_id, frame_idx, p, 0 AS i, CAST([] AS BIGINT[]) AS bad FROM g
+    UNION ALL SELECT video_id, frame_idx, p, i + 1, CASE WHEN b IS NOT NULL AND tij > 0 AND tik > 0 AND (dik = 0 OR abs((dij/dik - tij/tik)/(tij/tik)) > {D(0.8)}) THEN list_append(bad, me.k) ELSE bad END FROM (
+      SELECT *, sqrt((me.x-a.x)*(me.x-a.x)+(me.y-a.y)*(me.y-a.y)) AS dij, sqrt((me.x-b.x)*(me.x-b.x)+(me.y-b.y)*(me.y-b.y)) AS dik,
+        sqrt((me.rx-a.rx)*(me.rx-a.rx)+(me.ry-a.ry)*(me.ry-a.ry)) AS tij, sqrt((me.rx-b.rx)*(me.rx-b.rx)+(me.ry-b.ry)*(me.ry-b.ry)) AS tik FROM (
+        SELECT *, p[i+1] AS me, others[1] AS a, others[2] AS b FROM (
+          SELECT *, list_filter(p, lambda q: q.k <> p[i+1].k AND NOT list_contains(bad, q.k)) AS others FROM walk WHERE i < len(p)) o) n) d)
+SELECT video_id, frame_idx, bad FROM walk WHERE i = len(p)""")
+query("keypoint_ratio_validation", lambda t: rg.keypoint_ratio_validation(t.keypoint_obs, rg.court_reference_table(t.spark)), ("rejected", "keypoint_obs"), """
+SELECT video_id, frame_idx, kp_idx, CASE WHEN rejected THEN 0 ELSE x END AS x, CASE WHEN rejected THEN 0 ELSE y END AS y, rejected FROM (
+  SELECT k.*, coalesce(list_contains(bad, kp_idx), false) AS rejected FROM keypoint_obs k LEFT JOIN rejected r USING (video_id, frame_idx)) j""")
 derive("kps", ("keypoint_obs",), "SELECT * FROM keypoint_obs WHERE x > 0 AND y > 0 AND kp_idx < 18")
 derive("quality", ("kps", "calibration_cols", "court_ref"), """
 SELECT video_id, frame_idx, count(*) AS points, avg(sqrt((px-ref_x)*(px-ref_x)+(py-ref_y)*(py-ref_y))) AS mean_error, min(det) < 0 AS is_flipped FROM (
@@ -423,8 +494,24 @@ def frame_calibrations(t: Tables):
     return homography_lookup(keyed, calibrations(t)).select("video_id", "frame_idx", "h")
 
 
-query("cascade_homography", lambda t: rg.cascade_homography(frame_calibrations(t), camera_motion(t), t.frames, budget=8).withColumn(
-    "h", F.transform("h", lambda v: F.round(v, 6))))
+_H = [f"h{i}" for i in range(9)]
+# motion matrices here are (1, m1, m2; m3, 1, m5; 0, 0, 1); their inverse in closed form
+_M = {"m1": f"(frame_idx%7)/{D(1000)}", "m2": f"frame_idx%3 - {D(1)}", "m3": f"-(frame_idx%5)/{D(1000)}", "m5": f"frame_idx%4 - {D(2)}"}
+_INV = ["1/det", "-m1/det", "(m1*m5-m2)/det", "-m3/det", "1/det", "(m2*m3-m5)/det", D(0), D(0), D(1)]
+_MOVED = [" + ".join(f"h{3 * (i // 3) + k}*({_INV[3 * k + i % 3]})" for k in range(3)) for i in range(9)]
+derive("cascade", ("frames", "calibration_cols"), f"""
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k, 1 - m1*m3 AS det FROM (
+    SELECT f.video_id, f.frame_idx, (f.frame_idx + f.video_id)%5 <> 0 AS moving, {', '.join(f'{v} AS {c}' for c, v in _M.items())}, {', '.join(f'c.{h} AS d{h}' for h in _H)} FROM frames f
+    LEFT JOIN calibration_cols c ON c.video_id = f.video_id AND f.frame_idx BETWEEN frame_from AND frame_to AND f.frame_idx%20 < 8 AND f.frame_idx >= 3) a),
+  walk AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_idx, 'lost' AS mode, 0 AS age, {', '.join(f'CAST(NULL AS DOUBLE) AS {h}' for h in _H)} FROM (SELECT DISTINCT video_id FROM s) v
+    UNION ALL SELECT video_id, k, frame_idx, mode, CASE mode WHEN 'direct' THEN 0 WHEN 'lost' THEN age ELSE age + 1 END,
+      {', '.join(f"CASE WHEN mode = 'direct' AND p8 IS NOT NULL THEN ({D(0.85)}*d{h} + (1-{D(0.85)})*p{i}/p8)/({D(0.85)}*dh8 + (1-{D(0.85)})*p8/p8) WHEN mode = 'direct' THEN d{h} WHEN mode = 'cmc' THEN p{i}/p8 ELSE {h} END" for i, h in enumerate(_H))}
+    FROM (SELECT *, CASE WHEN dh0 IS NOT NULL THEN 'direct' WHEN h0 IS NOT NULL AND age < 8 THEN CASE WHEN p8 IS NOT NULL THEN 'cmc' ELSE 'static' END ELSE 'lost' END AS mode FROM (
+      SELECT s.*, w.age, {', '.join(f'w.{h}' for h in _H)}, {', '.join(f'CASE WHEN s.moving THEN {e} END AS p{i}' for i, e in enumerate(_MOVED))} FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) n) m)
+SELECT * FROM walk WHERE k > 0""")
+query("cascade_homography", lambda t: rg.cascade_homography(frame_calibrations(t), camera_motion(t), t.frames, budget=8).select(
+    "video_id", "frame_idx", "mode", *[pyround(F.col("h")[i], 6).alias(h) for i, h in enumerate(_H)]), ("cascade",), f"""
+SELECT video_id, frame_idx, mode, {', '.join(f"CASE WHEN mode <> 'lost' THEN {R(h, 6)} END AS {h}" for h in _H)} FROM cascade""")
 
 # ---- routing, catalogue, run logs
 query("sample_frames", lambda t: six(rt.sample_frames(t.videos), "time_s"), ("videos",), f"""

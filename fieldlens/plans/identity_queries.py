@@ -185,4 +185,14 @@ SELECT *, CAST(CASE WHEN team1_pct > team2_pct THEN 1 WHEN team2_pct > team1_pct
 query("match_dominance", lambda t: space.match_dominance(space.voronoi_control(t.positions, t.tracks)), ("control",), f"""
 SELECT video_id, coalesce({R('avg(team1_pct) FILTER (sampled)', 1)}, 50) AS team1_avg_dominance_pct,
   coalesce({R('avg(team2_pct) FILTER (sampled)', 1)}, 50) AS team2_avg_dominance_pct FROM control GROUP BY video_id""")
-query("hull_area", lambda t: space.hull_area(t.positions, t.tracks))
+# an edge of the hull has every other point on its left, or on it
+derive("hull_edges", ("spots",), """
+SELECT video_id, frame_idx, team, sum(px*qy - py*qx) AS twice FROM (
+  SELECT p.video_id, p.frame_idx, p.team, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM pts p
+  JOIN pts q ON p.video_id = q.video_id AND p.frame_idx = q.frame_idx AND p.team = q.team AND (p.x <> q.x OR p.y <> q.y)
+  JOIN pts r ON p.video_id = r.video_id AND p.frame_idx = r.frame_idx AND p.team = r.team
+  GROUP BY ALL HAVING bool_and((q.x-p.x)*(r.y-p.y) - (q.y-p.y)*(r.x-p.x) > 0 OR ((q.x-p.x)*(r.y-p.y) - (q.y-p.y)*(r.x-p.x) = 0
+    AND (r.x-p.x)*(r.x-q.x) + (r.y-p.y)*(r.y-q.y) <= 0))) e GROUP BY ALL""".replace("pts", "(SELECT DISTINCT video_id, frame_idx, team, x, y FROM spots)"))
+query("hull_area", lambda t: space.hull_area(t.positions, t.tracks), ("hull_edges",), f"""
+SELECT video_id, frame_idx, team, {R('coalesce(twice, 0)/2*(CAST(28 AS DOUBLE)/200)*(CAST(15 AS DOUBLE)/107)', 1)} AS hull_area_m2
+FROM (SELECT DISTINCT video_id, frame_idx, team FROM spots) g LEFT JOIN hull_edges e USING (video_id, frame_idx, team)""")

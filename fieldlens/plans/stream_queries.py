@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldlens.operators import cricket as ck, highlights as hl, possession as poss
 from fieldlens.plans import reports
 from fieldlens.plans.court_queries import holders, six
-from fieldlens.plans.cricket_queries import described
+from fieldlens.plans.cricket_queries import D, described
 from fieldlens.plans.delivery_queries import modes
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
 from fieldlens.scale import durable, shared_dir
@@ -99,7 +99,8 @@ query("ball_sessions", lambda t: run(t, sightings(t).filter("has_ball").unionByN
     sightings(t).filter("has_ball").limit(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("frame_idx"),
                                                     F.lit(True).alias("has_ball"), F.lit(False).alias("has_batsman"))),
     lambda s: st.ball_sessions(s)), ("ball_islands",), "SELECT * FROM ball_islands")
-query("stateful_tracking", lambda t: six(run(t, with_ball(t).drop("width", "height"), st.kalman_stream), "conf"))
+query("stateful_tracking", lambda t: six(run(t, with_ball(t).drop("width", "height"), st.kalman_stream), "conf"),
+      ("tracked",), "SELECT * FROM tracked")
 
 
 def candidate_frames(t: Tables) -> DataFrame:
@@ -155,26 +156,76 @@ def late_split(t: Tables) -> DataFrame:
 query("late_data", late_split, ("tracks",), """
 SELECT video_id, frame_idx, player_id, coalesce(frame_idx < max(frame_idx) OVER (PARTITION BY video_id ORDER BY arrival, frame_idx, player_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 30, false) AS is_late
 FROM (SELECT *, frame_idx + CASE WHEN (frame_idx + player_id) % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM tracks) a""")
+
+
+def _Z(i: str) -> str:
+    """Height of point ``i`` of ``n``: ballistic before the bounce ``b`` and after it."""
+    t, tp, tb = f"({i}/{D(30)})", f"(({i}-b)/{D(30)})", f"(b/{D(30)})"
+    vz = f"((({D(0.036)}-{D(2.15)}) + 0.5*{D(9.81)}*{tb}*{tb})/greatest({tb}, {D(1e-4)}))"
+    up = f"{D(2.15)} + {vz}*{t} - 0.5*{D(9.81)}*{t}*{t}"
+    down = f"{D(0.036)} + (-({vz} - {D(9.81)}*{tb})*{D(0.62)})*{tp} - 0.5*{D(9.81)}*{tp}*{tp}"
+    return f"greatest({D(0.036)}, CASE WHEN {i} <= b THEN {up} ELSE {down} END)"
+
+
+# pairs (i, j) of points of the open flight at every fourth frame: its first points three apart, or its ends if it has only three
+derive("live", ("frames", "flight"), f"""
+WITH s AS (SELECT f.video_id, f.frame_idx, mx, my, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS k FROM frames f LEFT JOIN flight p ON p.video_id = f.video_id AND p.frame_idx = f.frame_idx),
+  g AS (SELECT *, sum(CASE WHEN k - prev <= 16 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY k) AS isl FROM (
+    SELECT *, lag(k) OVER (PARTITION BY video_id ORDER BY k) AS prev FROM s WHERE mx IS NOT NULL) a),
+  p AS (SELECT *, row_number() OVER (PARTITION BY video_id, isl ORDER BY k) - 1 AS i FROM g),
+  e AS (SELECT s.video_id, s.frame_idx, s.k, max(p.k) AS lk FROM s JOIN p ON p.video_id = s.video_id AND p.k <= s.k WHERE s.frame_idx%4 = 0 GROUP BY ALL HAVING s.k - max(p.k) < 16),
+  n AS (SELECT e.*, p.isl, p.i + 1 AS n, greatest(1, least(greatest(1, CAST(floor((p.i+1)*{D(0.65)}) AS BIGINT)), p.i)) AS b FROM e JOIN p ON p.video_id = e.video_id AND p.k = e.lk WHERE p.i >= 2)
+SELECT n.video_id, n.frame_idx, n.n, n.b, a.i, c.i AS j, a.mx AS x0, a.my AS y0, a.frame_idx AS f0, c.mx AS x1, c.my AS y1, c.frame_idx AS f1
+FROM n JOIN p a ON a.video_id = n.video_id AND a.isl = n.isl JOIN p c ON c.video_id = n.video_id AND c.isl = n.isl
+WHERE c.i < n.n AND ((n.n > 3 AND c.i = a.i + 3 AND a.i < 5) OR (n.n = 3 AND a.i = 0 AND c.i = 2))""")
 query("live_speed", lambda t: run(t, t.frames.select("video_id", "frame_idx").join(
-    t.flight.select("video_id", "frame_idx", "mx", "my"), ["video_id", "frame_idx"], "left"), st.live_speed))
+    t.flight.select("video_id", "frame_idx", "mx", "my"), ["video_id", "frame_idx"], "left"), st.live_speed), ("live",), f"""
+SELECT video_id, frame_idx, n AS points, {R('greatest(40, least(160, quantile_cont(v, 0.75)))', 1)} AS speed_kmh FROM (
+  SELECT *, greatest(30, least(175, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)+(z1-z0)*(z1-z0))/(greatest(1, f1-f0)/{D(30)})*{D(3.6)})) AS v FROM (
+    SELECT *, {_Z('i')} AS z0, {_Z('j')} AS z1 FROM live) a) b GROUP BY video_id, frame_idx, n""")
 
 
 # ---- reports
 
 def basketball_files(t: Tables) -> DataFrame:
+    """Write the report and read its team, dominance and continuity blocks back."""
     root = folder(t)
     report = reports.basketball_report(t.tracks, t.ball, t.positions, t.frames, modes(t))
     sinks.write_basketball_report(report, reports.report_players(t.tracks, t.positions), root)
-    return t.spark.read.json(f"{root}/summary")
+    teams = [F.col(f"team_stats.team_{k}.{c}").alias(f"team{k}_{c}") for k in (1, 2) for c in ("possession_pct", "total_passes", "total_interceptions")]
+    return t.spark.read.json(f"{root}/summary").select(
+        F.col("video_id").cast("bigint").alias("video_id"), "total_frames", "duration_seconds", *teams, "spatial_dominance_stats.*",
+        "shot_events_detected", "tracking_continuity_stats.*")
 
 
 def cricket_files(t: Tables) -> DataFrame:
+    """Write the report and read its summary back."""
     root = folder(t)
     rows = ck.commentary_line(described(t))
     report = reports.cricket_report(rows, hl.fuse_highlights(t.moments, t.roars), t.videos.select("video_id", "fps", "total_frames"))
     sinks.write_cricket_report(report, rows.drop("event_runs"), root)
-    return t.spark.read.json(f"{root}/summary")
-
-
-query("write_basketball_report", basketball_files)
-query("write_cricket_report", cricket_files)
+    return t.spark.read.json(f"{root}/summary").select(F.col("video_id").cast("bigint").alias("video_id"), "summary.*").select("*", "speed_analysis_kmh.*").drop("speed_analysis_kmh")
+
+
+derive("dominance", ("control",), f"""
+SELECT video_id, coalesce({R('avg(team1_pct) FILTER (sampled)', 1)}, 50) AS team1_avg_dominance_pct, coalesce({R('avg(team2_pct) FILTER (sampled)', 1)}, 50) AS team2_avg_dominance_pct FROM control GROUP BY video_id""")
+query("write_basketball_report", basketball_files, ("frames", "poss_team0", "pass_events", "steal_events", "dominance", "shot_walk", "modes"), f"""
+SELECT f.video_id, n AS total_frames, {R('n/CAST(30 AS DOUBLE)', 1)} AS duration_seconds,
+  CASE WHEN p1+p2 > 0 THEN {R('p1/(p1+p2)*100', 1)} ELSE CAST(0 AS DOUBLE) END AS team1_possession_pct, team1_total_passes, team1_total_interceptions,
+  CASE WHEN p1+p2 > 0 THEN {R('p2/(p1+p2)*100', 1)} ELSE CAST(0 AS DOUBLE) END AS team2_possession_pct, team2_total_passes, team2_total_interceptions,
+  team1_avg_dominance_pct, team2_avg_dominance_pct, shot_events_detected, {R('d/n*100', 2)} AS direct_keypoint_pct, {R('fb/n*100', 2)} AS optical_flow_cmc_pct,
+  {R('(d+fb)/n*100', 2)} AS overall_continuity_pct, {R('l/n*100', 2)} AS lost_frames_pct
+FROM (SELECT video_id, count(*) AS n FROM frames GROUP BY video_id) f
+LEFT JOIN (SELECT video_id, count(*) FILTER (holder_id <> -1 AND team = 1) AS p1, count(*) FILTER (holder_id <> -1 AND team = 2) AS p2 FROM poss_team0 GROUP BY video_id) p USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) FILTER (pass_team = 1) AS team1_total_passes, count(*) FILTER (pass_team = 2) AS team2_total_passes FROM pass_events GROUP BY video_id) a USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) FILTER (interception_team = 1) AS team1_total_interceptions, count(*) FILTER (interception_team = 2) AS team2_total_interceptions FROM steal_events GROUP BY video_id) s USING (video_id)
+LEFT JOIN dominance USING (video_id) LEFT JOIN (SELECT video_id, count(*) FILTER (conf >= 0.5) AS shot_events_detected FROM shot_walk GROUP BY video_id) w USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) FILTER (mode = 'direct') AS d, count(*) FILTER (mode IN ('cmc', 'static')) AS fb, count(*) FILTER (mode = 'lost') AS l FROM modes GROUP BY video_id) m USING (video_id)""")
+query("write_cricket_report", cricket_files, ("deliveries", "moments", "standalone"), f"""
+SELECT video_id, total_deliveries, CAST((total_deliveries - total_deliveries%6)//6 AS STRING) || '.' || CAST(total_deliveries%6 AS STRING) AS overs,
+  CAST(greatest(runs, 4*fours + 6*sixes) AS BIGINT) AS estimated_runs, wickets, fours, sixes, dot_balls, {R('dot_balls/total_deliveries*CAST(100 AS DOUBLE)', 1)} AS dot_ball_pct,
+  coalesce(n, 0) AS audio_visual_highlights_count, coalesce({R('fast', 1)}, 0) AS fastest_delivery, coalesce({R('slow', 1)}, 0) AS slowest_delivery, coalesce({R('mean', 1)}, 0) AS average_delivery
+FROM (SELECT video_id, count(*) AS total_deliveries, sum(runs) AS runs, count(*) FILTER (is_wicket) AS wickets, count(*) FILTER (NOT is_wicket AND outcome = 'four') AS fours,
+    count(*) FILTER (NOT is_wicket AND outcome = 'six') AS sixes, count(*) FILTER (NOT is_wicket AND outcome IN ('dot_ball', 'lbw_not_out')) AS dot_balls,
+    max(sp) AS fast, min(sp) AS slow, avg(sp) AS mean FROM (SELECT *, CASE WHEN release_speed_kmh > 0 THEN release_speed_kmh END AS sp FROM deliveries) d GROUP BY video_id) s
+LEFT JOIN (SELECT video_id, count(*) AS n FROM (SELECT video_id, frame_idx FROM moments UNION SELECT video_id, frame_idx FROM standalone) h GROUP BY video_id) h USING (video_id)""")

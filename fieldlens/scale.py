@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPAN = 1 << 16
 CHUNK = "_chunk"
@@ -97,8 +98,18 @@ def running(
         if kind == "last":
             local_cols[here] = F.last(source, ignorenulls=True).over(frame)
             pick = F.min_by if reverse else F.max_by
-            totals.append(pick(source, F.when(source.isNotNull(), F.struct(*order_names))).alias(carry))
-            carries[carry] = F.last(carry, ignorenulls=True).over(across)
+            # without ties and field by field the buffers are plain numbers, so the summary hashes instead of sorting
+            place = F.when(source.isNotNull(), F.struct(*order_names) if ties else F.col(axis))
+            kept = base.schema[f"_in_{name}"].dataType
+            if isinstance(kept, T.StructType):
+                fields = kept.fieldNames()
+                totals += [pick(source[f], place).alias(f"{carry}_{i}") for i, f in enumerate(fields)]
+                totals.append(F.count(source).alias(f"{carry}_n"))
+                whole = F.struct(*[F.col(f"{carry}_{i}").alias(f) for i, f in enumerate(fields)])
+                carries[carry] = F.last(F.when(F.col(f"{carry}_n") > 0, whole), ignorenulls=True).over(across)
+            else:
+                totals.append(pick(source, place).alias(carry))
+                carries[carry] = F.last(carry, ignorenulls=True).over(across)
             merged[name] = F.coalesce(F.col(here), F.col(carry))
         elif kind == "sum":
             local_cols[here] = F.sum(source).over(frame)
@@ -116,7 +127,7 @@ def running(
 
     # the summary is pre-aggregated on the map side: one row per (key, span) is shuffled
     summary = base.groupBy(*keys, CHUNK).agg(*totals)
-    summary = summary.withColumns(carries)
+    summary = summary.select(*keys, CHUNK, *[v.alias(k) for k, v in carries.items()])
     joined = base.withColumns(local_cols).join(summary, [*keys, CHUNK], "left")
     return joined.withColumns(merged).select(*df.columns, *outputs)
 
