@@ -249,7 +249,7 @@ def presence_islands(
     """Label rows by the first ``axis`` value of their island; an island ends where the next row is more than ``max_gap`` away."""
     w = span_window(keys, axis).rangeBetween(-max_gap, -1)
     marked = core_only(
-        with_halo(df, axis, before=max_gap, span=span).withColumn("_near", F.count(F.lit(1)).over(w))
+        with_halo(df, axis, before=max_gap, span=span).withColumn("_near", F.count(F.lit(1)).over(w)), keep=True
     )
     start = F.when(F.col("_near") == 0, F.col(axis))
     return running(marked, keys, axis, {name: ("last", start, True)}, span=span).drop("_near")
@@ -282,7 +282,7 @@ def fill_positions(positions: DataFrame, frames: DataFrame, span: int = SPAN) ->
     seen = spine.join(positions.select("video_id", "frame_idx", "player_id", "x", "y"),
                       ["video_id", "frame_idx", "player_id"], "left")
     here = F.when(F.col("x").isNotNull(), F.struct("frame_idx", "x", "y"))
-    both = running(seen, PLAYER, "frame_idx", {"_a": ("last", here, True)}, span=span)
+    both = running(seen, PLAYER, "frame_idx", {"_a": ("last", here, True)}, span=span, keep=True)
     both = running(both, PLAYER, "frame_idx", {"_b": ("last", here, True)}, span=span, reverse=True)
     gap = F.col("_b.frame_idx") - F.col("_a.frame_idx")
     t = (F.col("frame_idx") - F.col("_a.frame_idx")) / gap

@@ -270,13 +270,18 @@ def confidence_cone(df: DataFrame, distance: str = "distance_m", sigma_x: float
 # ---- scorecards --------------------------------------------------------------------------------------
 
 def over_notation(deliveries: DataFrame, order: str = "delivery_key", span: int = SPAN) -> DataFrame:
-    """Number of each delivery in its video and its over: the 7th is 1.1."""
+    """Number of each delivery in its video and its over: the 7th is 1.1.
+
+    Where ``forced`` marks the delivery cut off by the end of the video, a sixth ball shows the over as full (1.0).
+    """
     numbered = positions(deliveries, VIDEO, order, name="_n", span=span)
     over = div_floor(F.col("_n"), 6)
     ball = F.col("_n") - over * 6 + 1
     done = F.col("_n") + 1
+    full = F.col("forced") & (ball == 6) if "forced" in deliveries.columns else F.lit(False)
     return numbered.withColumns({
-        "ball_no": done, "over": F.concat_ws(".", over.cast("string"), ball.cast("string")),
+        "ball_no": done,
+        "over": F.when(full, F.concat((over + 1).cast("string"), F.lit(".0"))).otherwise(F.concat_ws(".", over.cast("string"), ball.cast("string"))),
         "overs_completed": F.concat_ws(".", div_floor(done, 6).cast("string"), (done % 6).cast("string")),
     }).drop("_n")
 

@@ -98,7 +98,7 @@ def deliveries_segment(
     batsman = tracks.filter("role = 'batsman'").select(*VIDEO, "frame_idx").distinct().withColumn("_bat", F.lit(True))
     seen = ball.select(*VIDEO, "frame_idx").distinct().join(batsman, [*VIDEO, "frame_idx"], "left")
     w = span_window(VIDEO, "frame_idx").rangeBetween(-dead_frames, -1)
-    marked = core_only(with_halo(seen, "frame_idx", before=dead_frames, span=span).withColumn("_near", F.count(F.lit(1)).over(w)))
+    marked = core_only(with_halo(seen, "frame_idx", before=dead_frames, span=span).withColumn("_near", F.count(F.lit(1)).over(w)), keep=True)
     opens = F.when(F.col("_near") == 0, F.col("frame_idx"))
     islands = running(marked, VIDEO, "frame_idx", {"_island": ("last", opens, True)}, span=span)
     starts = islands.groupBy(*VIDEO, "_island").agg(

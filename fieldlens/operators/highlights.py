@@ -106,7 +106,7 @@ def confidence_intervals(
     """Runs of high confidence, widened by seconds before and after; an open run ends with the video."""
     high = F.col("conf") >= min_conf
     w = span_window(VIDEO, "frame_idx").rangeBetween(-1, -1)
-    marked = core_only(with_halo(conf, "frame_idx", before=1, span=span).withColumn("_prev", F.max("conf").over(w)))
+    marked = core_only(with_halo(conf, "frame_idx", before=1, span=span).withColumn("_prev", F.max("conf").over(w)), keep=True)
     low = F.when(~high, F.col("frame_idx"))
     nexts = running(marked, VIDEO, "frame_idx", {"_stop": ("last", low, False)}, span=span, reverse=True)
     ends = conf.groupBy(*VIDEO).agg((F.max("frame_idx") + 1).alias("_n"))
@@ -120,7 +120,7 @@ def confidence_intervals(
 def merge_intervals(intervals: DataFrame, keys: list[str] | None = None, span: float = float(SPAN)) -> DataFrame:
     """Union of overlapping or touching intervals (start_pos, end_pos)."""
     keys = keys or VIDEO
-    reach = running(intervals, keys, "start_pos", {"_reach": ("max", F.col("end_pos"), False)}, ties=["end_pos"], span=span)
+    reach = running(intervals, keys, "start_pos", {"_reach": ("max", F.col("end_pos"), False)}, ties=["end_pos"], span=span, keep=True)
     opens = F.when(F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach")), F.col("start_pos"))
     labeled = running(reach, keys, "start_pos", {"_from": ("last", opens, True)}, ties=["end_pos"], span=span)
     return labeled.groupBy(*keys, F.col("_from").alias("start_pos")).agg(F.max("end_pos").alias("end_pos"))

@@ -153,7 +153,7 @@ def referee_match(
 
 def running_team_votes(votes: DataFrame, every: int = 5, span: int = SPAN) -> DataFrame:
     """Running team of a track from every ``every``-th frame of it; team 1 without votes and on a tie."""
-    numbered = running(votes, PLAYER, "frame_idx", {"_n": ("sum", F.lit(1).cast("bigint"), True)}, span=span)
+    numbered = running(votes, PLAYER, "frame_idx", {"_n": ("sum", F.lit(1).cast("bigint"), True)}, span=span, keep=True)
     checked = (F.col("_n") - 1) % every == 0
     counts = {
         f"votes_{k}": ("sum", (checked & (F.col("team") == k)).cast("bigint"), True) for k in (1, 2)

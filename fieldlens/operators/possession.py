@@ -91,7 +91,7 @@ def possession(
 
     spine = frames.select(*at).join(decided, at, "left")
     miss = (F.col("_full").isNull() | (F.col("_full") & F.col("_sure").isNull())).cast("bigint")
-    counted = running(spine, keys, "frame_idx", {"_missed": ("sum", miss, False)}, span=span)
+    counted = running(spine, keys, "frame_idx", {"_missed": ("sum", miss, False)}, span=span, keep=True)
     confirmed = F.when(F.col("_sure").isNotNull(), F.struct("_sure", "_missed"))
     held = running(counted, keys, "frame_idx", {"_last": ("last", confirmed, True)}, span=span)
     recent = F.col("_full").isNotNull() | (F.col("_missed") - F.col("_last._missed") < grace)

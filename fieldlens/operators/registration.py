@@ -115,7 +115,7 @@ def homography_mode(keypoints: DataFrame, motion: DataFrame, frames: DataFrame,
     direct = keypoint_observed(keypoints).filter("usable").select(*FRAME, F.lit(True).alias("_direct"))
     moving = motion.select(*FRAME, F.lit(True).alias("_moving"))
     spine = frames.select(*FRAME).join(direct, FRAME, "left").join(moving, FRAME, "left")
-    numbered = positions(spine, ["video_id"], "frame_idx", name="_pos", span=span)
+    numbered = positions(spine, ["video_id"], "frame_idx", name="_pos", span=span, keep=True)
     since = running(numbered, ["video_id"], "frame_idx", {"_at": ("last", F.when(F.col("_direct"), F.col("_pos")), True)}, span=span)
     age = F.col("_pos") - F.col("_at")
     mode = F.when(F.col("_direct"), "direct").when(age <= budget, F.when(F.col("_moving"), "cmc").otherwise("static")).otherwise("lost")

@@ -26,7 +26,6 @@ def six(df, *columns, digits=6):
     return df.withColumns({c: pyround(F.col(c), digits) for c in columns})
 
 
-query("scan_tracks", lambda t: t.tracks, ("tracks",), "SELECT * FROM tracks")
 query("bbox_geometry", lambda t: court.bbox_geometry(t.tracks), ("tracks",), """
 SELECT video_id, frame_idx, player_id, (x1+x2)/2 AS center_x, (y1+y2)/2 AS center_y, x2-x1 AS width, y2-y1 AS height,
   CAST(trunc((x1+x2)/2) AS BIGINT) AS foot_x, CAST(trunc(y2) AS BIGINT) AS foot_y FROM tracks""")
@@ -200,40 +199,6 @@ WHERE p.x BETWEEN 1 AND 199 AND p.y BETWEEN 1 AND 106 AND NOT coalesce(t.is_side
 query("heatmap_point_filter", lambda t: court.heatmap_point_filter(t.positions, t.tracks), ("heat_points",), "SELECT * FROM heat_points")
 
 
-def heat_grid(t: Tables):
-    from fieldlens.operators.identity import team_vote
-
-    steps = court.player_step_distance(t.positions)
-    stats = court.player_distance(steps).join(court.speed_stats(court.player_speed(steps)), court.PLAYER, "left").fillna(0)
-    return court.heatmap_grid(court.heatmap_point_filter(t.positions, t.tracks), team_vote(t.tracks), stats, t.videos)
-
-
-derive("heat_cells", ("heat_points", "distances", "speed_stat", "team_mode", "videos"), """
-SELECT video_id, player_id, CAST(floor(px/20) AS BIGINT) AS cell_x, CAST(floor(py/20) AS BIGINT) AS cell_y, team FROM (
-  SELECT p.video_id, p.player_id, CAST(trunc(p.x/200*2800) AS BIGINT) AS px, CAST(trunc(p.y/107*1500) AS BIGINT) AS py,
-    CASE WHEN p.team IN (1, 2) THEN p.team ELSE m.team END AS team
-  FROM heat_points p LEFT JOIN team_mode m USING (video_id, player_id)
-  WHERE NOT EXISTS (SELECT 1 FROM distances d LEFT JOIN speed_stat s USING (video_id, player_id) JOIN videos v USING (video_id)
-    WHERE d.video_id = p.video_id AND d.player_id = p.player_id AND v.total_frames >= 90
-      AND (d.total_distance_m < 3 OR coalesce(s.avg_speed_kmh, 0) < CAST(0.8 AS DOUBLE)))) q
-WHERE px BETWEEN 15 AND 2784 AND py BETWEEN 15 AND 1484 AND team IN (1, 2)""")
-derive("heat", ("heat_cells",), """
-SELECT video_id, layer, cell_x, cell_y, count(*) AS n FROM (
-  SELECT *, 'team_' || CAST(team AS STRING) AS layer FROM heat_cells UNION ALL SELECT *, 'match' AS layer FROM heat_cells) u
-GROUP BY ALL""")
-query("heatmap_grid", heat_grid, ("heat",), "SELECT * FROM heat")
-derive("kernel", (), """
-SELECT d, w/sum(w) OVER () AS w FROM (SELECT d, exp(-(d*d)/(2*CAST(3.25 AS DOUBLE)*CAST(3.25 AS DOUBLE))) AS w
-  FROM (SELECT CAST(unnest(range(-13, 14)) AS BIGINT) AS d) r) k""")
-derive("blur", ("heat", "kernel"), """
-SELECT video_id, layer, cell_x, cell_y + d AS cell_y, sum(v*w) AS v FROM (
-  SELECT video_id, layer, cell_x + d AS cell_x, cell_y, sum(n*w) AS v FROM heat, kernel WHERE cell_x + d BETWEEN 0 AND 139
-  GROUP BY ALL) h, kernel WHERE cell_y + d BETWEEN 0 AND 74 GROUP BY ALL""")
-query("heatmap_density", lambda t: six(court.heatmap_density(heat_grid(t)), "density", "alpha"), ("blur",), f"""
-SELECT video_id, layer, cell_x, cell_y, {R('density', 6)} AS density,
-  {R('CASE WHEN density >= CAST(0.05 AS DOUBLE) THEN least(CAST(0.7 AS DOUBLE), CAST(0.2 AS DOUBLE) + 0.5*((density - CAST(0.05 AS DOUBLE))/CAST(0.95 AS DOUBLE))) ELSE CAST(0 AS DOUBLE) END', 6)} AS alpha
-FROM (SELECT *, greatest(0, least(1, v/quantile_cont(v, 0.98) OVER (PARTITION BY video_id, layer))) AS density FROM blur WHERE v > 0) b""")
-
 # possession
 derive("candidates", ("reachable",), """
 SELECT video_id, frame_idx, coalesce(CAST(player_id AS BIGINT), -1) AS candidate FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlens.operators import court, identity as ident, space
+from fieldlens.plans import reports
 from fieldlens.plans.court_queries import six
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
 
@@ -22,28 +23,14 @@ SELECT video_id, player_id, jersey, votes FROM (
 query("jersey_vote", lambda t: ident.jersey_vote(t.tracks), ("jersey_mode",), "SELECT * FROM jersey_mode")
 
 
-def track_stats(t: Tables):
-    """One row per non-official track with all that the report needs."""
-    steps = court.player_step_distance(t.positions)
-    speeds = court.player_speed(steps)
-    moved = steps.groupBy(*ident.PLAYER).agg(F.sum("dist_m").alias("dist_m"))
-    fast = speeds.filter("speed_kmh > 0").groupBy(*ident.PLAYER).agg(
-        F.sum("speed_kmh").alias("speed_sum"), F.count("*").alias("speed_samples"), F.max("speed_kmh").alias("max_speed"))
-    players = ident.official_filter(t.tracks).filter("NOT is_official AND team IN (1, 2)").select(*ident.PLAYER, "team", "frames")
-    jersey = ident.jersey_vote(t.tracks).withColumnRenamed("votes", "jersey_votes")
-    return (
-        players.join(moved, ident.PLAYER, "left").join(fast, ident.PLAYER, "left").join(jersey, ident.PLAYER, "left")
-        .fillna(0, ["dist_m", "speed_sum", "speed_samples", "max_speed"])
-    )
-
-
 derive("stats", ("officials", "steps", "speeds", "jersey_mode"), """
 SELECT o.video_id, o.player_id, o.team, o.frames, coalesce(d.dist_m, 0) AS dist_m, coalesce(s.speed_sum, 0) AS speed_sum,
   coalesce(s.speed_samples, 0) AS speed_samples, coalesce(s.max_speed, 0) AS max_speed, j.jersey, j.votes AS jersey_votes
 FROM officials o LEFT JOIN (SELECT video_id, player_id, sum(dist_m) AS dist_m FROM steps GROUP BY ALL) d USING (video_id, player_id)
 LEFT JOIN (SELECT video_id, player_id, sum(speed_kmh) AS speed_sum, count(*) AS speed_samples, max(speed_kmh) AS max_speed
   FROM speeds WHERE speed_kmh > 0 GROUP BY ALL) s USING (video_id, player_id)
-LEFT JOIN jersey_mode j USING (video_id, player_id) WHERE NOT is_official AND o.team IN (1, 2)""")
+LEFT JOIN jersey_mode j USING (video_id, player_id) WHERE NOT is_official AND o.team IN (1, 2)
+  AND NOT (o.frames < 10 AND coalesce(d.dist_m, 0) < 1 AND coalesce(s.speed_samples, 0) < 5)""")
 
 
 def short_stats(t: Tables):
@@ -86,10 +73,6 @@ GROUP BY ALL""")
 query("overlap_tracks", lambda t: ident.overlap_tracks(voted_tracks(t)), ("overlap",), "SELECT * FROM overlap")
 
 
-def merged_players(t: Tables):
-    return ident.consolidate_players(track_stats(t), ident.overlap_tracks(voted_tracks(t)))
-
-
 # the greedy choice as a recursion over the tracks of one jersey in order of votes
 derive("grouped", ("stats", "overlap"), """
 WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY video_id, team, jersey ORDER BY jersey_votes DESC, player_id) AS k
@@ -105,7 +88,7 @@ WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY video_id, team, j
     FROM walk w JOIN rr ON rr.video_id = w.video_id AND rr.team = w.team AND rr.jersey = w.jersey AND rr.k = w.k + 1)
 SELECT video_id, unnest(members) AS player_id FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id, team, jersey ORDER BY k DESC) AS z FROM walk) w WHERE z = 1""")
-query("consolidate_players", merged_players, ("stats", "grouped"), f"""
+derive("players", ("stats", "grouped"), f"""
 SELECT video_id, arg_min(player_id, -frames*1000000 + player_id) AS player_id, team, jersey_number, list_sort(list(player_id)) AS track_ids,
   CASE WHEN jersey_number IS NOT NULL THEN '#' || jersey_number ELSE 'Track #' || CAST(arg_min(player_id, -frames*1000000 + player_id) AS STRING) END AS display_label,
   {R('sum(dist_m)', 1)} AS total_distance_m,
@@ -113,6 +96,7 @@ SELECT video_id, arg_min(player_id, -frames*1000000 + player_id) AS player_id, t
   CASE WHEN sum(speed_samples) > 0 THEN {R('max(max_speed)', 1)} ELSE CAST(0 AS DOUBLE) END AS max_speed_kmh
 FROM (SELECT s.*, CASE WHEN g.player_id IS NOT NULL THEN jersey END AS jersey_number, CASE WHEN g.player_id IS NULL THEN s.player_id END AS alone
   FROM stats s LEFT JOIN grouped g ON g.video_id = s.video_id AND g.player_id = s.player_id) j GROUP BY video_id, team, jersey_number, alone""")
+query("consolidate_players", lambda t: reports.report_players(t.tracks, t.positions), ("players",), "SELECT * FROM players")
 
 
 def all_tracks(t: Tables):
@@ -196,3 +180,31 @@ SELECT video_id, frame_idx, team, sum(px*qy - py*qx) AS twice FROM (
 query("hull_area", lambda t: space.hull_area(t.positions, t.tracks), ("hull_edges",), f"""
 SELECT video_id, frame_idx, team, {R('coalesce(twice, 0)/2*(CAST(28 AS DOUBLE)/200)*(CAST(15 AS DOUBLE)/107)', 1)} AS hull_area_m2
 FROM (SELECT DISTINCT video_id, frame_idx, team FROM spots) g LEFT JOIN hull_edges e USING (video_id, frame_idx, team)""")
+
+
+# ---- heatmaps leave out people who hardly move, judged by the merged player
+derive("heat_cells", ("heat_points", "players", "team_mode", "videos"), """
+SELECT video_id, player_id, CAST(floor(px/20) AS BIGINT) AS cell_x, CAST(floor(py/20) AS BIGINT) AS cell_y, team FROM (
+  SELECT p.video_id, p.player_id, CAST(trunc(p.x/200*2800) AS BIGINT) AS px, CAST(trunc(p.y/107*1500) AS BIGINT) AS py,
+    CASE WHEN p.team IN (1, 2) THEN p.team ELSE m.team END AS team
+  FROM heat_points p LEFT JOIN team_mode m USING (video_id, player_id)
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT video_id, unnest(track_ids) AS track_id, total_distance_m, avg_speed_kmh FROM players) d JOIN videos v USING (video_id)
+    WHERE d.video_id = p.video_id AND d.track_id = p.player_id AND v.total_frames >= 90 AND (d.total_distance_m < 3 OR d.avg_speed_kmh < CAST(0.8 AS DOUBLE)))) q
+WHERE px BETWEEN 15 AND 2784 AND py BETWEEN 15 AND 1484 AND team IN (1, 2)""")
+derive("heat", ("heat_cells",), """
+SELECT video_id, layer, cell_x, cell_y, count(*) AS n FROM (
+  SELECT *, 'team_' || CAST(team AS STRING) AS layer FROM heat_cells UNION ALL SELECT *, 'match' AS layer FROM heat_cells) u
+GROUP BY ALL""")
+query("heatmap_grid", lambda t: reports.heat_grid(t.tracks, t.positions, t.videos), ("heat",), "SELECT * FROM heat")
+derive("kernel", (), """
+SELECT d, w/sum(w) OVER () AS w FROM (SELECT d, exp(-(d*d)/(2*CAST(3.25 AS DOUBLE)*CAST(3.25 AS DOUBLE))) AS w
+  FROM (SELECT CAST(unnest(range(-13, 14)) AS BIGINT) AS d) r) k""")
+derive("blur", ("heat", "kernel"), """
+SELECT video_id, layer, cell_x, cell_y + d AS cell_y, sum(v*w) AS v FROM (
+  SELECT video_id, layer, cell_x + d AS cell_x, cell_y, sum(n*w) AS v FROM heat, kernel WHERE cell_x + d BETWEEN 0 AND 139
+  GROUP BY ALL) h, kernel WHERE cell_y + d BETWEEN 0 AND 74 GROUP BY ALL""")
+query("heatmap_density", lambda t: six(court.heatmap_density(reports.heat_grid(t.tracks, t.positions, t.videos)), "density", "alpha"), ("blur",), f"""
+SELECT video_id, layer, cell_x, cell_y, {R('density', 6)} AS density,
+  {R('CASE WHEN density >= CAST(0.05 AS DOUBLE) THEN least(CAST(0.7 AS DOUBLE), CAST(0.2 AS DOUBLE) + 0.5*((density - CAST(0.05 AS DOUBLE))/CAST(0.95 AS DOUBLE))) ELSE CAST(0 AS DOUBLE) END', 6)} AS alpha
+FROM (SELECT *, greatest(0, least(1, v/quantile_cont(v, 0.98) OVER (PARTITION BY video_id, layer))) AS density FROM blur WHERE v > 0) b""")
+

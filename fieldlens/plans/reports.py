@@ -27,11 +27,18 @@ def track_stats(tracks: DataFrame, positions: DataFrame, fps: float = 30.0) -> D
 
 
 def report_players(tracks: DataFrame, positions: DataFrame, fps: float = 30.0) -> DataFrame:
-    stats = track_stats(tracks, positions, fps)
+    stats = durable(track_stats(tracks, positions, fps))  # one row per track, used three times
     voted = tracks.select("video_id", "frame_idx", "player_id").join(stats.select(*ident.PLAYER, "team", "jersey"), ident.PLAYER)
     return ident.consolidate_players(stats, ident.overlap_tracks(voted))
 
 
+def heat_grid(tracks: DataFrame, positions: DataFrame, totals: DataFrame, fps: float = 30.0) -> DataFrame:
+    """Heat cells of a match; merged players who hardly move are left out."""
+    stats = report_players(tracks, positions, fps).select(
+        "video_id", F.explode("track_ids").alias("player_id"), "total_distance_m", "avg_speed_kmh")
+    return court.heatmap_grid(court.heatmap_point_filter(positions, tracks), ident.team_vote(tracks), stats, totals)
+
+
 def basketball_report(
     tracks: DataFrame, ball: DataFrame, positions: DataFrame, frames: DataFrame, modes: DataFrame, fps: float = 30.0
 ) -> DataFrame:

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.operators import cricket as ck, highlights as hl, possession as poss
+from fieldlens.operators import court, cricket as ck, highlights as hl, possession as poss
 from fieldlens.plans import reports
 from fieldlens.plans.court_queries import holders, six
 from fieldlens.plans.cricket_queries import D, described
 from fieldlens.plans.delivery_queries import modes
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
 from fieldlens.scale import durable, shared_dir
-from fieldlens.sources import sinks
+from fieldlens.sources import catalog, sinks
 from fieldlens.streaming import streams as st
 
 SLICES = (0, 37, 80, None)
@@ -185,6 +185,18 @@ SELECT video_id, frame_idx, n AS points, {R('greatest(40, least(160, quantile_co
     SELECT *, {_Z('i')} AS z0, {_Z('j')} AS z1 FROM live) a) b GROUP BY video_id, frame_idx, n""")
 
 
+query("speed_stream", lambda t: run(t, court.player_step_distance(t.positions), st.speed_stream), ("speeds",), "SELECT * FROM speeds")
+
+
+def rescanned(t: Tables) -> DataFrame:
+    """The tracks as files, read back with the declared schema."""
+    path = folder(t)
+    t.tracks.write.parquet(path)
+    return catalog.scan_tracks(t.spark, path)
+
+
+query("scan_tracks", rescanned, ("tracks",), "SELECT * FROM tracks")
+
 # ---- reports
 
 def basketball_files(t: Tables) -> DataFrame:

@@ -57,8 +57,9 @@ def with_halo(df: DataFrame, axis: str, before: int = 0, after: int = 0, span: i
     )
 
 
-def core_only(df: DataFrame) -> DataFrame:
-    return df.filter(CORE).drop(CHUNK, CORE)
+def core_only(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Drop the copies; ``keep`` leaves the span column for a following ``running`` over the same axis."""
+    return df.filter(CORE).drop(CORE) if keep else df.filter(CORE).drop(CHUNK, CORE)
 
 
 def span_window(keys: Sequence[str], *order) -> Window:
@@ -75,16 +76,22 @@ def running(
     ties: Sequence[str] = (),
     span: int | float = SPAN,
     reverse: bool = False,
+    keep: bool = False,
 ) -> DataFrame:
     """Running aggregates in ``axis`` order (then ``ties``) per key, exact across spans.
 
     ``outputs`` maps a new column to ``(kind, column, inclusive)`` where kind is ``last`` (latest non-null
     value), ``sum``, ``max`` or ``min``.  ``reverse`` runs from the end, so ``last`` becomes "next non-null".
+
+    ``keep`` leaves the span column in the result.  If the input has it (from ``keep`` in an earlier step over the same
+    axis and span) the rows already lie together and are not shuffled again.
     """
     order_names = [axis, *ties]
-    chunk = F.floor(F.col(axis) / F.lit(span)).cast("bigint")
     inputs = {f"_in_{n}": spec[1] for n, spec in outputs.items()}
-    base = df.withColumns({**inputs, CHUNK: chunk})
+    placed = CHUNK in df.columns
+    if not placed:
+        inputs[CHUNK] = F.floor(F.col(axis) / F.lit(span)).cast("bigint")
+    base = df.withColumns(inputs)
 
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     local = Window.partitionBy(*keys, CHUNK).orderBy(*[direction(c) for c in order_names])
@@ -129,14 +136,16 @@ def running(
     summary = base.groupBy(*keys, CHUNK).agg(*totals)
     summary = summary.select(*keys, CHUNK, *[v.alias(k) for k, v in carries.items()])
     joined = base.withColumns(local_cols).join(summary, [*keys, CHUNK], "left")
-    return joined.withColumns(merged).select(*df.columns, *outputs)
+    extra = [CHUNK] if keep and not placed else []
+    return joined.withColumns(merged).select(*[c for c in df.columns if keep or c != CHUNK], *extra, *outputs)
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], axis: str, *, ties: Sequence[str] = (), name: str = "pos", span: int = SPAN
+    df: DataFrame, keys: Sequence[str], axis: str, *, ties: Sequence[str] = (), name: str = "pos", span: int = SPAN,
+    keep: bool = False,
 ) -> DataFrame:
     """Dense 0-based row number per key in ``axis`` order."""
-    out = running(df, keys, axis, {name: ("sum", F.lit(1).cast("bigint"), True)}, ties=ties, span=span)
+    out = running(df, keys, axis, {name: ("sum", F.lit(1).cast("bigint"), True)}, ties=ties, span=span, keep=keep)
     return out.withColumn(name, (F.col(name) - 1).cast("bigint"))
 
 

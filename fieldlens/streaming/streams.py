@@ -98,15 +98,6 @@ def live_scoreboard(events: DataFrame) -> DataFrame:
     return events.groupBy("video_id").agg(*totals)
 
 
-def sliding_speed(steps: DataFrame, fps: float = 30.0, frames: int = 10, min_present: int = 5) -> DataFrame:
-    """Speed per player over sliding windows of ``frames`` frames, moving frame by frame."""
-    one = int(round(1_000_000 / fps))
-    w = F.window("event_time", f"{one * frames} microseconds", f"{one} microseconds").alias("w")
-    sums = steps.groupBy("video_id", "player_id", w).agg(F.sum("dist_m").alias("_d"), F.count("*").alias("_n"))
-    kmh = F.least(F.lit(38.0), F.col("_d") / (F.col("_n") / fps) * 3.6)
-    return sums.filter(F.col("_n") >= min_present).select("video_id", "player_id", F.col("w.end").alias("window_end"), kmh.alias("speed_kmh"))
-
-
 # ---- stateful ----------------------------------------------------------------------------------------
 
 class _MachineProcessor(StatefulProcessor):
@@ -167,6 +158,12 @@ def possession_stream(candidates: DataFrame, window: int = 5, grace: int = 3) ->
     return stateful_tracking(candidates, lambda: mc.Possession(window, grace), _schema("frame_idx BIGINT, holder_id BIGINT"))
 
 
+def speed_stream(steps: DataFrame, fps: float = 30.0, frames: int = 10, min_present: int = 5) -> DataFrame:
+    """Speed of every player over a window sliding frame by frame, as steps arrive."""
+    return stateful_tracking(
+        steps, lambda: mc.SpeedWindow(fps, frames, min_present), _schema("frame_idx BIGINT, speed_kmh DOUBLE"), keys=("video_id", "player_id"))
+
+
 def shot_stream(spine: DataFrame) -> DataFrame:
     return stateful_tracking(spine, mc.ShotTracker, _schema("frame_idx BIGINT, conf DOUBLE, shot STRING"))
 
