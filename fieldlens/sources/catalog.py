@@ -10,24 +10,20 @@ from fieldlens.constants import BASKETBALL_WORDS, CRICKET_WORDS, VIDEO_EXTENSION
 from fieldlens.scale import pyround
 
 
-def _schema(*fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(fields))
-
-
 _AT = ("video_id BIGINT", "frame_idx BIGINT")
 _BOX = ("x1 DOUBLE", "y1 DOUBLE", "x2 DOUBLE", "y2 DOUBLE")
-SCHEMAS = {
-    "tracks": _schema(*_AT, "player_id BIGINT", *_BOX, "conf DOUBLE", "team INT", "is_referee BOOLEAN", "is_sideline BOOLEAN", "jersey STRING"),
-    "ball": _schema(*_AT, *_BOX, "cx DOUBLE", "cy DOUBLE", "conf DOUBLE", "interpolated BOOLEAN"),
-    "detections": _schema(*_AT, "det_id BIGINT", "cls STRING", *_BOX, "conf DOUBLE"),
-    "frames": _schema(*_AT, "width INT", "height INT"),
-    "positions": _schema(*_AT, "player_id BIGINT", "x DOUBLE", "y DOUBLE"),
-}
+SCHEMAS = {name: ", ".join(fields) for name, fields in {
+    "tracks": (*_AT, "player_id BIGINT", *_BOX, "conf DOUBLE", "team INT", "is_referee BOOLEAN", "is_sideline BOOLEAN", "jersey STRING"),
+    "ball": (*_AT, *_BOX, "cx DOUBLE", "cy DOUBLE", "conf DOUBLE", "interpolated BOOLEAN"),
+    "detections": (*_AT, "det_id BIGINT", "cls STRING", *_BOX, "conf DOUBLE"),
+    "frames": (*_AT, "width INT", "height INT"),
+    "positions": (*_AT, "player_id BIGINT", "x DOUBLE", "y DOUBLE"),
+}.items()}
 
 
 def scan_tracks(spark: SparkSession, path: str, schema: str | T.StructType = "tracks", fmt: str = "parquet") -> DataFrame:
     """Read a track-like table with a declared schema; column pruning and filters reach the files."""
-    declared = SCHEMAS[schema] if isinstance(schema, str) else schema
+    declared = SCHEMAS.get(schema, schema) if isinstance(schema, str) else schema
     return spark.read.schema(declared).format(fmt).load(path)
 
 
