@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas do not share repeated subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def convex_hull_area(points: str | Column) -> Column:
     """Area of the convex hull of an array of structs (x, y); 0 below three points.
 
     Monotone chain: one fold over the sorted points per side, each dropping the points that turn the wrong way.
     """
-    ordered = F.array_sort(points)
 
     def cross(o: Column, a: Column, b: Column) -> Column:
         return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
@@ -35,14 +41,19 @@ def convex_hull_area(points: str | Column) -> Column:
 
     def twice_area(array: Column) -> Column:
         n = F.size(array)
-        terms = F.transform(array, lambda p, i: p["x"] * F.element_at(array, ((i + 1) % n + 1).cast("int"))["y"]
-                            - p["y"] * F.element_at(array, ((i + 1) % n + 1).cast("int"))["x"])
+        following = lambda i: F.element_at(array, ((i + 1) % n + 1).cast("int"))
+        terms = F.transform(array, lambda p, i: p["x"] * following(i)["y"] - p["y"] * following(i)["x"])
         return F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t))
 
-    lower, upper = chain(ordered), chain(F.reverse(ordered))
-    # both chains share their end points
-    ring = F.concat(F.slice(lower, 1, F.size(lower) - 1), F.slice(upper, 1, F.size(upper) - 1))
-    return F.when(F.size(ordered) >= 3, twice_area(ring) / 2).otherwise(F.lit(0.0))
+    def open_end(hull: Column) -> Column:
+        return let(hull, lambda h: F.slice(h, 1, F.size(h) - 1))
+
+    def area(ordered: Column) -> Column:
+        # both chains share their end points
+        ring = F.concat(open_end(chain(ordered)), open_end(chain(F.reverse(ordered))))
+        return F.when(F.size(ordered) >= 3, let(ring, twice_area) / 2).otherwise(F.lit(0.0))
+
+    return let(F.array_sort(points), area)
 
 
 def parabola(t: Column, y: Column, window: Window) -> dict[str, Column]:

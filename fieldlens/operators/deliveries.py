@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -365,40 +367,35 @@ def delivery_speeds(points_3d: DataFrame, bounces: DataFrame, fps: float = 30.0,
 def project_to_stumps(impacts: DataFrame, fps: float = 30, target_y: float = PITCH_LENGTH) -> DataFrame:
     """Point (stump_x, stump_z) where a ball at (x, y, z) with velocity (vx, vy, vz) crosses the stumps plane.
 
-    At most 100 steps of gravity and drag, folded in the JVM over one struct; the crossing lies between the
-    last two points.
+    At most 100 steps of gravity and drag, taken by a whole Arrow batch of balls at once; the crossing lies
+    between the last two points.
     """
     dt = 1.0 / fps
-    names = ("x", "y", "z", "vx", "vy", "vz", "ax", "ay", "az", "bx", "by", "bz")
-
-    def pack(**values: Column) -> Column:
-        return F.struct(*[values[n].cast("double").alias(n) for n in names])
-
-    x, y, z = (F.col(c).cast("double") for c in ("x", "y", "z"))
-    vy = F.when(F.col("vy") <= 1.0, F.lit(30.0)).otherwise(F.col("vy"))
-    start = pack(x=x, y=y, z=z, vx=F.col("vx"), vy=vy, vz=F.col("vz"), ax=x, ay=y, az=z, bx=x, by=y, bz=z)
-
-    def step(s: Column, _: Column) -> Column:
-        v = F.sqrt(s["vx"] * s["vx"] + s["vy"] * s["vy"] + s["vz"] * s["vz"])
-        nx, ny = s["x"] + s["vx"] * dt, s["y"] + s["vy"] * dt
-        nz = s["z"] + (s["vz"] * dt - 0.5 * GRAVITY * dt * dt)
-        moved = pack(
-            x=nx, y=ny, z=nz,
-            vx=s["vx"] - AIR_DRAG * v * s["vx"] * dt, vy=s["vy"] - AIR_DRAG * v * s["vy"] * dt,
-            vz=s["vz"] + (-AIR_DRAG * v * s["vz"] - GRAVITY) * dt,
-            ax=s["bx"], ay=s["by"], az=s["bz"],
-            bx=nx, by=F.least(F.lit(target_y), ny), bz=F.greatest(F.lit(0.0), nz),
-        )
-        return F.when(s["y"] < target_y, moved).otherwise(s)
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, step)
-    flown = impacts.withColumn("_e", end)
-    e = {n: F.col(f"_e.{n}") for n in names}
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (target_y - e["ay"]) / F.greatest(F.lit(1e-5), e["by"] - e["ay"])))
-    return flown.withColumns({
-        "stump_x": e["ax"] + part * (e["bx"] - e["ax"]),
-        "stump_z": F.greatest(F.lit(0.0), e["az"] + part * (e["bz"] - e["az"])),
-    }).drop("_e")
+
+    @F.pandas_udf("stump_x double, stump_z double")
+    def fly(x: pd.Series, y: pd.Series, z: pd.Series, vx: pd.Series, vy: pd.Series, vz: pd.Series) -> pd.DataFrame:
+        at = np.array([x, y, z], dtype=np.float64)
+        v = np.array([vx, np.where(vy <= 1.0, 30.0, vy), vz], dtype=np.float64)
+        before, after = at.copy(), at.copy()
+        for _ in range(100):
+            go = at[1] < target_y
+            if not go.any():
+                break
+            p, u = at[:, go], v[:, go]
+            moved = p + u * dt
+            moved[2] = p[2] + (u[2] * dt - 0.5 * GRAVITY * dt * dt)
+            pull = AIR_DRAG * np.sqrt((u * u).sum(axis=0)) * u
+            pull[2] += GRAVITY
+            v[:, go] = u - pull * dt
+            at[:, go] = moved
+            before[:, go] = after[:, go]
+            after[:, go] = [moved[0], np.minimum(target_y, moved[1]), np.maximum(0.0, moved[2])]
+        part = np.clip((target_y - before[1]) / np.maximum(1e-5, after[1] - before[1]), 0.0, 1.0)
+        cross = before + part * (after - before)
+        return pd.DataFrame({"stump_x": cross[0], "stump_z": np.maximum(0.0, cross[2])})
+
+    flown = impacts.withColumn("_e", fly("x", "y", "z", "vx", "vy", "vz"))
+    return flown.select(*impacts.columns, "_e.stump_x", "_e.stump_z")
 
 
 def project_pixels(delivery_points: DataFrame, steps: int = 8) -> DataFrame:

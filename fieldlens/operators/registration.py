@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from fieldlens.constants import court_reference
 from fieldlens.fold import chunked_fold
+from fieldlens.functions.columns import let
 from fieldlens.functions.machines import HomographyCascade
 from fieldlens.operators.court import homography_lookup
-from fieldlens.scale import SPAN, positions, pyround, running
+from fieldlens.scale import SPAN, positions, pyround, running, spread
 
 FRAME = ["video_id", "frame_idx"]
 KEYPOINTS = 18
@@ -54,19 +55,22 @@ def keypoint_ratio_validation(keypoints: DataFrame, reference: DataFrame, margin
     """
     known = keypoints.join(F.broadcast(reference), "kp_idx")  # 18 rows, fixed
     point = F.struct("kp_idx", "x", "y", "ref_x", "ref_y")
-    sets = known.filter(_seen()).groupBy(*FRAME).agg(F.array_sort(F.collect_list(point)).alias("_p"))
+    sets = spread(known.filter(_seen()), *FRAME).groupBy(*FRAME).agg(F.array_sort(F.collect_list(point)).alias("_p"))
 
     def dist(a: Column, b: Column, x: str, y: str) -> Column:
         return F.sqrt((a[x] - b[x]) * (a[x] - b[x]) + (a[y] - b[y]) * (a[y] - b[y]))
 
     def judge(bad: Column, p: Column) -> Column:
         others = F.filter("_p", lambda q: (q["kp_idx"] != p["kp_idx"]) & ~F.array_contains(bad, q["kp_idx"]))
-        j, k = F.get(others, F.lit(0)), F.get(others, F.lit(1))
-        d_ik, t_ij, t_ik = dist(p, k, "x", "y"), dist(p, j, "ref_x", "ref_y"), dist(p, k, "ref_x", "ref_y")
-        expected = t_ij / t_ik
-        error = F.abs((dist(p, j, "x", "y") / d_ik - expected) / expected)
-        wrong = k.isNotNull() & (t_ij > 0) & (t_ik > 0) & ((d_ik == 0) | (error > margin))
-        return F.when(wrong, F.array_append(bad, p["kp_idx"])).otherwise(bad)
+
+        def wrong(two: Column) -> Column:
+            j, k = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+            d_ik, t_ij, t_ik = dist(p, k, "x", "y"), dist(p, j, "ref_x", "ref_y"), dist(p, k, "ref_x", "ref_y")
+            expected = t_ij / t_ik
+            error = F.abs((dist(p, j, "x", "y") / d_ik - expected) / expected)
+            return k.isNotNull() & (t_ij > 0) & (t_ik > 0) & ((d_ik == 0) | (error > margin))
+
+        return F.when(let(F.slice(others, 1, 2), wrong), F.array_append(bad, p["kp_idx"])).otherwise(bad)
 
     none = F.array().cast("array<bigint>")
     bad = F.when(F.size("_p") >= 3, F.aggregate("_p", none, judge)).otherwise(none)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fieldlens.constants import COURT_H, COURT_W
 from fieldlens.functions.columns import convex_hull_area
-from fieldlens.scale import SPAN, pyround, running
+from fieldlens.scale import SPAN, pyround, running, spread
 
 FRAME = ["video_id", "frame_idx"]
 
@@ -54,9 +54,7 @@ def voronoi_control(positions: DataFrame, tracks: DataFrame, step: int = 2, span
     The players of a frame travel as one array; the grid is never joined, so no player-cell rows exist.
     """
     team1_cells, n_cells = _nearest_counts(step)
-    # a fixed number of partitions: the work per row is large, so few bytes must not mean few tasks
-    tasks = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spots = valid_players(positions, tracks, span).repartition(tasks, *FRAME).groupBy(*FRAME).agg(
+    spots = spread(valid_players(positions, tracks, span), *FRAME).groupBy(*FRAME).agg(
         F.array_sort(F.collect_list(F.struct("player_id", "x", "y", "team"))).alias("p")
     )
     frames = positions.select(*FRAME).distinct().join(spots, FRAME, "left")
@@ -83,5 +81,5 @@ def match_dominance(control: DataFrame) -> DataFrame:
 
 def hull_area(positions: DataFrame, tracks: DataFrame, span: int = SPAN) -> DataFrame:
     """Square metres of the convex hull of each team in each frame; 0 below three points."""
-    teams = valid_players(positions, tracks, span).groupBy(*FRAME, "team").agg(F.collect_set(F.struct("x", "y")).alias("p"))
+    teams = spread(valid_players(positions, tracks, span), *FRAME).groupBy(*FRAME, "team").agg(F.collect_set(F.struct("x", "y")).alias("p"))
     return teams.select(*FRAME, "team", pyround(convex_hull_area("p") * (28.0 / COURT_W) * (15.0 / COURT_H), 1).alias("hull_area_m2"))

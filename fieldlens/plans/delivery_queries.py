@@ -9,7 +9,7 @@ from fieldlens.operators import cricket as ck, deliveries as dv, highlights as h
 from fieldlens.plans.court_queries import calibrations, six
 from fieldlens.plans.cricket_queries import D, lbw_sql
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
-from fieldlens.scale import pyround
+from fieldlens.scale import durable, pyround, spread
 from fieldlens.sources import catalog
 
 PTS = "PARTITION BY video_id, delivery_key ORDER BY frame_idx"
@@ -208,11 +208,16 @@ FROM (SELECT *, (({D(0.036)}-{D(2.15)}) + 0.5*{D(9.81)}*tb*tb)/greatest(tb, {D(1
     WINDOW p AS (PARTITION BY video_id, delivery_key)) c) d) e""")
 
 
-def flight_3d(t: Tables):
-    return dv.reconstruct_3d(t.flight.select("video_id", "delivery_key", "frame_idx", "mx", "my"), dv.last_bounces(bounces(t)))
+def flight_3d(t: Tables, last):
+    return dv.reconstruct_3d(t.flight.select("video_id", "delivery_key", "frame_idx", "mx", "my"), last)
 
 
-query("reconstruct_3d", lambda t: six(flight_3d(t), "mz"), ("flight3d",), f"SELECT * REPLACE ({R('mz', 6)} AS mz) FROM flight3d")
+def speeds(t: Tables):
+    last = durable(dv.last_bounces(bounces(t)))  # one row per delivery, used by both steps
+    return dv.delivery_speeds(flight_3d(t, last), last)
+
+
+query("reconstruct_3d", lambda t: six(flight_3d(t, dv.last_bounces(bounces(t))), "mz"), ("flight3d",), f"SELECT * REPLACE ({R('mz', 6)} AS mz) FROM flight3d")
 
 
 def _kmh(dx, dy, dz, n):
@@ -235,7 +240,7 @@ def _known(expr, n):
     return f"CASE WHEN n >= 2 THEN {R(expr, n)} ELSE {D(0)} END"
 
 
-query("delivery_speeds", lambda t: dv.delivery_speeds(flight_3d(t), dv.last_bounces(bounces(t))), ("paced",), f"""
+query("delivery_speeds", speeds, ("paced",), f"""
 SELECT video_id, delivery_key, {_known('r', 1)} AS release_speed_kmh, {_known('s', 1)} AS bounce_speed_kmh, {_known(f's*{D(0.95)}', 1)} AS crease_speed_kmh,
   {_known(f'(r+s+s*{D(0.95)})/3', 1)} AS avg_speed_kmh, {_known('r', 1)} AS max_speed_kmh, {_known('greatest(5, (r-s)/r*100)', 1)} AS pitch_deceleration_pct,
   {_known(f'greatest(1, bf-af)/{D(30)}', 2)} AS time_in_air_sec FROM paced""")
@@ -268,7 +273,7 @@ SELECT video_id, delivery_key, {R('ax + part*(px-ax)', 6)} AS stump_x, {R('great
 def paths(t: Tables):
     register_table_functions(t.spark)
     return t.spark.sql(
-        "SELECT video_id, delivery_key, step, path_x, path_y, path_z FROM {i} i, LATERAL ballistic_path(i.x, i.y, i.z, i.vx, i.vy, i.vz)", i=impacts(t))
+        "SELECT video_id, delivery_key, step, path_x, path_y, path_z FROM {i} i, LATERAL ballistic_path(i.x, i.y, i.z, i.vx, i.vy, i.vz)", i=spread(impacts(t), "delivery_key"))
 
 
 query("ballistic_path", lambda t: six(paths(t), "path_x", "path_y", "path_z"), ("flown",), f"""

@@ -149,6 +149,14 @@ def positions(
     return out.withColumn(name, (F.col(name) - 1).cast("bigint"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows to the session's number of shuffle partitions.
+
+    For steps that compute much per byte: there few bytes must not be coalesced into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as named by the cluster in ``spark.checkpoint.dir``.
 
