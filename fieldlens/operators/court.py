@@ -54,11 +54,11 @@ def on_court_filter(tracks: DataFrame, positions: DataFrame) -> DataFrame:
     )
 
 
-def homography_lookup(points: DataFrame, calibrations: DataFrame, bucket: int = 1024) -> DataFrame:
+def homography_lookup(points: DataFrame, calibrations: DataFrame, bucket: int = 64) -> DataFrame:
     """Calibration valid at each point's frame.
 
-    The range condition gets an equality on a frame bucket, so the join hashes on (video, bucket)
-    instead of comparing every point of a video with every calibration.
+    The range condition gets an equality on a frame bucket, so the join hashes on (video, bucket): a point meets at
+    most the calibrations of 64 frames, and a long calibration is repeated once per 64 frames.
     """
     spread = calibrations.withColumn(
         "_bucket", F.explode(F.sequence(div_floor(F.col("frame_from"), bucket), div_floor(F.col("frame_to"), bucket)))

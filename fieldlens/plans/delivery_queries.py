@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlens.functions.ballistics import register_table_functions
+from fieldlens.operators.court import homography_lookup
 from fieldlens.operators import cricket as ck, deliveries as dv, highlights as hl, registration as rg, routing as rt, shots
 from fieldlens.plans.court_queries import calibrations, six
 from fieldlens.plans.cricket_queries import D, lbw_sql
@@ -460,25 +461,17 @@ query("homography_quality", lambda t: six(rg.homography_quality(t.keypoint_obs,
 SELECT video_id, frame_idx, points, {R('mean_error', 6)} AS mean_error, is_flipped, coalesce(rev < same, false) AS is_reversed FROM quality LEFT JOIN turned USING (video_id, frame_idx)""")
 
 
-def sparse_keypoints(t: Tables):
-    """Keypoints lost for 12 frames in every 20, so that fallbacks occur."""
-    return t.keypoint_obs.filter("frame_idx % 20 < 8 AND frame_idx >= 3")
-
-
-def motion(t: Tables):
-    return t.frames.filter("(frame_idx + video_id) % 5 <> 0").select("video_id", "frame_idx")
-
-
 def modes(t: Tables):
-    return rg.homography_mode(sparse_keypoints(t), motion(t), t.frames, budget=8)
+    return rg.homography_mode(t.keypoints_lost, t.camera.filter("known"), t.frames, budget=8)
 
 
-derive("modes", ("keypoint_obs", "frames"), """
-SELECT video_id, frame_idx, CASE WHEN direct THEN 'direct' WHEN n - seen <= 8 THEN CASE WHEN (frame_idx + video_id) % 5 <> 0 THEN 'cmc' ELSE 'static' END ELSE 'lost' END AS mode FROM (
+derive("direct_frames", ("keypoints_lost",), """
+SELECT video_id, frame_idx FROM keypoints_lost WHERE x > 0 AND y > 0 AND kp_idx < 18 GROUP BY video_id, frame_idx HAVING count(*) >= 4""")
+derive("modes", ("direct_frames", "camera"), """
+SELECT video_id, frame_idx, CASE WHEN direct THEN 'direct' WHEN n - seen <= 8 THEN CASE WHEN known THEN 'cmc' ELSE 'static' END ELSE 'lost' END AS mode FROM (
   SELECT *, max(CASE WHEN direct THEN n END) OVER (PARTITION BY video_id ORDER BY n) AS seen FROM (
-    SELECT f.video_id, f.frame_idx, coalesce(c >= 4, false) AS direct, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS n FROM frames f
-    LEFT JOIN (SELECT video_id, frame_idx, count(*) AS c FROM keypoint_obs WHERE frame_idx % 20 < 8 AND frame_idx >= 3 AND x > 0 AND y > 0 AND kp_idx < 18 GROUP BY ALL) k
-      ON k.video_id = f.video_id AND k.frame_idx = f.frame_idx) a) b""")
+    SELECT f.video_id, f.frame_idx, f.known, d.video_id IS NOT NULL AS direct, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS n FROM camera f
+    LEFT JOIN direct_frames d ON d.video_id = f.video_id AND d.frame_idx = f.frame_idx) a) b""")
 query("homography_mode", modes, ("modes",), "SELECT * FROM modes")
 query("tracking_continuity", lambda t: rg.tracking_continuity(modes(t)), ("modes",), f"""
 SELECT video_id, n AS total_frames, {R('d/n*100', 2)} AS direct_keypoint_pct, {R('f/n*100', 2)} AS optical_flow_cmc_pct, {R('(d+f)/n*100', 2)} AS overall_continuity_pct,
@@ -487,32 +480,29 @@ SELECT video_id, n AS total_frames, {R('d/n*100', 2)} AS direct_keypoint_pct, {R
 
 
 def camera_motion(t: Tables):
-    k = F.col("frame_idx")
-    m = F.array(F.lit(1.0), (k % 7) / 1000, k % 3 - 1.0, F.lit(0.0) - (k % 5) / 1000, F.lit(1.0), k % 4 - 2.0, F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    return motion(t).withColumn("m", m)
+    rows = [F.lit(1.0), "m1", "m2", "m3", F.lit(1.0), "m5", F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    return t.camera.select("video_id", "frame_idx", F.when(F.col("known"), F.array(*rows)).alias("m"))
 
 
 def frame_calibrations(t: Tables):
-    keyed = t.frames.filter("frame_idx % 20 < 8 AND frame_idx >= 3").select("video_id", "frame_idx")
-    from fieldlens.operators.court import homography_lookup
-
-    return homography_lookup(keyed, calibrations(t)).select("video_id", "frame_idx", "h")
+    """A direct homography for every frame with enough keypoints."""
+    usable = rg.keypoint_observed(t.keypoints_lost).filter("usable").select("video_id", "frame_idx")
+    return homography_lookup(usable, calibrations(t)).select("video_id", "frame_idx", "h")
 
 
 _H = [f"h{i}" for i in range(9)]
 # motion matrices here are (1, m1, m2; m3, 1, m5; 0, 0, 1); their inverse in closed form
-_M = {"m1": f"(frame_idx%7)/{D(1000)}", "m2": f"frame_idx%3 - {D(1)}", "m3": f"-(frame_idx%5)/{D(1000)}", "m5": f"frame_idx%4 - {D(2)}"}
 _INV = ["1/det", "-m1/det", "(m1*m5-m2)/det", "-m3/det", "1/det", "(m2*m3-m5)/det", D(0), D(0), D(1)]
 _MOVED = [" + ".join(f"h{3 * (i // 3) + k}*({_INV[3 * k + i % 3]})" for k in range(3)) for i in range(9)]
-derive("cascade", ("frames", "calibration_cols"), f"""
-WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k, 1 - m1*m3 AS det FROM (
-    SELECT f.video_id, f.frame_idx, (f.frame_idx + f.video_id)%5 <> 0 AS moving, {', '.join(f'{v} AS {c}' for c, v in _M.items())}, {', '.join(f'c.{h} AS d{h}' for h in _H)} FROM frames f
-    LEFT JOIN calibration_cols c ON c.video_id = f.video_id AND f.frame_idx BETWEEN frame_from AND frame_to AND f.frame_idx%20 < 8 AND f.frame_idx >= 3) a),
+derive("cascade", ("camera", "direct_frames", "calibration_cols"), f"""
+WITH RECURSIVE s AS (SELECT f.*, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS k, 1 - m1*m3 AS det, {', '.join(f'c.{h} AS d{h}' for h in _H)} FROM camera f
+    LEFT JOIN (SELECT d.video_id, d.frame_idx, c.* EXCLUDE (video_id) FROM direct_frames d JOIN calibration_cols c ON c.video_id = d.video_id AND d.frame_idx BETWEEN frame_from AND frame_to) c
+      ON c.video_id = f.video_id AND c.frame_idx = f.frame_idx),
   walk AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_idx, 'lost' AS mode, 0 AS age, {', '.join(f'CAST(NULL AS DOUBLE) AS {h}' for h in _H)} FROM (SELECT DISTINCT video_id FROM s) v
     UNION ALL SELECT video_id, k, frame_idx, mode, CASE mode WHEN 'direct' THEN 0 WHEN 'lost' THEN age ELSE age + 1 END,
       {', '.join(f"CASE WHEN mode = 'direct' AND p8 IS NOT NULL THEN ({D(0.85)}*d{h} + (1-{D(0.85)})*p{i}/p8)/({D(0.85)}*dh8 + (1-{D(0.85)})*p8/p8) WHEN mode = 'direct' THEN d{h} WHEN mode = 'cmc' THEN p{i}/p8 ELSE {h} END" for i, h in enumerate(_H))}
     FROM (SELECT *, CASE WHEN dh0 IS NOT NULL THEN 'direct' WHEN h0 IS NOT NULL AND age < 8 THEN CASE WHEN p8 IS NOT NULL THEN 'cmc' ELSE 'static' END ELSE 'lost' END AS mode FROM (
-      SELECT s.*, w.age, {', '.join(f'w.{h}' for h in _H)}, {', '.join(f'CASE WHEN s.moving THEN {e} END AS p{i}' for i, e in enumerate(_MOVED))} FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) n) m)
+      SELECT s.*, w.age, {', '.join(f'w.{h}' for h in _H)}, {', '.join(f'CASE WHEN s.known THEN {e} END AS p{i}' for i, e in enumerate(_MOVED))} FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) n) m)
 SELECT * FROM walk WHERE k > 0""")
 query("cascade_homography", lambda t: rg.cascade_homography(frame_calibrations(t), camera_motion(t), t.frames, budget=8).select(
     "video_id", "frame_idx", "mode", *[pyround(F.col("h")[i], 6).alias(h) for i, h in enumerate(_H)]), ("cascade",), f"""

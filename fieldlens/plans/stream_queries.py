@@ -67,7 +67,7 @@ query("checkpointed_run", resumed, ("tracks",), "SELECT * FROM tracks")
 def audio_stream(t: Tables) -> DataFrame:
     """Samples at 32 per second; a closing row far in the future lets the last windows out."""
     samples = t.audio.select("video_id", "sample_idx", "amplitude")
-    closing = samples.limit(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("sample_idx"), F.lit(0.0).alias("amplitude"))
+    closing = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("sample_idx"), F.lit(0.0).alias("amplitude"))
     root = folder(t)
     feed(samples, f"{root}/in", axis="sample_idx", slices=(0, 300, None))
     stream = feed(closing, f"{root}/in", axis="sample_idx", slices=(0, None), fps=32.0, max_files=1 << 20)
@@ -96,7 +96,7 @@ WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ba
 SELECT video_id, min(frame_idx) AS first_ball_frame, max(frame_idx) AS last_ball_frame, min(CASE WHEN bat THEN frame_idx END) AS start_frame, count(*) AS ball_frames
 FROM i GROUP BY video_id, isl""")
 query("ball_sessions", lambda t: run(t, sightings(t).filter("has_ball").unionByName(
-    sightings(t).filter("has_ball").limit(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("frame_idx"),
+    t.spark.range(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("frame_idx"),
                                                     F.lit(True).alias("has_ball"), F.lit(False).alias("has_batsman"))),
     lambda s: st.ball_sessions(s)), ("ball_islands",), "SELECT * FROM ball_islands")
 query("stateful_tracking", lambda t: six(run(t, with_ball(t).drop("width", "height"), st.kalman_stream), "conf"),

@@ -91,6 +91,17 @@ SELECT video_id, frame_idx, kp_idx,
 FROM (SELECT video_id, frame_idx, player_id AS kp_idx FROM seen
       UNION ALL SELECT video_id, frame_idx, player_id + 10 AS kp_idx FROM seen WHERE player_id < 8) k
 """)
+# the same, out of view for twelve frames in every twenty
+_add("keypoints_lost", ("keypoint_obs",), """
+SELECT video_id, frame_idx, kp_idx, conf, CASE WHEN shown THEN x ELSE CAST(0 AS DOUBLE) END AS x, CASE WHEN shown THEN y ELSE CAST(0 AS DOUBLE) END AS y
+FROM (SELECT *, frame_idx % 20 < 8 AND frame_idx >= 3 AS shown FROM keypoint_obs) k
+""")
+# camera motion (1, m1, m2; m3, 1, m5; 0, 0, 1); unknown in every fifth frame
+_add("camera", ("frames",), """
+SELECT video_id, frame_idx, (frame_idx + video_id) % 5 <> 0 AS known, CAST(frame_idx%7 AS DOUBLE)/1000 AS m1, CAST(frame_idx%3 - 1 AS DOUBLE) AS m2,
+  CAST(0 - frame_idx%5 AS DOUBLE)/1000 AS m3, CAST(frame_idx%4 - 2 AS DOUBLE) AS m5
+FROM frames
+""")
 # one calibration per 30 frames of a video
 _add("calibration_cols", ("frames",), """
 SELECT video_id, 30*k AS frame_from, 30*k + 29 AS frame_to,
