@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.scale import SPAN, div_floor, pyround, running
+from fieldlens.scale import SPAN, div_floor, durable, pyround, running
 
 PLAYER = ["video_id", "player_id"]
 
@@ -228,27 +228,48 @@ def jersey_ocr_votes(
     )
 
 
-def team_colors(samples: DataFrame, k: int = 2, seed: int = 42, components: int | None = None) -> DataFrame:
-    """Two clusters of colour or embedding samples and the team each player's samples vote for.
+def _dist2(a: Column, b: Column) -> Column:
+    """Squared distance of two arrays of the same length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
 
-    ``samples``: video_id, player_id, features array.  ``components`` projects embeddings first.  Team 1 is
-    the cluster whose centre comes first in order, so the labels do not depend on the random start.
+
+def team_colors(samples: DataFrame, max_iter: int = 20, components: int | None = None) -> DataFrame:
+    """Two clusters of colour or embedding samples per video and the team each player's samples vote for.
+
+    ``samples``: video_id, player_id, sample_id, features array.  All videos are clustered by the same few jobs:
+    each round joins the samples with the two centres of their video and averages them again, pre-aggregated on
+    the map side.  The first centre is the sample farthest from the video's mean, the second the one farthest
+    from the first.  Team 1 is the centre that comes first in order.  ``components`` projects the embeddings of
+    all videos first.
     """
-    column = "features"
-    vectors = samples.select(*PLAYER, array_to_vector(F.col("features").cast("array<double>")).alias(column))
+    rows = samples.select(*PLAYER, "sample_id", F.col("features").cast("array<double>").alias("_f"))
     if components:
-        vectors = PCA(k=components, inputCol=column, outputCol="low").fit(vectors).transform(vectors).drop(column)
-        column = "low"
-    model = KMeans(k=k, seed=seed, featuresCol=column).fit(vectors)
-    first, second = sorted([list(map(float, c)) for c in model.clusterCenters()])[:2]
-
-    def dist2(center: list[float]) -> Column:
-        target = F.array(*[F.lit(v) for v in center])
-        diffs = F.zip_with(vector_to_array(column), target, lambda a, b: (a - b) * (a - b))
-        return F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d)
-
-    team = F.when(dist2(first) < dist2(second), 1).otherwise(2)
-    votes = vectors.select(*PLAYER, team.alias("team")).groupBy(*PLAYER).agg(
+        vectors = rows.withColumn("_v", array_to_vector("_f"))
+        fitted = PCA(k=components, inputCol="_v", outputCol="_low").fit(vectors)
+        rows = durable(fitted.transform(vectors).select(*PLAYER, "sample_id", vector_to_array("_low").alias("_f")))
+
+    def mean(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(Summarizer.mean(array_to_vector("_f")).alias("_m")).withColumn("_m", vector_to_array("_m"))
+
+    def farthest(df: DataFrame, origin: str, name: str) -> DataFrame:
+        order = F.struct(_dist2(F.col("_f"), F.col(origin)).alias("d"), (-F.col("sample_id")).alias("s"))
+        return df.groupBy("video_id").agg(F.max_by("_f", order).alias(name))
+
+    start = farthest(rows.join(mean(rows, "video_id"), "video_id"), "_m", "_c1")
+    second = farthest(rows.join(start, "video_id"), "_c1", "_c2")
+    centers = durable(start.join(second, "video_id"))
+    nearest = F.when(_dist2(F.col("_f"), F.col("_c1")) < _dist2(F.col("_f"), F.col("_c2")), 1).otherwise(2)
+    for _ in range(max_iter):
+        means = mean(rows.join(centers, "video_id").select("video_id", "_f", nearest.alias("_t")), "video_id", "_t")
+        pair = means.groupBy("video_id").agg(*[F.first(F.when(F.col("_t") == t, F.col("_m")), ignorenulls=True).alias(f"_n{t}") for t in (1, 2)])
+        moved = durable(centers.join(pair, "video_id").select(
+            "video_id", *[F.coalesce(f"_n{t}", f"_c{t}").alias(f"_c{t}") for t in (1, 2)],
+            (_dist2(F.coalesce("_n1", "_c1"), F.col("_c1")) + _dist2(F.coalesce("_n2", "_c2"), F.col("_c2"))).alias("_shift")))
+        centers = moved.drop("_shift")
+        if moved.filter("_shift > 1e-12D").isEmpty():
+            break
+    ordered = centers.select("video_id", F.least("_c1", "_c2").alias("_c1"), F.greatest("_c1", "_c2").alias("_c2"))
+    votes = rows.join(ordered, "video_id").select(*PLAYER, nearest.alias("team")).groupBy(*PLAYER).agg(
         F.count(F.when(F.col("team") == 1, 1)).alias("votes_1"), F.count(F.when(F.col("team") == 2, 1)).alias("votes_2")
     )
     return votes.withColumn("team", F.when(F.col("votes_1") >= F.col("votes_2"), 1).otherwise(2))

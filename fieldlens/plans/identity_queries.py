@@ -146,7 +146,24 @@ WITH tries AS (SELECT video_id, player_id, frame_idx, text, prob, CAST((n-1)/5 A
 SELECT * FROM state""")
 query("jersey_ocr_votes", lambda t: ident.jersey_ocr_votes(t.readings), ("ocr_state",), """
 SELECT video_id, player_id, frame_idx, attempt, coalesce(lockd, text) AS jersey, lockd IS NOT NULL AS locked FROM ocr_state""")
-query("team_colors", lambda t: ident.team_colors(t.samples))
+_D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]-p[2])*(p[1]-p[2])))"
+derive("colors", ("samples",), "SELECT video_id, player_id, sample_id, CAST(features AS DOUBLE[]) AS f FROM samples")
+derive("color_start", ("colors",), f"""
+WITH m AS (SELECT video_id, list(v ORDER BY d) AS m FROM (SELECT video_id, d, avg(f[d]) AS v FROM (SELECT video_id, f, unnest(range(1, len(f)+1)) AS d FROM colors) u GROUP BY ALL) a GROUP BY video_id),
+  a AS (SELECT video_id, f AS c1 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {_D2.format(a='f', b='m')} DESC, sample_id) AS rn FROM colors JOIN m USING (video_id)) r WHERE rn = 1)
+SELECT video_id, c1, f AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {_D2.format(a='f', b='c1')} DESC, sample_id) AS rn FROM colors JOIN a USING (video_id)) r WHERE rn = 1""")
+derive("color_walk", ("colors", "color_start"), f"""
+WITH RECURSIVE walk AS (SELECT video_id, 0 AS it, c1, c2 FROM color_start
+  UNION ALL SELECT video_id, it + 1, list(n1 ORDER BY d), list(n2 ORDER BY d) FROM (
+    SELECT video_id, it, d, coalesce(avg(f[d]) FILTER (t1), min(c1[d])) AS n1, coalesce(avg(f[d]) FILTER (NOT t1), min(c2[d])) AS n2 FROM (
+      SELECT *, unnest(range(1, len(f)+1)) AS d FROM (
+        SELECT w.video_id, w.it, w.c1, w.c2, s.f, {_D2.format(a='s.f', b='w.c1')} < {_D2.format(a='s.f', b='w.c2')} AS t1 FROM walk w JOIN colors s ON s.video_id = w.video_id WHERE w.it < 20) j) u
+    GROUP BY video_id, it, d) g GROUP BY video_id, it)
+SELECT video_id, least(c1, c2) AS c1, greatest(c1, c2) AS c2 FROM walk WHERE it = 20""")
+query("team_colors", lambda t: ident.team_colors(t.samples), ("colors", "color_walk"), f"""
+SELECT *, CAST(CASE WHEN votes_1 >= votes_2 THEN 1 ELSE 2 END AS INT) AS team FROM (
+  SELECT video_id, player_id, count(*) FILTER (t1) AS votes_1, count(*) FILTER (NOT t1) AS votes_2 FROM (
+    SELECT s.video_id, player_id, {_D2.format(a='f', b='c1')} < {_D2.format(a='f', b='c2')} AS t1 FROM colors s JOIN color_walk w ON w.video_id = s.video_id) a GROUP BY ALL) b""")
 query("team_colors_projected", lambda t: ident.team_colors(t.samples, components=2))
 query("ball_select", lambda t: ident.ball_select(t.detections), ("detections",), """
 SELECT video_id, frame_idx, det_id, x1, y1, x2, y2, conf FROM (

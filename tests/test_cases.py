@@ -260,13 +260,16 @@ def test_live_speed_equals_batch_speed(spark):
 
 
 def test_teams_from_two_colors(spark, rows):
+    """Two videos with different colours: each gets its own two teams."""
     rnd = random.Random(5)
-    data = [(1, p, [rnd.gauss(c, 5) for c in ((20, 20, 200) if p < 5 else (200, 200, 20))]) for p in range(10) for _ in range(20)]
-    df = spark.createDataFrame(data, "video_id bigint, player_id bigint, features array<double>")
-    got = dict(rows(ident.team_colors(df), "player_id", "team"))
-    assert all(got[p] == (1 if p < 5 else 2) for p in range(10))
-    low = dict(rows(ident.team_colors(df, components=2), "player_id", "team"))
-    assert len({low[p] for p in range(5)}) == 1 and low[0] != low[9]
+    kits = {1: ((20, 20, 200), (200, 200, 20)), 2: ((120, 20, 20), (220, 220, 220))}
+    data = [(v, p, p * 100 + k, [rnd.gauss(c, 5) for c in kits[v][p >= 5]]) for v in kits for p in range(10) for k in range(20)]
+    df = spark.createDataFrame(data, "video_id bigint, player_id bigint, sample_id bigint, features array<double>")
+    got = rows(ident.team_colors(df), "video_id", "player_id", "team")
+    assert got == [(v, p, 1 if p < 5 else 2) for v in kits for p in range(10)]
+    low = {(v, p): t for v, p, t in rows(ident.team_colors(df, components=2), "video_id", "player_id", "team")}
+    for v in kits:
+        assert len({low[v, p] for p in range(5)}) == 1 and len({low[v, p] for p in range(5, 10)}) == 1 and low[v, 0] != low[v, 9]
 
 
 def test_route_and_samples(spark, rows):
