@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -56,15 +56,18 @@ def convex_hull_area(points: str | Column) -> Column:
     return let(F.array_sort(points), area)
 
 
-def parabola(t: Column, y: Column, window: Window) -> dict[str, Column]:
-    """Least-squares y = a*t^2 + b*t + c over a window, from sums of powers: a, b, c, r2 and n.
+def power_terms(t: Column, y: Column) -> dict[str, Column]:
+    """What has to be summed over the points for ``parabola``."""
+    tt = t * t
+    return {"n": F.lit(1.0), "s1": t, "s2": tt, "s3": tt * t, "s4": tt * tt, "y0": y, "y1": t * y, "y2": tt * y, "yy": y * y}
+
+
+def parabola(sums: dict[str, Column]) -> dict[str, Column]:
+    """Least-squares y = a*t^2 + b*t + c from sums of ``power_terms``: a, b, c and r2.
 
     ``t`` should be small (relative to a nearby origin) to keep the sums precise.
     """
-    n = F.count(y).over(window)
-    s1, s2, s3, s4 = (F.sum(p).over(window) for p in (t, t * t, t * t * t, t * t * t * t))
-    y0, y1, y2 = F.sum(y).over(window), F.sum(t * y).over(window), F.sum(t * t * y).over(window)
-    yy = F.sum(y * y).over(window)
+    n, s1, s2, s3, s4, y0, y1, y2, yy = (sums[k] for k in ("n", "s1", "s2", "s3", "s4", "y0", "y1", "y2", "yy"))
     det = s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)
     a = (y2 * (s2 * n - s1 * s1) - s3 * (y1 * n - s1 * y0) + s2 * (y1 * s1 - s2 * y0)) / det
     b = (s4 * (y1 * n - s1 * y0) - y2 * (s3 * n - s1 * s2) + s2 * (s3 * y0 - y1 * s2)) / det
@@ -72,4 +75,4 @@ def parabola(t: Column, y: Column, window: Window) -> dict[str, Column]:
     sst = yy - y0 * y0 / n
     ssr = yy - a * y2 - b * y1 - c * y0
     r2 = F.when(sst > 1e-9, 1 - F.greatest(ssr, F.lit(0.0)) / sst).otherwise(F.lit(0.0))
-    return {"a": F.when(det != 0, a), "b": F.when(det != 0, b), "c": F.when(det != 0, c), "r2": F.when(det != 0, r2), "n": n}
+    return {k: F.when(det != 0, v) for k, v in (("a", a), ("b", b), ("c", c), ("r2", r2))}

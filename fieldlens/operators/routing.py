@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from fieldlens.constants import BASKETBALL_STAGES, CRICKET_STAGES, FINISHED
 from fieldlens.fold import chunked_fold
 from fieldlens.functions.machines import LogProgress
-from fieldlens.scale import SPAN
+from fieldlens.scale import SPAN, durable
 
 VIDEO = ["video_id"]
 
@@ -113,14 +113,15 @@ def run_log_parse(run_log: DataFrame, span: int = SPAN) -> DataFrame:
         return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("line_no"))).alias(column)
 
     fields = ("sport", "stage", "stage_name", "total_stages", "completed", "fps", "eta", "vram")
-    status = said.groupBy("run_id").agg(*[last(c) for c in fields])
-    bars = said.filter("declared IS NOT NULL OR total IS NOT NULL").select("run_id", "line_no", "declared", "total", "pct", "current")
-    accepted = chunked_fold(bars, ["run_id"], "line_no", LogProgress, _PROGRESS, span=span)
-    ends = said.filter("finished_pct IS NOT NULL").select("run_id", "line_no", F.col("finished_pct").alias("pct"))
-    both = accepted.unionByName(ends, allowMissingColumns=True)
-    shown = both.groupBy("run_id").agg(
-        F.max_by("pct", F.when(F.col("pct").isNotNull(), F.col("line_no"))).alias("progress_pct"),
-        F.max_by("current", F.when(F.col("current").isNotNull(), F.col("line_no"))).alias("current_frame"),
-        F.max_by("known_total", F.when(F.col("known_total").isNotNull(), F.col("line_no"))).alias("total_frames"),
+    ended = F.max(F.when(F.col("finished_pct").isNotNull(), F.col("line_no"))).alias("_ended")
+    status = said.groupBy("run_id").agg(*[last(c) for c in fields], ended)
+    bars = durable(said.filter("declared IS NOT NULL OR total IS NOT NULL").select("run_id", "line_no", "declared", "total", "pct", "current"))
+    shown = chunked_fold(bars, ["run_id"], "line_no", LogProgress, _PROGRESS, span=span).groupBy("run_id").agg(
+        last("pct"), last("current").alias("current_frame"), last("known_total").alias("total_frames"),
+        F.max(F.when(F.col("pct").isNotNull(), F.col("line_no"))).alias("_shown"),
+    )
+    hundred = F.col("_ended").isNotNull() & (F.col("_shown").isNull() | (F.col("_ended") > F.col("_shown")))
+    return status.join(shown, "run_id", "left").select(
+        "run_id", *[c for c in fields if c != "completed"], F.coalesce("completed", F.lit(False)).alias("completed"),
+        F.when(hundred, F.lit(100).cast("bigint")).otherwise(F.col("pct")).alias("progress_pct"), "current_frame", "total_frames",
     )
-    return status.join(shown, "run_id", "left").withColumn("completed", F.coalesce("completed", F.lit(False)))

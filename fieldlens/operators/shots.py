@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldlens.fold import chunked_fold
-from fieldlens.functions.columns import parabola
+from fieldlens.functions.columns import parabola, power_terms
 from fieldlens.functions.machines import ShotTracker
 from fieldlens.scale import CHUNK, SPAN, core_only, positions, span_window, with_halo
 
@@ -23,14 +23,20 @@ def rolling_parabola(ball: DataFrame, n: int = 45, min_n: int = 16, span: int =
     numbered = positions(heights, VIDEO, "frame_idx", name="_pos", span=span)
     haloed = with_halo(numbered, "_pos", before=n - 1, span=max(64, n))
     block = Window.partitionBy(*VIDEO, CHUNK)
-    w = span_window(VIDEO, "_pos").rowsBetween(-(n - 1), 0)
+    ordered = span_window(VIDEO, "_pos")
     timed = haloed.withColumns({"_t0": F.min("frame_idx").over(block), "_y0": F.min("_y").over(block)})
     timed = timed.withColumns({"_t": (F.col("frame_idx") - F.col("_t0")).cast("double"), "_h": F.col("_y") - F.col("_y0")})
-    fit = core_only(timed.withColumns({f"_{k}": v for k, v in parabola(F.col("_t"), F.col("_h"), w).items()}))
+    # sums over the last n points as differences of running sums: one addition per row, not n
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    terms = power_terms(F.col("_t"), F.col("_h"))
+    total = timed.withColumns({f"_s_{k}": F.sum(v).over(so_far) for k, v in terms.items()})
+    window = total.withColumns({f"_{k}": F.col(f"_s_{k}") - F.coalesce(F.lag(f"_s_{k}", n).over(ordered), F.lit(0.0)) for k in terms})
+    fit = core_only(window).filter(F.col("_n") >= min_n).withColumns(
+        {f"_{k}": v for k, v in parabola({k: F.col(f"_{k}") for k in terms}).items()})
     arc = (F.col("_a") > 0.1) & (F.col("_r2") > 0.8)
     apex = F.col("_t0") - F.col("_b") / (2 * F.col("_a"))
-    return fit.filter(F.col("_n") >= min_n).select(
-        *VIDEO, "frame_idx", F.col("_n").alias("points"), F.col("_a").alias("a"), F.col("_r2").alias("r2"),
+    return fit.select(
+        *VIDEO, "frame_idx", F.col("_n").cast("bigint").alias("points"), F.col("_a").alias("a"), F.col("_r2").alias("r2"),
         F.coalesce(arc, F.lit(False)).alias("is_arc"), F.when(arc, apex).alias("apex_frame"),
     )
 
