@@ -194,7 +194,7 @@ def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages (doc_id, start, end in words) whose windows of WINDOW words all start in a document with a smaller id too.
 
-    ``docs``: doc_id (bigint, not null), text; placed by doc_id.
+    ``docs``: doc_id (bigint, not null), text.
     """
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("w")).filter(F.size("w") >= WINDOW)
     anchors = hashed.mapInArrow(list_anchors, "anchor bigint, doc_id bigint").distinct()
@@ -230,9 +230,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     an empty result and other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    dealt = rows.filter(F.col("doc_id").isNotNull()).repartition("doc_id")
-    passages = repeated_passages(dealt).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("passages"))
-    marked = dealt.join(passages, "doc_id", "left")
+    known = rows.filter(F.col("doc_id").isNotNull())
+    passages = repeated_passages(known).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("passages"))
+    marked = known.join(passages, "doc_id", "left")
     n_words = F.size(words_of(F.col("text"))).cast("bigint")
     hit = marked.filter(F.col("passages").isNotNull()).select("doc_id", n_words.alias("n_words"), cut("text", "passages").alias("c"))
     hit = hit.select("doc_id", "n_words", F.col("c.removed").alias("n_removed"), F.col("c.digest").alias("kept_sha256"))
