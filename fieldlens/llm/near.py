@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm.common import salted_left_join, text_key, text_of, words_of
@@ -181,10 +181,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents whose five-word runs align to 80 % or more.
 
-    Equal texts are one node.  Order MinHash gives each node BANDS keys; nodes that share one are candidates.  First every node
-    of a bucket is compared with the bucket's least id.  Buckets that then still hold several components get the pairs between
-    the smaller components and all others, so every candidate pair is either compared or already connected, without listing the
-    pairs inside a component.  Classes are the components of the verified links.
+    Equal texts are one node.  Order MinHash gives each node BANDS keys; nodes that share one lie in one bucket.  Every node is
+    compared with the most central member of each of its buckets.  In buckets that then still hold several components, nodes
+    are compared with their neighbour when sorted by their next keys (so with the one they share most keys with), and those
+    outside the largest component with the most central one of them.  Classes are the components of the verified links.  The
+    pairs compared are at most 3 x BANDS per text: a group of thousands of copies never meets pairwise.  A link between two
+    texts is not looked at only if in all common buckets both differ from the leaders and other texts sort between them.
 
     One row per input row: ``id_col`` (bigint), class_id (least id of the class), kept (it is that document, or the first of
     rows that repeat its id).  Null and empty texts have no words: each stands alone, equal ones too.  A null id gets the class
@@ -196,27 +198,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     nodes = hashed.mapInArrow(sketches, "doc_id bigint, _k1 bigint, _k2 bigint, keys array<bigint>")
     nodes = nodes.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     nodes = durable(nodes)
-    bands = nodes.filter(F.col("node").isNotNull()).select("node", F.posexplode("keys").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = durable(salted_left_join(bands, shared, ["band", "key"], F.col("node")).filter(F.col("leader").isNotNull()))
+    follow = [F.get("keys", F.pmod(F.col("band") + i, F.lit(BANDS)).cast("int")).alias(f"then{i}") for i in (1, 2)]
+    bands = nodes.filter(F.col("node").isNotNull()).select("node", "keys", F.posexplode("keys").alias("band", "key"))
+    bands = bands.select("node", "band", "key", *follow)
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = salted_left_join(bands, shared, ["band", "key"], F.col("node")).filter(F.col("n").isNotNull())
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = durable(members.drop("n").join(degrees, "node"))
+    # the member that meets most others over all bands is most likely the text that the others were made from
+    central = F.max_by("node", F.struct("degree", -F.col("node")))
+    leaders = members.groupBy("band", "key").agg(central.alias("leader"))
+    led = salted_left_join(members.select("band", "key", "node"), leaders, ["band", "key"], F.col("node"))
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    pairs = led.filter("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")).select(*pair).distinct()
     found = durable(links(pairs, texts))
     labels = components(found)
 
     # what the comparison with the leaders left apart
     named = salted_left_join(members, labels.select(F.col("v").alias("node"), "label"), ["node"], F.col("key"))
-    named = named.select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+    named = named.withColumn("label", F.coalesce("label", "node"))
     parts = named.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    main = main.select("band", "key", F.col("m.label").alias("main"))
-    apart = durable(named.join(main, ["band", "key"]))
-    small = apart.filter("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    rest = apart.select("band", "key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
-    more = small.join(rest, ["band", "key"]).filter("lx <> ly AND (in_main OR x < y)")
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = parts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    apart = durable(salted_left_join(named, main.drop("parts"), ["band", "key"], F.col("node")).filter(F.col("main").isNotNull()))
+    order = Window.partitionBy("band", "key").orderBy("then1", "then2", "node")
+    beside = apart.select("node", "label", F.lag("node").over(order).alias("y"), F.lag("label").over(order).alias("other"))
+    beside = beside.filter("label <> other").select(F.col("node").alias("x"), "y")
+    small = apart.filter("label <> main")
+    second = small.groupBy("band", "key").agg(central.alias("y"), F.max_by("label", F.struct("degree", -F.col("node"))).alias("other"))
+    others = salted_left_join(small.select("band", "key", "node", "label"), second, ["band", "key"], F.col("node"))
+    others = others.filter("label <> other").select(F.col("node").alias("x"), "y")
+    more = beside.unionByName(others).select(*pair).distinct()
     more = durable(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = components(found.unionByName(links(more, texts)))
