@@ -96,8 +96,10 @@ def schedule(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
     turns = positions(slots.select("rank", "slot"), ["rank"], "slot", name="turn")
     had = slots.groupBy("rank").agg(F.count("*").alias("had"))
     short = some.join(had, "rank", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("bigint"))).filter("had < slots")
+    earlier = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("ahead", F.coalesce(F.sum(F.col("slots") - F.col("had")).over(earlier), F.lit(0)))
     closing = short.withColumn("turn", F.explode(F.sequence("had", F.col("slots") - 1)))
-    closing = closing.select("rank", (F.col("all") + F.col("turn") - F.col("had")).alias("slot"), "turn")
+    closing = closing.select("rank", (F.col("all") + F.col("ahead") + F.col("turn") - F.col("had")).alias("slot"), "turn")
     needs = some.select("rank", "slots", "passes", "tail", "blocks", "source_size")
     slots = turns.unionByName(closing).join(needs, "rank").filter("turn < slots")
     slots = slots.withColumns({"pass": F.expr("turn div blocks"), "block": F.expr("turn % blocks")})

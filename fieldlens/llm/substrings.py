@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.llm.common import text_of, words_of
 from fieldlens.llm.near import mix, word_hashes
@@ -175,7 +176,7 @@ def repeats(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-@F.pandas_udf("removed bigint, digest string")
+@F.pandas_udf(T.StructType([T.StructField("removed", T.LongType()), T.StructField("digest", T.StringType())]))
 def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Text and passages (start, end) to the words removed and the digest of those left."""
     for texts, passages in batches:
