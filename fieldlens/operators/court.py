@@ -339,7 +339,7 @@ def heatmap_density(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 20,
     """Gaussian smoothing of the cell counts, scaled by a high percentile, with the overlay's opacity.
 
     A layer has a fixed number of cells whatever the video's length, so each one is smoothed as a matrix; the
-    Gaussian is separable: one product per axis.
+    Gaussian is separable: one product per axis.  Heat is mirrored at the borders.
     """
     columns, lines = 2800 // cell_px, 1500 // cell_px
     sigma = sigma_px / cell_px
@@ -349,15 +349,17 @@ def heatmap_density(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 20,
         d = np.arange(-radius, radius + 1)
         weights = np.exp(-(d * d) / (2 * sigma * sigma))
         weights /= weights.sum()
-        apart = np.arange(n)[:, None] - np.arange(n)[None, :]
-        return np.where(np.abs(apart) <= radius, weights[np.clip(apart, -radius, radius) + radius], 0.0)
+        to, cell = np.arange(n)[:, None], np.arange(n)[None, :]
+        # a cell's heat also comes back from its mirror images beyond both borders
+        images = [to - at for at in (cell, -1 - cell, 2 * n - 1 - cell)]
+        return sum(np.where(np.abs(x) <= radius, weights[np.clip(x, -radius, radius) + radius], 0.0) for x in images)
 
     along, down = kernel(columns), kernel(lines)
 
     def smooth(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros((lines, columns))
         counts[cells["cell_y"], cells["cell_x"]] = cells["n"]
-        heat = down @ counts @ along
+        heat = down @ counts @ along.T
         y, x = np.nonzero(heat > 0)
         v = heat[y, x]
         top = np.percentile(v, pct * 100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldlens.functions.ballistics import register_table_functions
+from fieldlens.functions.ballistics import ballistic_path
 from fieldlens.operators.court import homography_lookup
 from fieldlens.operators import cricket as ck, deliveries as dv, highlights as hl, registration as rg, routing as rt, shots
 from fieldlens.plans.court_queries import calibrations, six
@@ -272,9 +272,7 @@ SELECT video_id, delivery_key, {R('ax + part*(px-ax)', 6)} AS stump_x, {R('great
 
 
 def paths(t: Tables):
-    register_table_functions(t.spark)
-    return t.spark.sql(
-        "SELECT video_id, delivery_key, step, path_x, path_y, path_z FROM {i} i, LATERAL ballistic_path(i.x, i.y, i.z, i.vx, i.vy, i.vz)", i=spread(impacts(t), "delivery_key"))
+    return ballistic_path(spread(impacts(t), "delivery_key")).select("video_id", "delivery_key", "step", "path_x", "path_y", "path_z")
 
 
 query("ballistic_path", lambda t: six(paths(t), "path_x", "path_y", "path_z"), ("flown",), f"""

@@ -217,9 +217,11 @@ derive("kernel", (), """
 SELECT d, w/sum(w) OVER () AS w FROM (SELECT d, exp(-(d*d)/(2*CAST(3.25 AS DOUBLE)*CAST(3.25 AS DOUBLE))) AS w
   FROM (SELECT CAST(unnest(range(-13, 14)) AS BIGINT) AS d) r) k""")
 derive("blur", ("heat", "kernel"), """
-SELECT video_id, layer, cell_x, cell_y + d AS cell_y, sum(v*w) AS v FROM (
-  SELECT video_id, layer, cell_x + d AS cell_x, cell_y, sum(n*w) AS v FROM heat, kernel WHERE cell_x + d BETWEEN 0 AND 139
-  GROUP BY ALL) h, kernel WHERE cell_y + d BETWEEN 0 AND 74 GROUP BY ALL""")
+SELECT video_id, layer, cell_x, image + d AS cell_y, sum(v*w) AS v FROM (
+  SELECT *, unnest([cell_y, -1 - cell_y, 149 - cell_y]) AS image FROM (
+    SELECT video_id, layer, image + d AS cell_x, cell_y, sum(n*w) AS v
+    FROM (SELECT *, unnest([cell_x, -1 - cell_x, 279 - cell_x]) AS image FROM heat), kernel WHERE image + d BETWEEN 0 AND 139
+    GROUP BY ALL)) h, kernel WHERE image + d BETWEEN 0 AND 74 GROUP BY ALL""")
 query("heatmap_density", lambda t: six(court.heatmap_density(reports.heat_grid(t.tracks, t.positions, t.videos)), "density", "alpha"), ("blur",), f"""
 SELECT video_id, layer, cell_x, cell_y, {R('density', 6)} AS density,
   {R('CASE WHEN density >= CAST(0.05 AS DOUBLE) THEN least(CAST(0.7 AS DOUBLE), CAST(0.2 AS DOUBLE) + 0.5*((density - CAST(0.05 AS DOUBLE))/CAST(0.95 AS DOUBLE))) ELSE CAST(0 AS DOUBLE) END', 6)} AS alpha

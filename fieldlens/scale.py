@@ -13,7 +13,6 @@ The spans are shuffled independently; only the one-row-per-span summaries meet i
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -160,12 +159,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a fresh folder is made.
+    Where the session names none it lies in the warehouse, which every session has and all its machines reach.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        configured = current or tempfile.mkdtemp(prefix="fieldlens-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_fieldlens"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
