@@ -26,19 +26,18 @@ def gram_ids(text: str) -> np.ndarray:
     return ((b[:-2] * np.uint32(2654435761)) ^ (b[1:-1] * np.uint32(40503)) ^ (b[2:] * np.uint32(69069))) >> np.uint32(7) & np.uint32(GRAMS - 1)
 
 
-def labelled_sample(rows: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` different texts of each label, those with the least digests."""
+def labelled_sample(rows: DataFrame, per_language: int, max_languages: int) -> DataFrame:
+    """At most ``per_language`` different texts of each label, those with the least digests, for ``max_languages`` labels."""
     keyed = rows.filter(F.col("declared").isNotNull() & (F.length("text") > 0)).withColumn("digest", F.xxhash64("text"))
     ranked = keyed.select("declared", "digest").distinct().withColumn(
         "place", F.row_number().over(Window.partitionBy("declared").orderBy("digest")))
-    # one row per label
-    last = ranked.filter(F.col("place") <= per_language).groupBy("declared").agg(F.max("digest").alias("last"))
-    last = last.withColumnRenamed("declared", "_label")
-    chosen = keyed.join(last, (F.col("declared") == F.col("_label")) & (F.col("digest") <= F.col("last")))
+    last = ranked.filter(F.col("place") <= per_language).groupBy("declared").agg(F.max("digest").alias("last"), F.count("*").alias("n"))
+    last = last.withColumnRenamed("declared", "_label").orderBy(F.col("n").desc(), "_label").limit(max_languages)
+    chosen = keyed.join(F.broadcast(last), (F.col("declared") == F.col("_label")) & (F.col("digest") <= F.col("last")))
     return chosen.select("declared", "text", "digest").dropDuplicates(["declared", "digest"])
 
 
-def train(rows: DataFrame, per_language: int, smoothing: float) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, per_language: int, max_languages: int, smoothing: float) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities of the hashed trigrams; the last row is the uniform background ``und``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +49,7 @@ def train(rows: DataFrame, per_language: int, smoothing: float) -> tuple[list[st
             at = np.flatnonzero(n)
             yield pd.DataFrame({"label": label, "gram": at, "n": n[at]})
 
-    grams = labelled_sample(rows, per_language).mapInPandas(count, "label string, gram long, n long")
+    grams = labelled_sample(rows, per_language, max_languages).mapInPandas(count, "label string, gram long, n long")
     grams = grams.groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most labels x GRAMS rows
     languages = sorted(set(grams["label"]))
     n = np.zeros((len(languages), GRAMS))
@@ -94,12 +93,12 @@ def shares(cells: DataFrame, key: str, n_languages: int, parent: str, strength:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source",
-    per_language: int = 500, smoothing: float = 0.5, text_weight: float = 0.25, strength: float = 20.0, min_confidence: float = 0.6,
+    per_language: int = 500, max_languages: int = 256, smoothing: float = 0.5, text_weight: float = 0.25, strength: float = 20.0, min_confidence: float = 0.6,
 ) -> DataFrame:
     """Language of every document from four kinds of evidence.
 
-    * text: naive Bayes on hashed byte trigrams, trained on at most ``per_language`` labelled texts per language and scaled by
-      ``text_weight`` because neighbouring trigrams overlap;
+    * text: naive Bayes on hashed byte trigrams, trained on at most ``per_language`` labelled texts per language (of
+      ``max_languages`` languages, those with most labelled texts; other declarations count as one) and scaled by ``text_weight`` because neighbouring trigrams overlap;
     * the declared language: how often each language carries each declaration, over all documents;
     * the address suffix (last part of a dotted host): how often each language stands under each suffix;
     * the host: language shares of the host, smoothed towards those of its domain (last two parts), these towards all documents'.
@@ -117,7 +116,7 @@ def identify(
         F.col(id_col).alias("doc_id"), text_of(text).alias("text"), (F.col(declared) if declared else none).alias("declared"),
         (F.lower(host) if host else none).alias("host"), (F.col(host) if host else none).alias("_host"),
     )
-    languages, logs = train(rows, per_language, smoothing)
+    languages, logs = train(rows, per_language, max_languages, smoothing)
     size = len(languages)
     known = F.array(*[F.lit(x) for x in languages])
     label = F.when(F.col("declared").isNull(), none).otherwise(F.when(F.array_contains(known, F.col("declared")), F.col("declared")).otherwise(OTHER))
