@@ -14,6 +14,7 @@ from fieldlens.llm.common import let, salted_left_join, text_key, text_of
 from fieldlens.scale import durable
 
 GRAMS = 1 << 13
+SLICES = 64
 UNKNOWN = "und"
 OTHER = "other"
 
@@ -29,7 +30,10 @@ def gram_ids(text: str) -> np.ndarray:
 def labelled_sample(rows: DataFrame, per_language: int, max_languages: int) -> DataFrame:
     """At most ``per_language`` different texts of each label, those with the least digests, for ``max_languages`` labels."""
     keyed = rows.filter(F.col("declared").isNotNull() & (F.length("text") > 0)).withColumn("digest", F.xxhash64("text"))
-    ranked = keyed.select("declared", "digest").distinct().withColumn(
+    # within slices first: a label that holds most rows sends at most SLICES x per_language of them to one task
+    least = keyed.select("declared", "digest").distinct().withColumn("slice", F.pmod("digest", F.lit(SLICES)))
+    least = least.withColumn("place", F.row_number().over(Window.partitionBy("declared", "slice").orderBy("digest")))
+    ranked = least.filter(F.col("place") <= per_language).withColumn(
         "place", F.row_number().over(Window.partitionBy("declared").orderBy("digest")))
     last = ranked.filter(F.col("place") <= per_language).groupBy("declared").agg(F.max("digest").alias("last"), F.count("*").alias("n"))
     last = last.withColumnRenamed("declared", "_label").orderBy(F.col("n").desc(), "_label").limit(max_languages)
