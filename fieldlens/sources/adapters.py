@@ -189,12 +189,10 @@ _add("audio", ("audio_raw",), """
 SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY event_id) - 1 AS BIGINT) AS sample_idx FROM audio_raw
 """)
 _add("moments", (), """
-SELECT video_id, frame_idx FROM (
-  SELECT o_custkey%50 AS video_id, o_orderkey*5 AS frame_idx, o_orderpriority AS p FROM {orders}) o
-WHERE p IN ('1-URGENT', '2-HIGH')
+SELECT o_custkey%50 AS video_id, o_orderkey*5 AS frame_idx FROM {orders}
 """)
 _add("roars", (), """
-SELECT DISTINCT user_id%50 AS video_id, event_id*9 + user_id%7 AS frame_idx FROM {events} WHERE event_type IN ('purchase', 'error')
+SELECT DISTINCT user_id%50 AS video_id, event_id*9 + user_id%7 AS frame_idx FROM {events}
 """)
 _add("samples", (), "SELECT vec_id % 7 AS video_id, vec_id AS sample_id, vec_id % 20 AS player_id, embedding AS features, label FROM {embeddings}")
 _add("run_log", (), """
