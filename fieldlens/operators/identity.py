@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -233,13 +235,13 @@ def _dist2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
 
 
-def team_colors(samples: DataFrame, max_iter: int = 20, components: int | None = None) -> DataFrame:
+def team_colors(samples: DataFrame, max_iter: int | None = None, components: int | None = None) -> DataFrame:
     """Two clusters of colour or embedding samples per video and the team each player's samples vote for.
 
     ``samples``: video_id, player_id, sample_id, features array.  All videos are clustered by the same few jobs:
     each round joins the samples with the two centres of their video and averages them again, pre-aggregated on
     the map side.  The first centre is the sample farthest from the video's mean, the second the one farthest
-    from the first.  Team 1 is the centre that comes first in order.  ``components`` projects the embeddings of
+    from the first.  Rounds go on until no centre moves, or for ``max_iter``.  Team 1 is the centre that comes first in order.  ``components`` projects the embeddings of
     all videos first.
     """
     rows = samples.select(*PLAYER, "sample_id", F.col("features").cast("array<double>").alias("_f"))
@@ -259,7 +261,7 @@ def team_colors(samples: DataFrame, max_iter: int = 20, components: int | None =
     second = farthest(rows.join(start, "video_id"), "_c1", "_c2")
     centers = durable(start.join(second, "video_id"))
     nearest = F.when(_dist2(F.col("_f"), F.col("_c1")) < _dist2(F.col("_f"), F.col("_c2")), 1).otherwise(2)
-    for _ in range(max_iter):
+    for _ in count() if max_iter is None else range(max_iter):
         means = mean(rows.join(centers, "video_id").select("video_id", "_f", nearest.alias("_t")), "video_id", "_t")
         pair = means.groupBy("video_id").agg(*[F.first(F.when(F.col("_t") == t, F.col("_m")), ignorenulls=True).alias(f"_n{t}") for t in (1, 2)])
         moved = durable(centers.join(pair, "video_id").select(

@@ -153,13 +153,13 @@ WITH m AS (SELECT video_id, list(v ORDER BY d) AS m FROM (SELECT video_id, d, av
   a AS (SELECT video_id, f AS c1 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {_D2.format(a='f', b='m')} DESC, sample_id) AS rn FROM colors JOIN m USING (video_id)) r WHERE rn = 1)
 SELECT video_id, c1, f AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {_D2.format(a='f', b='c1')} DESC, sample_id) AS rn FROM colors JOIN a USING (video_id)) r WHERE rn = 1""")
 derive("color_walk", ("colors", "color_start"), f"""
-WITH RECURSIVE walk AS (SELECT video_id, 0 AS it, c1, c2 FROM color_start
-  UNION ALL SELECT video_id, it + 1, list(n1 ORDER BY d), list(n2 ORDER BY d) FROM (
-    SELECT video_id, it, d, coalesce(avg(f[d]) FILTER (t1), min(c1[d])) AS n1, coalesce(avg(f[d]) FILTER (NOT t1), min(c2[d])) AS n2 FROM (
+WITH RECURSIVE walk AS (SELECT video_id, 0 AS it, c1, c2, true AS moved FROM color_start
+  UNION ALL SELECT video_id, it + 1, list(n1 ORDER BY d), list(n2 ORDER BY d), sum((n1-o1)*(n1-o1) + (n2-o2)*(n2-o2)) > 1e-12 FROM (
+    SELECT video_id, it, d, coalesce(avg(f[d]) FILTER (t1), min(c1[d])) AS n1, coalesce(avg(f[d]) FILTER (NOT t1), min(c2[d])) AS n2, min(c1[d]) AS o1, min(c2[d]) AS o2 FROM (
       SELECT *, unnest(range(1, len(f)+1)) AS d FROM (
-        SELECT w.video_id, w.it, w.c1, w.c2, s.f, {_D2.format(a='s.f', b='w.c1')} < {_D2.format(a='s.f', b='w.c2')} AS t1 FROM walk w JOIN colors s ON s.video_id = w.video_id WHERE w.it < 20) j) u
+        SELECT w.video_id, w.it, w.c1, w.c2, s.f, {_D2.format(a='s.f', b='w.c1')} < {_D2.format(a='s.f', b='w.c2')} AS t1 FROM walk w JOIN colors s ON s.video_id = w.video_id WHERE w.moved) j) u
     GROUP BY video_id, it, d) g GROUP BY video_id, it)
-SELECT video_id, least(c1, c2) AS c1, greatest(c1, c2) AS c2 FROM walk WHERE it = 20""")
+SELECT video_id, least(c1, c2) AS c1, greatest(c1, c2) AS c2 FROM walk WHERE NOT moved""")
 query("team_colors", lambda t: ident.team_colors(t.samples), ("colors", "color_walk"), f"""
 SELECT *, CAST(CASE WHEN votes_1 >= votes_2 THEN 1 ELSE 2 END AS INT) AS team FROM (
   SELECT video_id, player_id, count(*) FILTER (t1) AS votes_1, count(*) FILTER (NOT t1) AS votes_2 FROM (
