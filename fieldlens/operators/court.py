@@ -275,8 +275,25 @@ def ball_ema(ball: DataFrame, frames: DataFrame, alpha: float = 0.5, max_coast:
     )
 
 
-def fill_positions(positions: DataFrame, frames: DataFrame, span: int = SPAN) -> DataFrame:
-    """Every player in every frame of the video: linear between sightings, nearest sighting outside."""
+def fill_positions(positions: DataFrame, frames: DataFrame, batch_size: int | None = 250, span: int = SPAN) -> DataFrame:
+    """Every player of a batch in every frame of it: linear between the batch's sightings, nearest sighting outside.
+
+    Batches are independent, so a player is filled only near its sightings, and (video, batch) spreads a long video over all tasks.
+    ``batch_size=None`` takes a video as one batch.
+    """
+    if batch_size:
+        batch = div_floor(F.col("frame_idx"), batch_size)
+        keys = ["video_id", "_batch"]
+        seen = positions.select("video_id", batch.alias("_batch"), "player_id", "frame_idx", "x", "y")
+        spine = frames.select("video_id", batch.alias("_batch"), "frame_idx").join(seen.select(*keys, "player_id").distinct(), keys)
+        both = spine.join(seen, [*keys, "player_id", "frame_idx"], "left")
+        one = Window.partitionBy(*keys, "player_id").orderBy("frame_idx")
+        here = F.when(F.col("x").isNotNull(), F.struct("frame_idx", "x", "y"))
+        both = both.withColumns({
+            "_a": F.last(here, ignorenulls=True).over(one.rowsBetween(Window.unboundedPreceding, 0)),
+            "_b": F.first(here, ignorenulls=True).over(one.rowsBetween(0, Window.unboundedFollowing)),
+        })
+        return _between(both)
     players = positions.select(*PLAYER).distinct()
     spine = frames.select("video_id", "frame_idx").join(players, "video_id")
     seen = spine.join(positions.select("video_id", "frame_idx", "player_id", "x", "y"),
@@ -284,6 +301,11 @@ def fill_positions(positions: DataFrame, frames: DataFrame, span: int = SPAN) ->
     here = F.when(F.col("x").isNotNull(), F.struct("frame_idx", "x", "y"))
     both = running(seen, PLAYER, "frame_idx", {"_a": ("last", here, True)}, span=span, keep=True)
     both = running(both, PLAYER, "frame_idx", {"_b": ("last", here, True)}, span=span, reverse=True)
+    return _between(both)
+
+
+def _between(both: DataFrame) -> DataFrame:
+    """Points between the sightings ``_a`` before and ``_b`` after."""
     gap = F.col("_b.frame_idx") - F.col("_a.frame_idx")
     t = (F.col("frame_idx") - F.col("_a.frame_idx")) / gap
 
@@ -305,20 +327,23 @@ def heatmap_point_filter(positions: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def heatmap_grid(
-    points: DataFrame, votes: DataFrame, stats: DataFrame, totals: DataFrame, cell_px: int = 20, long_video: int = 90
+    points: DataFrame, votes: DataFrame, stats: DataFrame, totals: DataFrame, cell_px: int = 20, long_video: int | None = 90
 ) -> DataFrame:
     """Points per cell of the 2800x1500 canvas for team 1, team 2 and the match.
 
     ``votes`` (video, player, team) stand in for a missing frame team; ``stats`` (total_distance_m,
-    avg_speed_kmh) mark stationary people, left out of videos of ``long_video`` frames or more (``totals``).
+    avg_speed_kmh) mark stationary people, left out of videos of ``long_video`` frames or more (``totals``); with
+    ``long_video=None`` they stay in all.
     """
     width, height = 2800, 1500
-    still = (
-        stats.join(totals.filter(F.col("total_frames") >= long_video).select("video_id"), "video_id", "left_semi")
-        .filter((F.col("total_distance_m") < 3.0) | (F.col("avg_speed_kmh") < 0.8))
-        .select(*PLAYER)
-    )
-    moving = points.join(still, PLAYER, "left_anti")
+    moving = points
+    if long_video is not None:
+        still = (
+            stats.join(totals.filter(F.col("total_frames") >= long_video).select("video_id"), "video_id", "left_semi")
+            .filter((F.col("total_distance_m") < 3.0) | (F.col("avg_speed_kmh") < 0.8))
+            .select(*PLAYER)
+        )
+        moving = points.join(still, PLAYER, "left_anti")
     voted = moving.join(votes.select(*PLAYER, F.col("team").alias("_voted")), PLAYER, "left")
     px, py = truncate(F.col("x") / COURT_W * width), truncate(F.col("y") / COURT_H * height)
     team = F.when(F.col("team").isin(1, 2), F.col("team")).otherwise(F.col("_voted"))

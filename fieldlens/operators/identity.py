@@ -153,6 +153,14 @@ def referee_match(
     return counted.withColumn("is_referee", F.col("vote_no") >= votes)
 
 
+def referee_tracks(tracks: DataFrame, matches: DataFrame, batch_size: int = 250) -> DataFrame:
+    """Tracks with the flag that ``referee_match`` decides: set from the first frame of the batch in which the votes are reached."""
+    decided = matches.filter("is_referee").groupBy(*PLAYER).agg(F.min("frame_idx").alias("_decided"))  # one row per referee
+    start = div_floor(F.col("_decided"), batch_size) * batch_size
+    flagged = F.coalesce(F.col("frame_idx") >= start, F.lit(False))
+    return tracks.join(decided, PLAYER, "left").withColumn("is_referee", F.col("is_referee") | flagged).drop("_decided")
+
+
 def running_team_votes(votes: DataFrame, every: int = 5, span: int = SPAN) -> DataFrame:
     """Running team of a track from every ``every``-th frame of it; team 1 without votes and on a tie."""
     numbered = running(votes, PLAYER, "frame_idx", {"_n": ("sum", F.lit(1).cast("bigint"), True)}, span=span, keep=True)
@@ -193,40 +201,39 @@ def role_votes(tracks: DataFrame, batch: int = 250) -> DataFrame:
 
 
 def jersey_ocr_votes(
-    readings: DataFrame, min_prob: float = 0.35, accept: float = 0.8, lock: float = 1.5, attempts: int = 10,
-    stride: int = 5, span: int = SPAN,
+    readings: DataFrame, min_prob: float = 0.35, accept: float = 0.8, lock: float = 1.5, attempts: int | None = 10,
+    stride: int = 5, officials: DataFrame | None = None, span: int = SPAN,
 ) -> DataFrame:
     """Jersey known after each reading attempt of a track, and whether it is locked.
 
-    Every ``stride``-th sighting is read, ``attempts`` times at most; probabilities add up per text.  Only the
-    ten first attempts of a track count, so the texts of one track fit in one small window.
+    Every ``stride``-th sighting is read, ``attempts`` times at most (``None``: always); probabilities add up per text.  Scores
+    only grow, so the best text so far is a running maximum.  Sightings in ``officials`` (video, frame, player) are skipped.
     """
+    at = [*PLAYER, "frame_idx"]
     one = F.lit(1).cast("bigint")
-    seen = readings.groupBy(*PLAYER, "frame_idx").agg(F.collect_list(F.struct("text", "prob")).alias("_reads"))
+    if officials is not None:
+        readings = readings.join(officials.select(*at).distinct(), at, "left_anti")
+    seen = readings.groupBy(*at).agg(F.collect_list(F.struct("text", "prob")).alias("_reads"))
     numbered = running(seen, PLAYER, "frame_idx", {"_n": ("sum", one, True)}, span=span)
-    tries = numbered.filter(((F.col("_n") - 1) % stride == 0) & (F.col("_n") <= stride * attempts)).withColumn(
+    due = (F.col("_n") - 1) % stride == 0
+    tries = numbered.filter(due & (F.col("_n") <= stride * attempts) if attempts else due).withColumn(
         "attempt", F.floor((F.col("_n") - 1) / stride).cast("int") + 1
     )
-    texts = tries.select(*PLAYER, "frame_idx", "attempt", F.explode_outer("_reads").alias("_r")).select(
-        *PLAYER, "frame_idx", "attempt", F.trim("_r.text").alias("text"), F.col("_r.prob").alias("prob")
-    )
-    valid = (F.col("prob") > min_prob) & F.col("text").rlike("^[0-9]{1,2}$")
-    # state after attempt a: sums over attempts <= a; a track has at most `attempts` rows to spread
-    spread = texts.filter(valid).withColumn("_upto", F.explode(F.sequence(F.col("attempt"), F.lit(attempts))))
-    sums = spread.groupBy(*PLAYER, F.col("_upto").alias("attempt"), "text").agg(
-        pyround(F.sum("prob"), 9).alias("score"), F.min("attempt").alias("_first")
-    )
-    best = sums.filter(F.col("score") >= accept).groupBy(*PLAYER, "attempt").agg(
-        F.max(F.struct("score", (-F.col("_first")).alias("f"), "text")).alias("b")
+    texts = tries.select(*at, "attempt", F.explode("_reads").alias("_r")).select(
+        *at, "attempt", F.trim("_r.text").alias("text"), F.col("_r.prob").alias("prob")
     )
-    state = tries.select(*PLAYER, "frame_idx", "attempt").join(best, [*PLAYER, "attempt"], "left")
+    valid = texts.filter((F.col("prob") > min_prob) & F.col("text").rlike("^[0-9]{1,2}$"))
+    added = valid.groupBy(*at, "text").agg(F.sum("prob").alias("_add"), F.min("attempt").alias("_at"))
+    sums = running(added, [*PLAYER, "text"], "frame_idx", {"_sum": ("sum", F.col("_add"), True), "_first": ("min", F.col("_at"), True)}, span=span)
+    sums = sums.withColumn("score", pyround(F.col("_sum"), 9)).filter(F.col("score") >= accept)
+    best = sums.groupBy(*at).agg(F.max(F.struct("score", (-F.col("_first")).alias("f"), "text")).alias("_best"))
+    state = tries.select(*at, "attempt").join(best, at, "left")
+    crossed = F.when(F.col("_b.score") >= lock, F.struct("attempt", F.col("_b.text").alias("text")))
+    state = running(state, PLAYER, "frame_idx", {"_b": ("max", F.col("_best"), True)}, span=span)
     # once locked, later attempts are skipped: the first locked attempt decides
-    w = Window.partitionBy(*PLAYER).orderBy("attempt")
-    crossed = F.when(F.col("b.score") >= lock, F.col("b.text"))
-    state = state.withColumn("_locked", F.first(crossed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    state = running(state, PLAYER, "frame_idx", {"_lock": ("min", crossed, True)}, span=span)
     return state.select(
-        *PLAYER, "frame_idx", "attempt",
-        F.coalesce("_locked", F.col("b.text")).alias("jersey"), F.col("_locked").isNotNull().alias("locked"),
+        *at, "attempt", F.coalesce("_lock.text", "_b.text").alias("jersey"), F.col("_lock").isNotNull().alias("locked"),
     )
 
 

@@ -47,8 +47,8 @@ query("project_points", lambda t: six(court.project_points(foot_points(t), calib
 SELECT video_id, frame_idx, player_id, {R('greatest(0, least(200, px))', 6)} AS x, {R('greatest(0, least(107, py))', 6)} AS y
 FROM projected WHERE px BETWEEN -30 AND CAST(230 AS DOUBLE) AND py BETWEEN -107*CAST(0.15 AS DOUBLE) AND 107*CAST(1.15 AS DOUBLE)""")
 query("homography_lookup", lambda t: court.homography_lookup(foot_points(t), calibrations(t)).select(
-    "video_id", "frame_idx", "player_id", "frame_from", "frame_to", F.col("h")[0].alias("h0")), ("tracks", "calibration_cols"), """
-SELECT video_id, frame_idx, player_id, frame_from, frame_to, h0 FROM tracks t JOIN calibration_cols c USING (video_id)
+    "video_id", "frame_idx", "player_id", "frame_from", "frame_to", *[F.col("h")[i].alias(f"h{i}") for i in range(9)]), ("tracks", "calibration_cols"), """
+SELECT video_id, frame_idx, player_id, frame_from, frame_to, h0, h1, h2, h3, h4, h5, h6, h7, h8 FROM tracks t JOIN calibration_cols c USING (video_id)
 WHERE frame_idx BETWEEN frame_from AND frame_to""")
 derive("metric", ("ball", "calibration_cols"), """
 SELECT video_id, frame_idx, CASE WHEN ok THEN mx END AS mx, CASE WHEN ok THEN my END AS my FROM (
@@ -92,7 +92,7 @@ SELECT video_id, delivery_key, coalesce(string_agg(CAST(px AS STRING) || ',' ||
     SELECT video_id, delivery_key, frame_idx, 120 + mx/CAST(20.12 AS DOUBLE)*360 AS x, 160 + my*40/CAST(3.05 AS DOUBLE)*80 AS y FROM flight) f) g) h
 GROUP BY video_id, delivery_key""")
 query("ground_map", lambda t: court.ground_map(
-    t.deliveries_raw.filter("metric_x IS NOT NULL").select(
+    t.deliveries_raw.select(
         "video_id", "delivery_key", (F.col("metric_x") * 3 - 5).alias("mx"), (F.col("metric_y") * 40).alias("my"))), ("deliveries",), """
 SELECT video_id, delivery_key, mx, my,
   CAST(round_even(CASE WHEN d > 250 THEN 265 + dx/d*250 ELSE px END, 0) AS BIGINT) AS ground_x,
@@ -101,7 +101,7 @@ FROM (SELECT *, px-265 AS dx, py-263 AS dy, sqrt((px-265)*(px-265)+(py-263)*(py-
   SELECT *, CASE WHEN pitch THEN 265 + my*(CAST(24.5 AS DOUBLE)/CAST(1.525 AS DOUBLE)) ELSE 265 + my*(CAST(254 AS DOUBLE)/70) END AS px,
     CASE WHEN pitch THEN 185 + mx/CAST(20.12 AS DOUBLE)*155 ELSE 263 + (mx - CAST(10.06 AS DOUBLE))*(CAST(254 AS DOUBLE)/70) END AS py
   FROM (SELECT *, mx BETWEEN 0 AND CAST(20.12 AS DOUBLE) AND abs(my) <= CAST(1.525 AS DOUBLE) + 0.5 AS pitch FROM (
-    SELECT video_id, delivery_key, metric_x*3 - 5 AS mx, metric_y*40 AS my FROM deliveries WHERE metric_x IS NOT NULL) a) b) c) d""")
+    SELECT video_id, delivery_key, metric_x*3 - 5 AS mx, metric_y*40 AS my FROM deliveries) a) b) c) d""")
 query("px_to_meters", lambda t: court.px_to_meters(t.positions), ("positions",),
       "SELECT *, x*CAST(28 AS DOUBLE)/200 AS x_m, y*CAST(15 AS DOUBLE)/107 AS y_m FROM positions")
 query("keyframe_asof", lambda t: court.keyframe_asof(
@@ -178,20 +178,28 @@ SELECT video_id, frame_idx, {', '.join(f'l{c} AS {c}' for c in _BOX)}, coalesce(
   SELECT f.video_id, f.frame_idx, b.conf, {', '.join(f'last_value(b.{c} IGNORE NULLS) OVER w AS l{c}' for c in _BOX)}, last_value(b.frame_idx IGNORE NULLS) OVER w AS lf
   FROM frames f LEFT JOIN ball_smooth b ON b.video_id = f.video_id AND b.frame_idx = f.frame_idx
   WINDOW w AS (PARTITION BY f.video_id ORDER BY f.frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) h WHERE frame_idx - lf <= 10""")
-derive("filled", ("positions", "frames"), """
+
+
+def _filled(batch):
+    """Filled positions in batches of so many frames."""
+    return f"""
 SELECT video_id, frame_idx, player_id,
-  CASE WHEN fb > fa THEN (1-(frame_idx-fa)/(fb-fa))*xa + (frame_idx-fa)/(fb-fa)*xb ELSE coalesce(xa, xb) END AS x,
-  CASE WHEN fb > fa THEN (1-(frame_idx-fa)/(fb-fa))*ya + (frame_idx-fa)/(fb-fa)*yb ELSE coalesce(ya, yb) END AS y
+  {R('CASE WHEN fb > fa THEN (1-(frame_idx-fa)/(fb-fa))*xa + (frame_idx-fa)/(fb-fa)*xb ELSE coalesce(xa, xb) END', 6)} AS x,
+  {R('CASE WHEN fb > fa THEN (1-(frame_idx-fa)/(fb-fa))*ya + (frame_idx-fa)/(fb-fa)*yb ELSE coalesce(ya, yb) END', 6)} AS y
 FROM (SELECT video_id, frame_idx, player_id,
     CAST(last_value(f IGNORE NULLS) OVER p AS DOUBLE) AS fa, last_value(x IGNORE NULLS) OVER p AS xa, last_value(y IGNORE NULLS) OVER p AS ya,
     CAST(first_value(f IGNORE NULLS) OVER n AS DOUBLE) AS fb, first_value(x IGNORE NULLS) OVER n AS xb, first_value(y IGNORE NULLS) OVER n AS yb
-  FROM (SELECT s.video_id, s.frame_idx, s.player_id, p.frame_idx AS f, p.x, p.y
-    FROM (SELECT f.video_id, f.frame_idx, player_id FROM frames f JOIN (SELECT DISTINCT video_id, player_id FROM positions) d USING (video_id)) s
+  FROM (SELECT s.video_id, s.k, s.frame_idx, s.player_id, p.frame_idx AS f, p.x, p.y
+    FROM (SELECT f.video_id, k, f.frame_idx, player_id FROM (SELECT *, frame_idx//{batch} AS k FROM frames) f
+      JOIN (SELECT DISTINCT video_id, player_id, frame_idx//{batch} AS k FROM positions) d USING (video_id, k)) s
     LEFT JOIN positions p ON p.video_id = s.video_id AND p.frame_idx = s.frame_idx AND p.player_id = s.player_id) j
-  WINDOW p AS (PARTITION BY video_id, player_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-         n AS (PARTITION BY video_id, player_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) w""")
-query("fill_positions", lambda t: six(court.fill_positions(t.positions, t.frames), "x", "y"), ("filled",),
-      f"SELECT video_id, frame_idx, player_id, {R('x', 6)} AS x, {R('y', 6)} AS y FROM filled")
+  WINDOW p AS (PARTITION BY video_id, k, player_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         n AS (PARTITION BY video_id, k, player_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) w"""
+
+
+query("fill_positions", lambda t: six(court.fill_positions(t.positions, t.frames), "x", "y"), ("positions", "frames"), _filled(250))
+query("fill_positions_short", lambda t: six(court.fill_positions(t.positions, t.frames, batch_size=20), "x", "y"), ("positions", "frames"), _filled(20))
+query("fill_positions_whole", lambda t: six(court.fill_positions(t.positions, t.frames, batch_size=None), "x", "y"), ("positions", "frames"), _filled(1 << 40))
 
 derive("heat_points", ("positions", "tracks"), """
 SELECT p.video_id, p.frame_idx, p.player_id, p.x, p.y, t.team FROM positions p LEFT JOIN tracks t USING (video_id, frame_idx, player_id)

@@ -59,9 +59,9 @@ WHERE NOT (frames < 10 AND dist_m < 1 AND speed_samples < 5)""")
 
 
 def voted_tracks(t: Tables):
-    voted = ident.team_vote(t.tracks).select(*ident.PLAYER, "team").join(
-        ident.jersey_vote(t.tracks).select(*ident.PLAYER, "jersey"), ident.PLAYER)
-    return t.tracks.select("video_id", "frame_idx", "player_id").join(voted, ident.PLAYER)
+    voted = ident.team_vote(t.tracklets).select(*ident.PLAYER, "team").join(
+        ident.jersey_vote(t.tracklets).select(*ident.PLAYER, "jersey"), ident.PLAYER)
+    return t.tracklets.select("video_id", "frame_idx", "player_id").join(voted, ident.PLAYER)
 
 
 derive("overlap", ("tracks", "team_mode", "jersey_mode"), """
@@ -70,7 +70,8 @@ WITH v AS (SELECT t.video_id, t.frame_idx, t.player_id, m.team, j.jersey FROM tr
 SELECT a.video_id, a.team, a.jersey, a.player_id AS player_a, b.player_id AS player_b, count(*) AS common_frames, count(*) > 10 AS conflict
 FROM v a JOIN v b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.team = b.team AND a.jersey = b.jersey AND a.player_id < b.player_id
 GROUP BY ALL""")
-query("overlap_tracks", lambda t: ident.overlap_tracks(voted_tracks(t)), ("overlap",), "SELECT * FROM overlap")
+CUT = {"tracks": "tracklets", "positions": "tracklet_positions"}
+query("overlap_tracks", lambda t: ident.overlap_tracks(voted_tracks(t)), ("overlap",), "SELECT * FROM overlap", CUT)
 
 
 # the greedy choice as a recursion over the tracks of one jersey in order of votes
@@ -96,7 +97,7 @@ SELECT video_id, arg_min(player_id, -frames*1000000 + player_id) AS player_id, t
   CASE WHEN sum(speed_samples) > 0 THEN {R('max(max_speed)', 1)} ELSE CAST(0 AS DOUBLE) END AS max_speed_kmh
 FROM (SELECT s.*, CASE WHEN g.player_id IS NOT NULL THEN jersey END AS jersey_number, CASE WHEN g.player_id IS NULL THEN s.player_id END AS alone
   FROM stats s LEFT JOIN grouped g ON g.video_id = s.video_id AND g.player_id = s.player_id) j GROUP BY video_id, team, jersey_number, alone""")
-query("consolidate_players", lambda t: reports.report_players(t.tracks, t.positions), ("players",), "SELECT * FROM players")
+query("consolidate_players", lambda t: reports.report_players(t.tracklets, t.tracklet_positions), ("players",), "SELECT * FROM players", CUT)
 
 
 def all_tracks(t: Tables):
@@ -116,13 +117,17 @@ WHERE rn = 1 AND d2 < (1280*CAST(0.015 AS DOUBLE))*(1280*CAST(0.015 AS DOUBLE))"
 query("referee_match", lambda t: ident.referee_match(t.tracks, t.detections, t.frames), ("ref_matches",), """
 SELECT *, vote_no >= 3 AS is_referee FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_idx, det_id) AS vote_no FROM ref_matches) m""")
+query("referee_tracks", lambda t: ident.referee_tracks(t.tracks, ident.referee_match(t.tracks, t.detections, t.frames), batch_size=25), ("tracks", "ref_matches"), """
+SELECT t.* REPLACE (is_referee OR coalesce(frame_idx >= CAST(floor(f/25) AS BIGINT)*25, false) AS is_referee) FROM tracks t LEFT JOIN (
+  SELECT video_id, player_id, min(frame_idx) AS f FROM (
+    SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_idx, det_id) AS vote_no FROM ref_matches) m WHERE vote_no >= 3 GROUP BY ALL) d USING (video_id, player_id)""".replace("t.* REPLACE", "* EXCLUDE (f) REPLACE"))
 query("running_team_votes", lambda t: ident.running_team_votes(t.team_votes), ("team_votes",), """
 SELECT *, CAST(CASE WHEN votes_1 >= votes_2 THEN 1 ELSE 2 END AS INT) AS current_team FROM (
   SELECT video_id, frame_idx, player_id, CAST(sum(CASE WHEN (n-1)%5 = 0 AND team = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS votes_1,
     CAST(sum(CASE WHEN (n-1)%5 = 0 AND team = 2 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS votes_2
   FROM (SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_idx) AS n FROM team_votes) v
   WINDOW w AS (PARTITION BY video_id, player_id ORDER BY frame_idx)) c""")
-query("role_votes", lambda t: ident.role_votes(t.tracks, batch=25), ("tracks",), """
+_ROLES = """
 SELECT video_id, player_id, role, votes FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY votes DESC, first_batch, role) AS rn FROM (
     SELECT video_id, player_id, role, CAST(sum(n) AS BIGINT) AS votes, min(batch) AS first_batch FROM (
@@ -131,10 +136,16 @@ SELECT video_id, player_id, role, votes FROM (
         SELECT *, row_number() OVER (PARTITION BY video_id, batch ORDER BY med DESC, player_id) AS dn,
           row_number() OVER (PARTITION BY video_id, batch ORDER BY med, player_id) AS up, count(*) OVER (PARTITION BY video_id, batch) AS players
         FROM (SELECT video_id, CAST(floor(frame_idx/25) AS BIGINT) AS batch, player_id, median(y2) AS med, count(*) AS n
-          FROM tracks GROUP BY ALL) m) k) c WHERE role IS NOT NULL GROUP BY ALL) v) r WHERE rn = 1""")
-derive("ocr_state", ("readings",), f"""
+          FROM tracks GROUP BY ALL) m) k) c WHERE role IS NOT NULL GROUP BY ALL) v) r WHERE rn = 1"""
+query("role_votes", lambda t: ident.role_votes(t.tracks), ("tracks",), _ROLES.replace("/25", "/250"))
+query("role_votes_short", lambda t: ident.role_votes(t.tracks, batch=25), ("tracks",), _ROLES)
+
+
+def _ocr(table, most):
+    """Jersey and lock after each of the first ``most`` attempts."""
+    return f"""
 WITH tries AS (SELECT video_id, player_id, frame_idx, text, prob, CAST((n-1)/5 AS INT) + 1 AS attempt FROM (
-    SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_idx) AS n FROM readings) r WHERE (n-1)%5 = 0 AND n <= 50),
+    SELECT *, row_number() OVER (PARTITION BY video_id, player_id ORDER BY frame_idx) AS n FROM {table}) r WHERE (n-1)%5 = 0 AND n <= {5 * most}),
   scores AS (SELECT a.video_id, a.player_id, a.frame_idx, a.attempt, b.text, {R('sum(b.prob)', 9)} AS score, min(b.attempt) AS fst
     FROM tries a JOIN tries b ON a.video_id = b.video_id AND a.player_id = b.player_id AND b.attempt <= a.attempt
     WHERE b.prob > CAST(0.35 AS DOUBLE) AND regexp_full_match(trim(b.text), '[0-9]{{1,2}}') GROUP BY ALL),
@@ -143,9 +154,18 @@ WITH tries AS (SELECT video_id, player_id, frame_idx, text, prob, CAST((n-1)/5 A
   state AS (SELECT t.video_id, t.player_id, t.frame_idx, t.attempt, b.text, first_value(CASE WHEN score >= 1.5 THEN b.text END IGNORE NULLS) OVER (
     PARTITION BY t.video_id, t.player_id ORDER BY t.attempt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lockd
     FROM tries t LEFT JOIN best b USING (video_id, player_id, attempt))
-SELECT * FROM state""")
-query("jersey_ocr_votes", lambda t: ident.jersey_ocr_votes(t.readings), ("ocr_state",), """
-SELECT video_id, player_id, frame_idx, attempt, coalesce(lockd, text) AS jersey, lockd IS NOT NULL AS locked FROM ocr_state""")
+SELECT video_id, player_id, frame_idx, attempt, coalesce(lockd, text) AS jersey, lockd IS NOT NULL AS locked FROM state"""
+
+
+derive("ocr_state", ("readings",), _ocr("readings", 10))
+derive("ocr_all", ("readings",), _ocr("readings", 1 << 30))
+derive("player_readings", ("readings", "tracks"), """
+SELECT r.* FROM readings r ANTI JOIN (SELECT * FROM tracks WHERE team = 0 OR is_referee OR is_sideline) t USING (video_id, frame_idx, player_id)""")
+derive("ocr_players", ("player_readings",), _ocr("player_readings", 10))
+query("jersey_ocr_votes", lambda t: ident.jersey_ocr_votes(t.readings), ("ocr_state",), "SELECT * FROM ocr_state")
+query("jersey_ocr_votes_all", lambda t: ident.jersey_ocr_votes(t.readings, attempts=None), ("ocr_all",), "SELECT * FROM ocr_all")
+query("jersey_ocr_votes_players", lambda t: ident.jersey_ocr_votes(
+    t.readings, officials=t.tracks.filter("team = 0 OR is_referee OR is_sideline")), ("ocr_players",), "SELECT * FROM ocr_players")
 _D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]-p[2])*(p[1]-p[2])))"
 derive("colors", ("samples",), "SELECT video_id, player_id, sample_id, CAST(features AS DOUBLE[]) AS f FROM samples")
 derive("color_start", ("colors",), f"""

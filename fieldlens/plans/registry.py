@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,23 @@ def derive(name: str, needs: tuple[str, ...], sql: str) -> None:
     DERIVED[name] = (needs, " ".join(sql.split()))
 
 
-def query(name: str, plan: Callable[[Tables], DataFrame], needs: tuple[str, ...] = (), sql: str | None = None) -> None:
-    """Register ``plan`` and, if it has one, the SQL over the tables in ``needs``."""
+def query(
+    name: str, plan: Callable[[Tables], DataFrame], needs: tuple[str, ...] = (), sql: str | None = None, swap: dict[str, str] | None = None
+) -> None:
+    """Register ``plan`` and, if it has one, the SQL over the tables in ``needs``.
+
+    ``swap`` lets derived tables read other engine tables than those they name.
+    """
     QUERIES[name] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
     if sql is not None:
-        ORACLES[name] = _with_tables(needs, " ".join(sql.split()))
+        ORACLES[name] = _with_tables(needs, " ".join(sql.split()), swap or {})
+
 
+def _with_tables(needs: tuple[str, ...], body: str, swap: dict[str, str]) -> str:
+    def other(text: str) -> str:
+        return re.sub(r"\w+", lambda m: swap.get(m[0], m[0]), text)
 
-def _with_tables(needs: tuple[str, ...], body: str) -> str:
-    known = {**adapters.ADAPTERS, **DERIVED}
+    known = {**adapters.ADAPTERS, **{n: (tuple(swap.get(x, x) for x in from_), other(text)) for n, (from_, text) in DERIVED.items()}}
     order: list[str] = []
 
     def visit(name: str) -> None:

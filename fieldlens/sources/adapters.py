@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.scale import positions
 
-SOURCES = ("events", "orders", "lineitem", "embeddings", "customer", "part")
+SOURCES = ("events", "orders", "embeddings", "customer")
 
 # name -> (tables it needs, SQL)
 ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -49,6 +49,15 @@ FROM (SELECT video_id, frame_idx, player_id, user_id,
     CAST(ABS(((frame_idx*(1+player_id%4) + user_id*29) % 214) - 107) AS DOUBLE) AS cy
   FROM seen) s
 """)
+# tracks cut every 24 frames, as a tracker loses people; players of one team share a jersey, so pieces of one jersey overlap or not
+_add("tracklets", ("tracks",), """
+SELECT video_id, frame_idx, player_id*10 + CAST(FLOOR(frame_idx/24) AS BIGINT) AS player_id, x1, y1, x2, y2, conf, team, is_referee, is_sideline,
+  CASE WHEN jersey = '30' THEN jersey WHEN jersey IS NOT NULL THEN CAST(4 + player_id % 4 AS STRING) END AS jersey
+FROM tracks
+""")
+_add("tracklet_positions", ("positions",), """
+SELECT video_id, frame_idx, player_id*10 + CAST(FLOOR(frame_idx/24) AS BIGINT) AS player_id, x, y FROM positions
+""")
 _add("frames", ("seen",), """
 SELECT video_id, frame_idx, CAST(1280 AS INT) AS width, CAST(720 AS INT) AS height
 FROM (SELECT DISTINCT video_id, frame_idx FROM seen) f
