@@ -166,18 +166,19 @@ SELECT *, sum(brk) OVER (PARTITION BY video_id, player_id ORDER BY frame_idx) AS
   SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, player_id ORDER BY frame_idx) = 1 THEN 0 ELSE 1 END AS brk FROM positions) p""")
 query("minimap_smoothing", lambda t: six(court.minimap_smoothing(t.positions), "x", "y"), ("presence",), f"""
 SELECT video_id, frame_idx, player_id, {_fold('x', 'video_id, player_id, island', 0.2, 0.8)} AS x, {_fold('y', 'video_id, player_id, island', 0.2, 0.8)} AS y FROM presence""")
-# the test ball is lost for 20 frames at most, so a shorter coast is asked for
-derive("ball_runs", ("ball",), """
-SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM (
-  SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) <= 11 THEN 0 ELSE 1 END AS brk FROM ball) p""")
 _BOX = ("x1", "y1", "x2", "y2")
-derive("ball_smooth", ("ball_runs",), f"""
-SELECT video_id, frame_idx, conf, {', '.join(f"{_fold(c, 'video_id, island', 0.5, 0.5)} AS {c}" for c in _BOX)} FROM ball_runs""")
-query("ball_ema", lambda t: six(court.ball_ema(t.ball, t.frames, max_coast=10), *_BOX), ("ball_smooth", "frames"), f"""
+# the test ball is lost for 20 frames at most, so a shorter coast is asked for too
+for _name, _coast in (("ball_ema", 10), ("ball_ema_default", 30)):
+    derive(f"{_name}_runs", ("ball",), f"""
+SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY frame_idx) AS island FROM (
+  SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) <= {_coast + 1} THEN 0 ELSE 1 END AS brk FROM ball) p""")
+    derive(f"{_name}_smooth", (f"{_name}_runs",), f"""
+SELECT video_id, frame_idx, conf, {', '.join(f"{_fold(c, 'video_id, island', 0.5, 0.5)} AS {c}" for c in _BOX)} FROM {_name}_runs""")
+    query(_name, lambda t, coast=_coast: six(court.ball_ema(t.ball, t.frames, max_coast=coast), *_BOX), (f"{_name}_smooth", "frames"), f"""
 SELECT video_id, frame_idx, {', '.join(f'l{c} AS {c}' for c in _BOX)}, coalesce(conf, 0.5) AS conf, conf IS NULL AS is_coasting FROM (
   SELECT f.video_id, f.frame_idx, b.conf, {', '.join(f'last_value(b.{c} IGNORE NULLS) OVER w AS l{c}' for c in _BOX)}, last_value(b.frame_idx IGNORE NULLS) OVER w AS lf
-  FROM frames f LEFT JOIN ball_smooth b ON b.video_id = f.video_id AND b.frame_idx = f.frame_idx
-  WINDOW w AS (PARTITION BY f.video_id ORDER BY f.frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) h WHERE frame_idx - lf <= 10""")
+  FROM frames f LEFT JOIN {_name}_smooth b ON b.video_id = f.video_id AND b.frame_idx = f.frame_idx
+  WINDOW w AS (PARTITION BY f.video_id ORDER BY f.frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) h WHERE frame_idx - lf <= {_coast}""")
 
 
 def _filled(batch):

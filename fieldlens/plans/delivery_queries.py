@@ -303,10 +303,14 @@ def energies(t: Tables):
 
 
 query("rms_energy", lambda t: six(energies(t), "energy"), ("energy",), f"SELECT * REPLACE ({R('energy', 6)} AS energy) FROM energy")
-derive("loudness", ("energy",), """
-SELECT video_id, avg(energy) AS mean_energy, avg(energy) + CAST({k} AS DOUBLE)*stddev_pop(energy) AS threshold, count(*) AS windows FROM energy GROUP BY video_id HAVING count(*) >= 4""".replace("{k}", "0.5"))
+for _name, _k in (("loudness", "0.5"), ("loudness_default", "2")):
+    derive(_name, ("energy",), f"""
+SELECT video_id, avg(energy) AS mean_energy, avg(energy) + CAST({_k} AS DOUBLE)*stddev_pop(energy) AS threshold, count(*) AS windows FROM energy GROUP BY video_id HAVING count(*) >= 4""")
 query("energy_threshold", lambda t: six(hl.energy_threshold(energies(t), k=0.5), "mean_energy", "threshold"), ("loudness",),
       f"SELECT video_id, {R('mean_energy', 6)} AS mean_energy, {R('threshold', 6)} AS threshold, windows FROM loudness")
+query("energy_threshold_default", lambda t: six(hl.energy_threshold(energies(t)), "mean_energy", "threshold"), ("loudness_default",),
+      f"SELECT video_id, {R('mean_energy', 6)} AS mean_energy, {R('threshold', 6)} AS threshold, windows FROM loudness_default")
+derive("loud_default", ("energy", "loudness_default"), "SELECT video_id, time_s FROM energy JOIN loudness_default USING (video_id) WHERE energy > threshold")
 derive("loud", ("energy", "loudness"), "SELECT video_id, time_s FROM energy JOIN loudness USING (video_id) WHERE energy > threshold")
 
 
@@ -319,13 +323,19 @@ SELECT * FROM g"""
 derive("peaks", ("loud",), spaced_sql("loud", "time_s", D(20)))
 query("audio_peaks", lambda t: (lambda e: hl.audio_peaks(e, hl.energy_threshold(e, k=0.5), fps=30.0, min_gap_s=20.0))(energies(t)), ("peaks",), f"""
 SELECT video_id, {R('time_s', 2)} AS peak_time_s, CAST(round_even(time_s*30, 0) AS BIGINT) AS frame_idx FROM peaks""")
+derive("peaks_default", ("loud_default",), spaced_sql("loud_default", "time_s", "2"))
+query("audio_peaks_default", lambda t: (lambda e: hl.audio_peaks(e, hl.energy_threshold(e)))(energies(t)), ("peaks_default",), f"""
+SELECT video_id, {R('time_s', 2)} AS peak_time_s, CAST(round_even(time_s*30, 0) AS BIGINT) AS frame_idx FROM peaks_default""")
 derive("spaced_roars", ("roars",), spaced_sql("roars", "frame_idx", "600"))
 query("greedy_spacing", lambda t: hl.greedy_spacing(t.roars, "frame_idx", 600), ("spaced_roars",), "SELECT * FROM spaced_roars")
-derive("bursts", ("confidences",), """
+_BURSTS = """
 SELECT video_id, greatest(0, frame_idx-8) AS start_pos, CASE WHEN stop IS NULL THEN n ELSE least(n, stop+4) END AS end_pos FROM (
   SELECT c.*, coalesce(p.conf, 0) AS prev, (SELECT min(frame_idx) FROM confidences s WHERE s.video_id = c.video_id AND s.frame_idx > c.frame_idx AND s.conf < 0.5) AS stop,
     max(c.frame_idx) OVER (PARTITION BY c.video_id) + 1 AS n
-  FROM confidences c LEFT JOIN confidences p ON p.video_id = c.video_id AND p.frame_idx = c.frame_idx - 1) a WHERE conf >= 0.5 AND prev < 0.5""")
+  FROM confidences c LEFT JOIN confidences p ON p.video_id = c.video_id AND p.frame_idx = c.frame_idx - 1) a WHERE conf >= 0.5 AND prev < 0.5"""
+derive("bursts", ("confidences",), _BURSTS)
+derive("bursts_default", ("confidences",), _BURSTS.replace("frame_idx-8", "frame_idx-120").replace("stop+4", "stop+60"))
+query("confidence_intervals_default", lambda t: hl.confidence_intervals(t.confidences), ("bursts_default",), "SELECT video_id, start_pos, CAST(end_pos AS BIGINT) AS end_pos FROM bursts_default")
 
 
 def bursts(t: Tables):
@@ -492,7 +502,7 @@ _H = [f"h{i}" for i in range(9)]
 # motion matrices here are (1, m1, m2; m3, 1, m5; 0, 0, 1); their inverse in closed form
 _INV = ["1/det", "-m1/det", "(m1*m5-m2)/det", "-m3/det", "1/det", "(m2*m3-m5)/det", D(0), D(0), D(1)]
 _MOVED = [" + ".join(f"h{3 * (i // 3) + k}*({_INV[3 * k + i % 3]})" for k in range(3)) for i in range(9)]
-derive("cascade", ("camera", "direct_frames", "calibration_cols"), f"""
+_CASCADE = f"""
 WITH RECURSIVE s AS (SELECT f.*, row_number() OVER (PARTITION BY f.video_id ORDER BY f.frame_idx) AS k, 1 - m1*m3 AS det, {', '.join(f'c.{h} AS d{h}' for h in _H)} FROM camera f
     LEFT JOIN (SELECT d.video_id, d.frame_idx, c.* EXCLUDE (video_id) FROM direct_frames d JOIN calibration_cols c ON c.video_id = d.video_id AND d.frame_idx BETWEEN frame_from AND frame_to) c
       ON c.video_id = f.video_id AND c.frame_idx = f.frame_idx),
@@ -501,10 +511,19 @@ WITH RECURSIVE s AS (SELECT f.*, row_number() OVER (PARTITION BY f.video_id ORDE
       {', '.join(f"CASE WHEN mode = 'direct' AND p8 IS NOT NULL THEN ({D(0.85)}*d{h} + (1-{D(0.85)})*p{i}/p8)/({D(0.85)}*dh8 + (1-{D(0.85)})*p8/p8) WHEN mode = 'direct' THEN d{h} WHEN mode = 'cmc' THEN p{i}/p8 ELSE {h} END" for i, h in enumerate(_H))}
     FROM (SELECT *, CASE WHEN dh0 IS NOT NULL THEN 'direct' WHEN h0 IS NOT NULL AND age < 8 THEN CASE WHEN p8 IS NOT NULL THEN 'cmc' ELSE 'static' END ELSE 'lost' END AS mode FROM (
       SELECT s.*, w.age, {', '.join(f'w.{h}' for h in _H)}, {', '.join(f'CASE WHEN s.known THEN {e} END AS p{i}' for i, e in enumerate(_MOVED))} FROM walk w JOIN s ON s.video_id = w.video_id AND s.k = w.k + 1) n) m)
-SELECT * FROM walk WHERE k > 0""")
-query("cascade_homography", lambda t: rg.cascade_homography(frame_calibrations(t), camera_motion(t), t.frames, budget=8).select(
-    "video_id", "frame_idx", "mode", *[pyround(F.col("h")[i], 6).alias(h) for i, h in enumerate(_H)]), ("cascade",), f"""
-SELECT video_id, frame_idx, mode, {', '.join(f"CASE WHEN mode <> 'lost' THEN {R(h, 6)} END AS {h}" for h in _H)} FROM cascade""")
+SELECT * FROM walk WHERE k > 0"""
+
+
+def cascade(t: Tables, **options):
+    found = rg.cascade_homography(frame_calibrations(t), camera_motion(t), t.frames, **options)
+    return found.select("video_id", "frame_idx", "mode", *[pyround(F.col("h")[i], 6).alias(h) for i, h in enumerate(_H)])
+
+
+derive("cascade", ("camera", "direct_frames", "calibration_cols"), _CASCADE)
+derive("cascade_default", ("camera", "direct_frames", "calibration_cols"), _CASCADE.replace("age < 8", "age < 90"))
+_KNOWN = f"""SELECT video_id, frame_idx, mode, {', '.join(f"CASE WHEN mode <> 'lost' THEN {R(h, 6)} END AS {h}" for h in _H)} FROM """
+query("cascade_homography", lambda t: cascade(t, budget=8), ("cascade",), _KNOWN + "cascade")
+query("cascade_homography_default", cascade, ("cascade_default",), _KNOWN + "cascade_default")
 
 # ---- routing, catalogue, run logs
 query("sample_frames", lambda t: six(rt.sample_frames(t.videos), "time_s"), ("videos",), f"""

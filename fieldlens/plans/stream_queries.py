@@ -12,6 +12,7 @@ from fieldlens.plans import reports
 from fieldlens.plans.court_queries import holders, six
 from fieldlens.plans.cricket_queries import D, described
 from fieldlens.plans.delivery_queries import modes
+from fieldlens.plans.identity_queries import CUT
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
 from fieldlens.scale import durable, shared_dir
 from fieldlens.sources import catalog, sinks
@@ -33,7 +34,7 @@ def feed(df: DataFrame, path: str, axis: str = "frame_idx", slices=SLICES, key:
         part = df.sparkSession.read.parquet(staged).filter(F.col(axis) >= low)
         part = part if high is None else part.filter(F.col(axis) < high)
         part.repartition(key).write.mode("append").parquet(path)
-    return st.stream_tracks(df.sparkSession, path, df.schema, at=axis, **options)
+    return st.stream_tracks(df.sparkSession, path, df.schema, **{"at": axis, **options})
 
 
 def run(t: Tables, df: DataFrame, build, **options) -> DataFrame:
@@ -65,13 +66,11 @@ query("checkpointed_run", resumed, ("tracks",), "SELECT * FROM tracks")
 
 
 def audio_stream(t: Tables) -> DataFrame:
-    """Samples at 32 per second; a closing row far in the future lets the last windows out."""
-    samples = t.audio.select("video_id", "sample_idx", "amplitude")
-    closing = t.spark.range(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("sample_idx"), F.lit(0.0).alias("amplitude"))
+    """Samples at 32 per second; every window is given out in the batch that completes it."""
     root = folder(t)
-    feed(samples, f"{root}/in", axis="sample_idx", slices=(0, 300, None))
-    stream = feed(closing, f"{root}/in", axis="sample_idx", slices=(0, None), fps=32.0, max_files=1 << 20)
-    st.checkpointed_run(st.audio_energy_stream(stream, hop=8), f"{root}/out", f"{root}/state")
+    samples = t.audio.select("video_id", "sample_idx", "amplitude")
+    stream = feed(samples, f"{root}/in", axis="sample_idx", slices=(0, 300, None), fps=32.0, max_files=1 << 20)
+    st.latest_run(st.audio_energy_stream(stream, hop=8), f"{root}/out", f"{root}/state")
     out = t.spark.read.parquet(f"{root}/out")
     return out.select("video_id", (F.unix_micros("start") / 250000).cast("bigint").alias("window_idx"), "energy")
 
@@ -83,11 +82,12 @@ def sightings(t: Tables) -> DataFrame:
     bat = t.roles.filter("role = 'batsman'").select("video_id", "frame_idx").distinct().withColumn("has_batsman", F.lit(True))
     ball = t.ball.select("video_id", "frame_idx").distinct().withColumn("has_ball", F.lit(True))
     spine = t.frames.select("video_id", "frame_idx").join(ball, ["video_id", "frame_idx"], "left").join(bat, ["video_id", "frame_idx"], "left")
-    return spine.fillna(False, ["has_ball", "has_batsman"])
+    spine = spine.join(t.videos.select("video_id", "total_frames"), "video_id").withColumn("is_last", F.col("frame_idx") == F.col("total_frames") - 1)
+    return spine.drop("total_frames").fillna(False, ["has_ball", "has_batsman"])
 
 
-query("delivery_sessions", lambda t: run(t, sightings(t), st.delivery_sessions).select("video_id", "start_frame", "last_ball_frame", "ball_frames"),
-      ("segments",), "SELECT video_id, start_frame, last_ball_frame, ball_frames FROM segments WHERE NOT forced")
+query("delivery_sessions", lambda t: run(t, sightings(t), st.delivery_sessions),
+      ("segments",), "SELECT video_id, start_frame, last_ball_frame, done_frame, ball_frames FROM segments")
 derive("ball_islands", ("ball", "roles"), """
 WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ball b
     LEFT JOIN (SELECT DISTINCT video_id, frame_idx FROM roles WHERE role = 'batsman') r USING (video_id, frame_idx)),
@@ -97,7 +97,7 @@ SELECT video_id, min(frame_idx) AS first_ball_frame, max(frame_idx) AS last_ball
 FROM i GROUP BY video_id, isl""")
 query("ball_sessions", lambda t: run(t, sightings(t).filter("has_ball").unionByName(
     t.spark.range(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("frame_idx"),
-                                                    F.lit(True).alias("has_ball"), F.lit(False).alias("has_batsman"))),
+                                                    F.lit(True).alias("has_ball"), F.lit(False).alias("has_batsman"), F.lit(False).alias("is_last"))),
     lambda s: st.ball_sessions(s)), ("ball_islands",), "SELECT * FROM ball_islands")
 query("stateful_tracking", lambda t: six(run(t, with_ball(t).drop("width", "height"), st.kalman_stream), "conf"),
       ("tracked",), "SELECT * FROM tracked")
@@ -142,20 +142,24 @@ LEFT JOIN last_line USING (run_id) LEFT JOIN (
 
 
 def late_split(t: Tables) -> DataFrame:
-    """Every seventh row arrives 40 frames late; late rows go to their own table."""
+    """Every seventh row arrives 40 frames late and the watermark stays 30 frames behind; the slices are processed as they arrive."""
     arrival = F.col("frame_idx") + F.when((F.col("frame_idx") + F.col("player_id")) % 7 == 0, 40).otherwise(0)
-    rows = t.tracks.select("video_id", "frame_idx", "player_id", arrival.cast("bigint").alias("arrival"))
+    rows = t.tracks.select("video_id", "frame_idx", "player_id", arrival.cast("bigint").alias("arrival"), F.lit(1e6).alias("base_ts"))
     root = folder(t)
-    stream = feed(rows, f"{root}/in", axis="arrival", max_files=8)
-    st.split_late(st.late_data(stream, 30), f"{root}/ok", f"{root}/late", f"{root}/state")
-    both = t.spark.read.parquet(f"{root}/ok").withColumn("is_late", F.lit(False)).unionByName(
-        t.spark.read.parquet(f"{root}/late").withColumn("is_late", F.lit(True)))
-    return both.drop("batch")
+    for slices in zip(SLICES, SLICES[1:]):
+        stream = feed(rows, f"{root}/in", axis="arrival", slices=slices, at="frame_idx", fps=8.0, delay="3750 milliseconds")
+        st.checkpointed_run(st.late_data(stream).drop("event_time"), f"{root}/ok", f"{root}/state")
+    on_time = t.spark.read.parquet(f"{root}/ok")
+    late = st.late_rows(t.spark.read.parquet(f"{root}/in"), on_time)
+    return on_time.withColumn("is_late", F.lit(False)).unionByName(late.withColumn("is_late", F.lit(True))).drop("arrival", "base_ts")
 
 
 query("late_data", late_split, ("tracks",), """
-SELECT video_id, frame_idx, player_id, coalesce(frame_idx < max(frame_idx) OVER (PARTITION BY video_id ORDER BY arrival, frame_idx, player_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 30, false) AS is_late
-FROM (SELECT *, frame_idx + CASE WHEN (frame_idx + player_id) % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM tracks) a""")
+SELECT video_id, frame_idx, player_id, coalesce(frame_idx <= newest - 30, false) AS is_late FROM (
+  SELECT *, CASE WHEN arrival < 37 THEN 0 WHEN arrival < 80 THEN 1 ELSE 2 END AS slice FROM (
+    SELECT *, frame_idx + CASE WHEN (frame_idx + player_id) % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM tracks) r) a
+JOIN (SELECT s AS slice, max(CASE WHEN arrival < CASE s WHEN 0 THEN 0 WHEN 1 THEN 37 ELSE 80 END THEN frame_idx END) AS newest FROM (
+    SELECT frame_idx, frame_idx + CASE WHEN (frame_idx + player_id) % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM tracks) r, (SELECT unnest([0, 1, 2]) AS s) n GROUP BY s) w USING (slice)""")
 
 
 def _Z(i: str) -> str:
@@ -219,6 +223,26 @@ def cricket_files(t: Tables) -> DataFrame:
     return t.spark.read.json(f"{root}/summary").select(F.col("video_id").cast("bigint").alias("video_id"), "summary.*").select("*", "speed_analysis_kmh.*").drop("speed_analysis_kmh")
 
 
+def players_file(t: Tables) -> DataFrame:
+    """The players' block as the report writes it, read back."""
+    root = folder(t)
+    players = reports.report_players(t.tracklets, t.tracklet_positions)
+    sinks.write_basketball_report(t.videos, players, root)
+    return t.spark.read.schema(players.schema).json(f"{root}/players")
+
+
+def deliveries_file(t: Tables) -> DataFrame:
+    """The deliveries with their commentary as the report writes them, read back."""
+    root = folder(t)
+    rows = ck.commentary_line(described(t)).drop("event_runs")
+    sinks.write_cricket_report(t.videos, rows, root)
+    back = t.spark.read.schema(rows.schema).json(f"{root}/deliveries")
+    return back.select("video_id", "delivery_key", "over", "line", "length", "outcome", "runs", "is_wicket", "commentary")
+
+
+query("report_players_file", players_file, ("players",), "SELECT * FROM players", CUT)
+query("report_deliveries_file", deliveries_file, ("described", "spoken"), """
+SELECT d.video_id, delivery_key, over, line, length, outcome, runs, is_wicket, commentary FROM described d JOIN spoken s USING (delivery_key)""")
 derive("dominance", ("control",), f"""
 SELECT video_id, coalesce({R('avg(team1_pct) FILTER (sampled)', 1)}, 50) AS team1_avg_dominance_pct, coalesce({R('avg(team2_pct) FILTER (sampled)', 1)}, 50) AS team2_avg_dominance_pct FROM control GROUP BY video_id""")
 query("write_basketball_report", basketball_files, ("frames", "poss_team0", "pass_events", "steal_events", "dominance", "shot_walk", "modes"), f"""

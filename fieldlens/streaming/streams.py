@@ -72,7 +72,7 @@ def latest_run(stream: DataFrame, path: str, checkpoint: str, mode: str = "updat
 # ---- windowed ----------------------------------------------------------------------------------------
 
 def audio_energy_stream(audio: DataFrame, window: str = "250 milliseconds", hop: int | None = None) -> DataFrame:
-    """Root mean square of ``amplitude`` per tumbling window; ``hop`` drops windows without that many samples."""
+    """Root mean square of ``amplitude`` per tumbling window; ``hop`` gives out a window once it has that many samples."""
     energy = audio.groupBy("video_id", F.window("event_time", window).alias("w")).agg(
         F.sqrt(F.avg(F.col("amplitude") * F.col("amplitude"))).alias("energy"), F.count("*").alias("samples")
     )
@@ -169,7 +169,7 @@ def shot_stream(spine: DataFrame) -> DataFrame:
 
 
 def delivery_sessions(spine: DataFrame, dead_frames: int = 16, min_frames: int = 5) -> DataFrame:
-    """Deliveries as they complete, from frames with ``has_ball`` and ``has_batsman``."""
+    """Deliveries as they complete, from frames with ``has_ball``, ``has_batsman`` and ``is_last`` (the last frame of the video)."""
     return stateful_tracking(
         spine, lambda: mc.DeliverySession(dead_frames, min_frames),
         _schema("start_frame BIGINT, last_ball_frame BIGINT, done_frame BIGINT, ball_frames BIGINT"),
@@ -189,19 +189,11 @@ def run_status_stream(lines: DataFrame) -> DataFrame:
         "vram STRING, progress_pct BIGINT, current_frame BIGINT, total_frames BIGINT"), keys=("run_id",), order=("line_no",))
 
 
-def late_data(tracks: DataFrame, delay_frames: int = 30) -> DataFrame:
-    """Rows marked late where a watermark of ``delay_frames`` would drop them."""
-    return stateful_tracking(
-        tracks, lambda: mc.LateSplitter(delay_frames), _schema("frame_idx BIGINT, player_id BIGINT, is_late BOOLEAN"),
-        order=("arrival", "frame_idx", "player_id"),
-    )
-
+def late_data(stream: DataFrame, keys: Sequence[str] = ("video_id", "frame_idx", "player_id")) -> DataFrame:
+    """The rows that arrive before the watermark passes them, repeated ones once; the engine drops the late ones."""
+    return stream.dropDuplicatesWithinWatermark(list(keys))
 
-def split_late(stream: DataFrame, on_time: str, late: str, checkpoint: str) -> None:
-    """Write late rows to a side table, the others to the main one."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        for path, kept in ((on_time, ~F.col("is_late")), (late, F.col("is_late"))):
-            batch.filter(kept).drop("is_late").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def late_rows(arrived: DataFrame, on_time: DataFrame, keys: Sequence[str] = ("video_id", "frame_idx", "player_id")) -> DataFrame:
+    """What ``late_data`` left out of all rows that arrived, for a table of its own."""
+    return arrived.join(on_time.select(*keys), list(keys), "left_anti")
