@@ -336,23 +336,22 @@ def heatmap_grid(
     ``long_video=None`` they stay in all.
     """
     width, height = 2800, 1500
-    moving = points
+    px, py = truncate(F.col("x") / COURT_W * width), truncate(F.col("y") / COURT_H * height)
+    inside = points.withColumns({"_px": px, "_py": py}).filter(F.col("_px").between(15, width - 16) & F.col("_py").between(15, height - 16))
+    cells = inside.withColumns({"cell_x": div_floor(F.col("_px"), cell_px), "cell_y": div_floor(F.col("_py"), cell_px)})
+    # points are counted before anything is joined to them: per track and cell, however long the video
+    per_track = cells.groupBy(*PLAYER, "team", "cell_x", "cell_y").agg(F.count("*").alias("n"))
     if long_video is not None:
         still = (
             stats.join(totals.filter(F.col("total_frames") >= long_video).select("video_id"), "video_id", "left_semi")
             .filter((F.col("total_distance_m") < 3.0) | (F.col("avg_speed_kmh") < 0.8))
             .select(*PLAYER)
         )
-        moving = points.join(still, PLAYER, "left_anti")
-    voted = moving.join(votes.select(*PLAYER, F.col("team").alias("_voted")), PLAYER, "left")
-    px, py = truncate(F.col("x") / COURT_W * width), truncate(F.col("y") / COURT_H * height)
+        per_track = per_track.join(still, PLAYER, "left_anti")
+    voted = per_track.join(votes.select(*PLAYER, F.col("team").alias("_voted")), PLAYER, "left")
     team = F.when(F.col("team").isin(1, 2), F.col("team")).otherwise(F.col("_voted"))
-    cells = voted.withColumns({"_px": px, "_py": py, "_team": team}).filter(
-        F.col("_px").between(15, width - 16) & F.col("_py").between(15, height - 16) & F.col("_team").isin(1, 2)
-    )
-    cells = cells.withColumns({"cell_x": div_floor(F.col("_px"), cell_px), "cell_y": div_floor(F.col("_py"), cell_px)})
     # per-team counts first; the match layer is the sum of those few rows
-    per_team = cells.groupBy("video_id", "_team", "cell_x", "cell_y").agg(F.count("*").alias("n"))
+    per_team = voted.withColumn("_team", team).filter(F.col("_team").isin(1, 2)).groupBy("video_id", "_team", "cell_x", "cell_y").agg(F.sum("n").alias("n"))
     layers = F.array(F.concat(F.lit("team_"), F.col("_team").cast("string")), F.lit("match"))
     return (
         per_team.withColumn("layer", F.explode(layers))

@@ -222,7 +222,7 @@ def bowled_check(delivery_points: DataFrame, stumps: DataFrame, px: float = 40)
 
 def delivery_outcome(
     delivery_points: DataFrame, batsmen: DataFrame, stumps: DataFrame, shots: DataFrame, reviews: DataFrame | None = None,
-    span: int = SPAN,
+    stump_px: float = 40, span: int = SPAN,
 ) -> DataFrame:
     """Outcome of each delivery: bowled, leg before, boundary, runs or dot.
 
@@ -237,26 +237,22 @@ def delivery_outcome(
         "_dx1": F.col("cx") - F.lag("cx").over(w), "_dy1": F.col("cy") - F.lag("cy").over(w),
         "_dx2": F.lead("cx").over(w) - F.col("cx"), "_dy2": F.lead("cy").over(w) - F.col("cy"),
     }))
-    n = steps.groupBy(*DELIVERY).agg(F.count("*").alias("_n"), F.max_by(F.struct("cx", "cy"), "frame_idx").alias("_end"))
     turned = (F.col("_dx1") * F.col("_dx2") + F.col("_dy1") * F.col("_dy2") < 0) | (
         (F.abs(F.col("_dx2") - F.col("_dx1")) > 20) & (F.abs(F.col("_dy2") - F.col("_dy1")) > 20)
     )
-    sized = steps.join(n, DELIVERY)
+    # one row per delivery: its number of points and its stumps
+    known = delivery_points.groupBy(*DELIVERY).agg(F.count("*").alias("_n")).join(stumps.select(*DELIVERY, "sx", "sy"), DELIVERY, "left")
+    sized = steps.join(known, DELIVERY)
     inner = (F.col("_n") >= 4) & (F.col("_pos") >= 1)
     bat = inner & (F.col("_pos") <= F.col("_n") - 3) & F.col("bat_zone") & turned
     pad = inner & F.col("pad_zone")
-    at = F.struct("frame_idx", "cx", "cy")
-    hits = sized.groupBy(*DELIVERY).agg(
-        F.min(F.when(bat, at)).alias("_bat"), F.min(F.when(pad, at)).alias("_pad"), F.first("_end").alias("_end")
-    )
+    sx, sy = F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy")
+    on_stumps = (F.col("_n") >= 3) & (F.col("_pos") >= F.col("_n") - 3) & (F.sqrt(sx * sx + sy * sy) < stump_px)
+    at = F.struct("frame_idx", "cx", "cy", (F.col("_n") - F.col("_pos")).alias("left"))
+    full = sized.groupBy(*DELIVERY).agg(
+        F.min(F.when(bat, at)).alias("_bat"), F.min(F.when(pad, at)).alias("_pad"), F.max(at).alias("_end"), F.max(on_stumps).alias("bowled"),
+    ).join(shots.select(*DELIVERY, "shot_label"), DELIVERY, "left")
     bat_frame = F.col("_bat.frame_idx")
-    after = steps.select(*DELIVERY, "frame_idx").join(hits.select(*DELIVERY, bat_frame.alias("_f")), DELIVERY).filter(
-        "frame_idx >= _f"
-    ).groupBy(*DELIVERY).agg(F.count("*").alias("_after"))
-    full = (
-        hits.join(after, DELIVERY, "left").join(bowled_check(delivery_points, stumps), DELIVERY, "left")
-        .join(shots.select(*DELIVERY, "shot_label"), DELIVERY, "left")
-    )
     if reviews is not None:
         full = full.join(reviews.select(*DELIVERY, "pitch_x", "pitch_y", "stump_x", "stump_z"), DELIVERY, "left")
     else:
@@ -277,7 +273,7 @@ def delivery_outcome(
     outcome = (
         F.when(bowled, "wicket")
         .when(leg_before, F.when(F.col("_final_verdict") == "OUT", "lbw_wicket").otherwise("lbw_not_out"))
-        .when(hit & (F.col("_after") >= 3), F.when(boundary, F.when(six, "six").otherwise("four")).otherwise("runs"))
+        .when(hit & (F.col("_bat.left") >= 3), F.when(boundary, F.when(six, "six").otherwise("four")).otherwise("runs"))
         .otherwise("dot_ball")
     )
     verdict = {c: F.when(leg_before, F.col(f"_{c}")) for c in ("pitching", "impact", "wickets", "final_verdict", "reasons")}
@@ -326,22 +322,21 @@ def delivery_speeds(points_3d: DataFrame, bounces: DataFrame, fps: float = 30.0,
     """Release, bounce and crease speed of each delivery, from points three apart."""
     w = span_window(DELIVERY, "point_idx")
     ahead = F.lead(F.struct("frame_idx", "mx", "my", "mz"), 3).over(w)
-    moved = core_only(with_halo(points_3d, "point_idx", after=3, span=span).withColumn("_q", ahead))
+    back = F.lag("frame_idx", 4).over(w)
+    moved = core_only(with_halo(points_3d, "point_idx", before=4, after=3, span=span).withColumns({"_q": ahead, "_back": back}))
     speed = _kmh(
         F.col("_q.mx") - F.col("mx"), F.col("_q.my") - F.col("my"), F.col("_q.mz") - F.col("mz"),
         F.col("_q.frame_idx") - F.col("frame_idx"), fps,
     )
     timed = moved.withColumn("_v", speed).join(bounces.select(*DELIVERY, "bounce_frame"), DELIVERY, "left")
-    # rank of a point from the bounce on
-    from_bounce = timed.filter("frame_idx >= bounce_frame")
-    after = from_bounce.groupBy(*DELIVERY).agg(F.min("point_idx").alias("_from"))
-    timed = timed.join(after, DELIVERY, "left")
     early = F.when(F.col("point_idx") < 5, F.col("_v"))
-    landed = F.when(F.col("point_idx").between(F.col("_from"), F.col("_from") + 3), F.col("_v"))
+    # the points from the bounce on are its first four: those whose fourth point back lies before the bounce
+    late = F.col("_back").isNull() | (F.col("_back") < F.col("bounce_frame"))
+    landed = F.when((F.col("frame_idx") >= F.col("bounce_frame")) & late, F.col("_v"))
     ends = F.struct("frame_idx", "mx", "my", "mz")
     per = timed.groupBy(*DELIVERY).agg(
         F.count("*").alias("_n"), F.percentile(early, 0.75).alias("_release"), F.percentile(landed, 0.5).alias("_landed"),
-        F.min_by(ends, "frame_idx").alias("_a"), F.max_by(ends, "frame_idx").alias("_b"),
+        F.min(ends).alias("_a"), F.max(ends).alias("_b"),
     )
     span_frames = F.greatest(F.lit(1), F.col("_b.frame_idx") - F.col("_a.frame_idx"))
     whole = _kmh(

@@ -107,28 +107,39 @@ def team_of_holder(possession: DataFrame, tracks: DataFrame, default: int = -1)
     )
 
 
-def passes(possession: DataFrame, tracks: DataFrame, span: int = SPAN) -> DataFrame:
-    """Team whose player received the ball from a team-mate of the frame before, else 0."""
-    w = span_window(["video_id"], "frame_idx").rangeBetween(-1, -1)
-    teams = with_halo(team_of_holder(possession, tracks), "frame_idx", before=1, span=span)
-    before = core_only(teams.withColumn("_prev", F.first(F.struct("holder_id", "team")).over(w)))
-    moved = (
-        (F.col("holder_id") != -1) & (F.col("_prev.holder_id") != -1) & (F.col("holder_id") != F.col("_prev.holder_id"))
-        & (F.col("team") != -1) & (F.col("team") == F.col("_prev.team"))
-    )
-    return before.select(*FRAME, F.when(moved, F.col("team")).otherwise(F.lit(0)).cast("int").alias("pass_team"))
-
+def ball_moves(possession: DataFrame, tracks: DataFrame, span: int = SPAN) -> DataFrame:
+    """Passes and interceptions of every frame (pass_team, interception_team), from one pass over the holders.
 
-def interceptions(possession: DataFrame, tracks: DataFrame, span: int = SPAN) -> DataFrame:
-    """Team that took the ball from the last holder of the other team, else 0.  Frame 0 is never a last holder."""
+    A pass: the team whose player received the ball from a team-mate of the frame before, else 0.  An interception: the team
+    that took the ball from the last holder of the other team, else 0; frame 0 is never a last holder.
+    """
     teams = team_of_holder(possession, tracks)
+    here = F.struct("frame_idx", "holder_id", "team")
     holder = F.when((F.col("holder_id") != -1) & (F.col("frame_idx") >= 1), F.struct("holder_id", "team"))
-    known = running(teams, ["video_id"], "frame_idx", {"_prev": ("last", holder, False)}, span=span)
+    known = running(teams, ["video_id"], "frame_idx", {"_before": ("last", here, False), "_prev": ("last", holder, False)}, span=span)
+    held = (F.col("holder_id") != -1) & (F.col("team") != -1)
+    passed = (
+        held & (F.col("_before.frame_idx") == F.col("frame_idx") - 1) & (F.col("_before.holder_id") != -1)
+        & (F.col("holder_id") != F.col("_before.holder_id")) & (F.col("team") == F.col("_before.team"))
+    )
     stolen = (
-        (F.col("frame_idx") >= 1) & (F.col("holder_id") != -1) & (F.col("holder_id") != F.col("_prev.holder_id"))
-        & (F.col("team") != -1) & (F.col("_prev.team") != -1) & (F.col("team") != F.col("_prev.team"))
+        held & (F.col("frame_idx") >= 1) & (F.col("holder_id") != F.col("_prev.holder_id"))
+        & (F.col("_prev.team") != -1) & (F.col("team") != F.col("_prev.team"))
     )
-    return known.select(*FRAME, F.when(stolen, F.col("team")).otherwise(F.lit(0)).cast("int").alias("interception_team"))
+    return known.select(*FRAME, *[
+        F.when(happened, F.col("team")).otherwise(F.lit(0)).cast("int").alias(name)
+        for name, happened in (("pass_team", passed), ("interception_team", stolen))
+    ])
+
+
+def passes(possession: DataFrame, tracks: DataFrame, span: int = SPAN) -> DataFrame:
+    """Team whose player received the ball from a team-mate of the frame before, else 0."""
+    return ball_moves(possession, tracks, span).drop("interception_team")
+
+
+def interceptions(possession: DataFrame, tracks: DataFrame, span: int = SPAN) -> DataFrame:
+    """Team that took the ball from the last holder of the other team, else 0."""
+    return ball_moves(possession, tracks, span).drop("pass_team")
 
 
 def possession_summary(possession: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -152,12 +163,12 @@ def possession_running(possession: DataFrame, tracks: DataFrame, span: int = SPA
     return running(teams, ["video_id"], "frame_idx", counts, span=span).select(*FRAME, "team1_frames", "team2_frames")
 
 
-def pass_summary(passes: DataFrame, interceptions: DataFrame) -> DataFrame:
-    """Passes and interceptions per team."""
-    events = passes.select("video_id", "pass_team", F.lit(0).alias("interception_team")).unionByName(
-        interceptions.select("video_id", F.lit(0).alias("pass_team"), "interception_team")
-    )
-    return events.groupBy("video_id").agg(
+def pass_summary(moves: DataFrame, interceptions: DataFrame | None = None) -> DataFrame:
+    """Passes and interceptions per team, from ``ball_moves`` or from ``passes`` and ``interceptions``."""
+    if interceptions is not None:
+        moves = moves.select("video_id", "pass_team", F.lit(0).alias("interception_team")).unionByName(
+            interceptions.select("video_id", F.lit(0).alias("pass_team"), "interception_team"))
+    return moves.groupBy("video_id").agg(
         *[F.count(F.when(F.col("pass_team") == t, 1)).alias(f"team{t}_passes") for t in (1, 2)],
         *[F.count(F.when(F.col("interception_team") == t, 1)).alias(f"team{t}_interceptions") for t in (1, 2)],
     )

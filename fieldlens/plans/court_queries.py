@@ -285,7 +285,7 @@ query("possession_running", lambda t: poss.possession_running(holders(t), t.trac
 SELECT video_id, frame_idx, CAST(sum(CASE WHEN holder_id <> -1 AND team = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS team1_frames,
   CAST(sum(CASE WHEN holder_id <> -1 AND team = 2 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS team2_frames
 FROM poss_team0 WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)""")
-query("pass_summary", lambda t: (lambda h: poss.pass_summary(poss.passes(h, t.tracks), poss.interceptions(h, t.tracks)))(holders(t)),
+query("pass_summary", lambda t: poss.pass_summary(poss.ball_moves(holders(t), t.tracks)),
       ("pass_events", "steal_events"), """
 SELECT video_id, count(*) FILTER (pass_team = 1) AS team1_passes, count(*) FILTER (pass_team = 2) AS team2_passes,
   count(*) FILTER (interception_team = 1) AS team1_interceptions, count(*) FILTER (interception_team = 2) AS team2_interceptions

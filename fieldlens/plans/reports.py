@@ -43,9 +43,9 @@ def basketball_report(
     tracks: DataFrame, ball: DataFrame, positions: DataFrame, frames: DataFrame, modes: DataFrame, fps: float = 30.0
 ) -> DataFrame:
     """One row per video: team blocks, dominance, shots and continuity."""
-    holders = durable(poss.possession(poss.holder_candidates(tracks, ball), frames))  # used three times
+    holders = durable(poss.possession(poss.holder_candidates(tracks, ball), frames))  # used twice
     shares = poss.possession_summary(holders, tracks)
-    moves = poss.pass_summary(poss.passes(holders, tracks), poss.interceptions(holders, tracks))
+    moves = poss.pass_summary(poss.ball_moves(holders, tracks))
     dominance = space.match_dominance(space.voronoi_control(positions, tracks))
     shot_count = shots.shot_frames(shots.shot_state(ball, frames))
     continuity = rg.tracking_continuity(modes)

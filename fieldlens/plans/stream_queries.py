@@ -112,10 +112,10 @@ query("possession_stream", lambda t: run(t, candidate_frames(t), st.possession_s
 
 
 def score_events(t: Tables) -> DataFrame:
-    h = durable(holders(t))  # used three times
+    h = durable(holders(t))  # used twice
     team = F.when(F.col("holder_id") != -1, F.col("team")).otherwise(F.lit(-1)).alias("team")
     at = ["video_id", "frame_idx"]
-    return poss.team_of_holder(h, t.tracks, 0).select(*at, team).join(poss.passes(h, t.tracks), at).join(poss.interceptions(h, t.tracks), at)
+    return poss.team_of_holder(h, t.tracks, 0).select(*at, team).join(poss.ball_moves(h, t.tracks), at)
 
 
 def latest(t: Tables, df: DataFrame, build, key: str, **options) -> DataFrame:
