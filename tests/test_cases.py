@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlens.constants import court_reference
+from fieldlens.functions import machines as mc
 from fieldlens.functions.columns import convex_hull_area
 from fieldlens.operators import court, cricket as ck, deliveries as dv, identity as ident, possession as poss, registration as rg, routing as rt, space
 
@@ -311,3 +312,36 @@ def test_display_rules(spark, rows):
     assert rows(ck.display_label(labels, "t"), "display_label") == [("Good Length/Full",), ("Late Cut",), ("UMPIRE'S CALL".replace("S ", "S "),)]
     secs = spark.createDataFrame([(5.9,), (65.0,), (3661.0,)], "seconds double")
     assert [r.duration for r in ck.format_duration(secs).collect()] == ["5s", "1m 5s", "1h 1m 1s"]
+
+
+def test_delivery_session_ends_with_the_video():
+    def walk(balls, last, bat=0):
+        machine = mc.DeliverySession()
+        return [d for f in range(last + 1) for d in machine.step({"frame_idx": f, "has_ball": f in balls, "has_batsman": f >= bat, "is_last": f == last})]
+
+    assert walk({3, 4, 5, 6}, 10) == [(3, 6, 10, 4)]  # cut off by the end: four sightings are enough
+    assert walk({3, 4, 5}, 10) == []
+    assert walk({3, 4, 5, 6}, 40) == []  # ran out: five are needed
+    assert walk({3, 4, 5, 6, 7}, 40) == [(3, 7, 23, 5)]
+    assert walk({1, 2, 3, 4, 5, 30, 31, 32, 33}, 35, bat=2) == [(30, 33, 35, 4)]
+
+
+def test_fill_positions_per_batch(spark, rows):
+    frames = spark.createDataFrame([(1, f) for f in range(8)], "video_id bigint, frame_idx bigint")
+    seen = spark.createDataFrame([(1, 0, 1, 0.0, 0.0), (1, 2, 1, 4.0, 2.0), (1, 7, 1, 9.0, 9.0), (1, 5, 2, 1.0, 1.0)], POS)
+    got = rows(court.fill_positions(seen, frames, batch_size=4), "player_id", "frame_idx", "x")
+    assert got == [(1, 0, 0.0), (1, 1, 2.0), (1, 2, 4.0), (1, 3, 4.0), *[(1, f, 9.0) for f in range(4, 8)], *[(2, f, 1.0) for f in range(4, 8)]]
+
+
+def test_referee_flag_from_the_deciding_batch(spark, rows):
+    tracks = spark.createDataFrame([(1, f, p, False) for f in (0, 24, 25, 49, 80) for p in (1, 2)], "video_id bigint, frame_idx bigint, player_id bigint, is_referee boolean")
+    matches = spark.createDataFrame([(1, 30, 1, True), (1, 60, 1, True), (1, 10, 2, False)], "video_id bigint, frame_idx bigint, player_id bigint, is_referee boolean")
+    got = rows(ident.referee_tracks(tracks, matches, batch_size=25).filter("is_referee"), "player_id", "frame_idx")
+    assert got == [(1, 25), (1, 49), (1, 80)]
+
+
+def test_jersey_readings_without_limit(spark, rows):
+    said = spark.createDataFrame([(1, f, 1, "7" if f >= 60 else "x", 0.9) for f in range(80)], "video_id bigint, frame_idx bigint, player_id bigint, text string, prob double")
+    assert {r.jersey for r in ident.jersey_ocr_votes(said).collect()} == {None}
+    late = rows(ident.jersey_ocr_votes(said, attempts=None).filter("jersey IS NOT NULL"), "frame_idx", "jersey", "locked")
+    assert late == [(60, "7", False), (65, "7", True), (70, "7", True), (75, "7", True)]
