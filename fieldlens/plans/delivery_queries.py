@@ -61,7 +61,7 @@ def segments(t: Tables):
     return dv.deliveries_segment(t.ball, t.roles, t.frames)
 
 
-derive("segments", ("ball", "roles", "frames"), """
+_SEGMENTS = """
 WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ball b
     LEFT JOIN (SELECT DISTINCT video_id, frame_idx FROM roles WHERE role = 'batsman') r USING (video_id, frame_idx)),
   i AS (SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY frame_idx) AS isl FROM (
@@ -70,8 +70,12 @@ WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ba
   g AS (SELECT video_id, isl, st AS start_frame, max(frame_idx) AS last_ball_frame, count(*) AS ball_frames FROM m WHERE frame_idx >= st GROUP BY ALL),
   e AS (SELECT video_id, max(frame_idx) AS fin FROM frames GROUP BY video_id)
 SELECT video_id, start_frame, last_ball_frame, least(last_ball_frame + 16, fin) AS done_frame, ball_frames, last_ball_frame + 16 > fin AS forced
-FROM g JOIN e USING (video_id) WHERE ball_frames >= CASE WHEN last_ball_frame + 16 > fin THEN 4 ELSE 5 END""")
+FROM g JOIN e USING (video_id) WHERE ball_frames >= CASE WHEN last_ball_frame + 16 > fin THEN 4 ELSE 5 END"""
+derive("segments", ("ball", "roles", "frames"), _SEGMENTS)
+# the test ball is never lost for so long: every video ends within a delivery
+derive("segments_open", ("ball", "roles", "frames"), _SEGMENTS.replace("16", "30"))
 query("deliveries_segment", segments, ("segments",), "SELECT * FROM segments")
+query("deliveries_segment_open", lambda t: dv.deliveries_segment(t.ball, t.roles, t.frames, dead_frames=30), ("segments_open",), "SELECT * FROM segments_open")
 derive("ball_points", ("ball", "segments"), """
 SELECT b.*, (SELECT min(start_frame) FROM segments s WHERE s.video_id = b.video_id AND s.done_frame >= b.frame_idx) AS delivery_key FROM ball b""")
 query("delivery_points", lambda t: dv.delivery_points(t.ball, segments(t)), ("ball_points",), "SELECT * FROM ball_points WHERE delivery_key IS NOT NULL")

@@ -88,6 +88,8 @@ def sightings(t: Tables) -> DataFrame:
 
 query("delivery_sessions", lambda t: run(t, sightings(t), st.delivery_sessions),
       ("segments",), "SELECT video_id, start_frame, last_ball_frame, done_frame, ball_frames FROM segments")
+query("delivery_sessions_open", lambda t: run(t, sightings(t), lambda s: st.delivery_sessions(s, dead_frames=30)),
+      ("segments_open",), "SELECT video_id, start_frame, last_ball_frame, done_frame, ball_frames FROM segments_open")
 derive("ball_islands", ("ball", "roles"), """
 WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ball b
     LEFT JOIN (SELECT DISTINCT video_id, frame_idx FROM roles WHERE role = 'batsman') r USING (video_id, frame_idx)),
