@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm.common import salted_left_join, text_key, text_of, words_of
-from fieldlens.scale import durable
+from fieldlens.scale import durable, shared_dir
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 2
+BINS = 256  # of the histogram that bounds the matches of two texts
+BLOCK = 1000  # nodes of a bucket, about, that meet as many others in one task
 CHUNK = 400_000  # words that are hashed at once
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -48,12 +51,11 @@ def occurrence_labels(grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return labels
 
 
-def order_minhash(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def order_minhash(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Band keys of each text (all non-empty): BANDS columns, each of ROWS samples.
 
     A sample takes the two least of the occurrence-labelled grams under its own hash and keeps them in text order.
     """
-    grams, counts = shingles(words, starts, sizes)
     owner = np.repeat(np.arange(len(counts)), counts)
     labelled = mix(grams + occurrence_labels(grams, owner) * np.uint64(0x9E3779B97F4A7C15))
     begins = np.cumsum(counts) - counts
@@ -74,8 +76,14 @@ def order_minhash(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
     return keys.view(np.int64)
 
 
+def histograms(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Grams of each text per hash bin, BINS columns; 255 stands for 255 or more."""
+    cells = np.repeat(np.arange(len(counts)) * BINS, counts) + (grams % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=len(counts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, _k1, _k2, w (word hashes, not empty) to doc_id, _k1, _k2, keys."""
+    """doc_id, _k1, _k2, w (word hashes, not empty) to doc_id, _k1, _k2, keys, runs (how many), bins."""
     for batch in batches:
         lists = batch.column("w")
         offsets = np.asarray(lists.offsets)
@@ -89,9 +97,12 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a == b:
                 continue
             part = words[offsets[a]:offsets[b]]
-            keys = order_minhash(part, (offsets[a:b] - offsets[a]).astype(np.int64), sizes[a:b])
+            grams, counts = shingles(part, (offsets[a:b] - offsets[a]).astype(np.int64), sizes[a:b])
+            keys = order_minhash(grams, counts)
+            bins = pa.array([h.tobytes() for h in histograms(grams, counts)], pa.binary())
             column = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc_id", "_k1", "_k2")], column], ["doc_id", "_k1", "_k2", "keys"])
+            same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "_k1", "_k2")]
+            yield pa.RecordBatch.from_arrays([*same, column, pa.array(counts, pa.int64()), bins], ["doc_id", "_k1", "_k2", "keys", "runs", "bins"])
 
 
 def word_hashes(text: Column) -> Column:
@@ -162,31 +173,86 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a bigint, b bigint")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: a checkpoint keeps the size estimate of its plan, whose digits double with every round of joins."""
+    path = f"{shared_dir(df.sparkSession)}/components-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Least vertex of each vertex's component: v, label.  One job per round, rounds in the logarithm of the diameter or so."""
-    both = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
     while True:
         near = salted_left_join(both, labels.select(F.col("v").alias("b"), "label"), ["b"], F.col("a"))
         near = near.groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         step = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("label").alias("far"))
-        new = durable(salted_left_join(step, jump, ["low"], F.col("v")).select("v", "label", F.least("low", F.coalesce("far", "low")).alias("next")))
+        new = stored(salted_left_join(step, jump, ["low"], F.col("v")).select("v", "label", F.least("low", F.coalesce("far", "low")).alias("next")))
         changed = not new.filter("next < label").isEmpty()
         labels = new.select("v", F.col("next").alias("label"))
         if not changed:
             return labels
 
 
+def apart_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with label, of the buckets that hold several components; main (the largest one) and size of the bucket."""
+    named = salted_left_join(members, labels.select(F.col("v").alias("node"), "label"), ["node"], F.col("key"))
+    named = named.withColumn("label", F.coalesce("label", "node"))
+    parts = named.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    several = parts.groupBy("band", "key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
+    return durable(salted_left_join(named, several.drop("parts"), ["band", "key"], F.col("node")).filter(F.col("main").isNotNull()))
+
+
+def crossing(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of one block whose labels differ and that can be alike, each in the first bucket that holds both.
+
+    Two alignable texts share m >= 4/9 of their runs together, and m is at most the sum of the lesser counts of each bin.
+    """
+    band, _, low, high = (k.as_py() for k in key)
+    piece, node, label, runs = (table.column(c).to_numpy() for c in ("piece", "node", "label", "runs"))
+    keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)[:, :band]
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+    left, right = np.flatnonzero(piece == low), np.flatnonzero(piece == high)
+    a, b = [], []
+    for k, i in enumerate(left):
+        to = right[k + 1:] if low == high else right
+        to = to[(label[to] != label[i]) & (5 * np.minimum(runs[to], runs[i]) >= 4 * np.maximum(runs[to], runs[i]))]
+        to = to[~(keys[to] == keys[i]).any(1)]
+        if len(to):
+            full = ((bins[to] == 255) & (bins[i] == 255)).any(1)
+            to = to[full | (9 * np.minimum(bins[to], bins[i]).sum(1, dtype=np.int64) >= 4 * (runs[to] + runs[i]))]
+            a.append(np.minimum(node[to], node[i]))
+            b.append(np.maximum(node[to], node[i]))
+    none = np.empty(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+
+def cross_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of a bucket that lie in different components and can be alike.
+
+    A bucket is dealt into pieces of about BLOCK nodes; every two pieces meet in a task of their own.
+    """
+    pieces = F.ceil(F.col("size") / BLOCK)
+    rows = apart.select("band", "key", "node", "label", pieces.alias("pieces"), F.pmod(F.xxhash64("node"), pieces).alias("piece"))
+    rows = rows.join(nodes.select("node", "keys", "runs", "bins"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    rows = rows.withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("pieces", "other")
+    return rows.groupBy("band", "key", "low", "high").applyInArrow(crossing, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents whose five-word runs align to 80 % or more.
 
     Equal texts are one node.  Order MinHash gives each node BANDS keys; nodes that share one lie in one bucket.  Every node is
     compared with the most central member of each of its buckets.  In buckets that then still hold several components, nodes
     are compared with their neighbour when sorted by their next keys (so with the one they share most keys with), and those
-    outside the largest component with the most central one of them.  Classes are the components of the verified links.  The
-    pairs compared are at most 3 x BANDS per text: a group of thousands of copies never meets pairwise.  A link between two
-    texts is not looked at only if in all common buckets both differ from the leaders and other texts sort between them.
+    outside the largest component with the most central one of them.  In buckets that even then hold several components, all
+    pairs between components are looked at: those that the lengths and the histograms of their runs don't rule out are compared.
+    So any two texts that share a bucket are compared, connected or too unlike by an exact bound; the pairs inside a
+    component are never listed.  Classes are the components of the verified links.
 
     One row per input row: ``id_col`` (bigint), class_id (least id of the class), kept (it is that document, or the first of
     rows that repeat its id).  Null and empty texts have no words: each stands alone, equal ones too.  A null id gets the class
@@ -195,8 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text")).withColumns(text_key(F.col("text")))
     hashed = rows.withColumn("w", word_hashes(F.col("text"))).filter(F.size("w") > 0).select("doc_id", "_k1", "_k2", "w")
-    nodes = hashed.mapInArrow(sketches, "doc_id bigint, _k1 bigint, _k2 bigint, keys array<bigint>")
-    nodes = nodes.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    nodes = hashed.mapInArrow(sketches, "doc_id bigint, _k1 bigint, _k2 bigint, keys array<bigint>, runs bigint, bins binary")
+    nodes = nodes.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("keys", "runs", "bins")])
     nodes = durable(nodes)
     follow = [F.get("keys", F.pmod(F.col("band") + i, F.lit(BANDS)).cast("int")).alias(f"then{i}") for i in (1, 2)]
     bands = nodes.filter(F.col("node").isNotNull()).select("node", "keys", F.posexplode("keys").alias("band", "key"))
@@ -218,11 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     labels = components(found)
 
     # what the comparison with the leaders left apart
-    named = salted_left_join(members, labels.select(F.col("v").alias("node"), "label"), ["node"], F.col("key"))
-    named = named.withColumn("label", F.coalesce("label", "node"))
-    parts = named.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    apart = durable(salted_left_join(named, main.drop("parts"), ["band", "key"], F.col("node")).filter(F.col("main").isNotNull()))
+    apart = apart_members(members, labels)
     order = Window.partitionBy("band", "key").orderBy("then1", "then2", "node")
     beside = apart.select("node", "label", F.lag("node").over(order).alias("y"), F.lag("label").over(order).alias("other"))
     beside = beside.filter("label <> other").select(F.col("node").alias("x"), "y")
@@ -233,7 +295,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     more = beside.unionByName(others).select(*pair).distinct()
     more = durable(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        labels = components(found.unionByName(links(more, texts)))
+        found = durable(found.unionByName(links(more, texts)))
+        labels = components(found)
+        apart = apart_members(members.drop("then1", "then2", "degree"), labels)
+    # every pair that the centres and neighbours left apart
+    rest = cross_pairs(apart, nodes).join(pairs.unionByName(more), ["a", "b"], "left_anti")
+    linked = durable(links(durable(rest), texts))
+    if not linked.isEmpty():
+        labels = components(found.unionByName(linked))
 
     classes = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
     classes = classes.select("_k1", "_k2", F.coalesce("label", "node").alias("class"))

@@ -212,6 +212,28 @@ def test_near_duplicates(spark):
     assert got[100]["class_id"] == got[101]["class_id"] == 0
 
 
+def test_families_on_a_shared_passage(spark, monkeypatch):
+    """Sixty pairs made from one passage: most links lie between texts that are neither central nor neighbours."""
+    rng = random.Random(0)
+    base, docs = prose(rng, 120), []
+    for f in range(60):
+        family = list(base)
+        family[rng.randrange(120)] = f"f{f}x{rng.randrange(10**6)}"
+        for _ in range(2):
+            copy = list(family)
+            copy[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            docs.append(" ".join(copy))
+    runs, least = [near.runs_of(d) for d in docs], list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if least[i] != least[j] and near.aligned(runs[i], runs[j]):
+                x, y = sorted((least[i], least[j]))
+                least = [x if c == y else c for c in least]
+    monkeypatch.setattr(near, "BLOCK", 20, raising=False)  # several pieces a bucket
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(texts(spark, docs)).collect()}
+    assert [got[i] for i in range(120)] == least
+
+
 def test_winnow_guarantee(spark):
     rng = random.Random(6)
     shared = prose(rng, winnow.K + winnow.W - 1)
