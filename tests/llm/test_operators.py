@@ -172,6 +172,15 @@ def test_ownership(spark):
     assert masked[9] == "my [SECRET] and [SECRET] here" and masked[0] == rows[0][1]
 
 
+def test_redact_masks_all_base_spans(spark):
+    short, word, number, key = "hunter2x", "correcthorsebattery", "1234567890" * 3, "AKIA" + "QWERTYUIOPASDFGH"
+    rows = [(i, "set password = changeme now", "en", f"owner{i}") for i in range(3)]
+    rows += [(8, f"a password = {short} b token: {word} c {number} d {key} e", "en", "owner1"), (9, "abcdefghijklmnopqrstuvwxyz stays", "en", "owner1")]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect()}
+    assert masked[8] == "a [SECRET] b [SECRET] c [SECRET] d [SECRET] e"
+    assert masked[0] == rows[0][1] and masked[9] == rows[-1][1]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
