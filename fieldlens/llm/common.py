@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES, -1), "")
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, every other character as it is."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, ascii_uppercase, ascii_lowercase))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.transform(F.array(value), body)[0]
@@ -42,3 +49,20 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spr
     left = left.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_salt") == F.col("_r_salt")]
     return left.join(right, on, "left").drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
+
+
+# table of the cyclic redundancy check and a macro for it, to stand in front of other parts of a WITH RECURSIVE
+CRC32_SQL = r"""
+crc_steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crc FROM crc_steps WHERE k = 8)"""
+
+
+def crc32_sql(value: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB; needs ``crc`` of ``crc_table`` in scope."""
+    byte = f"('0x' || hex(encode({value}))[2 * j + 1:2 * j + 2])::BIGINT"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({value})), lambda j: {byte})), "
+        "lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+    )

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import langid, mixing, near, packing, quality, scoring, secrets, sharding, substrings, winnow
+from fieldlens.llm import (
+    exact, langid, mixing, near, packing, quality, resampling, scoring, secrets, sharding, spelling, substrings, winnow,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": lambda spark, sf_dir: winnow.fingerprints(documents(spark, sf_dir)),
     "op9_pseudo_likelihood": lambda spark, sf_dir: scoring.pseudo_likelihood(documents(spark, sf_dir)),
     "op10_extendible_shards": lambda spark, sf_dir: sharding.extendible_shards(documents(spark, sf_dir)),
+    "op11_exact_dedup": lambda spark, sf_dir: exact.exact_duplicates(documents(spark, sf_dir)),
+    "op12_importance_resampling": lambda spark, sf_dir: resampling.resample(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+    "op13_spelling_variants": lambda spark, sf_dir: spelling.spelling_groups(documents(spark, sf_dir)),
     # all four kinds of evidence stand in raw pages only
     "page_languages": lambda spark, sf_dir: langid.language_id(
         langid.page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")), "page_id", host="host"),
@@ -35,4 +41,7 @@ ORACLES: dict[str, str] = {
     "op6_secret_scan": secrets.SQL,
     "op8_winnowing": winnow.SQL,
     "op10_extendible_shards": sharding.SQL,
+    "op11_exact_dedup": exact.SQL,
+    "op12_importance_resampling": resampling.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
