@@ -44,6 +44,34 @@ def run(t: Tables, df: DataFrame, build, **options) -> DataFrame:
     return t.spark.read.parquet(f"{root}/out")
 
 
+JITTER, DELAY, IDLE = 10, 60, 30  # frames
+
+
+def shuffled_feed(t: Tables, df: DataFrame, ends: DataFrame, root: str, axis: str, fps: float, cuts) -> DataFrame:
+    """A stream of rows up to ``JITTER`` frames out of order, with the ends of the videos last.
+
+    Slices have as many files as a batch reads, so the watermark moves with every slice.
+    """
+    files = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    late = F.pmod(F.xxhash64(*df.columns), F.lit(JITTER + 1)).cast("bigint")
+    rows = df.withColumn(st.ENDED, F.lit(False)).withColumn("arrival", F.col(axis) + late)
+    rows = durable(rows.unionByName(ends, allowMissingColumns=True))
+    cuts = [F.col("arrival") >= c for c in cuts]
+    for part in [*[low & ~high for low, high in zip(cuts, cuts[1:])], cuts[-1], F.col(st.ENDED)]:
+        rows.filter(part).drop("arrival").repartition(files).write.mode("append").parquet(f"{root}/in")
+    schema = rows.drop("arrival").schema
+    return st.stream_tracks(t.spark, f"{root}/in", schema, fps, max_files=files, delay=f"{DELAY * 1000 // int(fps)} milliseconds", at=axis, start=86400.0)
+
+
+def disordered(t: Tables, df: DataFrame, build) -> DataFrame:
+    """What a stream gives out for rows that arrive out of order."""
+    root = folder(t)
+    ends = st.video_ends(t.videos, DELAY + 2 * IDLE)
+    stream = shuffled_feed(t, df, ends, root, "frame_idx", 30.0, (0, 30, 60, 90))
+    st.checkpointed_run(build(stream), f"{root}/out", f"{root}/state")
+    return t.spark.read.parquet(f"{root}/out")
+
+
 def with_ball(t: Tables) -> DataFrame:
     boxes = t.ball.select("video_id", "frame_idx", "cx", "cy", "conf", "x1", "y1", "x2", "y2")
     return t.frames.select("video_id", "frame_idx", "width", "height").join(boxes, ["video_id", "frame_idx"], "left")
@@ -82,13 +110,12 @@ def sightings(t: Tables) -> DataFrame:
     bat = t.roles.filter("role = 'batsman'").select("video_id", "frame_idx").distinct().withColumn("has_batsman", F.lit(True))
     ball = t.ball.select("video_id", "frame_idx").distinct().withColumn("has_ball", F.lit(True))
     spine = t.frames.select("video_id", "frame_idx").join(ball, ["video_id", "frame_idx"], "left").join(bat, ["video_id", "frame_idx"], "left")
-    spine = spine.join(t.videos.select("video_id", "total_frames"), "video_id").withColumn("is_last", F.col("frame_idx") == F.col("total_frames") - 1)
-    return spine.drop("total_frames").fillna(False, ["has_ball", "has_batsman"])
+    return spine.fillna(False, ["has_ball", "has_batsman"])
 
 
-query("delivery_sessions", lambda t: run(t, sightings(t), st.delivery_sessions),
+query("delivery_sessions", lambda t: disordered(t, sightings(t), st.delivery_sessions),
       ("segments",), "SELECT video_id, start_frame, last_ball_frame, done_frame, ball_frames FROM segments")
-query("delivery_sessions_open", lambda t: run(t, sightings(t), lambda s: st.delivery_sessions(s, dead_frames=30)),
+query("delivery_sessions_open", lambda t: disordered(t, sightings(t), lambda s: st.delivery_sessions(s, dead_frames=30)),
       ("segments_open",), "SELECT video_id, start_frame, last_ball_frame, done_frame, ball_frames FROM segments_open")
 derive("ball_islands", ("ball", "roles"), """
 WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ball b
@@ -97,11 +124,8 @@ WITH s AS (SELECT b.video_id, b.frame_idx, r.video_id IS NOT NULL AS bat FROM ba
     SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) < 17 THEN 0 ELSE 1 END AS brk FROM s) b)
 SELECT video_id, min(frame_idx) AS first_ball_frame, max(frame_idx) AS last_ball_frame, min(CASE WHEN bat THEN frame_idx END) AS start_frame, count(*) AS ball_frames
 FROM i GROUP BY video_id, isl""")
-query("ball_sessions", lambda t: run(t, sightings(t).filter("has_ball").unionByName(
-    t.spark.range(1).select(F.lit(-1).cast("bigint").alias("video_id"), F.lit(1 << 40).cast("bigint").alias("frame_idx"),
-                                                    F.lit(True).alias("has_ball"), F.lit(False).alias("has_batsman"), F.lit(False).alias("is_last"))),
-    lambda s: st.ball_sessions(s)), ("ball_islands",), "SELECT * FROM ball_islands")
-query("stateful_tracking", lambda t: six(run(t, with_ball(t).drop("width", "height"), st.kalman_stream), "conf"),
+query("ball_sessions", lambda t: disordered(t, sightings(t).filter("has_ball"), st.ball_sessions), ("ball_islands",), "SELECT * FROM ball_islands")
+query("stateful_tracking", lambda t: six(disordered(t, with_ball(t).drop("width", "height"), st.kalman_stream), "conf"),
       ("tracked",), "SELECT * FROM tracked")
 
 
@@ -110,7 +134,7 @@ def candidate_frames(t: Tables) -> DataFrame:
     return t.frames.select("video_id", "frame_idx").join(found, ["video_id", "frame_idx"], "left")
 
 
-query("possession_stream", lambda t: run(t, candidate_frames(t), st.possession_stream), ("poss",), "SELECT * FROM poss")
+query("possession_stream", lambda t: disordered(t, candidate_frames(t), st.possession_stream), ("poss",), "SELECT * FROM poss")
 
 
 def score_events(t: Tables) -> DataFrame:
@@ -120,13 +144,24 @@ def score_events(t: Tables) -> DataFrame:
     return poss.team_of_holder(h, t.tracks, 0).select(*at, team).join(poss.ball_moves(h, t.tracks), at)
 
 
-def latest(t: Tables, df: DataFrame, build, key: str, **options) -> DataFrame:
+def newest(t: Tables, stream: DataFrame, key: str, root: str) -> DataFrame:
     """Newest state per key of a result that changes with every batch."""
-    root = folder(t)
-    st.latest_run(build(feed(df, f"{root}/in", max_files=8, key=key, **options)), f"{root}/out", f"{root}/state")
+    st.latest_run(stream, f"{root}/out", f"{root}/state")
     out = t.spark.read.parquet(f"{root}/out").drop("batch")
-    newest = out.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c not in (key, "batch_no")]), "batch_no").alias("s"))
-    return newest.select(key, "s.*")
+    last = out.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c not in (key, "batch_no")]), "batch_no").alias("s"))
+    return last.select(key, "s.*")
+
+
+def latest(t: Tables, df: DataFrame, build, key: str, **options) -> DataFrame:
+    root = folder(t)
+    return newest(t, build(feed(df, f"{root}/in", max_files=8, key=key, **options)), key, root)
+
+
+def run_status(t: Tables) -> DataFrame:
+    """Log lines a few places out of order."""
+    root = folder(t)
+    ends = t.run_log.groupBy("run_id").agg((F.max("line_no") + DELAY + 2 * IDLE).alias("line_no")).withColumn(st.ENDED, F.lit(True))
+    return newest(t, st.run_status_stream(shuffled_feed(t, t.run_log, ends, root, "line_no", 30.0, (0, 4000))), "run_id", root)
 
 
 query("live_scoreboard", lambda t: latest(t, score_events(t), st.live_scoreboard, "video_id"), ("poss_team0", "pass_events", "steal_events"), """
@@ -136,32 +171,51 @@ SELECT p.video_id, count(*) FILTER (holder_id <> -1 AND team = 1) AS team1_frame
 FROM poss_team0 p JOIN pass_events a USING (video_id, frame_idx) JOIN steal_events s USING (video_id, frame_idx) GROUP BY p.video_id""")
 derive("last_line", ("run_log",), "SELECT run_id, max(line_no) AS line_no FROM run_log GROUP BY run_id")
 _last = ", ".join(f"arg_max({c}, line_no) FILTER ({c} IS NOT NULL) AS {c}" for c in ("sport", "stage", "stage_name", "total_stages", "fps", "eta", "vram"))
-query("run_status_stream", lambda t: latest(t, t.run_log, st.run_status_stream, "run_id", axis="line_no", slices=(0, 4000, None)), ("said", "bars", "last_line"), f"""
+query("run_status_stream", run_status, ("said", "bars", "last_line"), f"""
 SELECT s.*, line_no, progress_pct, current_frame, total_frames FROM (SELECT run_id, {_last}, coalesce(max(done) FILTER (done), false) AS completed FROM said GROUP BY run_id) s
 LEFT JOIN last_line USING (run_id) LEFT JOIN (
   SELECT run_id, arg_max(pct, line_no) FILTER (pct IS NOT NULL) AS progress_pct, arg_max(cur, line_no) FILTER (cur IS NOT NULL) AS current_frame, arg_max(known, line_no) FILTER (known IS NOT NULL) AS total_frames FROM (
     SELECT run_id, line_no, pct, cur, known FROM bars UNION ALL SELECT run_id, line_no, fin, NULL, NULL FROM said WHERE fin IS NOT NULL) u GROUP BY run_id) p USING (run_id)""")
 
 
-def late_split(t: Tables) -> DataFrame:
+def late_feed(t: Tables, step) -> str:
     """Every seventh row arrives 40 frames late and the watermark stays 30 frames behind; the slices are processed as they arrive."""
     arrival = F.col("frame_idx") + F.when((F.col("frame_idx") + F.col("player_id")) % 7 == 0, 40).otherwise(0)
     rows = t.tracks.select("video_id", "frame_idx", "player_id", arrival.cast("bigint").alias("arrival"), F.lit(1e6).alias("base_ts"))
     root = folder(t)
     for slices in zip(SLICES, SLICES[1:]):
-        stream = feed(rows, f"{root}/in", axis="arrival", slices=slices, at="frame_idx", fps=8.0, delay="3750 milliseconds")
-        st.checkpointed_run(st.late_data(stream).drop("event_time"), f"{root}/ok", f"{root}/state")
-    on_time = t.spark.read.parquet(f"{root}/ok")
-    late = st.late_rows(t.spark.read.parquet(f"{root}/in"), on_time)
-    return on_time.withColumn("is_late", F.lit(False)).unionByName(late.withColumn("is_late", F.lit(True))).drop("arrival", "base_ts")
+        step(feed(rows, f"{root}/in", axis="arrival", slices=slices, at="frame_idx", fps=8.0, delay="3750 milliseconds"), root)
+    return root
+
+
+def late_split(t: Tables) -> DataFrame:
+    root = late_feed(t, lambda stream, root: st.split_late(stream, f"{root}/out", f"{root}/state"))
+    return t.spark.read.parquet(f"{root}/out/rows").select("video_id", "frame_idx", "player_id", F.col("is_late").cast("boolean").alias("is_late"))
+
+
+def on_time(t: Tables) -> DataFrame:
+    """The engine drops what is behind the watermark."""
+    root = late_feed(t, lambda stream, root: st.checkpointed_run(st.late_data(stream).drop("event_time"), f"{root}/out", f"{root}/state"))
+    return t.spark.read.parquet(f"{root}/out").select("video_id", "frame_idx", "player_id")
+
+
+def late_windows(t: Tables) -> DataFrame:
+    root = late_feed(t, lambda stream, root: st.split_late(stream, f"{root}/out", f"{root}/state"))
+    second = ((F.unix_micros("start") / 1_000_000) - 1_000_000).cast("bigint").alias("second")
+    return st.window_counts(t.spark, f"{root}/out").select("video_id", second, "rows", "late_rows", "restated")
 
 
-query("late_data", late_split, ("tracks",), """
+derive("late_tracks", ("tracks",), """
 SELECT video_id, frame_idx, player_id, coalesce(frame_idx <= newest - 30, false) AS is_late FROM (
   SELECT *, CASE WHEN arrival < 37 THEN 0 WHEN arrival < 80 THEN 1 ELSE 2 END AS slice FROM (
     SELECT *, frame_idx + CASE WHEN (frame_idx + player_id) % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM tracks) r) a
 JOIN (SELECT s AS slice, max(CASE WHEN arrival < CASE s WHEN 0 THEN 0 WHEN 1 THEN 37 ELSE 80 END THEN frame_idx END) AS newest FROM (
     SELECT frame_idx, frame_idx + CASE WHEN (frame_idx + player_id) % 7 = 0 THEN 40 ELSE 0 END AS arrival FROM tracks) r, (SELECT unnest([0, 1, 2]) AS s) n GROUP BY s) w USING (slice)""")
+query("late_data", late_split, ("late_tracks",), "SELECT * FROM late_tracks")
+query("late_data_dropped", on_time, ("late_tracks",), "SELECT video_id, frame_idx, player_id FROM late_tracks WHERE NOT is_late")
+query("late_windows", late_windows, ("late_tracks",), """
+SELECT video_id, frame_idx // 8 AS second, count(*) AS rows, count(*) FILTER (is_late) AS late_rows, count(*) FILTER (is_late) > 0 AS restated
+FROM late_tracks GROUP BY ALL""")
 
 
 def _Z(i: str) -> str:
@@ -184,14 +238,14 @@ WITH s AS (SELECT f.video_id, f.frame_idx, mx, my, row_number() OVER (PARTITION
 SELECT n.video_id, n.frame_idx, n.n, n.b, a.i, c.i AS j, a.mx AS x0, a.my AS y0, a.frame_idx AS f0, c.mx AS x1, c.my AS y1, c.frame_idx AS f1
 FROM n JOIN p a ON a.video_id = n.video_id AND a.isl = n.isl JOIN p c ON c.video_id = n.video_id AND c.isl = n.isl
 WHERE c.i < n.n AND ((n.n > 3 AND c.i = a.i + 3 AND a.i < 5) OR (n.n = 3 AND a.i = 0 AND c.i = 2))""")
-query("live_speed", lambda t: run(t, t.frames.select("video_id", "frame_idx").join(
+query("live_speed", lambda t: disordered(t, t.frames.select("video_id", "frame_idx").join(
     t.flight.select("video_id", "frame_idx", "mx", "my"), ["video_id", "frame_idx"], "left"), st.live_speed), ("live",), f"""
 SELECT video_id, frame_idx, n AS points, {R('greatest(40, least(160, quantile_cont(v, 0.75)))', 1)} AS speed_kmh FROM (
   SELECT *, greatest(30, least(175, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)+(z1-z0)*(z1-z0))/(greatest(1, f1-f0)/{D(30)})*{D(3.6)})) AS v FROM (
     SELECT *, {_Z('i')} AS z0, {_Z('j')} AS z1 FROM live) a) b GROUP BY video_id, frame_idx, n""")
 
 
-query("speed_stream", lambda t: run(t, court.player_step_distance(t.positions), st.speed_stream), ("speeds",), "SELECT * FROM speeds")
+query("speed_stream", lambda t: disordered(t, court.player_step_distance(t.positions), st.speed_stream), ("speeds",), "SELECT * FROM speeds")
 
 
 def rescanned(t: Tables) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,29 +30,31 @@ def prepare(spark: SparkSession) -> None:
 
 def stream_tracks(
     spark: SparkSession, path: str, schema: T.StructType, fps: float = 30.0, max_files: int | None = None,
-    delay: str = "10 seconds", at: str = "frame_idx",
+    delay: str = "10 seconds", at: str = "frame_idx", start: float = 0.0,
 ) -> DataFrame:
     """Rows of a growing folder with ``event_time`` (start of the video plus frame/fps) and a watermark.
 
-    ``base_ts`` (seconds) is used where the table has it; else every video starts at the epoch.
+    ``base_ts`` (seconds) is used where the table has it; else every video starts at ``start``.  The engine counts rows at
+    the epoch itself as late for stateful operators, so videos fed to these need a later start.
     """
     prepare(spark)
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = reader.parquet(path)
-    base = F.col("base_ts") if "base_ts" in schema.fieldNames() else F.lit(0.0)
+    base = F.col("base_ts") if "base_ts" in schema.fieldNames() else F.lit(float(start))
     micros = ((base + F.col(at) / F.lit(float(fps))) * 1_000_000).cast("bigint")
     return rows.withColumn("event_time", F.timestamp_micros(micros)).withWatermark("event_time", delay)
 
 
-def checkpointed_run(stream: DataFrame, path: str, checkpoint: str) -> None:
+def checkpointed_run(stream: DataFrame, path: str, checkpoint: str):
     """Process what has arrived and stop; a later call with the same checkpoint goes on from there."""
     query = (
         stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
 
 
 def latest_run(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
@@ -81,12 +85,16 @@ def audio_energy_stream(audio: DataFrame, window: str = "250 milliseconds", hop:
 
 
 def ball_sessions(ball: DataFrame, fps: float = 30.0, dead_frames: int = 16) -> DataFrame:
-    """Flights as session windows over ball sightings (with ``has_batsman``) that end after the dead frames."""
+    """Flights as session windows over ball sightings (with ``has_batsman``) that end after the dead frames.
+
+    A flight is given out when the watermark passes its end.  Rows of ``video_ends`` move it past the last one.
+    """
     gap = f"{int(round((dead_frames + 1) / fps * 1000))} milliseconds"
+    seen = F.col("frame_idx") if ENDED not in ball.columns else F.when(~F.col(ENDED), F.col("frame_idx"))
     return ball.groupBy("video_id", F.session_window("event_time", gap).alias("w")).agg(
-        F.min("frame_idx").alias("first_ball_frame"), F.max("frame_idx").alias("last_ball_frame"),
-        F.min(F.when(F.col("has_batsman"), F.col("frame_idx"))).alias("start_frame"), F.count("*").alias("ball_frames"),
-    ).select("video_id", "first_ball_frame", "last_ball_frame", "start_frame", "ball_frames")
+        F.min(seen).alias("first_ball_frame"), F.max(seen).alias("last_ball_frame"),
+        F.min(F.when(F.col("has_batsman"), seen)).alias("start_frame"), F.count(seen).alias("ball_frames"),
+    ).filter("ball_frames > 0").select("video_id", "first_ball_frame", "last_ball_frame", "start_frame", "ball_frames")
 
 
 def live_scoreboard(events: DataFrame) -> DataFrame:
@@ -100,44 +108,129 @@ def live_scoreboard(events: DataFrame) -> DataFrame:
 
 # ---- stateful ----------------------------------------------------------------------------------------
 
-class _MachineProcessor(StatefulProcessor):
-    """Keeps one machine per key; its JSON state lives in the state store between batches."""
+class _OrderedProcessor(StatefulProcessor):
+    """One machine per key that steps over the rows in event-time order, however they arrive.
+
+    Rows wait in a map state, packed by stretches of event time, until the watermark passes them; then no earlier row can
+    come any more.  One timer per key stands at the first waiting row, so rows are given out without further input, and
+    at the end of the key's idle time, when the machine closes what is open and the key's state is removed.
+    """
 
-    def __init__(self, make: Callable, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], fields: list[str]):
-        self.make, self.keys, self.order, self.columns, self.fields = make, list(keys), list(order), list(columns), fields
+    def __init__(
+        self, make: Callable, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], fields: list[str], idle_us: int,
+        stretch_us: int = 1_000_000, rows_per_batch: int = 1 << 14,
+    ):
+        self.make, self.keys, self.columns, self.fields = make, list(keys), list(columns), fields
+        self.at, self.idle_us, self.stretch_us, self.rows_per_batch = [1 + columns.index(c) for c in order], idle_us, stretch_us, rows_per_batch
 
     def init(self, handle):
-        self.saved = handle.getValueState("machine", T.StructType([T.StructField("state", T.StringType())]))
+        self.handle = handle
+        self.saved = handle.getValueState("machine", "state STRING")
+        self.marks = handle.getValueState("marks", "part BIGINT, last BIGINT, timer BIGINT")
+        self.waiting = handle.getMapState("waiting", "stretch BIGINT, part BIGINT", "content STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        machine = self.make()
+        part, last, timer = self.marks.get() if self.marks.exists() else (0, None, None)
+        for batch in rows:  # packed away batch by batch, a key's rows are never held together
+            if ENDED in batch:
+                batch = batch[~batch[ENDED].fillna(False).astype(bool)]
+            if not len(batch):
+                continue
+            micros = batch["event_micros"].to_numpy()
+            last = int(micros.max()) if last is None else max(last, int(micros.max()))
+            values = batch[self.columns].astype(object).where(batch[self.columns].notna(), None)
+            packed = sorted(zip(micros.tolist(), *(values[c].tolist() for c in self.columns)), key=lambda r: r[0])
+            for stretch, content in groupby(packed, key=lambda r: r[0] // self.stretch_us):
+                self.waiting.updateValue((stretch, part), (json.dumps(list(content)),))
+                part += 1
+        yield from self._advance(key, part, last, timer, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.marks.exists():
+            part, last, _ = self.marks.get()
+            yield from self._advance(key, part, last, None, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _advance(self, key, part: int, last: int | None, timer: int | None, now: int) -> Iterator[pd.DataFrame]:
+        """Step over the waiting rows up to ``now``, then set the timer for what comes next."""
+        if last is None:
+            return
+        machine, stepped, out, due = self.make(), False, [], None
         if self.saved.exists():
             machine.load(json.loads(self.saved.get()[0]))
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(self.order, kind="stable").astype(object).where(lambda r: r.notna(), None)
-        out = []
-        for values in zip(*(batch[c].tolist() for c in self.columns)):
-            out.extend(machine.step(dict(zip(self.columns, values))))
-        if hasattr(machine, "flush"):
+        for stretch, places in groupby(sorted(tuple(k) for k in self.waiting.keys()), key=lambda k: k[0]):
+            if stretch * self.stretch_us > now:
+                due = stretch * self.stretch_us
+                break
+            places = list(places)
+            rows = [r for place in places for r in json.loads(self.waiting.getValue(place)[0])]
+            rest = [r for r in rows if r[0] > now]
+            if len(rest) < len(rows):
+                for place in places:
+                    self.waiting.removeKey(place)
+                if rest:
+                    self.waiting.updateValue((stretch, part), (json.dumps(rest),))
+                    part += 1
+            for row in sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], *(r[i] for i in self.at))):
+                out.extend(machine.step(dict(zip(self.columns, row[1:]))))
+                stepped = True
+                if len(out) >= self.rows_per_batch:
+                    yield self._frame(key, out)
+                    out = []
+            if rest:
+                due = min(r[0] for r in rest)
+                break
+        if stepped and hasattr(machine, "flush"):
             out.extend(machine.flush())
-        self.saved.update((json.dumps(machine.state()),))
-        yield pd.DataFrame([(*key, *o) for o in out], columns=[*self.keys, *self.fields])
+        over = due is None and now >= last + self.idle_us
+        if over and hasattr(machine, "finish"):
+            out.extend(machine.finish())
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if over:
+            for state in (self.saved, self.marks, self.waiting):
+                state.clear()
+        else:
+            timer = -(-(last + self.idle_us if due is None else due) // 1000)
+            self.handle.registerTimer(timer)
+            self.marks.update((part, last, timer))
+            if stepped:
+                self.saved.update((json.dumps(machine.state()),))
+        if out:
+            yield self._frame(key, out)
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *o) for o in out], columns=[*self.keys, *self.fields])
 
     def close(self):
         pass
 
 
+ENDED = "ended"
+
+
+def video_ends(videos: DataFrame, frames_after: int) -> DataFrame:
+    """One row per video that has ended, ``frames_after`` behind its last frame; its event time moves the watermark past the video."""
+    return videos.select("video_id", (F.col("total_frames") - 1 + frames_after).alias("frame_idx"), F.lit(True).alias(ENDED))
+
+
 def stateful_tracking(
     stream: DataFrame, make: Callable, out_schema: T.StructType, keys: Sequence[str] = ("video_id",),
-    order: Sequence[str] = ("frame_idx",),
+    order: Sequence[str] = ("frame_idx",), idle: str = "1 second",
 ) -> DataFrame:
-    """Run a step machine per key over a stream: the same machine as in the batch fold, so the same results."""
+    """Run a step machine per key over a stream in event-time order: the same machine as in the batch fold, so the same results.
+
+    Rows may arrive in any order within the watermark's delay; rows behind the watermark are dropped by the engine.  A row's
+    results come out when the watermark has passed it.  A key without rows for ``idle`` event time is over: the machine's
+    ``finish`` gives out what is open and its state is removed.  Rows with ``ended`` set only move the watermark.
+    """
     prepare(stream.sparkSession)
-    columns = [c for c in stream.columns if c not in keys and c != "event_time"]
+    columns = [c for c in stream.columns if c not in (*keys, "event_time", ENDED)]
     schema = T.StructType([*[stream.schema[k] for k in keys], *out_schema.fields])
-    processor = _MachineProcessor(make, keys, order, columns, out_schema.fieldNames())
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+    number, unit = re.fullmatch(r"(\d+) (millisecond|second|minute|hour)s?", idle).groups()
+    idle_us = int(number) * {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000}[unit] * 1000
+    processor = _OrderedProcessor(make, keys, order, columns, out_schema.fieldNames(), idle_us)
+    return stream.withColumn("event_micros", F.unix_micros("event_time")).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -169,7 +262,7 @@ def shot_stream(spine: DataFrame) -> DataFrame:
 
 
 def delivery_sessions(spine: DataFrame, dead_frames: int = 16, min_frames: int = 5) -> DataFrame:
-    """Deliveries as they complete, from frames with ``has_ball``, ``has_batsman`` and ``is_last`` (the last frame of the video)."""
+    """Deliveries as they complete, from frames with ``has_ball`` and ``has_batsman``; an open one when its video is over."""
     return stateful_tracking(
         spine, lambda: mc.DeliverySession(dead_frames, min_frames),
         _schema("start_frame BIGINT, last_ball_frame BIGINT, done_frame BIGINT, ball_frames BIGINT"),
@@ -194,6 +287,33 @@ def late_data(stream: DataFrame, keys: Sequence[str] = ("video_id", "frame_idx",
     return stream.dropDuplicatesWithinWatermark(list(keys))
 
 
-def late_rows(arrived: DataFrame, on_time: DataFrame, keys: Sequence[str] = ("video_id", "frame_idx", "player_id")) -> DataFrame:
-    """What ``late_data`` left out of all rows that arrived, for a table of its own."""
-    return arrived.join(on_time.select(*keys), list(keys), "left_anti")
+def batch_watermark(spark: SparkSession, checkpoint: str, number: int) -> int:
+    """Milliseconds of the watermark under which the engine runs a batch, as it wrote it down before the batch began."""
+    said = spark.read.text(f"{checkpoint}/offsets/{number}").select(F.get_json_object("value", "$.batchWatermarkMs").cast("bigint").alias("ms"))
+    return said.agg(F.max("ms")).first()[0] or 0
+
+
+def split_late(stream: DataFrame, path: str, checkpoint: str, window: str = "1 second", keys: Sequence[str] = ("video_id",)) -> None:
+    """Set late rows aside as they arrive and count rows per window; what arrived earlier is not read again.
+
+    A row at or behind the watermark of the batch that brings it is late.  Each batch writes its rows under ``rows``, split by
+    ``is_late``, and its counts per window under ``windows``; a repeated batch overwrites both.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        limit = batch_watermark(batch.sparkSession, checkpoint, number)
+        late = (F.unix_micros("event_time") <= limit * 1000) & F.lit(limit > 0)
+        batch.withColumn("is_late", late).write.mode("overwrite").partitionBy("is_late").parquet(f"{path}/rows/batch={number}")
+        fresh = batch.sparkSession.read.schema(batch.schema.add("is_late", "boolean")).parquet(f"{path}/rows/batch={number}")
+        counts = fresh.groupBy(*keys, F.window("event_time", window).getField("start").alias("start")).agg(
+            F.count("*").alias("rows"), F.count_if("is_late").alias("late_rows"))
+        counts.write.mode("overwrite").parquet(f"{path}/windows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def window_counts(spark: SparkSession, path: str, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """Counts per window with late rows added; ``restated`` where these changed a window."""
+    parts = spark.read.parquet(f"{path}/windows")
+    return parts.groupBy(*keys, "start").agg(F.sum("rows").alias("rows"), F.sum("late_rows").alias("late_rows")).withColumn(
+        "restated", F.col("late_rows") > 0)
