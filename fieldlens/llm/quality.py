@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import SPACES, let, salted_left_join, text_key, text_of, words_of
+from fieldlens.llm.common import SPACES, let, text_of, words_of
+from fieldlens.scale import durable
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -85,38 +86,38 @@ def line_totals(text: Column) -> Column:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source",
-    max_docs: int = 5, max_share_pct: int = 10, min_left_pct: int = 30,
+    max_docs: int = 5, max_share_pct: int = 10, most_docs: int = 50, min_left_pct: int = 30,
 ) -> DataFrame:
     """Fixed rules per text, and rejection of documents that mostly consist of their host's common lines.
 
-    A line (normalised and hashed) is common in a host when it stands in more than ``max_docs`` different texts of the
-    host and in more than ``max_share_pct`` percent of them.  Common lines are removed; a document with less than
-    ``min_left_pct`` percent of its words left is depleted and rejected.
+    A line (normalised and hashed) is common in a host when it stands in more than ``max_docs`` of the host's documents, and in
+    more than ``max_share_pct`` percent of them or more than ``most_docs``; the limit doesn't rise any more with large hosts.
+    Common lines are removed; a document with less than ``min_left_pct`` percent of its words left is depleted and rejected.
 
     One row per input row: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    n_removed_words, kept.  Copies of a text count once per host, so copying alone makes no line common.  A null text is
-    empty and fails the base rule, a null host is a host of its own, repeated rows each get their own (equal) row, an empty
-    table gives an empty result and other columns are ignored.
+    n_removed_words, kept.  Every row is a document, copies of a text as well.  A null text is empty and fails the base rule, a
+    null host is a host of its own, repeated rows each get their own (equal) row, an empty table gives an empty result and
+    other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), text_of(text).alias("text"))
-    source = source.withColumns(text_key(F.col("text")))
-    texts = source.select("host", "_k1", "_k2").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
-    occurrences = (
-        source.select("host", "_k1", "_k2", F.explode(line_totals(F.col("text"))).alias("e"))
-        .groupBy("host", F.col("e.line").alias("line"), "_k1", "_k2").agg(F.max("e.words").alias("words"))
-    )
-    frequent = occurrences.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
-    hosts = texts.withColumnRenamed("host", "_host")
-    common = (
-        frequent.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-        .filter(F.col("n") * 100 > F.col("n_texts") * max_share_pct).select("host", "line", F.lit(True).alias("common"))
-    )
-    removed = (
-        salted_left_join(occurrences, common, ["host", "line"], F.col("_k1")).filter("common")
-        .groupBy("host", "_k1", "_k2").agg(F.sum("words").alias("removed"))
-    )
-    rows = source.select("doc_id", "host", "_k1", "_k2", *[c.alias(n) for n, c in base_rules(F.col("text")).items()])
-    rows = salted_left_join(rows, removed, ["host", "_k1", "_k2"], F.xxhash64("doc_id"))
+    # 128 bits stand for a row, repeated rows share them; a null and a missing value hash alike, so the gaps are told apart
+    gaps = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "host")])
+    row = {"_a": F.xxhash64("doc_id", "host", "text", gaps), "_b": F.xxhash64(F.lit(1), "doc_id", "host", "text", gaps)}
+    source = source.withColumns(row).withColumn("_h", F.xxhash64("host", F.col("host").isNull()))
+    lines = durable(
+        source.select("_a", "_b", "_h", F.explode(line_totals(F.col("text"))).alias("e"))
+        .select("_a", "_b", "_h", F.col("e.line").alias("line"), F.col("e.words").alias("words")))
+    hosts = source.groupBy("_h").agg(F.count("*").alias("n_docs"))
+    # one row per document and line, summed before the shuffle: the documents that hold the line
+    frequent = lines.groupBy("_h", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
+    common = frequent.join(hosts, "_h").filter(
+        (F.col("n") * 100 > F.col("n_docs") * max_share_pct) | (F.col("n") > most_docs)).select("_h", "line")
+    removed = lines.join(common, ["_h", "line"]).groupBy("_a", "_b").agg(F.sum("words").alias("total"))
+    repeated = source.groupBy("_a", "_b").agg(F.count("*").alias("copies")).filter("copies > 1")
+    removed = removed.join(repeated, ["_a", "_b"], "left").select(
+        "_a", "_b", (F.col("total") / F.coalesce("copies", F.lit(1))).cast("bigint").alias("removed"))
+    rows = source.select("doc_id", "_a", "_b", *[c.alias(n) for n, c in base_rules(F.col("text")).items()])
+    rows = rows.join(removed, ["_a", "_b"], "left")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     left = F.col("n_words") - F.col("n_removed_words")
     return (
@@ -143,10 +144,11 @@ l AS (
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE words > 0 GROUP BY ALL),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY ALL),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY ALL),
 common AS (
-  SELECT l.source, l.norm FROM l JOIN d ON d.doc_id = l.doc_id JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
-  WHERE words > 0 GROUP BY l.source, l.norm, h.n HAVING count(DISTINCT d.text) > 5 AND count(DISTINCT d.text) * 100 > h.n * 10),
+  SELECT l.source, l.norm FROM l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
+  WHERE words > 0 GROUP BY l.source, l.norm, h.n
+  HAVING count(DISTINCT doc_id) > 5 AND (count(DISTINCT doc_id) * 100 > h.n * 10 OR count(DISTINCT doc_id) > 50)),
 gone AS (
   SELECT l.doc_id, sum(words) AS n FROM l JOIN common c ON c.source IS NOT DISTINCT FROM l.source AND c.norm = l.norm GROUP BY ALL),
 base AS (

@@ -73,6 +73,22 @@ def test_common_lines_deplete(spark):
     assert not any(kept[i]["kept"] for i in range(20, 40))
 
 
+def test_copies_make_their_lines_common(spark):
+    rng = random.Random(9)
+    page = "\n".join(" ".join(prose(rng, 12)) for _ in range(6))
+    rows = [(i, page, "en", "h") for i in range(90)] + [(100 + i, " ".join(prose(rng, 70)), "en", "h") for i in range(10)]
+    rows += [(300, page, "en", "other"), (300, page, "en", "other"), (None, page, "en", None)]
+    got = quality.quality_rules(table(spark, rows)).collect()
+    assert {r["n_removed_words"] for r in got if r["doc_id"] is not None and r["doc_id"] < 90} == {72}
+    assert all(r["n_removed_words"] == 0 and r["kept"] for r in got if r["doc_id"] is None or r["doc_id"] >= 100)
+    # the limit doesn't rise with the host
+    many = [(i, page, "en", "h") for i in range(60)] + [(100 + i, " ".join(prose(rng, 60)), "en", "h") for i in range(1000)]
+    got = quality.quality_rules(table(spark, many)).filter("not kept").collect()
+    assert {r["doc_id"] for r in got} == set(range(60))
+    twice = [(1, page, "en", "h")] * 7
+    assert {r["n_removed_words"] for r in quality.quality_rules(table(spark, twice)).collect()} == {72}
+
+
 def test_language_evidence(spark):
     pages = spark.createDataFrame([
         (i, f"https://www.site{i % 3}.{t}/x", f"<html lang='{t}'><style>p{{}}</style><p>{w}</p></html>")
