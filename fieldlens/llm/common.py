@@ -28,6 +28,12 @@ def lower_ascii(text: Column) -> Column:
         F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"_x{k}" for k in range(n + len(taken))) if c not in taken][:n]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.transform(F.array(value), body)[0]

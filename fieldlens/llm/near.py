@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -10,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import salted_left_join, text_key, text_of, words_of
+from fieldlens.llm.common import free_names, salted_left_join, text_key, text_of, words_of
 from fieldlens.scale import durable, shared_dir
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 2
-BINS = 256  # of the histogram that bounds the matches of two texts
-BLOCK = 1000  # nodes of a bucket, about, that meet as many others in one task
+BLOCK = 1000  # holders of a run, about, that meet as many others in one task
 CHUNK = 400_000  # words that are hashed at once
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -76,14 +76,8 @@ def order_minhash(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def histograms(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Grams of each text per hash bin, BINS columns; 255 stands for 255 or more."""
-    cells = np.repeat(np.arange(len(counts)) * BINS, counts) + (grams % np.uint64(BINS)).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=len(counts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-
-
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, _k1, _k2, w (word hashes, not empty) to doc_id, _k1, _k2, keys, runs (how many), bins."""
+    """doc_id, _k1, _k2, w (word hashes, not empty) to doc_id, _k1, _k2, keys."""
     for batch in batches:
         lists = batch.column("w")
         offsets = np.asarray(lists.offsets)
@@ -99,10 +93,9 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = words[offsets[a]:offsets[b]]
             grams, counts = shingles(part, (offsets[a:b] - offsets[a]).astype(np.int64), sizes[a:b])
             keys = order_minhash(grams, counts)
-            bins = pa.array([h.tobytes() for h in histograms(grams, counts)], pa.binary())
             column = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
             same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "_k1", "_k2")]
-            yield pa.RecordBatch.from_arrays([*same, column, pa.array(counts, pa.int64()), bins], ["doc_id", "_k1", "_k2", "keys", "runs", "bins"])
+            yield pa.RecordBatch.from_arrays([*same, column], ["doc_id", "_k1", "_k2", "keys"])
 
 
 def word_hashes(text: Column) -> Column:
@@ -168,8 +161,8 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike.  A text that many pairs share is split off by the engine's skew join."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, "a bigint, b bigint")
 
 
@@ -206,67 +199,72 @@ def apart_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return durable(salted_left_join(named, several.drop("parts"), ["band", "key"], F.col("node")).filter(F.col("main").isNotNull()))
 
 
-def crossing(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one block whose labels differ and that can be alike, each in the first bucket that holds both.
+def labelled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label, w (word hashes) to node, label, runs (how many) and the occurrence-labelled runs, one row each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words = np.asarray(batch.column("w")[i].values).view(np.uint64)
+            grams, counts = shingles(words, np.zeros(1, np.int64), np.array([len(words)]))
+            runs = mix(grams + occurrence_labels(grams, np.zeros(len(grams), np.int64)) * np.uint64(0x9E3779B97F4A7C15))
+            for start in range(0, len(runs), CHUNK):
+                part = runs[start:start + CHUNK].view(np.int64)
+                same = [pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in ("node", "label")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(part), counts[0], np.int64)), pa.array(part)], ["node", "label", "runs", "run"])
 
-    Two alignable texts share m >= 4/9 of their runs together, and m is at most the sum of the lesser counts of each bin.
-    """
-    band, _, low, high = (k.as_py() for k in key)
-    piece, node, label, runs = (table.column(c).to_numpy() for c in ("piece", "node", "label", "runs"))
-    keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)[:, :band]
-    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+
+def crossing(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of one block that lie in different components and can be alike by their lengths and common runs."""
+    _, cell, low, high = (k.as_py() for k in key)
+    piece, node, label, runs, common, size = (table.column(c).to_numpy() for c in ("piece", "node", "label", "runs", "common", "size"))
     left, right = np.flatnonzero(piece == low), np.flatnonzero(piece == high)
     a, b = [], []
     for k, i in enumerate(left):
         to = right[k + 1:] if low == high else right
-        to = to[(label[to] != label[i]) & (5 * np.minimum(runs[to], runs[i]) >= 4 * np.maximum(runs[to], runs[i]))]
-        to = to[~(keys[to] == keys[i]).any(1)]
-        if len(to):
-            full = ((bins[to] == 255) & (bins[i] == 255)).any(1)
-            to = to[full | (9 * np.minimum(bins[to], bins[i]).sum(1, dtype=np.int64) >= 4 * (runs[to] + runs[i]))]
-            a.append(np.minimum(node[to], node[i]))
-            b.append(np.maximum(node[to], node[i]))
+        to = to[(label[to] != label[i]) & (np.maximum(size[to], size[i]) == cell)]
+        to = to[9 * np.minimum(common[to], common[i]) >= 4 * (runs[to] + runs[i])]
+        a.append(np.minimum(node[to], node[i]))
+        b.append(np.maximum(node[to], node[i]))
     none = np.empty(0, np.int64)
     return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
 
-def cross_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs of a bucket that lie in different components and can be alike.
+def cross_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of the nodes left apart that lie in different components and can be alike.
 
-    A bucket is dealt into pieces of about BLOCK nodes; every two pieces meet in a task of their own.
+    Two texts of n and m runs that align to 0.8 share at least 4/9 of n + m.  So runs that no other of these texts holds are
+    counted first: what a text has besides them bounds its matches.  Then each text's rarest fifth of its runs, and one more,
+    are laid out; two alike texts have one of these in common.  Texts meet on such a run if their lengths are within 4:5, in
+    blocks of about BLOCK where many hold it.
     """
-    pieces = F.ceil(F.col("size") / BLOCK)
-    rows = apart.select("band", "key", "node", "label", pieces.alias("pieces"), F.pmod(F.xxhash64("node"), pieces).alias("piece"))
-    rows = rows.join(nodes.select("node", "keys", "runs", "bins"), "node")
+    named = apart.select("node", "label").distinct().join(texts, "node")
+    runs = durable(named.select("node", "label", word_hashes(F.col("text")).alias("w")).mapInArrow(
+        labelled_runs, "node bigint, label bigint, runs bigint, run bigint"))
+    held = runs.groupBy("run").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = runs.join(held, "run")  # a hot run is split off by the engine's skew join
+    rarity = Window.partitionBy("node").orderBy("held", "run")
+    shared = shared.withColumns({"place": F.row_number().over(rarity), "common": F.count("*").over(Window.partitionBy("node"))})
+    # runs held by one text alone are the rarest of all: they fill the first places
+    first = F.floor(F.col("runs") / 5) + 1 - (F.col("runs") - F.col("common"))
+    size = F.floor(F.log(F.col("runs").cast("double")) / F.lit(math.log(1.25))).cast("bigint")
+    front = durable(shared.filter(F.col("place") <= first).select("node", "label", "runs", "common", "run", size.alias("size")))
+    cells = front.withColumn("cell", F.explode(F.array("size", F.col("size") + 1)))
+    crowds = cells.groupBy("run", "cell").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    crowds = crowds.filter("x < y").select("run", "cell", F.ceil(F.col("n") / BLOCK).alias("pieces"))
+    rows = cells.join(crowds, ["run", "cell"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
     rows = rows.withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("pieces", "other")
-    return rows.groupBy("band", "key", "low", "high").applyInArrow(crossing, "a bigint, b bigint")
+    return rows.groupBy("run", "cell", "low", "high").applyInArrow(crossing, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Classes of documents whose five-word runs align to 80 % or more.
-
-    Equal texts are one node.  Order MinHash gives each node BANDS keys; nodes that share one lie in one bucket.  Every node is
-    compared with the most central member of each of its buckets.  In buckets that then still hold several components, nodes
-    are compared with their neighbour when sorted by their next keys (so with the one they share most keys with), and those
-    outside the largest component with the most central one of them.  In buckets that even then hold several components, all
-    pairs between components are looked at: those that the lengths and the histograms of their runs don't rule out are compared.
-    So any two texts that share a bucket are compared, connected or too unlike by an exact bound; the pairs inside a
-    component are never listed.  Classes are the components of the verified links.
-
-    One row per input row: ``id_col`` (bigint), class_id (least id of the class), kept (it is that document, or the first of
-    rows that repeat its id).  Null and empty texts have no words: each stands alone, equal ones too.  A null id gets the class
-    of its text's other rows or, alone, none, and is kept.  Repeated rows share a class; an empty table gives an empty result;
-    other columns are ignored.
-    """
+def classified(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc_id, _k1, _k2 (key of the text), words (has any), class_id, kept for every row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text")).withColumns(text_key(F.col("text")))
     hashed = rows.withColumn("w", word_hashes(F.col("text"))).filter(F.size("w") > 0).select("doc_id", "_k1", "_k2", "w")
-    nodes = hashed.mapInArrow(sketches, "doc_id bigint, _k1 bigint, _k2 bigint, keys array<bigint>, runs bigint, bins binary")
-    nodes = nodes.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("keys", "runs", "bins")])
-    nodes = durable(nodes)
+    nodes = hashed.mapInArrow(sketches, "doc_id bigint, _k1 bigint, _k2 bigint, keys array<bigint>")
+    nodes = nodes.groupBy("_k1", "_k2").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     follow = [F.get("keys", F.pmod(F.col("band") + i, F.lit(BANDS)).cast("int")).alias(f"then{i}") for i in (1, 2)]
-    bands = nodes.filter(F.col("node").isNotNull()).select("node", "keys", F.posexplode("keys").alias("band", "key"))
-    bands = bands.select("node", "band", "key", *follow)
+    bands = nodes.select("node", "keys", F.posexplode("keys").alias("band", "key")).select("node", "band", "key", *follow)
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = salted_left_join(bands, shared, ["band", "key"], F.col("node")).filter(F.col("n").isNotNull())
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
@@ -276,8 +274,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     leaders = members.groupBy("band", "key").agg(central.alias("leader"))
     led = salted_left_join(members.select("band", "key", "node"), leaders, ["band", "key"], F.col("node"))
 
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # one row for each text that shares a bucket, that of its least id
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("least").alias("_least"), F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"))
+    same = (F.col("_k1") == F.col("_n1")) & (F.col("_k2") == F.col("_n2")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    texts = rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = led.filter("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")).select(*pair).distinct()
     found = durable(links(pairs, texts))
@@ -299,20 +299,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         labels = components(found)
         apart = apart_members(members.drop("then1", "then2", "degree"), labels)
     # every pair that the centres and neighbours left apart
-    rest = cross_pairs(apart, nodes).join(pairs.unionByName(more), ["a", "b"], "left_anti")
+    rest = cross_pairs(apart, texts).join(pairs.unionByName(more), ["a", "b"], "left_anti")
     linked = durable(links(durable(rest), texts))
     if not linked.isEmpty():
         labels = components(found.unionByName(linked))
 
-    classes = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
-    classes = classes.select("_k1", "_k2", F.coalesce("label", "node").alias("class"))
+    named = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # of a class the text with the least id stays, texts without any id last
+    stays = F.min_by(F.struct("least", "_k1", "_k2"), F.struct(F.col("least").isNull().alias("none"), "least", "_k1", "_k2"))
+    best = named.groupBy("label").agg(stays.alias("best"))
+    classes = salted_left_join(named.select("label", "_k1", "_k2"), best, ["label"], F.col("_k1")).select("_k1", "_k2", "best")
     out = salted_left_join(rows.select("doc_id", "_k1", "_k2"), classes, ["_k1", "_k2"], F.xxhash64("doc_id"))
-    class_id = F.coalesce("class", "doc_id")
-    return out.select(F.col("doc_id").alias(id_col), class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    mine = (F.col("best._k1") == F.col("_k1")) & (F.col("best._k2") == F.col("_k2")) & F.col("best.least").eqNullSafe(F.col("doc_id"))
+    alone = F.col("best").isNull()
+    return out.select(
+        "doc_id", "_k1", "_k2", (~alone).alias("words"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.least")).alias("class_id"),
+        (alone | mine).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Classes of documents whose five-word runs align to 80 % or more.
+
+    Equal texts are one node.  Order MinHash gives each node BANDS keys; nodes that share one lie in one bucket.  Every node is
+    compared with the most central member of each of its buckets.  In buckets that then still hold several components, nodes
+    are compared with their neighbour when sorted by their next keys (so with the one they share most keys with), and those
+    outside the largest component with the most central one of them.  Nodes of buckets that even then hold several components
+    meet on their rarest runs (``cross_pairs``), which any two alike texts of them have in common.  So any two texts that share a
+    bucket are compared, connected or too unlike by an exact bound; the pairs inside a component are never listed.  Classes are
+    the components of the verified links.
+
+    One row per input row: ``id_col`` (bigint), class_id (least id of the class), kept (it is that document; rows that repeat
+    its id and text as well).  Null and empty texts have no words: each stands alone, equal ones too.  Rows that share an id
+    but not the text are different documents.  Null ids come after all others; a class without any id has none, and one text of
+    it is kept.  Repeated rows share a class; an empty table gives an empty result; other columns are ignored.
+    """
+    return classified(docs, id_col, text).select(F.col("doc_id").alias(id_col), "class_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the least id; rows that repeat it stay once, rows without id or words stay."""
-    gone = near_duplicates(docs, id_col, text).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
-    return left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.filter(F.col(id_col).isNull()))
+    """One document of each class, that with the least id; nulls and ties as in ``near_duplicates``.
+
+    Rows that repeat both id and text of the one that stays come out once, rows without words all stay.  Only the keys of rows
+    are joined, under names that ``docs`` doesn't have.
+    """
+    name = free_names(docs, 5)
+    verdict = classified(docs, id_col, text).groupBy("doc_id", "_k1", "_k2").agg(
+        F.first("kept").alias("kept"), F.max(F.when(F.col("words"), 1)).isNotNull().alias("words"), F.count("*").alias("copies"))
+    verdict = verdict.filter("kept").select(
+        F.col("doc_id").alias(name[0]), F.col("_k1").alias(name[1]), F.col("_k2").alias(name[2]), (F.col("words") & (F.col("copies") > 1)).alias(name[3]))
+    key = list(text_key(text_of(text)).values())
+    stay = docs.join(
+        verdict, F.col(id_col).cast("bigint").eqNullSafe(F.col(name[0])) & (key[0] == F.col(name[1])) & (key[1] == F.col(name[2])))
+    once = stay.filter(F.col(name[3])).dropDuplicates([name[0], name[1], name[2]])
+    return stay.filter(~F.col(name[3])).select(docs.columns).unionByName(once.select(docs.columns))

@@ -259,6 +259,44 @@ def test_families_on_a_shared_passage(spark, monkeypatch):
     assert [got[i] for i in range(120)] == least
 
 
+def test_rare_runs_miss_no_pair(spark, monkeypatch):
+    """The pairs that meet on rare runs against all pairs, with lengths across classes and runs that most texts hold."""
+    rng = random.Random(8)
+    base, docs = prose(rng, 150), []
+    for _ in range(70):
+        words = list(base[rng.randrange(20):150 - rng.randrange(20)])
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        docs.append(" ".join(words))
+    docs = list(dict.fromkeys(docs)) + ["a b c", "a b c d e f a b c d e f"]
+    runs = [near.runs_of(d) for d in docs]
+    want = {(i, j) for j in range(len(docs)) for i in range(j) if near.aligned(runs[i], runs[j])}
+    monkeypatch.setattr(near, "BLOCK", 20)
+    texts_ = spark.createDataFrame(list(enumerate(docs)), "node bigint, text string")
+    got = {tuple(r) for r in near.cross_pairs(texts_.select("node", F.col("node").alias("label")), texts_).collect()}
+    assert want <= got and 50 < len(want) and len(got) < len(docs) * (len(docs) - 1) / 2
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    edit = lambda w: " ".join([*w[:-1], "edited"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(c)), (None, edit(a)), (None, edit(c)), (3, edit(b)), (2, " ".join(c)), (4, ""), (4, "")]
+    lone = prose(rng, 60)
+    rows += [(None, " ".join(lone)), (None, " ".join(lone)), (None, edit(lone))]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    for extra in ("_gone", "_x0", "_k1", "least", "kept"):
+        docs = docs.withColumn(extra, F.lit(7))
+    out = near.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert Counter(i for i, _ in kept) == {1: 2, 2: 1, 4: 2, None: 1}
+    assert {t for i, t in kept if i == 1} == {" ".join(a), " ".join(b)}
+    got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in near.near_duplicates(docs).collect())
+    assert got[(None, 1, False)] == got[(None, 2, False)] == got[(3, 1, False)] == 1
+    assert got[(None, None, True)] + got[(None, None, False)] == 3 and got[(None, None, True)] in (1, 2)
+
+
 def test_winnow_guarantee(spark):
     rng = random.Random(6)
     shared = prose(rng, winnow.K + winnow.W - 1)
