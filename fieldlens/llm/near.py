@@ -212,29 +212,13 @@ def labelled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(part), counts[0], np.int64)), pa.array(part)], ["node", "label", "runs", "run"])
 
 
-def crossing(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one block that lie in different components and can be alike by their lengths and common runs."""
-    _, cell, low, high = (k.as_py() for k in key)
-    piece, node, label, runs, common, size = (table.column(c).to_numpy() for c in ("piece", "node", "label", "runs", "common", "size"))
-    left, right = np.flatnonzero(piece == low), np.flatnonzero(piece == high)
-    a, b = [], []
-    for k, i in enumerate(left):
-        to = right[k + 1:] if low == high else right
-        to = to[(label[to] != label[i]) & (np.maximum(size[to], size[i]) == cell)]
-        to = to[9 * np.minimum(common[to], common[i]) >= 4 * (runs[to] + runs[i])]
-        a.append(np.minimum(node[to], node[i]))
-        b.append(np.maximum(node[to], node[i]))
-    none = np.empty(0, np.int64)
-    return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-
 def cross_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs of the nodes left apart that lie in different components and can be alike.
 
-    Two texts of n and m runs that align to 0.8 share at least 4/9 of n + m.  So runs that no other of these texts holds are
-    counted first: what a text has besides them bounds its matches.  Then each text's rarest fifth of its runs, and one more,
-    are laid out; two alike texts have one of these in common.  Texts meet on such a run if their lengths are within 4:5, in
-    blocks of about BLOCK where many hold it.
+    Two texts of n and m runs that align to 0.8 share at least 4/9 of n + m.  All texts put their runs in one order, those that
+    few of these texts hold first.  Two alike texts share one of the first fifth, and one more, of each one's runs; from the
+    first shared one on, both have room for all the matches that they need.  So texts meet on such a run if their lengths are
+    within 4:5 and the rest of either is long enough, in blocks of about BLOCK by BLOCK where many hold it.
     """
     named = apart.select("node", "label").distinct().join(texts, "node")
     runs = durable(named.select("node", "label", word_hashes(F.col("text")).alias("w")).mapInArrow(
@@ -243,17 +227,26 @@ def cross_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
     shared = runs.join(held, "run")  # a hot run is split off by the engine's skew join
     rarity = Window.partitionBy("node").orderBy("held", "run")
     shared = shared.withColumns({"place": F.row_number().over(rarity), "common": F.count("*").over(Window.partitionBy("node"))})
-    # runs held by one text alone are the rarest of all: they fill the first places
-    first = F.floor(F.col("runs") / 5) + 1 - (F.col("runs") - F.col("common"))
+    # runs that one text alone holds come first and match nothing
+    rest = F.col("common") - F.col("place") + 1
     size = F.floor(F.log(F.col("runs").cast("double")) / F.lit(math.log(1.25))).cast("bigint")
-    front = durable(shared.filter(F.col("place") <= first).select("node", "label", "runs", "common", "run", size.alias("size")))
-    cells = front.withColumn("cell", F.explode(F.array("size", F.col("size") + 1)))
-    crowds = cells.groupBy("run", "cell").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    front = shared.filter(rest * 5 >= F.col("runs") * 4)
+    front = durable(front.select("node", "label", "runs", rest.alias("rest"), "run", size.alias("size")))
+    # a text meets those of its own class of lengths and of the next one
+    left = front.withColumn("cell", F.explode(F.array("size", F.col("size") + 1)))
+    crowds = left.groupBy("run", "cell").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     crowds = crowds.filter("x < y").select("run", "cell", F.ceil(F.col("n") / BLOCK).alias("pieces"))
-    rows = cells.join(crowds, ["run", "cell"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    rows = rows.withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("pieces", "other")
-    return rows.groupBy("run", "cell", "low", "high").applyInArrow(crossing, "a bigint, b bigint").distinct()
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))
+    own = F.pmod(F.xxhash64("node"), F.col("pieces"))
+    left = left.join(crowds, ["run", "cell"]).withColumns({"p": own, "q": every}).drop("pieces")
+    right = front.withColumnRenamed("size", "cell").join(crowds, ["run", "cell"]).withColumns({"p": every, "q": own}).drop("pieces")
+    x, y = left.alias("x"), right.alias("y")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("run", "cell", "p", "q")]
+    once = (F.col("x.size") < F.col("x.cell")) | (F.col("x.node") < F.col("y.node"))
+    enough = F.least("x.rest", "y.rest") * 9 >= (F.col("x.runs") + F.col("y.runs")) * 4
+    on = [*meet, once, F.col("x.label") != F.col("y.label"), enough]
+    pairs = x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return pairs.distinct()
 
 
 def classified(docs: DataFrame, id_col: str, text: str) -> DataFrame:
