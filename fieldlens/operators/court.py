@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -10,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.constants import COURT_H, COURT_H_M, COURT_W, COURT_W_M, PITCH_LENGTH, PITCH_WIDTH
+from fieldlens.constants import CANVAS_H, CANVAS_W, COURT_H, COURT_H_M, COURT_W, COURT_W_M, PITCH_LENGTH, PITCH_WIDTH
 from fieldlens.scale import (
-    SPAN, core_only, div_floor, positions as dense_positions, pyround, running, span_window, with_halo,
+    SPAN, core_only, div_floor, durable, positions as dense_positions, pyround, running, span_window, with_halo,
 )
 
 PLAYER = ["video_id", "player_id"]
@@ -327,15 +328,15 @@ def heatmap_point_filter(positions: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def heatmap_grid(
-    points: DataFrame, votes: DataFrame, stats: DataFrame, totals: DataFrame, cell_px: int = 20, long_video: int | None = 90
+    points: DataFrame, votes: DataFrame, stats: DataFrame, totals: DataFrame, cell_px: int = 1, long_video: int | None = 90
 ) -> DataFrame:
-    """Points per cell of the 2800x1500 canvas for team 1, team 2 and the match.
+    """Points per cell (a pixel, unless ``cell_px`` is larger) of the 2800x1500 canvas for team 1, team 2 and the match.
 
     ``votes`` (video, player, team) stand in for a missing frame team; ``stats`` (total_distance_m,
     avg_speed_kmh) mark stationary people, left out of videos of ``long_video`` frames or more (``totals``); with
     ``long_video=None`` they stay in all.
     """
-    width, height = 2800, 1500
+    width, height = CANVAS_W, CANVAS_H
     px, py = truncate(F.col("x") / COURT_W * width), truncate(F.col("y") / COURT_H * height)
     inside = points.withColumns({"_px": px, "_py": py}).filter(F.col("_px").between(15, width - 16) & F.col("_py").between(15, height - 16))
     cells = inside.withColumns({"cell_x": div_floor(F.col("_px"), cell_px), "cell_y": div_floor(F.col("_py"), cell_px)})
@@ -359,37 +360,143 @@ def heatmap_grid(
     )
 
 
-def heatmap_density(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 20, pct: float = 0.98) -> DataFrame:
-    """Gaussian smoothing of the cell counts, scaled by a high percentile, with the overlay's opacity.
+class HeatStencil:
+    """Gaussian smoothing of the sparse cells of a layer, one strip of lines at a time; heat is mirrored at the borders."""
+
+    def __init__(self, sigma_px: float, cell_px: int, strip: int):
+        self.columns, self.lines, self.strip = CANVAS_W // cell_px, CANVAS_H // cell_px, strip
+        self.sigma = sigma_px / cell_px
+        self.radius = math.ceil(4 * self.sigma)
+        d = np.arange(-self.radius, self.radius + 1)
+        weights = np.exp(-(d * d) / (2 * self.sigma * self.sigma))
+        self.weights = weights / weights.sum()
+
+    def reach(self, to: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+        """Weight of each cell at each place: directly, and from its mirror images about both border cells."""
+        out = np.zeros((len(to), len(cells)))
+        for image, real in ((cells, True), (-cells, cells > 0), (2 * (n - 1) - cells, cells < n - 1)):
+            d = to[:, None] - image[None, :]
+            out += np.where((np.abs(d) <= self.radius) & real, self.weights[np.clip(d, -self.radius, self.radius) + self.radius], 0.0)
+        return out
+
+    def smooth(self, number: int, cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """First line and heat of strip ``number``; only lines and columns that hold points are multiplied."""
+        first = number * self.strip
+        to = np.arange(first, min(first + self.strip, self.lines))
+        xs, x_at = np.unique(cells["cell_x"].to_numpy(), return_inverse=True)
+        ys, y_at = np.unique(cells["cell_y"].to_numpy(), return_inverse=True)
+        counts = np.zeros((len(ys), len(xs)))
+        counts[y_at, x_at] = cells["n"]
+        along = self.reach(np.arange(self.columns), xs, self.columns)
+        return first, self.reach(to, ys, self.lines) @ (counts @ along.T)
+
+    def strips(self, grid: DataFrame) -> DataFrame:
+        """Each cell with every strip that its heat reaches, itself or mirrored: a halo of ``radius`` lines."""
+        last = (self.lines - 1) // self.strip
+        low = F.greatest(F.lit(0), F.floor((F.col("cell_y") - self.radius) / self.strip))
+        high = F.least(F.lit(last), F.floor((F.col("cell_y") + self.radius) / self.strip))
+        return grid.withColumn("strip", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+
+
+LAYER = ["video_id", "layer"]
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts; many values in a narrow range without a sort."""
+    if len(values) and int(values.max()) - int(values.min()) < 4 * len(values):
+        n = np.bincount(values - values.min())
+        at = np.flatnonzero(n)
+        return at + values.min(), n[at]
+    return np.unique(values, return_counts=True)
+
+
+def _heat_ranks(strips: DataFrame, stencil: HeatStencil, pct: float) -> DataFrame:
+    """Percentile ``pct`` of a layer's positive heat, exactly and interpolated as numpy does: video_id, layer, top.
+
+    Positive doubles sort like their bits.  Each round counts the values of all strips by some more of the leading bits, among
+    those that share the leading bits of the wanted rank, until all bits of the two neighbouring values are known.
+    """
+    schema = "video_id bigint, layer string, side int, head bigint, n bigint"
+
+    def counter(shift: int, bits: int) -> Callable:
+        def count(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
+            _, heat = stencil.smooth(key[2], cells)
+            value = heat[heat > 0].view(np.int64)
+            parts = []
+            for side in (0, 1):
+                if side == 0 or bits < 64:
+                    inside = value if bits == 64 else value[value >> bits == cells[f"head{side}"].iloc[0]]
+                    head, n = counted(inside >> shift)
+                parts.append(pd.DataFrame({"video_id": key[0], "layer": key[1], "side": side, "head": head, "n": n}))
+            return pd.concat(parts)
+
+        return count
+
+    wanted, bits = None, 64
+    for shift in (42, 21, 0):
+        rows = strips if wanted is None else strips.join(wanted.drop("rank0", "rank1", "part"), LAYER)
+        found = rows.groupBy(*LAYER, "strip").applyInPandas(counter(shift, bits), schema).groupBy(*LAYER, "side", "head").agg(F.sum("n").alias("n"))
+        across = Window.partitionBy(*LAYER, "side")
+        upto = found.withColumns({
+            "before": F.coalesce(F.sum("n").over(across.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "all": F.sum("n").over(across)})
+        if wanted is None:
+            at = (F.col("all") - 1) * F.lit(pct)
+            upto = upto.withColumn("rank", F.least(F.floor(at) + F.col("side"), F.col("all") - 1)).withColumn("part", at - F.floor(at))
+        else:
+            ranks = wanted.select(*LAYER, F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"rank{k}").alias("rank")) for k in (0, 1)])).alias("r"), "part")
+            upto = upto.join(ranks.select(*LAYER, "r.side", "r.rank", "part"), [*LAYER, "side"])
+        here = upto.filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        side = lambda k, c: F.max(F.when(F.col("side") == k, c))
+        wanted = durable(here.groupBy(*LAYER).agg(
+            *[side(k, F.col("head")).alias(f"head{k}") for k in (0, 1)],
+            *[side(k, F.col("rank") - F.col("before")).alias(f"rank{k}") for k in (0, 1)], F.max("part").alias("part")))
+        bits = shift
+
+    def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ranks in batches:
+            low, high = (ranks[f"head{k}"].to_numpy(np.int64).view(np.float64) for k in (0, 1))
+            yield ranks[LAYER].assign(top=low + (high - low) * ranks["part"].to_numpy())
+
+    return wanted.mapInPandas(value, "video_id bigint, layer string, top double")
+
+
+def _heat_map(grid: DataFrame, sigma_px: float, cell_px: int, pct: float, strip_px: int, give: Callable, schema: str) -> DataFrame:
+    """``give(first line, density, alpha, heat)`` of every strip of every layer."""
+    stencil = HeatStencil(sigma_px, cell_px, max(1, strip_px // cell_px))
+    strips = durable(stencil.strips(grid))  # few rows: cells that hold points
+    tops = durable(_heat_ranks(strips, stencil, pct))
+
+    def paint(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
+        first, heat = stencil.smooth(key[2], cells)
+        density = np.clip(heat / cells["top"].iloc[0], 0.0, 1.0)
+        alpha = np.where(density >= 0.05, np.minimum(0.70, 0.20 + 0.50 * ((density - 0.05) / 0.95)), 0.0)
+        out = give(first, density, alpha, heat)
+        return pd.DataFrame({"video_id": key[0], "layer": key[1], **out})
+
+    return strips.join(tops, LAYER).groupBy(*LAYER, "strip").applyInPandas(paint, f"video_id bigint, layer string, {schema}")
 
-    A layer has a fixed number of cells whatever the video's length, so each one is smoothed as a matrix; the
-    Gaussian is separable: one product per axis.  Heat is mirrored at the borders.
+
+def heatmap_density(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 1, pct: float = 0.98, strip_px: int = 300) -> DataFrame:
+    """Gaussian smoothing of the cell counts, scaled by a high percentile, with the overlay's opacity: one row per warm cell.
+
+    A task smooths one strip of a layer from the points in reach; no task holds a layer.
     """
-    columns, lines = 2800 // cell_px, 1500 // cell_px
-    sigma = sigma_px / cell_px
-    radius = math.ceil(4 * sigma)
-
-    def kernel(n: int) -> np.ndarray:
-        d = np.arange(-radius, radius + 1)
-        weights = np.exp(-(d * d) / (2 * sigma * sigma))
-        weights /= weights.sum()
-        to, cell = np.arange(n)[:, None], np.arange(n)[None, :]
-        # a cell's heat also comes back from its mirror images beyond both borders
-        images = [to - at for at in (cell, -1 - cell, 2 * n - 1 - cell)]
-        return sum(np.where(np.abs(x) <= radius, weights[np.clip(x, -radius, radius) + radius], 0.0) for x in images)
-
-    along, down = kernel(columns), kernel(lines)
-
-    def smooth(key: tuple[Any, ...], cells: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((lines, columns))
-        counts[cells["cell_y"], cells["cell_x"]] = cells["n"]
-        heat = down @ counts @ along.T
+
+    def give(first, density, alpha, heat):
         y, x = np.nonzero(heat > 0)
-        v = heat[y, x]
-        top = np.percentile(v, pct * 100)
-        density = np.clip(v / (top if top > 0 else v.max()), 0.0, 1.0)
-        alpha = np.where(density >= 0.05, np.minimum(0.70, 0.20 + 0.50 * ((density - 0.05) / 0.95)), 0.0)
-        return pd.DataFrame({"video_id": key[0], "layer": key[1], "cell_x": x, "cell_y": y, "density": density, "alpha": alpha})
+        return {"cell_x": x, "cell_y": y + first, "density": density[y, x], "alpha": alpha[y, x]}
+
+    return _heat_map(grid, sigma_px, cell_px, pct, strip_px, give, "cell_x bigint, cell_y bigint, density double, alpha double")
+
+
+def heatmap_levels(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 1, pct: float = 0.98, strip_px: int = 300) -> DataFrame:
+    """The painted map of every layer in figures: warm cells and summed opacity per level 0..255 of the colour scale."""
+
+    def give(first, density, alpha, heat):
+        warm = heat > 0
+        level = (density[warm] * 255).astype(np.int64)
+        return {"level": np.arange(256), "cells": np.bincount(level, minlength=256), "alpha": np.bincount(level, alpha[warm], 256)}
 
-    schema = "video_id bigint, layer string, cell_x bigint, cell_y bigint, density double, alpha double"
-    return grid.groupBy("video_id", "layer").applyInPandas(smooth, schema)
+    parts = _heat_map(grid, sigma_px, cell_px, pct, strip_px, give, "level bigint, cells bigint, alpha double")
+    return parts.filter("cells > 0").groupBy(*LAYER, "level").agg(F.sum("cells").alias("cells"), F.sum("alpha").alias("alpha"))

@@ -221,7 +221,7 @@ FROM (SELECT DISTINCT video_id, frame_idx, team FROM spots) g LEFT JOIN hull_edg
 
 # ---- heatmaps leave out people who hardly move, judged by the merged player
 derive("heat_cells", ("heat_points", "players", "team_mode", "videos"), """
-SELECT video_id, player_id, CAST(floor(px/20) AS BIGINT) AS cell_x, CAST(floor(py/20) AS BIGINT) AS cell_y, team FROM (
+SELECT video_id, player_id, px AS cell_x, py AS cell_y, team FROM (
   SELECT p.video_id, p.player_id, CAST(trunc(p.x/200*2800) AS BIGINT) AS px, CAST(trunc(p.y/107*1500) AS BIGINT) AS py,
     CASE WHEN p.team IN (1, 2) THEN p.team ELSE m.team END AS team
   FROM heat_points p LEFT JOIN team_mode m USING (video_id, player_id)
@@ -232,17 +232,23 @@ derive("heat", ("heat_cells",), """
 SELECT video_id, layer, cell_x, cell_y, count(*) AS n FROM (
   SELECT *, 'team_' || CAST(team AS STRING) AS layer FROM heat_cells UNION ALL SELECT *, 'match' AS layer FROM heat_cells) u
 GROUP BY ALL""")
+derive("heat20", ("heat",), """
+SELECT video_id, layer, cell_x//20 AS cell_x, cell_y//20 AS cell_y, CAST(sum(n) AS BIGINT) AS n FROM heat GROUP BY ALL""")
 query("heatmap_grid", lambda t: reports.heat_grid(t.tracks, t.positions, t.videos), ("heat",), "SELECT * FROM heat")
+query("heatmap_grid_cells", lambda t: reports.heat_grid(t.tracks, t.positions, t.videos, cell_px=20), ("heat20",), "SELECT * FROM heat20")
+# at pixel size the map itself has millions of rows a layer, so the query gives its levels; checked against numpy in the tests
+query("heatmap_density", lambda t: six(court.heatmap_levels(reports.heat_grid(t.tracks, t.positions, t.videos)), "alpha"))
 derive("kernel", (), """
 SELECT d, w/sum(w) OVER () AS w FROM (SELECT d, exp(-(d*d)/(2*CAST(3.25 AS DOUBLE)*CAST(3.25 AS DOUBLE))) AS w
   FROM (SELECT CAST(unnest(range(-13, 14)) AS BIGINT) AS d) r) k""")
-derive("blur", ("heat", "kernel"), """
+derive("blur", ("heat20", "kernel"), """
 SELECT video_id, layer, cell_x, image + d AS cell_y, sum(v*w) AS v FROM (
-  SELECT *, unnest([cell_y, -1 - cell_y, 149 - cell_y]) AS image FROM (
+  SELECT *, unnest(list_distinct([cell_y, -cell_y, 148 - cell_y])) AS image FROM (
     SELECT video_id, layer, image + d AS cell_x, cell_y, sum(n*w) AS v
-    FROM (SELECT *, unnest([cell_x, -1 - cell_x, 279 - cell_x]) AS image FROM heat), kernel WHERE image + d BETWEEN 0 AND 139
+    FROM (SELECT *, unnest(list_distinct([cell_x, -cell_x, 278 - cell_x])) AS image FROM heat20), kernel WHERE image + d BETWEEN 0 AND 139
     GROUP BY ALL)) h, kernel WHERE image + d BETWEEN 0 AND 74 GROUP BY ALL""")
-query("heatmap_density", lambda t: six(court.heatmap_density(reports.heat_grid(t.tracks, t.positions, t.videos)), "density", "alpha"), ("blur",), f"""
+query("heatmap_density_cells", lambda t: six(
+    court.heatmap_density(reports.heat_grid(t.tracks, t.positions, t.videos, cell_px=20), cell_px=20), "density", "alpha"), ("blur",), f"""
 SELECT video_id, layer, cell_x, cell_y, {R('density', 6)} AS density,
   {R('CASE WHEN density >= CAST(0.05 AS DOUBLE) THEN least(CAST(0.7 AS DOUBLE), CAST(0.2 AS DOUBLE) + 0.5*((density - CAST(0.05 AS DOUBLE))/CAST(0.95 AS DOUBLE))) ELSE CAST(0 AS DOUBLE) END', 6)} AS alpha
 FROM (SELECT *, greatest(0, least(1, v/quantile_cont(v, 0.98) OVER (PARTITION BY video_id, layer))) AS density FROM blur WHERE v > 0) b""")

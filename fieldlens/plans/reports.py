@@ -32,11 +32,11 @@ def report_players(tracks: DataFrame, positions: DataFrame, fps: float = 30.0) -
     return ident.consolidate_players(stats, ident.overlap_tracks(voted))
 
 
-def heat_grid(tracks: DataFrame, positions: DataFrame, totals: DataFrame, fps: float = 30.0) -> DataFrame:
+def heat_grid(tracks: DataFrame, positions: DataFrame, totals: DataFrame, fps: float = 30.0, cell_px: int = 1) -> DataFrame:
     """Heat cells of a match; merged players who hardly move are left out."""
     stats = report_players(tracks, positions, fps).select(
         "video_id", F.explode("track_ids").alias("player_id"), "total_distance_m", "avg_speed_kmh")
-    return court.heatmap_grid(court.heatmap_point_filter(positions, tracks), ident.team_vote(tracks), stats, totals)
+    return court.heatmap_grid(court.heatmap_point_filter(positions, tracks), ident.team_vote(tracks), stats, totals, cell_px)
 
 
 def basketball_report(
