@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.constants import CANVAS_H, CANVAS_W, COURT_H, COURT_H_M, COURT_W, COURT_W_M, PITCH_LENGTH, PITCH_WIDTH
 from fieldlens.scale import (
-    SPAN, core_only, div_floor, durable, positions as dense_positions, pyround, running, span_window, with_halo,
+    SPAN, core_only, div_floor, durable, positions as dense_positions, pyround, running, span_window, spread, with_halo,
 )
 
 PLAYER = ["video_id", "player_id"]
@@ -435,7 +435,7 @@ def _heat_ranks(strips: DataFrame, stencil: HeatStencil, pct: float) -> DataFram
     wanted, bits = None, 64
     for shift in (42, 21, 0):
         rows = strips if wanted is None else strips.join(wanted.drop("rank0", "rank1", "part"), LAYER)
-        found = rows.groupBy(*LAYER, "strip").applyInPandas(counter(shift, bits), schema).groupBy(*LAYER, "side", "head").agg(F.sum("n").alias("n"))
+        found = spread(rows, *LAYER, "strip").groupBy(*LAYER, "strip").applyInPandas(counter(shift, bits), schema).groupBy(*LAYER, "side", "head").agg(F.sum("n").alias("n"))
         across = Window.partitionBy(*LAYER, "side")
         upto = found.withColumns({
             "before": F.coalesce(F.sum("n").over(across.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -474,7 +474,7 @@ def _heat_map(grid: DataFrame, sigma_px: float, cell_px: int, pct: float, strip_
         out = give(first, density, alpha, heat)
         return pd.DataFrame({"video_id": key[0], "layer": key[1], **out})
 
-    return strips.join(tops, LAYER).groupBy(*LAYER, "strip").applyInPandas(paint, f"video_id bigint, layer string, {schema}")
+    return spread(strips.join(tops, LAYER), *LAYER, "strip").groupBy(*LAYER, "strip").applyInPandas(paint, f"video_id bigint, layer string, {schema}")
 
 
 def heatmap_density(grid: DataFrame, sigma_px: float = 65.0, cell_px: int = 1, pct: float = 0.98, strip_px: int = 300) -> DataFrame:
