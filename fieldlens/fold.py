@@ -5,6 +5,10 @@ needs the exact state left by the previous one.  Every span is folded in its own
 rows early so that its state has usually forgotten the start.  The state each span *entered* with is then
 compared with the state its predecessor *left*.  Spans that differ are folded again from the true state
 until none differs, so the result is always that of the serial run.
+
+A machine that can say how a span maps any entry state to the exit state (``track``, ``carry``) needs no such chain of
+repairs: the maps of all spans, one small row each, are applied one after the other, and all wrong spans are folded again at
+once.  Only where the rule decides differently from the new state does a span's map change and a further round follow.
 """
 
 from __future__ import annotations
@@ -12,8 +16,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,6 +29,7 @@ _EDGE = [
     T.StructField("_kind", T.StringType()),
     T.StructField("_entry", T.StringType()),
     T.StructField("_exit", T.StringType()),
+    T.StructField("_map", T.StringType()),
 ]
 
 
@@ -32,7 +38,7 @@ def _span_folder(make: Callable, keys: Sequence[str], inputs: Sequence[str], sch
 
     Rows come sorted by span and order, in Arrow batches of any cut, so no span is ever held in memory.
     """
-    n_keys, n_out = len(keys), len(schema) - len(keys) - 4
+    n_out = len(schema) - len(keys) - 1 - len(_EDGE)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
@@ -40,7 +46,8 @@ def _span_folder(make: Callable, keys: Sequence[str], inputs: Sequence[str], sch
 
         def close():
             edge = json.dumps(machine.state())
-            ready.append((*span, *[None] * n_out, "edge", edge if entry is None else entry, edge))
+            tracked = json.dumps(machine.map) if entry is not None and hasattr(machine, "track") else None
+            ready.append((*span, *[None] * n_out, "edge", edge if entry is None else entry, edge, tracked))
 
         def emit():
             columns = list(zip(*ready))
@@ -61,9 +68,11 @@ def _span_folder(make: Callable, keys: Sequence[str], inputs: Sequence[str], sch
                         machine.load(json.loads(forced))
                 if core and entry is None:
                     entry = json.dumps(machine.state())
+                    if hasattr(machine, "track"):
+                        machine.track()
                 outputs = machine.step(dict(zip(inputs, row)))
                 if core:
-                    ready.extend((*span, *o, "row", None, None) for o in outputs)
+                    ready.extend((*span, *o, "row", None, None, None) for o in outputs)
             if len(ready) >= rows_per_batch:
                 yield emit()
         if span is not None:
@@ -87,7 +96,9 @@ def chunked_fold(
 ) -> DataFrame:
     """Run ``make()`` machines over ``df`` per key; outputs follow ``out_schema`` after the key columns.
 
-    A machine has ``step(row) -> list of output tuples``, ``state()`` and ``load(state)`` (JSON values).
+    A machine has ``step(row) -> list of output tuples``, ``state()`` and ``load(state)`` (JSON values).  It may have
+    ``track()``, after which ``map`` describes the steps taken since, ``carry(state, map, exit)``, the state that these steps
+    lead to from another one, and ``same(state, other)``.
     """
     warmup = min(warmup, span)
     order = [axis, *ties]
@@ -105,13 +116,10 @@ def chunked_fold(
     first = with_halo(df, axis, before=warmup, span=span).withColumn("_forced", F.lit(None).cast("string"))
     parts = [folded(first)]
     edges = _edges(parts[0], at, 0)
-    per_key = Window.partitionBy(*keys).orderBy(CHUNK)
+    wrong_type = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), T.StructField("_forced", T.StringType())])
+    walk = _span_walk(make, keys)
     while True:
-        wrong = (
-            edges.withColumn("_forced", F.lag("_exit").over(per_key))
-            .filter("_forced IS NOT NULL AND _forced <> _entry")
-            .select(*at, "_forced")
-        )
+        wrong = durable(edges.drop("_round").groupBy(*keys).applyInPandas(walk, wrong_type))  # one row per span
         if wrong.isEmpty():
             break
         # only the wrong spans are folded again; the edges, one row per span, are replaced
@@ -129,6 +137,25 @@ def chunked_fold(
     return result.select(*keys, *out_schema.fieldNames())
 
 
+def _span_walk(make: Callable, keys: Sequence[str]):
+    """Spans of a key that began in a state other than the one before them left, with that state."""
+
+    def walk(edges: pd.DataFrame) -> pd.DataFrame:
+        machine, out, state = make(), [], None
+        same = getattr(machine, "same", lambda x, y: x == y)
+        edges = edges.sort_values(CHUNK)
+        for row in edges[[*keys, CHUNK, "_entry", "_exit", "_map"]].itertuples(index=False, name=None):
+            entry, left = json.loads(row[-3]), json.loads(row[-2])
+            if state is not None and not same(state, entry):
+                out.append((*row[:-3], json.dumps(state)))
+                carried = machine.carry(state, json.loads(row[-1]), left) if row[-1] is not None else None
+                left = left if carried is None else carried
+            state = left
+        return pd.DataFrame(out, columns=[*keys, CHUNK, "_forced"])
+
+    return walk
+
+
 def _edges(part: DataFrame, at: Sequence[str], number: int) -> DataFrame:
     """Entry and exit state of every span of one round."""
-    return part.filter("_kind = 'edge'").select(*at, "_entry", "_exit").withColumn("_round", F.lit(number))
+    return part.filter("_kind = 'edge'").select(*at, "_entry", "_exit", "_map").withColumn("_round", F.lit(number))

@@ -229,6 +229,49 @@ def test_kalman_is_the_serial_filter(spark, rows):
         assert rows(got, "video_id", "frame_idx", "cx", "cy", "interpolated") == want
 
 
+def test_kalman_carries_states_over_spans_at_once(spark, rows, monkeypatch):
+    """A ball that is never lost: nothing is forgotten, so every span's entry depends on all frames before it."""
+    from fieldlens import fold
+    from fieldlens.functions.machines import KalmanBall
+
+    rnd, rounds = random.Random(11), []
+    monkeypatch.setattr(fold, "_edges", lambda part, at, n, real=fold._edges: (rounds.append(n), real(part, at, n))[1])
+    for kind in ("drift", "rest", "gaps"):
+        data = []
+        for f in range(3000):
+            x, y = (640.0, 360.0) if kind == "rest" else (500 + 0.02 * f + rnd.uniform(-8, 8), 300 + rnd.uniform(-8, 8))
+            if kind != "gaps" or rnd.random() < 0.9 and f % 700 > 30:
+                data.append((1, f, x - 5, y - 5, x + 5, y + 5, x, y, 0.9))
+        seen, machine, want = {d[1]: d for d in data}, KalmanBall(30), []
+        for f in range(3000):
+            d = seen.get(f, (1, f, *[None] * 7))
+            want += [(1, *o) for o in machine.step(dict(zip(("frame_idx", "x1", "y1", "x2", "y2", "cx", "cy", "conf"), d[1:])))]
+        rounds.clear()
+        frames = spark.createDataFrame([(1, f) for f in range(3000)], "video_id bigint, frame_idx bigint")
+        got = deliveries.kalman_ball(spark.createDataFrame(data, BALL), frames, span=100, warmup=20)
+        assert rows(got, "video_id", "frame_idx", "cx", "cy", "interpolated") == sorted((w[0], w[1], w[2], w[3], w[5]) for w in want)
+        assert len(rounds) <= 5  # log2 of 30 spans
+
+
+def test_kalman_map_of_a_stretch():
+    """Carried over a stretch of any pattern, a state is where the steps lead."""
+    from fieldlens.functions.machines import KalmanBall
+
+    rnd = random.Random(3)
+    for _ in range(50):
+        steps = [(rnd.uniform(100, 140), rnd.uniform(100, 140)) if rnd.random() < 0.7 else None for _ in range(rnd.randrange(1, 60))]
+        one, two = KalmanBall(30, max_jump=1e9, max_missed=10**6), KalmanBall(30, max_jump=1e9, max_missed=10**6)
+        one.load([[120.0, 110.0], [3.0, -2.0], [4.0, 0.5, 20.0], 0, [120, 110]])
+        two.load([[90.0, 150.0], [0.0, 5.0], [10.0, 0.0, 10.0], 0, [90, 150]])
+        one.track()
+        for f, z in enumerate(steps):
+            row = dict(zip(("frame_idx", "cx", "cy", "x1", "y1", "x2", "y2", "conf"), (f, *(z or (None, None)), 0, 0, 0, 0, 1)))
+            one.step(row)
+            two.step(row)
+        start = [[90.0, 150.0], [0.0, 5.0], [10.0, 0.0, 10.0], 0, [90, 150]]
+        assert two.same(two.state(), two.carry(start, one.map, one.state()))
+
+
 def test_gate_and_shots_do_not_depend_on_spans(spark, rows):
     rnd = random.Random(9)
     dets = [(1, f, k, "ball", x := rnd.uniform(0, 900), y := rnd.uniform(0, 500), x + 10, y + 10, rnd.random())
