@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldlens.llm.common import let, salted_left_join, text_key, text_of
+from fieldlens.llm.common import free_names, let, salted_left_join, text_key, text_of
 from fieldlens.scale import durable
 
 GRAMS = 1 << 13
@@ -173,17 +173,27 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
 
 
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", **options) -> DataFrame:
-    """The documents whose language is known well enough, unchanged."""
+    """The documents whose language is known well enough, with all their columns.
+
+    Null, empty and other texts without letters have no language and go; very long texts are judged by all their letters.  A
+    null host or declaration is a value of its own, rows that repeat id, host, declaration and text share a fate, an empty table
+    stays empty.  Only keys are joined, under names that ``docs`` doesn't have.
+    """
+    i, h, d, k1, k2 = free_names(docs, 5)
     gone = identify(docs, id_col, text, declared, host, **options).filter("NOT kept").select(
-        F.col(id_col).alias("_g_id"), F.col("_host").alias("_g_host"), F.col("_declared").alias("_g_declared"), F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"))
+        F.col(id_col).alias(i), F.col("_host").alias(h), F.col("_declared").alias(d), F.col("_k1").alias(k1), F.col("_k2").alias(k2))
     key = text_key(text_of(text))
-    on = (F.col(id_col).eqNullSafe(F.col("_g_id")) & F.col(host).eqNullSafe(F.col("_g_host")) & F.col(declared).eqNullSafe(F.col("_g_declared"))
-          & (key["_k1"] == F.col("_g1")) & (key["_k2"] == F.col("_g2")))
+    on = (F.col(id_col).eqNullSafe(F.col(i)) & F.col(host).eqNullSafe(F.col(h)) & F.col(declared).eqNullSafe(F.col(d))
+          & (key["_k1"] == F.col(k1)) & (key["_k2"] == F.col(k2)))
     return docs.join(gone, on, "left_anti")
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Visible text, declared language and host of raw pages, as ``identify`` takes them."""
+    """Visible text, declared language and host of raw pages, as ``identify`` takes them.
+
+    One row per page, repeated ones too; other columns are left out.  A null page has an empty text, a page without a declared
+    language or an address without a host has null there, an empty table gives an empty result.
+    """
     visible = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
     lang = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1))
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://([^/:?#]+)", 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import text_key, text_of, words_of
+from fieldlens.llm.common import free_names, text_key, text_of, words_of
 from fieldlens.scale import positions
 
 WEIGHTS = (5, 2, 1)
@@ -150,16 +150,17 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     Documents without words are left out, as no mix takes words from them.  Rows that repeat an id and text share their takes.
     """
+    copies, i, of, k1, k2 = free_names(docs, 5)  # no name that ``docs`` has
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(text_of(text))).cast("bigint").alias("size"),
                         *[c.alias(n) for n, c in text_key(text_of(text)).items()])
     o = {"weights": WEIGHTS, "max_passes": MAX_PASSES, "block": BLOCK} | options
-    copies = F.floor(F.sum("taken") / F.first("size") / F.count("*") + F.lit(0.5)).cast("int")
-    takes = taken_words(sized, **o).filter("size > 0").groupBy("doc_id", "source", "_k1", "_k2").agg(copies.alias("_copies"))
-    takes = takes.filter("_copies > 0").select(
-        F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("_k1").alias("_m1"), F.col("_k2").alias("_m2"), "_copies")
+    times = F.floor(F.sum("taken") / F.first("size") / F.count("*") + F.lit(0.5)).cast("int")
+    takes = taken_words(sized, **o).filter("size > 0").groupBy("doc_id", "source", "_k1", "_k2").agg(times.alias(copies))
+    takes = takes.filter(F.col(copies) > 0).select(
+        F.col("doc_id").alias(i), F.col("source").alias(of), F.col("_k1").alias(k1), F.col("_k2").alias(k2), copies)
     key = text_key(text_of(text))
-    on = (F.col(id_col).eqNullSafe(F.col("_m_id")) & F.col(source).eqNullSafe(F.col("_m_source")) & (key["_k1"] == F.col("_m1")) & (key["_k2"] == F.col("_m2")))
-    return docs.join(takes, on).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    on = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(of)) & (key["_k1"] == F.col(k1)) & (key["_k2"] == F.col(k2))
+    return docs.join(takes, on).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 SQL = r"""

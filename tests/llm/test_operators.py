@@ -63,6 +63,16 @@ def test_stage_on_hard_and_empty_rows(spark, name):
         assert out.columns == docs.columns
 
 
+@pytest.mark.parametrize("name", STAGES)
+def test_stage_with_every_temporary_name(spark, name):
+    docs = table(spark, HARD)
+    taken = ["_spans", "_s_id", "_s1", "_s2", "_copies", "_m_id", "_m1", "_m2", "_gone", "_g_id", "_g1", "_g2", "_k1", "_k2", "_x0", "_x1", "_x2",
+             "_x3", "_x4", "_host", "_declared", "label", "least", "size", "rank", "start", "end", "kind", "live", "row", "digest", "_least", "_n1"]
+    extra = docs.withColumns({c: F.lit(3) for c in taken})
+    plain, wide = STAGES[name](spark, docs, SF), STAGES[name](spark, extra, SF)
+    assert sorted(map(repr, wide.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_common_lines_deplete(spark):
     rng = random.Random(1)
     menu = "Home About Contact and all the other entries of a long menu " * 6
@@ -188,6 +198,16 @@ def test_ownership(spark):
     assert masked[9] == "my [SECRET] and [SECRET] here" and masked[0] == rows[0][1]
 
 
+def test_a_sample_key_of_one_owner_is_no_secret(spark):
+    key, own = "Ab1" + "cdefghij0123456789", "Zy9" + "xwvutsrq9876543210"
+    rows = [(i, f"token = {key} end", "en", "one") for i in range(30)] + [(100, f"token = {own} end", "en", "one")]
+    got = {r["doc_id"]: r for r in secrets.secret_scan(table(spark, rows)).collect()}
+    assert (got[0]["n_live"], got[0]["n_examples"], got[0]["n_owners"], got[0]["n_repos"]) == (0, 1, 1, 30)
+    assert (got[100]["n_live"], got[100]["n_examples"], got[100]["n_repos"]) == (1, 0, 1)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect()}
+    assert masked[0] == rows[0][1] and masked[100] == "[SECRET] end"
+
+
 def test_redact_masks_all_base_spans(spark):
     short, word, number, key = "hunter2x", "correcthorsebattery", "1234567890" * 3, "AKIA" + "QWERTYUIOPASDFGH"
     rows = [(i, "set password = changeme now", "en", f"owner{i}") for i in range(3)]
