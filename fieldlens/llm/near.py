@@ -270,9 +270,10 @@ def classified(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     # one row for each text that shares a bucket, that of its least id
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("least").alias("_least"), F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"))
     same = (F.col("_k1") == F.col("_n1")) & (F.col("_k2") == F.col("_n2")) & F.col("doc_id").eqNullSafe(F.col("_least"))
-    texts = rows.join(wanted, same).select("node", "text").dropDuplicates(["node"])
+    texts = durable(rows.join(wanted, same).select("node", "text").dropDuplicates(["node"]))  # read for every comparison
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = led.filter("node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y")).select(*pair).distinct()
+    pairs = durable(pairs)
     found = durable(links(pairs, texts))
     labels = components(found)
 
