@@ -12,7 +12,7 @@ from fieldlens.constants import (
     BAIL_HEIGHT, BALL_RADIUS, LENGTH_TO_METRES, LINE_TO_METRES, PITCH_LENGTH, PITCH_WIDTH, POPPING_CREASE,
     SHOT_ANGLES, STUMP_HALF_WIDTH, STUMP_HEIGHT,
 )
-from fieldlens.scale import SPAN, div_floor, positions, pyround
+from fieldlens.scale import SPAN, div_floor, positions, pyround, running
 
 VIDEO = ["video_id"]
 
@@ -286,6 +286,32 @@ def over_notation(deliveries: DataFrame, order: str = "delivery_key", span: int
     }).drop("_n")
 
 
+def live_over(frames: DataFrame, flights: DataFrame, span: int = SPAN) -> DataFrame:
+    """Over notation shown at every frame: the ball being bowled while it is in flight, else the balls completed.
+
+    Starts and ends of ``deliveries.flights`` are merged into the frames as +1 and -1, so running counts tell both.  The
+    frame that completes a sixth ball still shows it (0.6), the next one the full over (1.0).  A flight that is cut off by the
+    end of the video stays in flight, one that is too short ends without a ball.
+    """
+    ends = F.struct(F.col("done_frame").alias("frame_idx"), F.lit(-1).alias("_step"), F.col("counted").cast("int").alias("_ball"))
+    starts = F.struct(F.col("start_frame").alias("frame_idx"), F.lit(1).alias("_step"), F.lit(0).alias("_ball"))
+    marks = flights.select(*VIDEO, F.explode(F.array_compact(F.array(starts, F.when(~F.col("forced"), ends)))).alias("_m")).select(*VIDEO, "_m.*")
+    spine = frames.select(*VIDEO, "frame_idx").withColumn("_shown", F.lit(True))
+    merged = spine.unionByName(marks.withColumn("_shown", F.lit(False)), allowMissingColumns=True)
+    # marks of a frame come before the frame
+    counted = running(merged, VIDEO, "frame_idx", {
+        "_flying": ("sum", F.col("_step"), True), "completed": ("sum", F.col("_ball"), True),
+        "_done": ("last", F.when(F.col("_ball") == 1, F.col("frame_idx")), True),
+    }, ties=["_shown"], span=span).filter("_shown")
+    n = F.col("completed")
+    flying, done = F.col("_flying") > 0, F.coalesce(F.col("_done") == F.col("frame_idx"), F.lit(False))
+    ball = lambda k: F.concat_ws(".", div_floor(k, 6).cast("string"), (k % 6 + 1).cast("string"))
+    return counted.select(
+        *VIDEO, "frame_idx", flying.alias("in_flight"), done.alias("just_completed"), n.cast("bigint").alias("completed"),
+        F.when(flying, ball(n)).when(done, ball(n - 1)).otherwise(_overs_text(n)).alias("over"),
+    )
+
+
 def _overs_text(n: Column) -> Column:
     return F.concat_ws(".", div_floor(n, 6).cast("string"), (n % 6).cast("string"))
 

@@ -97,6 +97,14 @@ def deliveries_segment(
     Ball frames form islands that end after ``dead_frames`` without ball.  A delivery starts at the first
     island frame with a batsman on screen; at the end of the video an unfinished one is forced.
     """
+    return flights(ball, tracks, frames, dead_frames, min_frames, min_final, span).filter("counted").drop("counted")
+
+
+def flights(
+    ball: DataFrame, tracks: DataFrame, frames: DataFrame, dead_frames: int = 16, min_frames: int = 5, min_final: int = 4,
+    span: int = SPAN,
+) -> DataFrame:
+    """Every flight of the ball, also those too short to be a delivery (``counted`` is False)."""
     batsman = tracks.filter("role = 'batsman'").select(*VIDEO, "frame_idx").distinct().withColumn("_bat", F.lit(True))
     seen = ball.select(*VIDEO, "frame_idx").distinct().join(batsman, [*VIDEO, "frame_idx"], "left")
     w = span_window(VIDEO, "frame_idx").rangeBetween(-dead_frames, -1)
@@ -113,8 +121,9 @@ def deliveries_segment(
     done = F.col("last_ball_frame") + dead_frames
     whole = starts.join(counts, [*VIDEO, "_island"]).join(last, VIDEO).withColumn("forced", done > F.col("_end"))
     enough = F.col("ball_frames") >= F.when(F.col("forced"), min_final).otherwise(min_frames)
-    return whole.filter(enough).select(
-        *VIDEO, "start_frame", "last_ball_frame", F.least(done, F.col("_end")).alias("done_frame"), "ball_frames", "forced"
+    return whole.select(
+        *VIDEO, "start_frame", "last_ball_frame", F.least(done, F.col("_end")).alias("done_frame"), "ball_frames", "forced",
+        enough.alias("counted"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fieldlens.functions.ballistics import ballistic_path
@@ -76,6 +78,22 @@ derive("segments", ("ball", "roles", "frames"), _SEGMENTS)
 derive("segments_open", ("ball", "roles", "frames"), _SEGMENTS.replace("16", "30"))
 query("deliveries_segment", segments, ("segments",), "SELECT * FROM segments")
 query("deliveries_segment_open", lambda t: dv.deliveries_segment(t.ball, t.roles, t.frames, dead_frames=30), ("segments_open",), "SELECT * FROM segments_open")
+_MATCH = {"ball": "match_ball", "roles": "match_roles", "frames": "match_frames"}
+derive("flights", ("ball", "roles", "frames"), re.sub(r"WHERE ball_frames >= (.*)$", "", _SEGMENTS, flags=re.S).replace(
+    "AS forced", "AS forced, ball_frames >= CASE WHEN last_ball_frame + 16 > fin THEN 4 ELSE 5 END AS counted"))
+query("live_over", lambda t: ck.live_over(t.match_frames, dv.flights(t.match_ball, t.match_roles, t.match_frames, span=4096), span=4096),
+      ("match_frames", "flights"), """
+SELECT video_id, frame_idx, flying AS in_flight, done AS just_completed, n AS completed, CASE WHEN flying THEN CAST(n//6 AS STRING) || '.' || CAST(n%6 + 1 AS STRING)
+  WHEN done THEN CAST((n-1)//6 AS STRING) || '.' || CAST((n-1)%6 + 1 AS STRING) ELSE CAST(n//6 AS STRING) || '.' || CAST(n%6 AS STRING) END AS over FROM (
+  SELECT f.video_id, f.frame_idx, coalesce(bool_or(NOT s.forced AND s.done_frame = f.frame_idx AND s.counted), false) AS done,
+    coalesce(bool_or(s.forced OR s.done_frame > f.frame_idx), false) AS flying, count(*) FILTER (NOT s.forced AND s.counted AND s.done_frame <= f.frame_idx) AS n
+  FROM match_frames f LEFT JOIN flights s ON s.video_id = f.video_id AND s.start_frame <= f.frame_idx GROUP BY f.video_id, f.frame_idx) q""", _MATCH)
+query("over_notation_forced", lambda t: ck.over_notation(
+    dv.deliveries_segment(t.match_ball, t.match_roles, t.match_frames, span=4096).select("video_id", "start_frame", "forced"), order="start_frame", span=4096),
+    ("segments",), """
+SELECT video_id, start_frame, forced, n AS ball_no, CASE WHEN forced AND n%6 = 0 THEN CAST(n//6 AS STRING) || '.0'
+  ELSE CAST((n-1)//6 AS STRING) || '.' || CAST((n-1)%6 + 1 AS STRING) END AS over, CAST(n//6 AS STRING) || '.' || CAST(n%6 AS STRING) AS overs_completed
+FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_frame) AS n FROM segments) s""", _MATCH)
 derive("ball_points", ("ball", "segments"), """
 SELECT b.*, (SELECT min(start_frame) FROM segments s WHERE s.video_id = b.video_id AND s.done_frame >= b.frame_idx) AS delivery_key FROM ball b""")
 query("delivery_points", lambda t: dv.delivery_points(t.ball, segments(t)), ("ball_points",), "SELECT * FROM ball_points WHERE delivery_key IS NOT NULL")

@@ -152,6 +152,19 @@ SELECT video_id, CAST(FLOOR(frame_idx/40) AS BIGINT) AS delivery_key, frame_idx,
   CAST(((frame_idx*5 + video_id*3) % 41) - 20 AS DOUBLE)/100 AS my
 FROM ball
 """)
+# every event is a frame; video v holds 2^v frames, the last one the rest, so the longest holds up to half of all rows
+_add("match_frames", (), """
+SELECT v AS video_id, event_id + 1 - CAST(POW(2, v) AS BIGINT) AS frame_idx
+FROM (SELECT event_id, CAST(LENGTH(BIN(event_id + 1)) AS BIGINT) - 1 AS v FROM {events}) e
+""")
+# a flight begins every 40 frames; every fifth is too short, every eighth without a batsman
+_add("match_ball", ("match_frames",), """
+SELECT video_id, frame_idx FROM match_frames
+WHERE frame_idx % 40 < CASE WHEN FLOOR(frame_idx/40) % 5 = 4 THEN 3 ELSE 20 END AND (frame_idx*31 + video_id) % 11 > 1
+""")
+_add("match_roles", ("match_frames",), """
+SELECT video_id, frame_idx, 'batsman' AS role FROM match_frames WHERE frame_idx % 40 > 1 AND FLOOR(frame_idx/40) % 8 <> 7
+""")
 _add("stumps", ("flight",), """
 SELECT DISTINCT video_id, delivery_key, CAST((video_id*37 + delivery_key*61) % 200 AS DOUBLE) AS sx,
   CAST((video_id*17 + delivery_key*23) % 107 AS DOUBLE) AS sy

@@ -187,6 +187,27 @@ def test_segmentation_limits(spark, rows):
     assert run(five, 60, bat=[]) == [] and run([0, 1, 2, 3, 4, 5, 6], 60, bat=[2]) == [(2, 6, 22, 5, False)]
 
 
+def test_live_over(spark):
+    """Six balls of 10 frames from every 40th frame, the fourth flight too short, then one cut off by the end of the video."""
+    seen = [40 * k + f for k in range(8) for f in range(3 if k == 3 else 10)]
+    video, frame = "video_id bigint, frame_idx bigint", range(292)
+    b = spark.createDataFrame([(1, f) for f in seen], video)
+    t = spark.createDataFrame([(1, f, "batsman") for f in frame], video + ", role string")
+    f = spark.createDataFrame([(1, f) for f in frame] + [(2, 0)], video)
+    for span in (24, 1000):
+        got = {(r.video_id, r.frame_idx): r for r in ck.live_over(f, dv.flights(b, t, f, span=span), span=span).collect()}
+        assert len(got) == 293 and got[2, 0].over == "0.0"
+        text = lambda n: (got[1, n].over, got[1, n].in_flight, got[1, n].just_completed)
+        assert text(0) == ("0.1", True, False) and text(24) == ("0.1", True, False)
+        assert text(25) == ("0.1", False, True) and text(26) == ("0.1", False, False)
+        assert text(120) == ("0.4", True, False) and text(138) == ("0.3", False, False)  # three frames of ball are none
+        assert text(265) == ("0.6", False, True) and text(266) == ("1.0", False, False)
+        assert text(280) == ("1.1", True, False) and text(291) == ("1.1", True, False)
+    early = "frame_idx < 245"
+    cut = dv.deliveries_segment(b.filter(early), t, f.filter(early), span=50).select("video_id", "start_frame", "forced")
+    assert [r.over for r in ck.over_notation(cut, "start_frame").orderBy("start_frame").collect()] == ["0.1", "0.2", "0.3", "0.4", "0.5", "1.0"]
+
+
 def test_delivery_points_take_all_since_the_last_completion(spark, rows):
     d = spark.createDataFrame([(1, 10, 36), (1, 50, 76)], "video_id bigint, start_frame bigint, done_frame bigint")
     p = spark.createDataFrame([(1, f, 0.0) for f in (2, 12, 36, 37, 60, 76, 77)], "video_id bigint, frame_idx bigint, cx double")
