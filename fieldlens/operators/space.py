@@ -31,27 +31,52 @@ def valid_players(positions: DataFrame, tracks: DataFrame, span: int = SPAN) ->
     return positions.filter(on_court).join(teams, [*FRAME, "player_id"]).filter(F.col("team").isin(1, 2))
 
 
-def _nearest_counts(step: int):
-    """Cells of the court grid nearest to team 1, per frame; the first listed player wins a tie."""
-    gx, gy = np.arange(0, COURT_W, step, dtype=np.float64), np.arange(0, COURT_H, step, dtype=np.float64)
+def team1_counts(xs: np.ndarray, ys: np.ndarray, team1: np.ndarray, step: int, cells: int = 1 << 22) -> np.ndarray:
+    """Cells of the court grid nearest to team 1, one number per frame (frames x players); the first listed player wins a tie.
+
+    Along a row of the grid the squared distances are parabolas of one width, so each player holds one stretch of their
+    lower envelope, bounded by the crossings with all others: players x players a row, however fine the grid.  ``cells``
+    bounds the crossings held at once.
+    """
+    n_frames, n = xs.shape
+    columns, rows = len(range(0, COURT_W, step)), np.arange(0, COURT_H, step, dtype=np.float64)
+    first = np.arange(n)[:, None] < np.arange(n)  # i is listed before j
+    out = np.zeros(n_frames, dtype=np.int64)
+    at_once = max(1, cells // (n * n * rows.size))
+    for begin in range(0, n_frames, at_once):
+        part = slice(begin, begin + at_once)
+        x, y = xs[part], ys[part]
+        right = (x[:, None, :] - x[:, :, None])[:, None]  # of j, seen from i
+        height = x[:, None, :] ** 2 + (rows[:, None] - y[:, None, :]) ** 2
+        higher = height[:, :, None, :] - height[:, :, :, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = higher / (2.0 * step * right)  # in columns; cells up to here belong to the left one of the two
+        low = np.where(right < 0, np.where(first, np.ceil(cross), np.floor(cross) + 1), 0.0).max(axis=3)
+        high = np.where(right > 0, np.where(first, np.floor(cross), np.ceil(cross) - 1), columns - 1.0).min(axis=3)
+        behind = ((right == 0) & ((higher < 0) | ((higher == 0) & first.T))).any(axis=3)
+        held = np.where(behind, 0, np.clip(np.minimum(high, columns - 1) - np.maximum(low, 0) + 1, 0, None))
+        out[part] = (held * team1[part][:, None, :]).sum(axis=(1, 2))
+    return out
 
+
+def _nearest_counts(step: int):
     @F.pandas_udf(T.LongType())
     def team1_cells(xs: pd.Series, ys: pd.Series, teams: pd.Series) -> pd.Series:
-        counts = []
-        for x, y, team in zip(xs, ys, teams):
-            # squared distances split by axis: players x rows x columns
-            dx2, dy2 = (gx - np.asarray(x)[:, None]) ** 2, (gy - np.asarray(y)[:, None]) ** 2
-            nearest = (dx2[:, None, :] + dy2[:, :, None]).argmin(axis=0)
-            counts.append(int((np.asarray(team)[nearest] == 1).sum()))
-        return pd.Series(counts, dtype="int64")
+        sizes = xs.str.len().to_numpy()
+        counts = np.zeros(len(xs), dtype=np.int64)
+        for size in np.unique(sizes):  # frames with as many players go together
+            at = np.flatnonzero(sizes == size)
+            x, y, team = (np.stack(v.iloc[at].to_numpy()) for v in (xs, ys, teams))
+            counts[at] = team1_counts(x.astype(np.float64), y.astype(np.float64), team == 1, step)
+        return pd.Series(counts)
 
-    return team1_cells, gx.size * gy.size
+    return team1_cells, len(range(0, COURT_W, step)) * len(range(0, COURT_H, step))
 
 
 def voronoi_control(positions: DataFrame, tracks: DataFrame, step: int = 2, span: int = SPAN) -> DataFrame:
     """Share of the court nearest to each team per frame; 50/50 with fewer than two players.
 
-    The players of a frame travel as one array; the grid is never joined, so no player-cell rows exist.
+    The players of a frame travel as one array; neither rows nor arrays of players x cells exist.
     """
     team1_cells, n_cells = _nearest_counts(step)
     spots = spread(valid_players(positions, tracks, span), *FRAME).groupBy(*FRAME).agg(

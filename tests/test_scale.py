@@ -292,6 +292,53 @@ def test_gate_and_shots_do_not_depend_on_spans(spark, rows):
     assert rows(shots.shot_state(ball, frames, span=24, warmup=8), "frame_idx", "conf", "shot") == whole
 
 
+def test_shot_moments_match_polyfit():
+    """The running moments give the fit of the window's points at every frame, also after clears and long gaps."""
+    import numpy as np
+    from fieldlens.functions.machines import ShotTracker
+
+    rnd, tracker, frame, arcs = random.Random(3), ShotTracker(), 0, 0
+    for k in range(4000):
+        frame += 1 if rnd.random() < 0.97 else rnd.randint(2, 400)
+        t = k % 70
+        y = 900 - 30 * t + 0.5 * t * t + rnd.uniform(-3, 3) if k % 210 < 140 else rnd.uniform(0, 700)
+        tracker.step({"frame_idx": frame, "width": 1280, "height": 720, "cx": 10.0, "cy": y})
+        if len(tracker.points) > tracker.ENOUGH:
+            ts, ys = (np.array([p[i] for p in tracker.points], dtype=float) for i in (0, 2))
+            ts -= ts[0]
+            a, b, c = np.polyfit(ts, ys, 2)
+            r2 = 1 - ((ys - a * ts * ts - b * ts - c) ** 2).sum() / ((ys - ys.mean()) ** 2).sum()
+            if abs(a - 0.1) > 1e-6 and abs(r2 - 0.8) > 1e-6:
+                fits = a > 0.1 and r2 > 0.8
+                assert tracker._arc() == (fits, bool(-b / (2 * a) < ts[-1]) if fits else False), k
+                arcs += fits
+        again = ShotTracker()
+        again.load(tracker.state())
+        assert again.state() == tracker.state()
+    assert arcs > 100
+
+
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_court_shares_match_all_distances(step):
+    """Ties, shared places, places off the court and frames in several pieces."""
+    import numpy as np
+    from fieldlens.operators.space import team1_counts
+
+    rnd = np.random.default_rng(step)
+    gx, gy = np.arange(0, 200, step), np.arange(0, 107, step)
+    for n in (2, 3, 7, 12):
+        xs, ys = rnd.integers(-5, 205, (40, n)).astype(float), rnd.integers(-5, 112, (40, n)).astype(float)
+        xs[:10], ys[:5] = xs[:10] // 40 * 40, ys[:5] // 40 * 40
+        xs[10:12], ys[10:12] = 50.0, 50.0
+        team1 = rnd.random((40, n)) < 0.5
+        want = []
+        for x, y, team in zip(xs, ys, team1):
+            near = ((gx - x[:, None]) ** 2)[:, None, :] + ((gy - y[:, None]) ** 2)[:, :, None]
+            want.append(int(team[near.argmin(axis=0)].sum()))
+        for cells in (1, 1 << 22):
+            assert team1_counts(xs, ys, team1, step, cells).tolist() == want
+
+
 def test_rolling_parabola_matches_polyfit(spark, rows):
     import numpy as np
 
