@@ -15,7 +15,7 @@ from fieldlens.plans.delivery_queries import modes
 from fieldlens.plans.identity_queries import CUT
 from fieldlens.plans.registry import Tables, derive, query, rounded as R
 from fieldlens.scale import durable, shared_dir
-from fieldlens.sources import catalog, sinks
+from fieldlens.sources import catalog, logs, sinks
 from fieldlens.streaming import streams as st
 
 SLICES = (0, 37, 80, None)
@@ -164,6 +164,30 @@ def run_status(t: Tables) -> DataFrame:
     return newest(t, st.run_status_stream(shuffled_feed(t, t.run_log, ends, root, "line_no", 30.0, (0, 4000))), "run_id", root)
 
 
+LOG_SLICES, LOG_ROUNDS = 40, 4
+
+
+def run_status_files(t: Tables) -> DataFrame:
+    """Log files that arrive in four rounds, each processed from the checkpoint of the one before, then the end of every run."""
+    root = folder(t)
+    per_slice = t.run_log.agg(F.max("line_no")).first()[0] // LOG_SLICES + 1
+    per_round = per_slice * LOG_SLICES // LOG_ROUNDS
+    ends = t.run_log.groupBy("run_id").agg((F.max("line_no") + 1000 * per_slice).alias("line_no")).withColumn("line", F.lit(logs.END_OF_RUN))
+    arriving = [t.run_log.filter(F.col("line_no").between(k * per_round, (k + 1) * per_round - 1)) for k in range(LOG_ROUNDS)]
+    for lines in [*arriving, ends]:
+        logs.write_run_logs(lines, f"{root}/logs", per_slice)
+        status = newest(t, st.run_status_stream(logs.log_stream(t.spark, f"{root}/logs"), idle="5 minutes"), "run_id", root)
+    return status
+
+
+def run_log_files(t: Tables) -> DataFrame:
+    path = f"{folder(t)}/logs"
+    logs.write_run_logs(t.run_log, path, 2500)
+    return logs.run_logs(t.spark, path, span=4096)
+
+
+query("run_log_files", run_log_files, ("run_log",),
+      "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY line_no) - 1 AS line_no, line FROM run_log")
 query("live_scoreboard", lambda t: latest(t, score_events(t), st.live_scoreboard, "video_id"), ("poss_team0", "pass_events", "steal_events"), """
 SELECT p.video_id, count(*) FILTER (holder_id <> -1 AND team = 1) AS team1_frames, count(*) FILTER (holder_id <> -1 AND team = 2) AS team2_frames,
   count(*) FILTER (pass_team = 1) AS team1_passes, count(*) FILTER (pass_team = 2) AS team2_passes,
@@ -171,11 +195,14 @@ SELECT p.video_id, count(*) FILTER (holder_id <> -1 AND team = 1) AS team1_frame
 FROM poss_team0 p JOIN pass_events a USING (video_id, frame_idx) JOIN steal_events s USING (video_id, frame_idx) GROUP BY p.video_id""")
 derive("last_line", ("run_log",), "SELECT run_id, max(line_no) AS line_no FROM run_log GROUP BY run_id")
 _last = ", ".join(f"arg_max({c}, line_no) FILTER ({c} IS NOT NULL) AS {c}" for c in ("sport", "stage", "stage_name", "total_stages", "fps", "eta", "vram"))
-query("run_status_stream", run_status, ("said", "bars", "last_line"), f"""
+_STATUS = f"""
 SELECT s.*, line_no, progress_pct, current_frame, total_frames FROM (SELECT run_id, {_last}, coalesce(max(done) FILTER (done), false) AS completed FROM said GROUP BY run_id) s
 LEFT JOIN last_line USING (run_id) LEFT JOIN (
   SELECT run_id, arg_max(pct, line_no) FILTER (pct IS NOT NULL) AS progress_pct, arg_max(cur, line_no) FILTER (cur IS NOT NULL) AS current_frame, arg_max(known, line_no) FILTER (known IS NOT NULL) AS total_frames FROM (
-    SELECT run_id, line_no, pct, cur, known FROM bars UNION ALL SELECT run_id, line_no, fin, NULL, NULL FROM said WHERE fin IS NOT NULL) u GROUP BY run_id) p USING (run_id)""")
+    SELECT run_id, line_no, pct, cur, known FROM bars UNION ALL SELECT run_id, line_no, fin, NULL, NULL FROM said WHERE fin IS NOT NULL) u GROUP BY run_id) p USING (run_id)"""
+query("run_status_stream", run_status, ("said", "bars", "last_line"), _STATUS)
+derive("last_place", ("run_log",), "SELECT run_id, count(*) - 1 AS line_no FROM run_log GROUP BY run_id")
+query("run_status_files", run_status_files, ("said", "bars", "last_place"), _STATUS.replace("last_line", "last_place"))
 
 
 def late_feed(t: Tables, step) -> str:

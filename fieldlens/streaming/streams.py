@@ -274,12 +274,21 @@ def live_speed(points: DataFrame, fps: float = 30.0) -> DataFrame:
     return stateful_tracking(points, lambda: mc.LiveSpeed(fps), _schema("frame_idx BIGINT, points BIGINT, speed_kmh DOUBLE"))
 
 
-def run_status_stream(lines: DataFrame) -> DataFrame:
-    """Latest status per run, once per batch that brings it new lines."""
+_STATUS = (
+    "line_no BIGINT, sport STRING, stage INT, stage_name STRING, total_stages INT, completed BOOLEAN, fps STRING, eta STRING, "
+    "vram STRING, progress_pct BIGINT, current_frame BIGINT, total_frames BIGINT")
+
+
+def run_status_stream(lines: DataFrame, idle: str = "1 second") -> DataFrame:
+    """Latest status per run, once per batch that brings it new lines.
+
+    Lines with a number (``line_no``) step in its order; lines from ``logs.log_stream`` in that of their place in the files.
+    """
     said = parse_log_lines(lines).drop("line")
-    return stateful_tracking(said, mc.RunStatus, _schema(
-        "line_no BIGINT, sport STRING, stage INT, stage_name STRING, total_stages INT, completed BOOLEAN, fps STRING, eta STRING, "
-        "vram STRING, progress_pct BIGINT, current_frame BIGINT, total_frames BIGINT"), keys=("run_id",), order=("line_no",))
+    numbered = "line_no" in lines.columns
+    return stateful_tracking(
+        said, mc.RunStatus if numbered else mc.CountedRunStatus, _schema(_STATUS), keys=("run_id",),
+        order=("line_no",) if numbered else ("slice", "at"), idle=idle)
 
 
 def late_data(stream: DataFrame, keys: Sequence[str] = ("video_id", "frame_idx", "player_id")) -> DataFrame:

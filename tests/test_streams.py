@@ -5,6 +5,8 @@ import random
 import pytest
 
 from fieldlens.functions import machines as mc
+from fieldlens.operators import routing as rt
+from fieldlens.sources import logs
 from fieldlens.streaming import streams as st
 
 FPS = 10.0
@@ -134,3 +136,49 @@ def test_late_rows_change_their_windows_only(spark, tmp_path):
     assert before[(1, 3)] == (9, False) and after[(1, 3)] == (10, True) and after[(1, 9)] == (11, False)
     late = spark.read.parquet(f"{root}/out/rows").filter("is_late = 'true'").collect()
     assert [r["frame_idx"] for r in late] == [33]
+
+
+def put_log(root, number, name, text):
+    folder = root / f"slice={number}"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"{name}.log").write_bytes(text.encode())
+
+
+def test_log_files_are_numbered_across_slices_files_and_blocks(spark, rows, tmp_path):
+    rng, want, count = random.Random(4), [], {}
+    for number in (0, 2, 10):  # by number, not by name
+        for name, runs in (("b", (1, 2)), ("a", (3,))):
+            text = ""
+            for k in range(rng.randint(150, 300)):
+                run = rng.choice(runs)
+                line = f"step {number} {k} " + "x" * rng.randint(0, 60) + "|50%|"
+                want.append((run, count.setdefault(run, 0), line))
+                count[run] += 1
+                text += f"{run}|{line}" + rng.choice(("\n", "\r\n", "\r", "\n\n", f"\n{run}|\n", "\nno run here\n"))
+            put_log(tmp_path, number, name, text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several blocks a file, in several tasks
+    try:
+        for span in (50, 1 << 16):
+            assert rows(logs.run_logs(spark, str(tmp_path), span=span)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_status_of_log_files_equals_the_batch(spark, tmp_path):
+    """Files come one a batch; the second file of a slice and a restart change nothing."""
+    root, out = tmp_path / "logs", str(tmp_path / "out")
+    put_log(root, 0, "a", "1|Auto-detected sport: CRICKET\n1|[3/7] step Total Frames: 900\n")
+    put_log(root, 0, "b", "2|[1/8] step\r2|Processing: 5%|#| 40/80 [00:10<00:10, 5.5 frames/s]\r2|Processing: 9%|#| 45/80 [00:10<00:10, FPS=7.5, ETA=9s, VRAM=2GB]\r")
+    put_log(root, 1, "a", "1|Processing: 50%|#| 30/60 [00:10<00:10, 5.5 frames/s]\n\n1|Processing: 50%|#| 450/900 [00:10<00:10, FPS=3, ETA=60s]\n")
+    run = lambda: st.latest_run(st.run_status_stream(logs.log_stream(spark, str(root), max_files=1), idle="1 minute"), out, str(tmp_path / "state"))
+    run()
+    put_log(root, 3, "a", "1|Analytics Report Saved\n2|[5/8] step\n")
+    want = {r.run_id: r.asDict() for r in rt.run_log_parse(logs.run_logs(spark, str(root))).collect()}
+    put_log(root, 200, "z", f"1|{logs.END_OF_RUN}\n2|{logs.END_OF_RUN}\n")
+    run()
+    got = {}
+    for r in spark.read.parquet(out).orderBy("batch_no").collect():
+        got[r.run_id] = r.asDict()
+    assert {k: {c: got[k][c] for c in want[k]} for k in want} == want and set(got) == {1, 2}
+    assert got[1]["line_no"] == 4 and got[1]["progress_pct"] == 50 and got[1]["total_frames"] == 900 and got[1]["completed"]
+    assert got[2]["line_no"] == 3 and got[2]["progress_pct"] == 100 and got[2]["vram"] == "2GB"
