@@ -11,7 +11,8 @@ from fieldlens.operators.court import homography_lookup
 from fieldlens.operators import cricket as ck, deliveries as dv, highlights as hl, registration as rg, routing as rt, shots
 from fieldlens.plans.court_queries import calibrations, six
 from fieldlens.plans.cricket_queries import D, lbw_sql
-from fieldlens.plans.registry import Tables, derive, query, rounded as R
+from fieldlens.plans.cricket_match import cricket_match
+from fieldlens.plans.registry import DERIVED, ORACLES, Tables, derive, derive_as, query, renamed, rounded as R
 from fieldlens.scale import durable, pyround, spread
 from fieldlens.sources import catalog
 
@@ -627,3 +628,80 @@ LEFT JOIN (SELECT stem, arg_min(path, r) FILTER (kind = 'web') AS web, arg_min(p
   SELECT o.*, CASE sport WHEN 'cricket' THEN CASE dir WHEN '/out/cricket' THEN 0 WHEN '/out' THEN 1 END WHEN 'basketball' THEN CASE dir WHEN '/out/basketball' THEN 0 WHEN '/out' THEN 1 END
     ELSE CASE dir WHEN '/out/basketball' THEN 0 WHEN '/out/cricket' THEN 1 WHEN '/out' THEN 2 END END AS r
   FROM outs o JOIN (SELECT stem, coalesce({_RULE}, CASE WHEN cv THEN 'cricket' WHEN bv THEN 'basketball' ELSE 'unknown' END) AS sport FROM known_results) s USING (stem)) f WHERE r IS NOT NULL GROUP BY stem) p USING (stem)""")
+
+
+# ---- the whole chain: the checking SQL takes the steps above over the chain's own tables
+def pitch_calibrations(t: Tables):
+    """Pixels to metres: the calibrations of the test tables, shrunk."""
+    h = {f"h{i}": F.col(f"h{i}") - (40 if i == 5 else 0) for i in range(9)}
+    return t.match_calibration_cols.select("video_id", "frame_from", "frame_to", F.array(*[c / 8 if i < 6 else c for i, c in enumerate(h.values())]).alias("h"))
+
+
+def stumps_seen(t: Tables):
+    at = F.col("video_id") * 37 + F.floor(F.col("frame_idx") / 20).cast("bigint") * 61
+    return t.match_frames.select("video_id", "frame_idx", (at % 200).cast("double").alias("sx"), (at % 107).cast("double").alias("sy"))
+
+
+def match_rows(t: Tables):
+    return cricket_match(t.match_detections, t.match_roles, t.match_frames, stumps_seen(t), pitch_calibrations(t), span=4096)
+
+
+derive_as("m_", {"detections": "match_detections"}, "gated")
+derive("m_ball", ("m_gated", "match_detections"), """
+SELECT g.*, d.x1, d.y1, d.x2, d.y2 FROM m_gated g JOIN match_detections d USING (video_id, frame_idx, det_id)""")
+derive_as("m_", {"ball": "m_ball", "frames": "match_frames"}, "tracked")
+derive_as("m_", {**_MATCH, "ball": "m_tracked"}, "segments")
+_KEY = "(SELECT min(start_frame) FROM m_segments s WHERE s.video_id = {0}.video_id AND s.done_frame >= {0}.frame_idx) AS delivery_key"
+derive("m_flight", ("m_tracked", "m_segments", "match_calibration_cols"), f"""
+SELECT * FROM (SELECT t.video_id, t.frame_idx, CAST(t.cx AS DOUBLE) AS cx, CAST(t.cy AS DOUBLE) AS cy, CASE WHEN ok THEN mx END AS mx, CASE WHEN ok THEN my END AS my, {_KEY.format('t')}
+  FROM m_tracked t LEFT JOIN (SELECT *, mx BETWEEN -5 AND 26 AND my BETWEEN -6 AND 6 AS ok FROM (
+    SELECT p.video_id, p.frame_idx, (h0/8*cx+h1/8*cy+h2/8)/(h6*cx+h7*cy+h8) AS mx, (h3/8*cx+h4/8*cy+(h5-40)/8)/(h6*cx+h7*cy+h8) AS my
+    FROM m_tracked p JOIN match_calibration_cols c ON c.video_id = p.video_id AND p.frame_idx BETWEEN frame_from AND frame_to) q) m
+  ON m.video_id = t.video_id AND m.frame_idx = t.frame_idx) f WHERE delivery_key IS NOT NULL""")
+derive("m_batsmen", ("match_roles", "m_segments"), f"""
+SELECT video_id, delivery_key, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY video_id, delivery_key ORDER BY frame_idx, player_id) AS rn FROM (
+  SELECT r.*, {_KEY.format('r')} FROM match_roles r WHERE role = 'batsman') a WHERE delivery_key IS NOT NULL) b WHERE rn = 1""")
+derive("m_stumps", ("match_frames", "m_segments"), f"""
+SELECT video_id, delivery_key, arg_min(pl%200, frame_idx) AS sx, arg_min(pl%107, frame_idx) AS sy FROM (
+  SELECT f.*, video_id*37 + CAST(floor(frame_idx/20) AS BIGINT)*61 AS pl, {_KEY.format('f')} FROM match_frames f) a WHERE delivery_key IS NOT NULL GROUP BY ALL""")
+derive_as("m_", {"flight": "m_flight", "batsmen": "m_batsmen", "stumps": "m_stumps"},
+          "turns", "spaced_turns", "bounced", "context", "contact", "bowled", "shot_labels")
+derive("m_metric", ("m_flight",), "SELECT * FROM m_flight WHERE mx IS NOT NULL")
+derive_as("m_", {"flight": "m_metric", "bounced": "m_bounced"}, "flight3d", "paced")
+derive("m_placed", ("m_flight", "m_bounced", "m_paced", "m_segments"), f"""
+SELECT d.*, bx, by_, first_x, coalesce(p.release, 0) AS release_speed_kmh, coalesce(p.landing, 0) AS bounce_speed_kmh FROM (
+    SELECT video_id, start_frame AS delivery_key, done_frame, forced, row_number() OVER (PARTITION BY video_id ORDER BY start_frame) AS delivery_number FROM m_segments) d
+  JOIN (SELECT f.video_id, f.delivery_key, arg_min(mx, frame_idx) FILTER (mx IS NOT NULL) AS first_x, max(CASE WHEN frame_idx = bf THEN mx END) AS bx, max(CASE WHEN frame_idx = bf THEN my END) AS by_
+    FROM m_flight f LEFT JOIN (SELECT video_id, delivery_key, max(bounce_frame) AS bf FROM m_bounced GROUP BY ALL) b ON b.video_id = f.video_id AND b.delivery_key = f.delivery_key
+    GROUP BY ALL) c USING (video_id, delivery_key)
+  LEFT JOIN (SELECT video_id, delivery_key, {_known('r', 1)} AS release, {_known('s', 1)} AS landing FROM m_paced) p USING (video_id, delivery_key)""")
+derive("m_launched", ("m_placed",), f"""
+SELECT video_id, delivery_key, {D(0.02)} AS x, {D(18)} AS y, {D(0.45)} AS z, {D(0.01)} AS vx, bounce_speed_kmh/{D(3.6)} AS vy, {D(1.2)} AS vz FROM m_placed""")
+derive_as("m_", {"launched": "m_launched"}, "flown")
+derive("m_rated", ("m_placed", "m_flown"), f"""
+SELECT p.* EXCLUDE (bx, by_), bx AS metric_x, by_ AS metric_y, {D(0)} AS seam_deg, stump_x, stump_z FROM m_placed p JOIN (
+  SELECT video_id, delivery_key, ax + part*(px-ax) AS stump_x, greatest(0, az + part*(pz-az)) AS stump_z FROM (
+    SELECT *, greatest(0, least(1, ({D(20.12)}-ay)/greatest({D(1e-5)}, py-ay))) AS part FROM (
+      SELECT *, coalesce(lag(px) OVER w, px) AS ax, coalesce(lag(py) OVER w, py) AS ay, coalesce(lag(pz) OVER w, pz) AS az, max(step) OVER (PARTITION BY video_id, delivery_key) AS top
+      FROM m_flown WINDOW w AS (PARTITION BY video_id, delivery_key ORDER BY step)) a WHERE step = top) b) s USING (video_id, delivery_key)""")
+derive_as("m_", {"deliveries": "m_rated"}, "zone2", "xd", "dismissal")
+derive("m_impacts", ("m_flight", "m_contact", "m_bowled", "m_rated"), renamed(re.sub(
+    r"CAST\(\(h\.delivery_key\+h\.video_id\)\S+( - 20| - 15)? AS DOUBLE\)(/100)? AS (pitch_x|pitch_y|stump_x|stump_z)",
+    lambda m: {"pitch_x": "e.metric_y AS pitch_x", "pitch_y": "e.metric_x AS pitch_y"}.get(m[3], f"e.{m[3]}"), DERIVED["impacts"][1]),
+    {n: f"m_{n}" for n in ("flight", "contact", "bowled")}).replace(
+        "LEFT JOIN a ON", "JOIN m_rated e ON e.video_id = h.video_id AND e.delivery_key = h.delivery_key LEFT JOIN a ON"))
+lbw_sql("m_impacts", "m_ruled")
+derive("m_outcomes", ("m_ruled",), ORACLES["delivery_outcome"][ORACLES["delivery_outcome"].rindex("SELECT video_id, delivery_key, outcome,"):].replace("impact_ruled", "m_ruled"))
+derive("m_bowled_at", ("m_rated",), "SELECT * REPLACE (coalesce(metric_x, first_x, 10) AS metric_x, coalesce(metric_y, 0) AS metric_y) FROM m_rated")
+derive_as("m_", {"deliveries": "m_bowled_at"}, "zoned")
+derive("m_described", ("m_zoned", "m_dismissal", "m_outcomes", "m_shot_labels"), """
+SELECT z.video_id, z.delivery_key, z.delivery_key AS start_frame, z.done_frame, z.delivery_number AS ball_no, z.release_speed_kmh, z.bounce_speed_kmh, z.metric_x, z.metric_y, z.line, z.length, z.stump_x, z.stump_z,
+  x.xd_pct, x.threat_level, coalesce(l.shot_label, 'defense') AS shot_played, o.* EXCLUDE (video_id, delivery_key),
+  CASE WHEN z.forced AND z.delivery_number%6 = 0 THEN CAST(z.delivery_number//6 AS STRING) || '.0' ELSE CAST((z.delivery_number-1)//6 AS STRING) || '.' || CAST((z.delivery_number-1)%6 + 1 AS STRING) END AS over
+FROM m_zoned z JOIN m_dismissal x USING (video_id, delivery_key) JOIN m_outcomes o USING (video_id, delivery_key) LEFT JOIN m_shot_labels l USING (video_id, delivery_key)""")
+derive_as("m_", {"described": "m_described"}, "spoken")
+_MATCH_COLUMNS = ("video_id", "delivery_key", "done_frame", "ball_no", "over", "release_speed_kmh", "bounce_speed_kmh", "line", "length", "shot_played", "outcome",
+                  "is_wicket", "is_boundary", "impact_frame", "final_verdict", "xd_pct", "threat_level", "commentary")
+query("cricket_match", lambda t: six(match_rows(t).select(*_MATCH_COLUMNS, "runs", "stump_x", "stump_z"), "stump_x", "stump_z"), ("m_described", "m_spoken"), f"""
+SELECT {', '.join(_MATCH_COLUMNS)}, CAST(CASE outcome WHEN 'four' THEN 4 WHEN 'six' THEN 6 WHEN 'runs' THEN 1 ELSE 0 END AS INT) AS runs, {R('stump_x', 6)} AS stump_x, {R('stump_z', 6)} AS stump_z
+FROM m_described JOIN m_spoken USING (video_id, delivery_key)""")

@@ -33,6 +33,20 @@ def derive(name: str, needs: tuple[str, ...], sql: str) -> None:
     DERIVED[name] = (needs, " ".join(sql.split()))
 
 
+def renamed(text: str, names: dict[str, str]) -> str:
+    """``text`` with other tables; a name behind a dot or before a bracket is a column, a text or a function."""
+    return re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {names.get(m[2], m[2])}", text)
+
+
+def derive_as(prefix: str, names: dict[str, str], *tables: str) -> None:
+    """Derived tables once more, over other tables than those they name; later ones read the earlier ones."""
+    names = dict(names)
+    for table in tables:
+        needs, text = DERIVED[table]
+        DERIVED[prefix + table] = (tuple(names.get(n, n) for n in needs), renamed(text, names))
+        names[table] = prefix + table
+
+
 def query(
     name: str, plan: Callable[[Tables], DataFrame], needs: tuple[str, ...] = (), sql: str | None = None, swap: dict[str, str] | None = None
 ) -> None:

@@ -119,6 +119,7 @@ SELECT video_id, 30*k AS frame_from, 30*k + 29 AS frame_to,
   CAST((video_id + k) % 3 AS DOUBLE)/10000 AS h6, CAST(k % 4 AS DOUBLE)/10000 AS h7, CAST(1 AS DOUBLE) AS h8
 FROM (SELECT DISTINCT video_id, CAST(FLOOR(frame_idx/30) AS BIGINT) AS k FROM frames) f
 """)
+_add("match_calibration_cols", ("match_frames",), ADAPTERS["calibration_cols"][1].replace("FROM frames", "FROM match_frames"))
 _add("confidences", ("frames",), """
 SELECT video_id, frame_idx,
   CASE WHEN (CAST(FLOOR(frame_idx/9) AS BIGINT) + video_id) % 4 = 0 THEN CAST(60 + frame_idx % 5 * 10 AS DOUBLE)/100
@@ -163,7 +164,19 @@ SELECT video_id, frame_idx FROM match_frames
 WHERE frame_idx % 40 < CASE WHEN FLOOR(frame_idx/40) % 5 = 4 THEN 3 ELSE 20 END AND (frame_idx*31 + video_id) % 11 > 1
 """)
 _add("match_roles", ("match_frames",), """
-SELECT video_id, frame_idx, 'batsman' AS role FROM match_frames WHERE frame_idx % 40 > 1 AND FLOOR(frame_idx/40) % 8 <> 7
+SELECT video_id, frame_idx, CAST(1 AS BIGINT) AS player_id, x1, CAST(20 AS DOUBLE) AS y1, x1 + 14 AS x2, CAST(70 AS DOUBLE) AS y2, 'batsman' AS role
+FROM (SELECT video_id, frame_idx, CAST(90 + CAST(FLOOR(frame_idx/40) AS BIGINT)*13 % 60 AS DOUBLE) AS x1 FROM match_frames
+  WHERE frame_idx % 40 > 1 AND FLOOR(frame_idx/40) % 8 <> 7) r
+""")
+# raw candidates of a ball that bounces after 5 to 7 frames and, in every third flight, comes back from frame 10 on; a weaker one far off
+_add("match_detections", ("match_ball",), """
+SELECT video_id, frame_idx, det_id, 'ball' AS cls, cx - 3 AS x1, cy - 3 AS y1, cx + 3 AS x2, cy + 3 AS y2, conf FROM (
+  SELECT video_id, frame_idx, CAST(0 AS BIGINT) AS det_id, CAST(90 AS DOUBLE)/100 AS conf,
+    CAST(CASE WHEN k % 3 = 0 AND f > 10 THEN 130 - (f-10) * (CASE WHEN k % 9 = 0 THEN 70 ELSE 14 END) ELSE f*13 END + k % 7 AS DOUBLE) AS cx,
+    CAST(34 + (video_id + k) % 9 + CASE WHEN f <= 5 + k % 3 THEN f*2 ELSE (5 + k % 3)*3 - f END AS DOUBLE) AS cy
+  FROM (SELECT video_id, frame_idx, frame_idx % 40 AS f, CAST(FLOOR(frame_idx/40) AS BIGINT) AS k FROM match_ball WHERE frame_idx % 40 < 14) b
+  UNION ALL SELECT video_id, frame_idx, CAST(1 AS BIGINT) AS det_id, CAST(50 AS DOUBLE)/100 AS conf, CAST(500 + frame_idx % 40 AS DOUBLE) AS cx, CAST(300 AS DOUBLE) AS cy
+  FROM match_ball WHERE frame_idx % 40 < 14 AND frame_idx % 3 = 0) d
 """)
 _add("stumps", ("flight",), """
 SELECT DISTINCT video_id, delivery_key, CAST((video_id*37 + delivery_key*61) % 200 AS DOUBLE) AS sx,
