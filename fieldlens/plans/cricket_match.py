@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.operators import court, cricket as ck, deliveries as dv
@@ -27,6 +29,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.table(table)
 
 
+@contextmanager
+def where_they_lie(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside may join by (delivery, span) on tables placed by delivery alone.
+
+    Not for rows keyed by video: there the span must stay part of the placement, or a long video would meet in one task.
+    """
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def ball_track(detections: DataFrame, frames: DataFrame, fps: float = 30.0, span: int = SPAN) -> DataFrame:
     """Smoothed ball from raw detections: the candidate near the last one, then the filter."""
     boxes = detections.select(*FRAME, "det_id", "x1", "y1", "x2", "y2")
@@ -57,7 +74,12 @@ def cricket_match(
     people = stored(dv.role_first_hit(roles, found, span=span), "batsmen")
     wickets = stored(first_seen(stumps, found, ["sx", "sy"], span), "stumps")
     numbered = stored(ck.over_notation(found, "start_frame", span).withColumn("delivery_key", F.col("start_frame")), "numbered")
+    with where_they_lie(points.sparkSession):
+        return durable(_per_delivery(points, people, wickets, numbered, fps, span))  # one row per delivery
+
 
+def _per_delivery(points: DataFrame, people: DataFrame, wickets: DataFrame, numbered: DataFrame, fps: float, span: int) -> DataFrame:
+    """Everything that follows from the stored points of a delivery."""
     bounces = stored(dv.bounce_points(points, span=span), "bounces")
     last = dv.last_bounces(bounces)
     speeds = dv.delivery_speeds(dv.reconstruct_3d(points.select(*DELIVERY, "frame_idx", "mx", "my"), last, fps, span), last, fps, span)

@@ -412,3 +412,29 @@ def test_referee_grid_finds_the_nearest(spark, rows):
         spark.createDataFrame(dets, "video_id bigint, frame_idx bigint, det_id bigint, cls string, x1 double, y1 double, x2 double, y2 double, conf double"),
         spark.createDataFrame([(1, f, 1280) for f in range(40)], "video_id bigint, frame_idx bigint, width int"), span=8)
     assert rows(got, "frame_idx", "player_id") == sorted(want)
+
+
+def test_stored_stages_need_no_exchange(spark, rows):
+    """Speeds, shots and bounces by delivery are computed where the stored points lie."""
+    from fieldlens.plans.cricket_match import stored, where_they_lie
+
+    schema = "video_id bigint, delivery_key bigint, frame_idx bigint, cx double, cy double, mx double, my double"
+    rnd = random.Random(2)
+    data = [(v, k, 40 * k + f, 9.0 * f + rnd.random(), abs(60.0 - 8 * f), 1.1 * f, rnd.uniform(-1, 1)) for v in range(3) for k in range(9) for f in range(15)]
+    plain = spark.createDataFrame(data, schema)
+    points = stored(plain, "test")
+    assert rows(points) == rows(plain)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def speeds(p):
+            last = p.groupBy("video_id", "delivery_key").agg((F.min("frame_idx") + 7).alias("bounce_frame"))
+            return deliveries.delivery_speeds(deliveries.reconstruct_3d(p, last), last)
+
+        with where_they_lie(spark):
+            plan = speeds(points)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 0, plan
+        assert speeds(plain)._jdf.queryExecution().executedPlan().toString().count("Exchange") > 3
+        assert rows(speeds(points)) == rows(speeds(plain))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
