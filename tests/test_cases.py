@@ -338,7 +338,8 @@ def test_display_rules(spark, rows):
 def test_delivery_session_ends_with_the_video():
     def walk(balls, last, bat=0):
         machine = mc.DeliverySession()
-        return [d for f in range(last + 1) for d in machine.step({"frame_idx": f, "has_ball": f in balls, "has_batsman": f >= bat, "is_last": f == last})]
+        given = [d for f in range(last + 1) for d in machine.step({"frame_idx": f, "has_ball": f in balls, "has_batsman": f >= bat})]
+        return given + machine.finish()
 
     assert walk({3, 4, 5, 6}, 10) == [(3, 6, 10, 4)]  # cut off by the end: four sightings are enough
     assert walk({3, 4, 5}, 10) == []
