@@ -27,12 +27,18 @@ def _said(rows: DataFrame) -> DataFrame:
     return named.filter("run_id IS NOT NULL AND line <> ''").drop("value")
 
 
-def write_run_logs(run_log: DataFrame, path: str, lines_per_slice: int) -> None:
-    """Lay out numbered lines as a collector would: slices by line number, a run's lines of a slice in one file."""
+def write_run_logs(run_log: DataFrame, path: str, lines_per_slice: int, lines_per_file: int = 1 << 14) -> None:
+    """Lay out numbered lines as a collector would: slices by line number, a run's lines of a slice in one file.
+
+    A slice has as many files as its lines fill, whatever the number of tasks: many short slices are not cut into ever smaller files.
+    """
     number = F.floor(F.col("line_no") / lines_per_slice).cast("bigint").alias("slice")
     text = F.concat_ws("|", F.col("run_id").cast("string"), "line").alias("value")
-    files = int(run_log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = run_log.select(number, "run_id", "line_no", text).repartition(files, "run_id").sortWithinPartitions("slice", "run_id", "line_no")
+    tasks = int(run_log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = run_log.select(number, "run_id", "line_no", text)
+    files = lines.groupBy("slice").agg(F.ceil(F.count("*") / lines_per_file).cast("bigint").alias("_files"))  # one small row per slice
+    dealt = lines.join(F.broadcast(files), "slice").withColumn("_file", F.pmod(F.xxhash64("run_id"), F.col("_files")))
+    placed = dealt.repartition(tasks, "slice", "_file").sortWithinPartitions("slice", "_file", "run_id", "line_no")
     placed.select("slice", "value").write.mode("append").partitionBy("slice").text(path)
 
 

@@ -164,6 +164,21 @@ def test_log_files_are_numbered_across_slices_files_and_blocks(spark, rows, tmp_
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_slices_have_as_many_files_as_their_lines_fill(spark, rows, tmp_path):
+    """Not one a task; a run's lines of a slice stay in one file."""
+    data = [(run, k, f"step {run} {k}") for run in range(40) for k in range(run % 3, 300, 3)]
+    log = spark.createDataFrame(data, "run_id bigint, line_no bigint, line string").repartition(6)
+    logs.write_run_logs(log, str(tmp_path / "few"), 30)
+    assert [len(list(d.glob("*.txt"))) for d in (tmp_path / "few").glob("slice=*")] == [1] * 10
+    logs.write_run_logs(log, str(tmp_path / "more"), 30, lines_per_file=100)
+    for folder in (tmp_path / "more").glob("slice=*"):
+        runs = [{line.split("|")[0] for line in f.read_text().splitlines()} for f in folder.glob("*.txt")]
+        assert 1 < len(runs) <= 4 and sum(map(len, runs)) == 40
+    want = [(run, n, line) for run in range(40) for n, line in enumerate(x[2] for x in data if x[0] == run)]
+    for path in ("few", "more"):
+        assert rows(logs.run_logs(spark, str(tmp_path / path), span=64)) == sorted(want)
+
+
 def test_status_of_log_files_equals_the_batch(spark, tmp_path):
     """Files come one a batch; the second file of a slice and a restart change nothing."""
     root, out = tmp_path / "logs", str(tmp_path / "out")
