@@ -16,14 +16,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldlens.scale import CHUNK, CORE, SPAN, div_floor, durable, with_halo
+from fieldlens.scale import CHUNK, CORE, SPAN, div_floor, durable, spread, with_halo
 
 _EDGE = [
     T.StructField("_kind", T.StringType()),
@@ -110,16 +109,17 @@ def chunked_fold(
 
     def folded(rows: DataFrame) -> DataFrame:
         """Every span in one task, in order; a task holds many spans."""
-        placed = rows.repartition(*at).sortWithinPartitions(*at, *order)
+        placed = spread(rows, *at).sortWithinPartitions(*at, *order)
         return durable(placed.mapInArrow(folder, schema))
 
     first = with_halo(df, axis, before=warmup, span=span).withColumn("_forced", F.lit(None).cast("string"))
     parts = [folded(first)]
     edges = _edges(parts[0], at, 0)
     wrong_type = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), T.StructField("_forced", T.StringType())])
-    walk = _span_walk(make, keys)
+    walk = _span_walk(make, keys, to_arrow_schema(wrong_type))
     while True:
-        wrong = durable(edges.drop("_round").groupBy(*keys).applyInPandas(walk, wrong_type))  # one row per span
+        walked = spread(edges.drop("_round"), *keys).sortWithinPartitions(*at)  # one row per span
+        wrong = durable(walked.mapInArrow(walk, wrong_type))
         if wrong.isEmpty():
             break
         # only the wrong spans are folded again; the edges, one row per span, are replaced
@@ -137,21 +137,28 @@ def chunked_fold(
     return result.select(*keys, *out_schema.fieldNames())
 
 
-def _span_walk(make: Callable, keys: Sequence[str]):
-    """Spans of a key that began in a state other than the one before them left, with that state."""
+def _span_walk(make: Callable, keys: Sequence[str], schema: pa.Schema):
+    """Spans of a key that began in a state other than the one before them left, with that state.
 
-    def walk(edges: pd.DataFrame) -> pd.DataFrame:
-        machine, out, state = make(), [], None
+    The edges come sorted by key and span in Arrow batches of any cut; a task walks over many keys.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, key, state = make(), None, None
         same = getattr(machine, "same", lambda x, y: x == y)
-        edges = edges.sort_values(CHUNK)
-        for row in edges[[*keys, CHUNK, "_entry", "_exit", "_map"]].itertuples(index=False, name=None):
-            entry, left = json.loads(row[-3]), json.loads(row[-2])
-            if state is not None and not same(state, entry):
-                out.append((*row[:-3], json.dumps(state)))
-                carried = machine.carry(state, json.loads(row[-1]), left) if row[-1] is not None else None
-                left = left if carried is None else carried
-            state = left
-        return pd.DataFrame(out, columns=[*keys, CHUNK, "_forced"])
+        for batch in batches:
+            out = []
+            for *at, entry, left, steps in zip(*(batch.column(c).to_pylist() for c in (*keys, CHUNK, "_entry", "_exit", "_map"))):
+                left = json.loads(left)
+                if at[:-1] != key:  # the first span of a key began as it had to
+                    key = at[:-1]
+                elif not same(state, json.loads(entry)):
+                    out.append((*at, json.dumps(state)))
+                    carried = machine.carry(state, json.loads(steps), left) if steps is not None else None
+                    left = left if carried is None else carried
+                state = left
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return walk
 

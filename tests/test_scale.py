@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldlens import fold
 from fieldlens.fold import chunked_fold
 from fieldlens.operators import court, deliveries, highlights, identity, possession, registration, shots
 from fieldlens.scale import positions, running, with_halo
@@ -438,3 +439,21 @@ def test_stored_stages_need_no_exchange(spark, rows):
         assert rows(speeds(points)) == rows(speeds(plain))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_walk_over_many_keys_in_batches_of_any_cut():
+    """One task walks over the spans of many keys without a call per key; a key may be cut between batches."""
+    import json
+
+    import pyarrow as pa
+
+    edges = [(key, span, json.dumps(span if (key + span) % 3 else -1), json.dumps(span + 1), None) for key in (None, 1, 2) for span in range(4)
+             if key is not None] + [(None, 0, "0", "5", None), (None, 1, "5", "6", None)]
+    want = [(key, span, json.dumps(span)) for key, span, entry, *_ in edges if key is not None and span and entry == "-1"]
+    schema = pa.schema([("key", pa.int64()), ("_chunk", pa.int64()), ("_forced", pa.string())])
+    walk = fold._span_walk(dict, ["key"], schema)
+    names = ["key", "_chunk", "_entry", "_exit", "_map"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    for cut in (1, 3, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*edges[i:i + cut]), types)], names) for i in range(0, len(edges), cut)]
+        assert [tuple(r.values()) for b in walk(iter(batches)) for r in b.to_pylist()] == want
