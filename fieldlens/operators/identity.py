@@ -242,12 +242,15 @@ def _dist2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d)
 
 
+WIDELY = 4096  # videos whose pairs of centres are sent to all tasks
+
+
 def team_colors(samples: DataFrame, max_iter: int | None = None, components: int | None = None) -> DataFrame:
     """Two clusters of colour or embedding samples per video and the team each player's samples vote for.
 
     ``samples``: video_id, player_id, sample_id, features array.  All videos are clustered by the same few jobs:
     each round joins the samples with the two centres of their video and averages them again, pre-aggregated on
-    the map side.  The first centre is the sample farthest from the video's mean, the second the one farthest
+    the map side.  The centres of up to ``WIDELY`` videos are broadcast, so a round shuffles no samples; those of more are joined by video.  The first centre is the sample farthest from the video's mean, the second the one farthest
     from the first.  Rounds go on until no centre moves, or for ``max_iter``.  Team 1 is the centre that comes first in order.  ``components`` projects the embeddings of
     all videos first.
     """
@@ -264,12 +267,18 @@ def team_colors(samples: DataFrame, max_iter: int | None = None, components: int
         order = F.struct(_dist2(F.col("_f"), F.col(origin)).alias("d"), (-F.col("sample_id")).alias("s"))
         return df.groupBy("video_id").agg(F.max_by("_f", order).alias(name))
 
-    start = farthest(rows.join(mean(rows, "video_id"), "video_id"), "_m", "_c1")
-    second = farthest(rows.join(start, "video_id"), "_c1", "_c2")
+    middle = durable(mean(rows, "video_id"))
+    few = middle.count() <= WIDELY  # then the centres go to the samples, which stay where they lie in every round
+
+    def beside(df: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(df) if few else df, "video_id")
+
+    start = durable(farthest(beside(middle), "_m", "_c1"))
+    second = farthest(beside(start), "_c1", "_c2")
     centers = durable(start.join(second, "video_id"))
     nearest = F.when(_dist2(F.col("_f"), F.col("_c1")) < _dist2(F.col("_f"), F.col("_c2")), 1).otherwise(2)
     for _ in count() if max_iter is None else range(max_iter):
-        means = mean(rows.join(centers, "video_id").select("video_id", "_f", nearest.alias("_t")), "video_id", "_t")
+        means = mean(beside(centers).select("video_id", "_f", nearest.alias("_t")), "video_id", "_t")
         pair = means.groupBy("video_id").agg(*[F.first(F.when(F.col("_t") == t, F.col("_m")), ignorenulls=True).alias(f"_n{t}") for t in (1, 2)])
         moved = durable(centers.join(pair, "video_id").select(
             "video_id", *[F.coalesce(f"_n{t}", f"_c{t}").alias(f"_c{t}") for t in (1, 2)],
@@ -278,7 +287,7 @@ def team_colors(samples: DataFrame, max_iter: int | None = None, components: int
         if moved.filter("_shift > 1e-12D").isEmpty():
             break
     ordered = centers.select("video_id", F.least("_c1", "_c2").alias("_c1"), F.greatest("_c1", "_c2").alias("_c2"))
-    votes = rows.join(ordered, "video_id").select(*PLAYER, nearest.alias("team")).groupBy(*PLAYER).agg(
+    votes = beside(ordered).select(*PLAYER, nearest.alias("team")).groupBy(*PLAYER).agg(
         F.count(F.when(F.col("team") == 1, 1)).alias("votes_1"), F.count(F.when(F.col("team") == 2, 1)).alias("votes_2")
     )
     return votes.withColumn("team", F.when(F.col("votes_1") >= F.col("votes_2"), 1).otherwise(2))
