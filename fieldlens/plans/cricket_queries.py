@@ -173,11 +173,11 @@ FROM (SELECT video_id, CAST(floor((delivery_number-1)/6) AS BIGINT) AS over_no,
   FROM deliveries GROUP BY ALL) o""")
 
 
-def described(t: Tables):
-    """Deliveries with all that the commentary and the table show."""
+def described(t: Tables, labelled: bool = True):
+    """Deliveries with all that the commentary and the table show; line and length, which follow from the row, only if ``labelled``."""
     xd = ck.expected_dismissal(t.deliveries_raw).select("delivery_key", "xd_pct", "threat_level")
-    rows = ck.line_length(ck.over_notation(reviewed(t))).join(xd, "delivery_key")
-    return rows.withColumn("event_runs", F.lit(0))
+    rows = ck.over_notation(reviewed(t)).join(xd, "delivery_key").withColumn("event_runs", F.lit(0))
+    return ck.line_length(rows) if labelled else rows  # labels follow from the row, so they are added behind the join
 
 
 derive("described", ("appeals", "zoned", "dismissal"), """

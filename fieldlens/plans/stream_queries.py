@@ -292,17 +292,24 @@ def basketball_files(t: Tables) -> DataFrame:
     report = reports.basketball_report(t.tracks, t.ball, t.positions, t.frames, modes(t))
     sinks.write_basketball_report(report, reports.report_players(t.tracks, t.positions), root)
     teams = [F.col(f"team_stats.team_{k}.{c}").alias(f"team{k}_{c}") for k in (1, 2) for c in ("possession_pct", "total_passes", "total_interceptions")]
-    return t.spark.read.json(f"{root}/summary").select(
-        F.col("video_id").cast("bigint").alias("video_id"), "total_frames", "duration_seconds", *teams, "spatial_dominance_stats.*",
+    return t.spark.read.schema(report.schema).json(f"{root}/summary").select(
+        "video_id", "total_frames", "duration_seconds", *teams, "spatial_dominance_stats.*",
         "shot_events_detected", "tracking_continuity_stats.*")
 
 
+def spoken(rows: DataFrame) -> DataFrame:
+    """What follows from each row of ``described``: line, length and commentary."""
+    return ck.commentary_line(ck.line_length(rows)).drop("event_runs")
+
+
 def cricket_files(t: Tables) -> DataFrame:
     """Write the report and read its summary back."""
     root = folder(t)
-    rows = ck.commentary_line(described(t))
-    report = reports.cricket_report(rows, hl.fuse_highlights(t.moments, t.roars), t.videos.select("video_id", "fps", "total_frames"))
-    sinks.write_cricket_report(report, rows.drop("event_runs"), root)
+    rows = described(t, labelled=False)
+    facts = durable(ck.line_length(rows).select(  # used twice
+        "video_id", "outcome", "is_wicket", "runs", "release_speed_kmh", "line", "length", "shot_played"))
+    report = reports.cricket_report(facts, hl.fuse_highlights(t.moments, t.roars), t.videos.select("video_id", "fps", "total_frames"))
+    sinks.write_cricket_report(report, rows, root, spoken)
     return t.spark.read.json(f"{root}/summary").select(F.col("video_id").cast("bigint").alias("video_id"), "summary.*").select("*", "speed_analysis_kmh.*").drop("speed_analysis_kmh")
 
 
@@ -317,9 +324,9 @@ def players_file(t: Tables) -> DataFrame:
 def deliveries_file(t: Tables) -> DataFrame:
     """The deliveries with their commentary as the report writes them, read back."""
     root = folder(t)
-    rows = ck.commentary_line(described(t)).drop("event_runs")
-    sinks.write_cricket_report(t.videos, rows, root)
-    back = t.spark.read.schema(rows.schema).json(f"{root}/deliveries")
+    rows = described(t, labelled=False)
+    sinks.write_cricket_report(t.videos, rows, root, spoken)
+    back = t.spark.read.schema(spoken(rows).schema).json(f"{root}/deliveries")
     return back.select("video_id", "delivery_key", "over", "line", "length", "outcome", "runs", "is_wicket", "commentary")
 
 
