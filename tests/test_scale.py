@@ -10,6 +10,7 @@ from fieldlens import fold
 from fieldlens.fold import chunked_fold
 from fieldlens.operators import court, deliveries, highlights, identity, possession, registration, shots
 from fieldlens.scale import positions, running, with_halo
+from fieldlens.sources import sinks
 
 
 def series(seed, videos=3, frames=200, keep=0.7):
@@ -457,3 +458,34 @@ def test_walk_over_many_keys_in_batches_of_any_cut():
     for cut in (1, 3, 100):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*edges[i:i + cut]), types)], names) for i in range(0, len(edges), cut)]
         assert [tuple(r.values()) for b in walk(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_centres_go_to_the_samples(spark, rows, monkeypatch):
+    """No round shuffles the samples of a few videos; joined by video, many give the same teams."""
+    rng = random.Random(8)
+    data = [(v, p, v * 100 + k, [rng.gauss(9.0 * (p % 2), 1.0), rng.random()]) for v in range(3) for k in range(40) for p in [k % 6]]
+    samples = spark.createDataFrame(data, "video_id bigint, player_id bigint, sample_id bigint, features array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = identity.team_colors(samples)
+        assert "SortMergeJoin" not in sent._jdf.queryExecution().toString()
+        monkeypatch.setattr(identity, "WIDELY", 0)
+        joined = identity.team_colors(samples)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().toString()
+        assert rows(sent) == rows(joined) and len(rows(sent)) == 18
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_report_files_follow_the_rows(spark, rows, tmp_path):
+    """A video's few players fill one file; what follows from a row may be added when it lies where it is written."""
+    players = spark.createDataFrame([(v, p, f"p{p}") for v in range(3) for p in range(10)], "video_id bigint, player_id bigint, name string").repartition(5)
+    videos = players.select("video_id").distinct().withColumn("n", F.lit(1))
+    files = lambda root: [len(list(d.glob("*.json"))) for d in (tmp_path / root / "players").glob("video_id=*")]
+    sinks.write_basketball_report(videos, players, str(tmp_path / "few"))
+    sinks.write_basketball_report(videos, players, str(tmp_path / "more"), rows_per_file=4)
+    assert files("few") == [1] * 3 and max(files("more")) in (2, 3)
+    for root in ("few", "more"):
+        assert rows(spark.read.schema(players.schema).json(str(tmp_path / root / "players")).select(*players.columns)) == rows(players)
+    sinks.write_cricket_report(videos, players, str(tmp_path / "c"), lambda d: d.withColumn("text", F.concat("name", F.lit("!"))))
+    assert {r.text for r in spark.read.json(str(tmp_path / "c" / "deliveries")).collect()} == {f"p{p}!" for p in range(10)}
