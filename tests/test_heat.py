@@ -54,3 +54,27 @@ def test_percentile_at_any_rank(spark):
     for pct in (0.0, 0.31, 0.5, 1.0):
         top = court._heat_ranks(stencil.strips(grid), stencil, pct).first()["top"]
         assert top == pytest.approx(np.percentile(heat[heat > 0], pct * 100), rel=1e-12)
+
+
+def test_a_layer_is_smoothed_once(spark):
+    """The percentile comes from the same heat as the map: no rounds of jobs over all layers, one step of Python."""
+    points = [(1, "match", 40 + 3 * k, 30 + 2 * k, 1 + k % 4) for k in range(9)] + [(None, "match", 5, 70, 2)]
+    grid = spark.createDataFrame(points, "video_id bigint, layer string, cell_x bigint, cell_y bigint, n bigint")
+    spark.sparkContext.setJobGroup("heat", "heat")
+    try:
+        maps = [court.heatmap_levels(grid, cell_px=20), court.heatmap_density(grid, cell_px=20)]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("heat")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for found in maps:
+        assert found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 1
+    levels, cells = (m.toPandas() for m in maps)
+    assert levels.cells.sum() == len(cells) and (cells.video_id.isna()).sum() == levels[levels.video_id.isna()].cells.sum() > 0
+    assert levels.alpha.sum() == pytest.approx(cells.alpha.sum(), rel=1e-9)
+
+
+def test_percentile_equals_numpys_at_any_size():
+    rng = np.random.default_rng(5)
+    for heat in (np.ones((3, 5)), rng.random((70, 80)), np.sort(rng.random(9000)).reshape(90, 100), np.where(rng.random((200, 300)) < 0.01, 2.5, 0.0), np.eye(1, 7)):
+        for pct in (0.0, 0.4, 0.98, 1.0):
+            assert court.heat_top(heat, pct) == pytest.approx(np.percentile(heat[heat > 0], pct * 100), rel=1e-12)
