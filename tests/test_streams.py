@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from fieldlens.functions import machines as mc
@@ -197,3 +198,97 @@ def test_status_of_log_files_equals_the_batch(spark, tmp_path):
     assert {k: {c: got[k][c] for c in want[k]} for k in want} == want and set(got) == {1, 2}
     assert got[1]["line_no"] == 4 and got[1]["progress_pct"] == 50 and got[1]["total_frames"] == 900 and got[1]["completed"]
     assert got[2]["line_no"] == 3 and got[2]["progress_pct"] == 100 and got[2]["vram"] == "2GB"
+
+
+class Handle:
+    """State and timer of one key in memory; counts the calls a state store would get."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getValueState(self, name, *schemas):
+        return State(self, name)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def of(self):
+        self.handle.calls += 1
+        return self.handle.values.setdefault(self.name, {})
+
+    def exists(self):
+        return bool(self.of())
+
+    def get(self):
+        return self.of().get(None)
+
+    def update(self, value):
+        self.of()[None] = value
+
+    def clear(self):
+        self.of().clear()
+
+    def keys(self):
+        return list(self.of())
+
+    def getValue(self, key):
+        return self.of()[key]
+
+    def updateValue(self, key, value):
+        self.of()[key] = value
+
+    def removeKey(self, key):
+        del self.of()[key]
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def feed_key(arriving, apart_us, **options):
+    """Results of one key whose rows arrive in batches of 30, a batch behind the watermark, and the calls of each batch."""
+    columns = ["frame_idx", "dist_m"]
+    processor = st._OrderedProcessor(lambda: mc.SpeedWindow(FPS), ["player_id"], ["frame_idx"], columns, ["frame_idx", "speed_kmh"], 1_000_000, **options)
+    handle = Handle()
+    processor.init(handle)
+    out, calls, now = [], [], 0
+    for k in range(0, len(arriving), 30):
+        part = arriving[k : k + 30]
+        batch = pd.DataFrame({"event_micros": [r[0] * apart_us for r in part], "frame_idx": [r[0] for r in part], "dist_m": [r[1] for r in part], "ended": None})
+        handle.calls = 0
+        out += list(processor.handleInputRows((7,), iter([batch[:20], batch[20:]]), Now(now)))
+        calls.append(handle.calls)
+        now = (k // 30 * 30 - 15) * apart_us // 1000
+    out += list(processor.handleExpiredTimer((7,), Now((len(arriving) + 1) * apart_us // 1000 + 1000), None))
+    assert not any(handle.values.values())  # the key is over
+    return [tuple(r[1:]) for f in out for r in f.itertuples(index=False)], calls
+
+
+@pytest.mark.parametrize("apart_us", [1000, 100_000, 5_000_000])
+def test_a_batch_reads_and_writes_a_key_once(apart_us):
+    """Also where every row of a key lies in a second of its own; a key with many rows keeps them in pieces, with equal results."""
+    rng = random.Random(3)
+    rows = [(f, rng.random()) for f in range(150)]
+    arriving = sorted(rows, key=lambda r: r[0] + rng.random() * 10)
+    machine = mc.SpeedWindow(FPS)
+    want = [x for f, d in rows for x in machine.step({"frame_idx": f, "dist_m": d})]
+    got, calls = feed_key(arriving, apart_us)
+    assert got == want and max(calls) <= 5
+    for near in (1, 4, 25):
+        assert feed_key(arriving, apart_us, rows_near=near)[0] == want
