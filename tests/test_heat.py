@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from fieldlens.operators import court
+from fieldlens.plans import all_queries
+from fieldlens.sources import adapters
 
 
 def dense(points, sigma, pct=98):
@@ -78,3 +80,57 @@ def test_percentile_equals_numpys_at_any_size():
     for heat in (np.ones((3, 5)), rng.random((70, 80)), np.sort(rng.random(9000)).reshape(90, 100), np.where(rng.random((200, 300)) < 0.01, 2.5, 0.0), np.eye(1, 7)):
         for pct in (0.0, 0.4, 0.98, 1.0):
             assert court.heat_top(heat, pct) == pytest.approx(np.percentile(heat[heat > 0], pct * 100), rel=1e-12)
+
+
+@pytest.mark.parametrize("sigma", [65.0, 3.0])
+def test_lines_hold_every_warm_pixel(spark, sigma):
+    """Many runs in a line, cold lines, a run along each border, a whole warm line, a layer whose video is not known."""
+    points = [(0, 0, 5), (20, 0, 1), (2799, 700, 2), (77, 1499, 1), (400, 700, 1), (404, 703, 3), (900, 700, 1)] + [(x, 1200, 1) for x in range(0, 2800, 9)]
+    grid = spark.createDataFrame(
+        [(1, "match", x, y, n) for x, y, n in points] + [(None, "match", 5, 70, 2)], "video_id bigint, layer string, cell_x bigint, cell_y bigint, n bigint")
+    runs = court.heatmap_lines(grid, sigma)
+    found = runs.filter("video_id = 1").toPandas()
+    heat, top = dense(points, sigma)
+    want = np.clip(heat / top, 0, 1)
+    alpha = np.where(want >= 0.05, np.minimum(0.7, 0.2 + 0.5 * (want - 0.05) / 0.95), 0)
+    density, opacity, seen = np.zeros(want.shape), np.zeros(want.shape), np.zeros(want.shape, int)
+    for y, x, d, a in zip(found.cell_y, found.cell_x, found.density, found.alpha):
+        assert len(d) == len(a) > 0
+        density[y, x : x + len(d)], opacity[y, x : x + len(a)] = d, a
+        seen[y, x : x + len(d)] += 1
+    assert (seen == (heat > 0)).all()
+    assert np.allclose(density, want, rtol=1e-6, atol=1e-12)
+    steep = abs(want - 0.05) > 1e-6  # there the opacity jumps
+    assert np.allclose(opacity[steep], alpha[steep], rtol=1e-6)
+    assert runs.filter("video_id IS NULL").selectExpr("sum(size(density))").first()[0] > 0
+
+
+def test_lines_are_the_cells_of_the_map(spark):
+    grid = spark.createDataFrame([(1, "team_1", 40 + 3 * k, 30 + 2 * k, 1 + k % 4) for k in range(9)], "video_id bigint, layer string, cell_x bigint, cell_y bigint, n bigint")
+    at = {(r.cell_y, r.cell_x + i): v for r in court.heatmap_lines(grid, cell_px=20).collect() for i, v in enumerate(zip(r.density, r.alpha))}
+    cells = court.heatmap_density(grid, cell_px=20).collect()
+    assert len(at) == len(cells) > 0
+    assert all(at[r.cell_y, r.cell_x] == pytest.approx((r.density, r.alpha), rel=1e-6) for r in cells)
+
+
+def test_query_gives_the_whole_map(spark, monkeypatch):
+    """Of a video of two players, the density and opacity of each pixel, not only how many have which."""
+    made = {
+        "tracks": spark.createDataFrame(
+            [(3, f, p, 1 + p, False, False, None) for f in range(12) for p in (0, 1)],
+            "video_id bigint, frame_idx bigint, player_id bigint, team int, is_referee boolean, is_sideline boolean, jersey string"),
+        "positions": spark.createDataFrame(
+            [(3, f, p, 20.0 + 150 * p, 30.0 + 2 * f) for f in range(12) for p in (0, 1)], "video_id bigint, frame_idx bigint, player_id bigint, x double, y double"),
+        "videos": spark.createDataFrame([(3, 12)], "video_id bigint, total_frames bigint"),
+    }
+    monkeypatch.setattr(adapters, "load", lambda spark, folder, name: made[name])
+    found = all_queries()["heatmap_density"](spark, "").toPandas()
+    assert set(found.layer) == {"team_1", "team_2", "match"}
+    for layer, players in (("team_1", [0]), ("team_2", [1]), ("match", [0, 1])):
+        points = [(int((20 + 150 * p) / 200 * 2800), int((30 + 2 * f) / 107 * 1500), 1) for f in range(12) for p in players]
+        heat, top = dense(points, 65.0)
+        density, seen = np.zeros(heat.shape), np.zeros(heat.shape, bool)
+        for r in found[found.layer == layer].itertuples():
+            density[r.cell_y, r.cell_x : r.cell_x + len(r.density)] = r.density
+            seen[r.cell_y, r.cell_x : r.cell_x + len(r.density)] = True
+        assert (seen == (heat > 0)).all() and np.allclose(density, np.clip(heat / top, 0, 1), rtol=1e-6, atol=1e-12)
